@@ -11,7 +11,8 @@ exact: every text gets the smallest id that it reaches by links. Nothing is samp
    so buckets of these prefixes see every linked pair. Only buckets that still hold two components are looked at.
    In each bucket a tree over the sets sorted by size holds the OR of token bitmaps, the size range and the largest
    surplus of tokens over bits; a dual traversal drops node pairs whose maximum possible overlap is too small, whose
-   size ranges exclude each other or which lie in one component already. Surviving pairs are verified on the full sets.
+   size ranges exclude each other or which lie in one component already. Surviving pairs are
+   bounded once more by 16 bits a token and then verified on the full sets.
    Buckets over `block` members are cut into blocks and each pair of blocks is a task of its own.
 4. Components by alternating stars.
 
@@ -282,6 +283,25 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
 
     pairs = stored(streamed(dealt, ["tok", "x", "y"], traverse, "u long, v long").distinct(), "pairs")
+    # before full sets travel for each pair: 16 bits a token bound the overlap from above, without dropping a linked pair
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = _sets_of(b.column("toks"))
+            low = [np.unique((s >> np.uint64(8)).astype(np.uint16)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "n", "low"])
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for n, m, x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both + min(n - len(x), m - len(y)) >= needed(n, m, threshold))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    low = stored(known.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "toks").mapInArrow(sketched, "rep long, n long, low binary"), "sketches")
+    brief = pairs.join(low.select(F.col("rep").alias("u"), F.col("n").alias("na"), F.col("low").alias("a")), "u").join(low.select(F.col("rep").alias("v"), F.col("n").alias("nb"), F.col("low").alias("b")), "v")
+    pairs = stored(brief.select("u", "v", "na", "nb", "a", "b").mapInArrow(plausible, "u long, v long"), "plausible")
     two = pairs.join(known.select(F.col("rep").alias("u"), F.col("toks").alias("a"), F.col("comp").alias("cu")), "u").join(known.select(F.col("rep").alias("v"), F.col("toks").alias("b"), F.col("comp").alias("cv")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
