@@ -5,8 +5,8 @@ context is kept as a state only if it passes the divergence test: its count time
 next-word distribution from that of its one-word suffix reaches `divergence` (natural log), and its count reaches
 `min_count`. A text is scored by the longest suffix of the words read so far that is a state.
 
-Smoothing runs down the suffix chain. With counts c and pseudo-counts m: p2(x) = (c2(x) + m * p1(x)) / (c2 + m). A state of
-depth one gives seen words c1(x) / (c1 + m) and leaves m / (c1 + m) times the root's p0(x) = (c(x) + 1) / (N + V + 1) to the
+Smoothing runs down the suffix chain. With counts c and pseudo-counts m, r: p2(x) = (c2(x) + m * p1(x)) / (c2 + m). A state
+of depth one gives seen words c1(x) / (c1 + r) and leaves r / (c1 + r) times the root's p0(x) = (c(x) + 1) / (N + V + 1) to the
 rest; so the probabilities of all next words sum to at most 1.
 
 One shuffle does the counting and the scoring. Every position (two words back, word, next word) is sent to the partition of
@@ -45,13 +45,20 @@ def _unpack(parts: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, parts)), kind)
 
 
-def _count(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First positions of the distinct keys, the key number of each position, and each key's weight."""
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return first, at, np.bincount(at, weight, len(first))
+def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One position of each distinct key, the key number of each position, and at each position its key's training count."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    del sorted_
+    starts, number = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+    sums = np.add.reduceat(train[order], starts, dtype=np.int64)
+    at, count = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
+    at[order], count[order] = number, sums[number]
+    return order[starts], at, count
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, pseudo: float = 2.0, part_tokens: int = 3_000_000) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, part_tokens: int = 3_000_000, step: int = 500_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
     bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -90,39 +97,44 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def score(t: pa.Table) -> pa.RecordBatch | None:
         ids, runs, mid, after, back = (_unpack(t.column(c).to_pylist(), k) for c, k in (("ids", np.int64), ("runs", np.uint32), ("mid", np.uint64), ("after", np.uint32), ("back", np.uint32)))
-        run = np.repeat(np.arange(len(runs)), runs)
-        train = ((ids & 1) == 0)[run].astype(np.float64)
-        first1, at1, c1 = _count(mid, train)
-        _, atx, c1x = _count(mix(mid + after.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), train)
-        ctx2 = mix(mid ^ (back.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-        first2, at2, c2 = _count(ctx2, train)
-        firstx2, atx2, c2x = _count(mix(ctx2 + after.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), train)
-        # divergence of each two-word context from its suffix, summed over its next words
-        own, parent, joint = at2[firstx2], at1[firstx2], c1x[atx[firstx2]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(c2x > 0, c2x * (np.log(c2x / c2[own]) - np.log(joint / c1[parent])), 0)
-        state = (c2 >= min_count) & (np.bincount(own, gain, len(first2)) >= divergence)
-        state[back[first2] == np.uint32(NONE)] = False
-        c1_, c1x_, c2_, c2x_ = c1[at1], c1x[atx], c2[at2], c2x[atx2]
-        p1 = np.where(c1x_ > 0, c1x_, np.where(c1_ > 0, pseudo, 1.0)) / np.where(c1_ > 0, c1_ + pseudo, 1.0)
-        p = np.where(state[at2], (c2x_ + pseudo * p1) / (c2_ + pseudo), p1)
-        falls = c1x_ == 0
-        # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
-        word = mid != BEGIN
-        own_log = np.where(word, np.log10(c1_ + 1), 0)
-        root = word & (c2_ == 0)
-        ends = falls & (after == END.astype(np.uint32))
-        n, at = len(runs), np.r_[0, np.cumsum(runs.astype(np.int64))[:-1]]
-        total = lambda x: np.add.reduceat(x.astype(np.float64), at)
-        count = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), at).astype(np.int32))
+        run = np.repeat(np.arange(len(runs), dtype=np.int32), runs)
+        trains = (ids & 1) == 0
+        n, kinds_ = len(runs), 0
+        sums_, counts_ = np.zeros((2, n)), np.zeros((4, n), np.int32)
+        order = np.argsort(mid)
+        new = np.flatnonzero(np.r_[True, mid[order][1:] != mid[order][:-1]])
+        # whole middle words at a time, about `step` positions: the temporary columns stay small
+        at = np.searchsorted(new, np.arange(step, len(mid), step))
+        cuts = np.unique(np.r_[0, new[at[at < len(new)]], len(mid)])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            pick = order[lo:hi]
+            m, x, prior, r = mid[pick], after[pick], back[pick], run[pick]
+            train = trains[r]
+            first1, _, c1 = _count(m, train)
+            _, _, c1x = _count(mix(m + x.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), train)
+            ctx2 = mix(m ^ (prior.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            first2, at2, c2 = _count(ctx2, train)
+            each, _, c2x = _count(mix(ctx2 + x.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), train)
+            # divergence of each two-word context from its suffix, summed over its next words seen in training
+            each = each[c2x[each] > 0]
+            gain = c2x[each] * (np.log(c2x[each] / c2[each]) - np.log(c1x[each] / c1[each]))
+            state = (c2[first2] >= min_count) & (np.bincount(at2[each], gain, len(first2)) >= divergence) & (prior[first2] != np.uint32(NONE))
+            p = np.where(c1x > 0, c1x, np.where(c1 > 0, root_pseudo, 1.0)) / np.where(c1 > 0, c1 + root_pseudo, 1.0)
+            p = np.where(state[at2], (c2x + pseudo * p) / (c2 + pseudo), p)
+            # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
+            word = m != BEGIN
+            own_log = np.where(word, np.log10(c1 + 1.0), 0)
+            root = word & (c2 == 0)
+            sums_[0] += np.bincount(r, np.log10(p) + np.where(root, own_log, 0), n)
+            sums_[1] += np.bincount(r, own_log, n)
+            for k, flag in enumerate((root, (c1x == 0) & (x == END.astype(np.uint32)), word & (c1 > 0), word)):
+                counts_[k] += np.bincount(r[flag], minlength=n).astype(np.int32)
+            kinds_ += int(((c1[first1] > 0) & word[first1]).sum())
         names, named = (_unpack(t.column(c).to_pylist(), k) for c, k in (("names", np.int64), ("named", bool)))
         name = pa.array(names, mask=~named) if len(names) else pa.nulls(n, pa.int64())
         types = np.zeros(n, np.int32)
-        types[0] = int(((c1 > 0) & (mid[first1] != BEGIN)).sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), name, pa.array(total(np.log10(p) + np.where(root, own_log, 0))), pa.array(total(own_log)), count(root), count(ends), count(word & (c1_ > 0)), count(word), pa.array(types)],
-            ["row", "id", "s", "base", "falls", "ends", "known", "words", "types"],
-        )
+        types[0] = kinds_
+        return pa.RecordBatch.from_arrays([pa.array(ids), name, *map(pa.array, sums_), *map(pa.array, counts_), pa.array(types)], ["row", "id", "s", "base", "falls", "ends", "known", "words", "types"])
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     blobs = numbered.mapInArrow(deal, "part int, ids binary, runs binary, mid binary, after binary, back binary, names binary, named binary")
