@@ -51,14 +51,16 @@ def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sorted_ = keys[order]
     new = np.r_[True, sorted_[1:] != sorted_[:-1]]
     del sorted_
-    starts, number = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
-    sums = np.add.reduceat(train[order], starts, dtype=np.int64)
+    starts, number = np.flatnonzero(new), np.cumsum(new, dtype=np.int32)
+    number -= 1
+    sums = np.add.reduceat(train[order], starts, dtype=np.int32)
     at, count = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
-    at[order], count[order] = number, sums[number]
+    at[order] = number
+    count[order] = sums[number]
     return order[starts], at, count
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, part_tokens: int = 3_000_000, step: int = 500_000) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, part_tokens: int = 2_000_000, step: int = 500_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
     bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -102,34 +104,41 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         n, kinds_ = len(runs), 0
         sums_, counts_ = np.zeros((2, n)), np.zeros((4, n), np.int32)
         order = np.argsort(mid)
-        new = np.flatnonzero(np.r_[True, mid[order][1:] != mid[order][:-1]])
+        line = mid[order]
+        new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        del line
         # whole middle words at a time, about `step` positions: the temporary columns stay small
         at = np.searchsorted(new, np.arange(step, len(mid), step))
         cuts = np.unique(np.r_[0, new[at[at < len(new)]], len(mid)])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             pick = order[lo:hi]
-            m, x, prior, r = mid[pick], after[pick], back[pick], run[pick]
-            train = trains[r]
+            m, x, prior, train = mid[pick], after[pick], back[pick], trains[run[pick]]
             first1, _, c1 = _count(m, train)
-            _, _, c1x = _count(mix(m + x.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), train)
-            ctx2 = mix(m ^ (prior.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            _, _, c1x = _count(mix(m + x * np.uint64(0x9FB21C651E98DF25)), train)
+            ctx2 = mix(m ^ (prior * np.uint64(0xC2B2AE3D27D4EB4F)))
             first2, at2, c2 = _count(ctx2, train)
-            each, _, c2x = _count(mix(ctx2 + x.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), train)
+            ctx2 += x * np.uint64(0x9FB21C651E98DF25)
+            each, _, c2x = _count(mix(ctx2), train)
+            del ctx2, train
             # divergence of each two-word context from its suffix, summed over its next words seen in training
             each = each[c2x[each] > 0]
             gain = c2x[each] * (np.log(c2x[each] / c2[each]) - np.log(c1x[each] / c1[each]))
             state = (c2[first2] >= min_count) & (np.bincount(at2[each], gain, len(first2)) >= divergence) & (prior[first2] != np.uint32(NONE))
-            p = np.where(c1x > 0, c1x, np.where(c1 > 0, root_pseudo, 1.0)) / np.where(c1 > 0, c1 + root_pseudo, 1.0)
-            p = np.where(state[at2], (c2x + pseudo * p) / (c2 + pseudo), p)
-            # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
-            word = m != BEGIN
-            own_log = np.where(word, np.log10(c1 + 1.0), 0)
-            root = word & (c2 == 0)
-            sums_[0] += np.bincount(r, np.log10(p) + np.where(root, own_log, 0), n)
-            sums_[1] += np.bincount(r, own_log, n)
-            for k, flag in enumerate((root, (c1x == 0) & (x == END.astype(np.uint32)), word & (c1 > 0), word)):
-                counts_[k] += np.bincount(r[flag], minlength=n).astype(np.int32)
-            kinds_ += int(((c1[first1] > 0) & word[first1]).sum())
+            kinds_ += int(((c1[first1] > 0) & (m[first1] != BEGIN)).sum())
+            del each, gain, prior
+            for k in range(0, hi - lo, step):
+                e = slice(k, k + step)
+                r, d1, d1x, d2, d2x, kept_ = run[pick[e]], c1[e], c1x[e], c2[e], c2x[e], state[at2[e]]
+                p = np.where(d1x > 0, d1x, np.where(d1 > 0, root_pseudo, 1.0)) / np.where(d1 > 0, d1 + root_pseudo, 1.0)
+                p = np.where(kept_, (d2x + pseudo * p) / (d2 + pseudo), p)
+                # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
+                word = m[e] != BEGIN
+                own_log = np.where(word, np.log10(d1 + 1.0), 0)
+                root = word & (d2 == 0)
+                sums_[0] += np.bincount(r, np.log10(p) + np.where(root, own_log, 0), n)
+                sums_[1] += np.bincount(r, own_log, n)
+                for j, flag in enumerate((root, (d1x == 0) & (x[e] == END.astype(np.uint32)), word & (d1 > 0), word)):
+                    counts_[j] += np.bincount(r[flag], minlength=n).astype(np.int32)
         names, named = (_unpack(t.column(c).to_pylist(), k) for c, k in (("names", np.int64), ("named", bool)))
         name = pa.array(names, mask=~named) if len(names) else pa.nulls(n, pa.int64())
         types = np.zeros(n, np.int32)
