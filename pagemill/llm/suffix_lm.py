@@ -140,15 +140,35 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 for j, flag in enumerate((root, (d1x == 0) & (x[e] == END.astype(np.uint32)), word & (d1 > 0), word)):
                     counts_[j] += np.bincount(r[flag], minlength=n).astype(np.int32)
         names, named = (_unpack(t.column(c).to_pylist(), k) for c, k in (("names", np.int64), ("named", bool)))
-        name = pa.array(names, mask=~named) if len(names) else pa.nulls(n, pa.int64())
-        types = np.zeros(n, np.int32)
-        types[0] = kinds_
-        return pa.RecordBatch.from_arrays([pa.array(ids), name, *map(pa.array, sums_), *map(pa.array, counts_), pa.array(types)], ["row", "id", "s", "base", "falls", "ends", "known", "words", "types"])
+        home_ = len(names) > 0
+        to = (ids >> 1) % parts
+        order = np.argsort(to, kind="stable")
+        cuts, out = np.searchsorted(to[order], np.arange(parts + 1)), []
+        for q in range(parts):
+            if cuts[q + 1] > cuts[q]:
+                e = order[cuts[q] : cuts[q + 1]]
+                out.append((q, kinds_, *(_pack(c[..., e]) for c in (ids, sums_, counts_)), *(_pack(c[e] if home_ else c) for c in (names, named))))
+                kinds_ = 0
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["to", "types", "ids", "sums", "counts", "names", "named"])
+
+    def total(t: pa.Table) -> pa.RecordBatch | None:
+        ids = [_unpack([x], np.int64) for x in t.column("ids").to_pylist()]
+        rows, at = np.unique(np.concatenate(ids), return_inverse=True)
+        add = lambda c, kind, lines: [np.bincount(at, x, len(rows)) for x in np.concatenate([_unpack([x], kind).reshape(lines, -1) for x in t.column(c).to_pylist()], axis=1)]
+        sums, counts = add("sums", np.float64, 2), [x.astype(np.int32) for x in add("counts", np.int32, 4)]
+        name, known = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        for i, x, y in zip(ids, t.column("names").to_pylist(), t.column("named").to_pylist(), strict=True):
+            if len(x := _unpack([x], np.int64)):
+                place = np.searchsorted(rows, i)
+                name[place], known[place] = x, _unpack([y], bool)
+        types = np.zeros(len(rows), np.int64)
+        types[0] = sum(t.column("types").to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(name, mask=~known), *map(pa.array, sums), *map(pa.array, counts), pa.array(types)], ["row", "id", "s", "base", "falls", "ends", "known", "words", "types"])
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     blobs = numbered.mapInArrow(deal, "part int, ids binary, runs binary, mid binary, after binary, back binary, names binary, named binary")
-    sums = streamed(blobs, ["part"], score, "row long, id long, s double, base double, falls int, ends int, known int, words int, types int", parts).groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("s", "base", "falls", "ends", "known", "words", "types")])
-    sums = stored(sums, "sums")
+    parted = streamed(blobs, ["part"], score, "to int, types long, ids binary, sums binary, counts binary, names binary, named binary", parts)
+    sums = stored(streamed(parted, ["to"], total, "row long, id long, s double, base double, falls int, ends int, known int, words int, types long", parts), "sums")
     kept = sums.where("row % 2 = 0")
     texts, words = kept.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     types = sums.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
