@@ -59,30 +59,56 @@ def split_merge(ref: DataFrame, pred: DataFrame, page: str = "page_id", region:
     return what(split, "reference_region_split_across_predictions").unionByName(what(merge, "predicted_region_merges_references"))
 
 
+DETAILS = pa.map_(pa.string(), pa.string())
+
+
 def attribute_failures(ref: DataFrame, pred: DataFrame, page: str = "page_id", region: str = "region_id", least_iou: float = 0.5, least_coverage: float = 0.35) -> DataFrame:
-    """All failures of all pages: page, failure_type, region_id, matched_region_id, iou, details.
+    """All failures of all pages: page, failure_type, region_id, matched_region_id, iou, details. One shuffle, no join.
 
-    Both sides carry text and reading_index; pred may carry best_text, its chosen hypothesis, if that differs from text.
+    Both sides carry text and reading_index; best_text, the chosen hypothesis, counts instead of text where it is there. On a
+    page: split references, merging predictions, then each reference's own failures, then unmatched predictions.
     """
-    kind = dict(ref.dtypes)[region]
-    none = F.lit(None).cast(kind)
-    text = lambda df: F.coalesce("best_text", "text") if "best_text" in df.columns else F.col("text")
-    made = lambda df, what, r, p, iou, **details: df.select(page, F.lit(what).alias("failure_type"), r.cast(kind).alias("region_id"), p.cast(kind).alias("matched_region_id"), iou.cast("double").alias("iou"), F.create_map(*(x for k, v in details.items() for x in (F.lit(k), v.cast("string")))).alias("details"))
-    sm = split_merge(ref, pred, page, region, least_coverage)
-    parts = sm.where("reason LIKE 'reference%'"), sm.where("reason LIKE 'predicted%'")
-    split = made(parts[0], "split_merge_failure", F.col("region_id"), none, F.lit(None), reason=F.col("reason"), overlap_count=F.col("overlap_count"))
-    merge = made(parts[1], "split_merge_failure", none, F.col("region_id"), F.lit(None), reason=F.col("reason"), overlap_count=F.col("overlap_count"))
-    m = match_regions(ref, pred, page, region, least_iou)
-    r = ref.select(page, F.col(region).alias("ref_id"), F.col("reading_index").alias("ref_order"), text(ref).alias("ref_text"))
-    p = pred.select(page, F.col(region).alias("pred_id"), F.col("reading_index").alias("pred_order"), text(pred).alias("pred_text"), F.col("text").alias("kept_text"))
-    missed = made(r.join(m, [page, "ref_id"], "left_anti"), "detection_failure", F.col("ref_id"), none, F.lit(None), reason=F.lit("reference_region_unmatched"))
-    extra = made(p.join(m, [page, "pred_id"], "left_anti"), "overlap_duplicate_failure", none, F.col("pred_id"), F.lit(None), reason=F.lit("predicted_region_unmatched"))
-    pairs = m.join(r, [page, "ref_id"]).join(p, [page, "pred_id"])
-    ids = F.col("ref_id"), F.col("pred_id"), F.col("iou")
-    order = made(pairs.where("NOT (ref_order <=> pred_order)"), "ordering_failure", *ids, reference_order=F.col("ref_order"), predicted_order=F.col("pred_order"))
-    ocr = made(pairs.where("NOT (ref_text <=> pred_text)"), "ocr_failure", *ids, reason=F.lit("matched_region_text_mismatch"), reference_text=F.col("ref_text"), predicted_text=F.col("pred_text"))
-    out = split.unionByName(merge).unionByName(missed).unionByName(order).unionByName(ocr).unionByName(extra)
-    if "best_text" in pred.columns:
-        late = pairs.where("kept_text <> '' AND kept_text <> pred_text")
-        out = out.unionByName(made(late, "postprocess_failure", *ids, reason=F.lit("stored_text_differs_from_selected_hypothesis"), stored_text=F.col("kept_text"), selected_text=F.col("pred_text")))
-    return out
+    kind, page_kind = dict(ref.dtypes)[region], dict(ref.dtypes)[page]
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        best = F.coalesce("best_text", "text") if "best_text" in df.columns else F.col("text")
+        return df.select(page, region, *BOX, F.col("text").cast("string").alias("text"), best.cast("string").alias("best"), F.col("reading_index").cast("long").alias("place"), F.lit(n).alias("side"))
+
+    def fold(t: pa.Table) -> dict:
+        b, ids, sides = boxes(t), t.column(region).to_pylist(), t.column("side").to_pylist()
+        text, best, place = (t.column(c).to_pylist() for c in ("text", "best", "place"))
+        refs, preds = (sorted((k for k in range(len(ids)) if sides[k] == s), key=lambda k: ids[k]) for s in (0, 1))
+        a, c = b[np.array(refs, int)], b[np.array(preds, int)]
+        w = np.minimum(a[:, None, 2], c[None, :, 2]) - np.maximum(a[:, None, 0], c[None, :, 0])
+        h = np.minimum(a[:, None, 3], c[None, :, 3]) - np.maximum(a[:, None, 1], c[None, :, 1])
+        size = np.maximum(a[:, 2] - a[:, 0], 0) * np.maximum(a[:, 3] - a[:, 1], 0)
+        share = np.maximum(w, 0) * np.maximum(h, 0) / np.where(size > 0, size, np.inf)[:, None]
+        covered, rows = share >= least_coverage, []
+        for k, n in zip(refs, covered.sum(1).tolist(), strict=True):
+            if n > 1:
+                rows.append(("split_merge_failure", ids[k], None, None, [("reason", "reference_region_split_across_predictions"), ("overlap_count", str(n))]))
+        for k, n in zip(preds, covered.sum(0).tolist(), strict=True):
+            if n > 1:
+                rows.append(("split_merge_failure", None, ids[k], None, [("reason", "predicted_region_merges_references"), ("overlap_count", str(n))]))
+        free = np.ones(len(preds), bool)
+        for k in refs:
+            v = np.where(free, ious(b[k], c), -1) if preds else np.array([-1.0])
+            j = int(v.argmax())
+            if v[j] < least_iou:
+                rows.append(("detection_failure", ids[k], None, None, [("reason", "reference_region_unmatched")]))
+                continue
+            free[j] = False
+            p, pair = preds[j], (ids[k], ids[preds[j]], float(v[j]))
+            if place[k] != place[p]:
+                rows.append(("ordering_failure", *pair, [("reference_order", str(place[k])), ("predicted_order", str(place[p]))]))
+            if best[k] != best[p]:
+                rows.append(("ocr_failure", *pair, [("reason", "matched_region_text_mismatch"), ("reference_text", best[k]), ("predicted_text", best[p])]))
+            if text[p] and text[p] != best[p]:
+                rows.append(("postprocess_failure", *pair, [("reason", "stored_text_differs_from_selected_hypothesis"), ("stored_text", text[p]), ("selected_text", best[p])]))
+        rows += [("overlap_duplicate_failure", None, ids[k], None, [("reason", "predicted_region_unmatched")]) for k, ok in zip(preds, free.tolist(), strict=True) if ok]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        own, same = t.schema.field(region).type, pa.array([t.column(page)[0].as_py()] * len(rows), t.schema.field(page).type)
+        return {page: same, "failure_type": pa.array(cols[0], pa.string()), "region_id": pa.array(cols[1], own), "matched_region_id": pa.array(cols[2], own), "iou": pa.array(cols[3], pa.float64()), "details": pa.array(cols[4], DETAILS)}
+
+    names = [page, "failure_type", "region_id", "matched_region_id", "iou", "details"]
+    return per_page(side(ref, 0).unionByName(side(pred, 1)), page, fold, f"`{page}` {page_kind}, failure_type string, region_id {kind}, matched_region_id {kind}, iou double, details map<string,string>", names)
