@@ -5,7 +5,8 @@ exact: every text gets the smallest id that it reaches by links. Nothing is samp
 
 1. Texts of equal shingle sets become one class (they link at once).
 2. Frequency filter: a set A with a partner shares at least threshold % of its shingles with it, so all classes with more
-   single-owner shingles than that are done. Hash-partitioned blobs count owners.
+   single-owner shingles than that are done. Hash-partitioned blobs count owners; a shingle common to a slice of the
+   input is counted there and sent once, so a passage in a third of all texts is no hot key.
 3. Signature trees, two rounds. Round one buckets the survivors by two min-hashes and takes links inside each bucket;
    round two makes it exact: linked sets always share one of their |A| - ceil(threshold % of |A|) + 1 smallest hashes,
    so buckets of these prefixes see every linked pair. Only buckets that still hold two components are looked at.
@@ -34,6 +35,7 @@ from pagemill.llm.common import components, keyed, mix, slices, stored, streamed
 
 WIDTH = 1024
 LEAF, FAN = 16, 8
+NOBODY = np.int64(-(2**63))
 PART_TOKENS = 4_000_000
 #: 16 bytes each: a list of survivors beyond this goes through a sort-merge join.
 BROADCAST_ROWS = 1_000_000
@@ -184,32 +186,42 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
             ids = np.array([digests(s)[0] for s in sets], np.uint64).view(np.int64)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            # a shingle that this slice holds twice is shared, whoever else has it: it is counted here and sent once, for nobody
+            order = np.argsort(flat)
+            line = flat[order]
+            same = line[1:] == line[:-1]
+            twice = np.r_[False, same] | np.r_[same, False] if len(line) else np.zeros(0, bool)
+            here = np.bincount(doc[order[twice]], minlength=len(sets))
+            first = np.flatnonzero(np.r_[True, ~same] if len(line) else [])
+            flat, doc = line[first], np.where(twice[first], len(sets), doc[order[first]])
             part = ((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((doc, part))
             part, doc, low = part[order], doc[order], flat[order].astype(np.uint32)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            out = []
+            cuts, out, owners = np.searchsorted(part, np.arange(parts + 1)), [], np.r_[ids, NOBODY]
             for p in range(parts):
                 lo, hi = cuts[p], cuts[p + 1]
-                if hi > lo:
+                mine = np.flatnonzero((ids % parts == p) & (here > 0))
+                if hi > lo or len(mine):
                     d = doc[lo:hi]
-                    at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                    out.append((p, ids[d[at]].tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), low[lo:hi].tobytes()))
+                    at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if hi > lo else d
+                    out.append((p, owners[d[at]].tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), ids[mine].tobytes(), here[mine].astype(np.int32).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "ids", "runs", "toks"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "ids", "runs", "toks", "own", "here"])
 
     def shared(t: pa.Table) -> pa.RecordBatch | None:
-        ids, runs, toks = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("ids", np.int64), ("runs", np.uint32), ("toks", np.uint32)))
-        order = np.argsort(toks)
-        x = toks[order]
-        same = x[1:] == x[:-1]
-        twice = np.zeros(len(x), np.int64)
-        twice[order] = np.r_[False, same] | np.r_[same, False]
-        n = np.add.reduceat(twice, np.r_[0, np.cumsum(runs.astype(np.int64))[:-1]])
-        keep = n > 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep].astype(np.int32))], ["rep", "s"])
-
-    blobs = docs.mapInArrow(owned, "part int, ids binary, runs binary, toks binary")
+        ids, runs, toks, own, here = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("ids", np.int64), ("runs", np.uint32), ("toks", np.uint32), ("own", np.int64), ("here", np.int32)))
+        if len(toks):
+            order = np.argsort(toks)
+            x = toks[order]
+            same = x[1:] == x[:-1]
+            twice = np.zeros(len(x), np.int64)
+            twice[order] = np.r_[False, same] | np.r_[same, False]
+            n = np.add.reduceat(twice, np.r_[0, np.cumsum(runs.astype(np.int64))[:-1]])
+            keep = (n > 0) & (ids != NOBODY)
+            own, here = np.r_[own, ids[keep]], np.r_[here, n[keep].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(here.astype(np.int32))], ["rep", "s"])
+
+    blobs = docs.mapInArrow(owned, "part int, ids binary, runs binary, toks binary, own binary, here binary")
     counts = streamed(blobs, ["part"], shared, "rep long, s int", parts).groupBy("rep").agg(F.sum("s").alias("s"))
     alive = counts.join(classes, counts.rep == classes.d1).where(f"100 * s >= {threshold} * n * copies").select("least_id", "rep")
     alive = stored(alive, "alive")
