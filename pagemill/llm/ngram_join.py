@@ -35,6 +35,7 @@ from pagemill.llm.common import components, keyed, mix, slices, stored, streamed
 
 WIDTH = 1024
 LEAF, FAN = 16, 8
+BUCKET_BYTES = 1 << 26
 NOBODY = np.int64(-(2**63))
 PART_TOKENS = 4_000_000
 #: 16 bytes each: a list of survivors beyond this goes through a sort-merge join.
@@ -239,8 +240,10 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
     live = stored(docs.join(bounded, docs.id == bounded.least_id).select("rep", "text").mapInArrow(emit, "rep long, h1 long, h2 long, toks binary"), "sets")
 
     keys = live.select("rep", F.explode(F.array("h1", "h2")).alias("key"), "toks")
-    many = live.select(F.explode(F.array("h1", "h2")).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    near = keys.join(many, "key").withColumn("cell", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / block)).cast("int")).select("key", "cell", "rep", "toks")
+    # a bucket is cut by members and by bytes, so very long texts do not meet in one task either; round two joins the cuts
+    many = keys.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.length("toks")).alias("bytes")).where("c > 1")
+    cells = F.ceil(F.greatest(F.col("c") / block, F.col("bytes") / BUCKET_BYTES))
+    near = keys.join(many, "key").withColumn("cell", F.pmod(F.xxhash64("rep"), cells).cast("int")).select("key", "cell", "rep", "toks")
 
     def bucket(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
