@@ -89,10 +89,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the runs where inner holds; no run crosses two texts."""
+def spans(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs where inner holds; no run crosses two texts."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.zeros(len(data) + 1, bool)
     first[offs] = True
     before = np.empty(len(data), bool)
@@ -101,7 +101,7 @@ def spans(data: np.ndarray, offs: np.ndarray, inner: np.ndarray) -> tuple[np.nda
     after = np.empty(len(data), bool)
     after[-1], after[:-1] = False, inner[1:]
     ends = np.flatnonzero(inner & (~after | first[1:])) + 1
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+    return starts, ends
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -115,9 +115,15 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words [^\\x20\\x09-\\x0D]+ of all texts in order, and each text's first word, n + 1."""
     data, offs = utf8(column)
-    data = _LOWER[data]
-    starts, ends, _ = spans(data, offs, ~_SPACE[data])
-    return run_hashes(data, starts, ends), np.searchsorted(starts, offs)
+    hashes, firsts, n, at = [np.zeros(0, np.uint64)], [], 0, 0
+    while at < len(offs) - 1:  # whole texts, about SLICE_BYTES at a time: the 64-bit columns over bytes stay small
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE_BYTES, "right")) - 1)
+        part, own = _LOWER[data[offs[at] : offs[to]]], offs[at : to + 1] - offs[at]
+        starts, ends = spans(part, own, ~_SPACE[part])
+        hashes.append(run_hashes(part, starts, ends))
+        firsts.append(np.searchsorted(starts, own[:-1]) + n)
+        n, at = n + len(starts), to
+    return np.concatenate(hashes), np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
 def streamed(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str, parts: int | None = None) -> DataFrame:

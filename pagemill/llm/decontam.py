@@ -39,7 +39,7 @@ FILTER_BITS = 22
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order and each text's first word, n + 1."""
     data, offs = utf8(pc.utf8_lower(column))
-    starts, ends, _ = spans(data, offs, _WORD[data])
+    starts, ends = spans(data, offs, _WORD[data])
     return run_hashes(data, starts, ends), np.searchsorted(starts, offs)
 
 

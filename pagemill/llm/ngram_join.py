@@ -182,7 +182,7 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
     parts = max(12, -(-total // PART_TOKENS))
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=4 << 20):
+        for b in slices(batches, most=2 << 20):
             sets = shingle_sets(b.column("text"), words)
             ids = np.array([digests(s)[0] for s in sets], np.uint64).view(np.int64)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
