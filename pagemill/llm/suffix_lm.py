@@ -45,19 +45,27 @@ def _unpack(parts: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, parts)), kind)
 
 
-def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One position of each distinct key, the key number of each position, and at each position its key's training count."""
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One position of each distinct key, and at each position its key's training count."""
     order = np.argsort(keys)
-    sorted_ = keys[order]
-    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
-    del sorted_
-    starts, number = np.flatnonzero(new), np.cumsum(new, dtype=np.int32)
-    number -= 1
+    starts = _starts(keys[order])
     sums = np.add.reduceat(train[order], starts, dtype=np.int32)
-    at, count = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
-    at[order] = number
-    count[order] = sums[number]
-    return order[starts], at, count
+    count = np.empty(len(keys), np.int32)
+    count[order] = np.repeat(sums, np.diff(np.r_[starts, len(keys)]))
+    return order[starts], count
+
+
+def _whole(starts: np.ndarray, lo: int, hi: int, step: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Cut lo..hi at starts of runs into pieces of about `step`, never inside a run: bounds and the starts within, from 0."""
+    starts = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)]
+    at = np.searchsorted(starts, np.arange(lo + step, hi, step))
+    cuts = np.unique(np.r_[lo, starts[at[at < len(starts)]], hi])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield a, b, starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
 
 
 def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, part_tokens: int = 2_000_000, step: int = 500_000) -> DataFrame:
@@ -103,42 +111,55 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         trains = (ids & 1) == 0
         n, kinds_ = len(runs), 0
         sums_, counts_ = np.zeros((2, n)), np.zeros((4, n), np.int32)
+        # in order of middle word, then of the word before it: contexts are runs, so only next words are left to sort
         order = np.argsort(mid)
-        line = mid[order]
-        new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-        del line
-        # whole middle words at a time, about `step` positions: the temporary columns stay small
-        at = np.searchsorted(new, np.arange(step, len(mid), step))
-        cuts = np.unique(np.r_[0, new[at[at < len(new)]], len(mid)])
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            pick = order[lo:hi]
-            m, x, prior, train = mid[pick], after[pick], back[pick], trains[run[pick]]
-            first1, _, c1 = _count(m, train)
-            _, _, c1x = _count(mix(m + x * np.uint64(0x9FB21C651E98DF25)), train)
-            ctx2 = mix(m ^ (prior * np.uint64(0xC2B2AE3D27D4EB4F)))
-            first2, at2, c2 = _count(ctx2, train)
-            ctx2 += x * np.uint64(0x9FB21C651E98DF25)
-            each, _, c2x = _count(mix(ctx2), train)
-            del ctx2, train
-            # divergence of each two-word context from its suffix, summed over its next words seen in training
-            each = each[c2x[each] > 0]
-            gain = c2x[each] * (np.log(c2x[each] / c2[each]) - np.log(c1x[each] / c1[each]))
-            state = (c2[first2] >= min_count) & (np.bincount(at2[each], gain, len(first2)) >= divergence) & (prior[first2] != np.uint32(NONE))
-            kinds_ += int(((c1[first1] > 0) & (m[first1] != BEGIN)).sum())
-            del each, gain, prior
-            for k in range(0, hi - lo, step):
-                e = slice(k, k + step)
-                r, d1, d1x, d2, d2x, kept_ = run[pick[e]], c1[e], c1x[e], c2[e], c2x[e], state[at2[e]]
-                p = np.where(d1x > 0, d1x, np.where(d1 > 0, root_pseudo, 1.0)) / np.where(d1 > 0, d1 + root_pseudo, 1.0)
-                p = np.where(kept_, (d2x + pseudo * p) / (d2 + pseudo), p)
-                # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
-                word = m[e] != BEGIN
-                own_log = np.where(word, np.log10(d1 + 1.0), 0)
-                root = word & (d2 == 0)
-                sums_[0] += np.bincount(r, np.log10(p) + np.where(root, own_log, 0), n)
-                sums_[1] += np.bincount(r, own_log, n)
-                for j, flag in enumerate((root, (d1x == 0) & (x[e] == END.astype(np.uint32)), word & (d1 > 0), word)):
-                    counts_[j] += np.bincount(r[flag], minlength=n).astype(np.int32)
+        mid = mid[order]
+        starts = _starts(mid)
+        begin = np.uint64(next(iter(np.flatnonzero(mid[starts] == BEGIN)), len(starts)))
+        del mid
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), np.diff(np.r_[starts, len(order)]))
+        del order
+        rank <<= np.uint64(32)
+        rank |= back
+        del back
+        order = np.argsort(rank)
+        line, after, run = rank[order], after[order], run[order]
+        del rank, order
+        contexts = _starts(line)
+        for lo, hi, own1 in _whole(starts, 0, len(line), step):
+            train, x = trains[run[lo:hi]], after[lo:hi]
+            sums1 = np.add.reduceat(train, own1, dtype=np.int32)
+            kinds_ += int(((sums1 > 0) & (line[lo + own1] >> np.uint64(32) != begin)).sum())
+            c1 = np.repeat(sums1, np.diff(np.r_[own1, hi - lo]))
+            # a frequent word's next words are counted a share at a time
+            c1x, shares = np.empty(hi - lo, np.int32), -(-(hi - lo) // (2 * step))
+            for k in range(shares):
+                e = np.flatnonzero(x % np.uint32(shares) == k) if shares > 1 else slice(None)
+                c1x[e] = _count((line[lo:hi][e] >> np.uint64(32) << np.uint64(32)) | x[e], train[e])[1]
+            for a, b, own2 in _whole(contexts, lo, hi, step):
+                d1, d1x, t2, x2 = c1[a - lo : b - lo], c1x[a - lo : b - lo], train[a - lo : b - lo], x[a - lo : b - lo]
+                sums2, many = np.add.reduceat(t2, own2, dtype=np.int32), np.diff(np.r_[own2, b - a])
+                at2, c2 = np.repeat(np.arange(len(own2), dtype=np.uint32), many), np.repeat(sums2, many)
+                each, c2x = _count((at2.astype(np.uint64) << np.uint64(32)) | x2, t2)
+                # divergence of each two-word context from its suffix, summed over its next words seen in training
+                each = each[c2x[each] > 0]
+                gain = c2x[each] * (np.log(c2x[each] / c2[each]) - np.log(d1x[each] / d1[each]))
+                state = (sums2 >= min_count) & (np.bincount(at2[each], gain, len(own2)) >= divergence) & (line[a + own2].astype(np.uint32) != np.uint32(NONE))
+                del each, gain
+                for k in range(0, b - a, step):
+                    e = slice(k, k + step)
+                    f1, f1x, f2, f2x, r = d1[e], d1x[e], c2[e], c2x[e], run[a:b][e]
+                    p = np.where(f1x > 0, f1x, np.where(f1 > 0, root_pseudo, 1.0)) / np.where(f1 > 0, f1 + root_pseudo, 1.0)
+                    p = np.where(state[at2[e]], (f2x + pseudo * p) / (f2 + pseudo), p)
+                    # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
+                    word = line[a:b][e] >> np.uint64(32) != begin
+                    own_log = np.where(word, np.log10(f1 + 1.0), 0)
+                    root = word & (f2 == 0)
+                    sums_[0] += np.bincount(r, np.log10(p) + np.where(root, own_log, 0), n)
+                    sums_[1] += np.bincount(r, own_log, n)
+                    for j, flag in enumerate((root, (f1x == 0) & (x2[e] == END.astype(np.uint32)), word & (f1 > 0), word)):
+                        counts_[j] += np.bincount(r[flag], minlength=n).astype(np.int32)
         names, named = (_unpack(t.column(c).to_pylist(), k) for c, k in (("names", np.int64), ("named", bool)))
         home_ = len(names) > 0
         to = (ids >> 1) % parts
