@@ -14,15 +14,32 @@ from pagemill.llm.sharding import shard_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: null or letterless texts, and those of a score under 0.3."""
+    """Documents without a recognisable language go: null or letterless texts, and those of a score under 0.3.
+
+    With no labelled row there is no language to recognise and all go. Null ids, sources and languages are no reason to go.
+    """
     return identified(docs, fit_languages(docs), least=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays; rows of one id count as one document."""
+    """Of each group of near duplicates the smallest id stays; rows of one id count as one document.
+
+    A row without an id is a document of its own: it takes part under a number above all ids and leaves without one. So of a
+    group the rows without an id go if another has one, else the first that was read stays. Texts without words always stay.
+    """
+    unnamed, kind = docs.where("doc_id IS NULL"), docs.schema["doc_id"].dataType
+    if not unnamed.limit(1).count():
+        return _first_of_each_group(docs)
+    above = (docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0) + 1
+    numbered = stored(unnamed.withColumn("doc_id", F.lit(above) + F.monotonically_increasing_id()), "numbered")
+    kept = _first_of_each_group(docs.withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").unionByName(numbered))
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") < above, F.col("doc_id")).cast(kind))
+
+
+def _first_of_each_group(docs: DataFrame) -> DataFrame:
     found = stored(ngram_jaccard_components(docs), "components")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     kept = docs.join(_sized(gone), "doc_id", "left_anti")
     if several.limit(1).count():
         twice = kept.join(_sized(several), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -37,17 +54,17 @@ def _sized(ids: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; null texts overlap with nothing and rows are judged one by one."""
     return without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it."""
+    """Each document stands as often as the mix takes it; the null source is a source, and texts of no words cost nothing."""
     return mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row that is left."""
+    """Shard and slot of every row that is left, copies and rows of equal ids included."""
     return shard_documents(docs)
 
 

@@ -266,5 +266,28 @@ def test_pipeline_stages(spark, some, tmp_path):
         assert list(kept[name][0].asDict()) == docs.columns
 
 
+def test_pipeline_stages_on_edges(spark, edge, nothing, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, None), (None, ""), (2, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in P.STAGES:
+        for df in (edge, nothing):
+            out = stage(spark, df, str(tmp_path))
+            assert out.count() == 0 if df is nothing else name == "language" or out.count() > 0
+            assert name == "shard" or out.columns == df.columns
+
+
+def test_rows_without_an_id_are_deduplicated(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    one, two = sentence(rng, 50), sentence(rng, 50)
+    rows = [(None, one), (5, one), (None, two), (None, two + " more"), (None, None), (None, ""), (7, sentence(rng, 50)), (7, sentence(rng, 50))]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sum(r["doc_id"] is None and (r["text"] or "").startswith(two) for r in got) == 1
+    assert [r["doc_id"] for r in got if r["text"] == one] == [5] and sum(r["doc_id"] == 7 for r in got) == 1
+    assert sum(not r["text"] for r in got) == 2 and len(got) == 5
+
+
 def test_edge_rows_are_what_they_say():
     assert len(edge_rows()[0]) == len(SCHEMA.split(", ")) and json.dumps([r[1] for r in edge_rows()])
