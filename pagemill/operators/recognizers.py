@@ -45,9 +45,3 @@ def recognize(regions: DataFrame, name: str, image: str = "image", text: str = "
 def oracle_detections(regions: Column) -> Column:
     """Annotated regions as detections of score 1.0."""
     return F.transform(regions, lambda r: F.struct(r.bbox.alias("bbox"), r.type.alias("type"), F.lit(1.0).alias("score")))
-
-
-def best_text(hypotheses: Column, text: Column) -> Column:
-    """Text of the hypothesis of lowest rank, the first of equals; the stored text where there is none."""
-    ranked = F.array_sort(F.transform(hypotheses, lambda h, i: F.struct(h["rank"].alias("rank"), i.alias("i"), h["text"].alias("text"))))
-    return F.when(F.size(hypotheses) > 0, F.get(ranked, 0)["text"]).otherwise(text)

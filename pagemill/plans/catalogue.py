@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import document as D
 from pagemill.functions import geometry as G
 from pagemill.functions import hashing as H
 from pagemill.functions import text as X
@@ -15,6 +16,7 @@ from pagemill.operators import reading_order as R
 from pagemill.operators import scoring as S
 from pagemill.operators import selection as L
 from pagemill.operators.pages import BOX, dealt
+from pagemill.plans import inspection as I
 from pagemill.plans import views as V
 from pagemill.plans.views import IOU, V1, table
 
@@ -244,6 +246,20 @@ def train_rows_blocked(spark, sf):
     return train.join(_val(spark, sf).select("exact_text"), "exact_text", "left_semi").agg(F.count("*").alias("n_rows"))
 
 
+_NUMBERS = ", ".join(f"round(quantile_cont(value, {q}), 6) AS {k}" for k, q in I.SHARES.items())
+
+
+@query(WITH + DOCS + f""", m AS (SELECT split, unnest(['text_length', 'n_chars']) AS measure, unnest([length(text), n_chars]) AS value FROM split_docs JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id))
+SELECT split, measure, count(value) AS n_rows, {_NUMBERS}, round(avg(value), 6) AS mean FROM m GROUP BY split, measure""")
+def split_profile_numbers(spark, sf):
+    return I.split_numbers(_split_docs(spark, sf), {"text_length": F.length("text"), "n_chars": F.col("n_chars")}, "split").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT 'source' AS key, coalesce(source, 'None') AS value, count(*) AS n_rows FROM documents GROUP BY 2 UNION ALL SELECT 'lang', coalesce(lang, 'None'), count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'text_length_bucket', CASE WHEN n <= 5 THEN '000_005' WHEN n <= 15 THEN '006_015' WHEN n <= 30 THEN '016_030' WHEN n <= 60 THEN '031_060' WHEN n <= 120 THEN '061_120' ELSE '121_plus' END, count(*) FROM (SELECT length(coalesce(text, '')) AS n FROM documents) GROUP BY 2")
+def split_profile_counts(spark, sf):
+    return I.split_counts(table(spark, sf, "documents").select("source", "lang", "text"), ("source", "lang"))
+
+
 @query("SELECT coalesce(lang, 'None') AS lang, coalesce(CAST(quality AS VARCHAR), 'None') AS quality, coalesce(CAST(toxic AS VARCHAR), 'None') AS toxic, count(*) AS n_rows FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2, 3")
 def labelled_distribution(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
@@ -309,7 +325,7 @@ def punctuation_drift_flags(spark, sf):
     return v.groupBy("region_type").agg(F.count("*").alias("n_rows"), F.count_if(X.punctuation_only(F.col("ref_text"), F.col("pred_text"))).alias("drifted"))
 
 
-_COUNTS = r"""SELECT {i} AS id, '{t}' AS table_name, length(x) AS n_chars, len(regexp_extract_all(x, '\x{{fffd}}')) AS n_replacement, len(regexp_extract_all(x, '\p{{Cc}}')) AS n_control, len(regexp_extract_all(x, '[^\x00-\x7F]')) AS n_non_ascii, len(regexp_extract_all(x, '[\x{{0400}}-\x{{04FF}}]')) AS n_cyrillic FROM (SELECT {i}, {c} AS x FROM {t})"""
+_COUNTS = r"""SELECT {i} AS id, '{t}' AS table_name, length(x) AS n_chars, len(regexp_extract_all(x, '\x{{fffd}}')) AS n_replacement, len(regexp_extract_all(x, '\p{{C}}')) AS n_control, len(regexp_extract_all(x, '[^\x00-\x7F]')) AS n_non_ascii, len(regexp_extract_all(x, '[\x{{0400}}-\x{{04FF}}]')) AS n_cyrillic FROM (SELECT {i}, {c} AS x FROM {t})"""
 
 
 @query(_COUNTS.format(i="doc_id", t="documents", c="text") + " UNION ALL " + _COUNTS.format(i="page_id", t="pages", c="html"))
@@ -324,6 +340,14 @@ def stable_ids(spark, sf):
     return V.regions(spark, sf).select("region_id", H.stable_id("line", F.col("page_id"), F.col("i"), H.box_text(b), F.col("language")).alias("stable"))
 
 
+@query(WITH + V1 + """, r AS (SELECT *, 'region_' || substr(sha1(page_id || '|(' || x1 || ', ' || y1 || ', ' || x2 || ', ' || y2 || ')|' || region_type || '|' || i), 1, 16) AS id FROM v1)
+SELECT page_id, i, id AS region_id, 'ocr_' || substr(sha1(id || '|' || ref_text), 1, 16) AS hypothesis_id, ref_text AS best_text, 'original_image' AS frame, language, legibility FROM r""")
+def document_regions(spark, sf):
+    r = D.document_region(F.col("page_id"), {"bbox": G.box("x1", "y1", "x2", "y2"), "type": F.col("region_type"), "text": F.col("ref_text"), "language": F.col("language"), "legibility": F.col("legibility")}, F.col("i"))
+    made = V.regions(spark, sf).select("page_id", "i", r.alias("r"))
+    return made.select("page_id", "i", "r.region_id", F.col("r.ocr_hypotheses")[0]["hypothesis_id"].alias("hypothesis_id"), D.best_text(F.col("r.ocr_hypotheses"), F.col("r.text")).alias("best_text"), F.col("r.source_coordinate.frame").alias("frame"), "r.language", "r.legibility")
+
+
 @query()
 def edit_profiles(spark, sf):
     return V.regions(spark, sf).withColumn("e", X.edit_profile("ref_text", "pred_text")).groupBy("source").agg(*(F.sum(F.col(f"e.{c}").cast("long")).alias(c) for c in X.EDITS.names))

@@ -9,7 +9,8 @@ from pagemill.functions import geometry as G
 from pagemill.functions import hashing as H
 from pagemill.functions import text as X
 from pagemill.operators import metrics as A
-from pagemill.operators.recognizers import best_text, recognize, recognizer
+from pagemill.functions.document import best_text, document_pages, page_predictions
+from pagemill.operators.recognizers import recognize, recognizer
 from pagemill.operators.selection import RegionFilter
 
 
@@ -51,6 +52,27 @@ def test_unicode(spark):
     assert c.p[3].code == "U+0007" and c.p[3].category == "Cc" and c.n.is_nfd and c.h == t.encode().hex()
 
 
+def test_unicode_summary(spark):
+    u = spark.createDataFrame([("e\u0301\ufffd\u200b\x07",), (None,)], "t string").select(X.unicode_summary("t").alias("u")).collect()
+    a, b = u[0].u, u[1].u
+    assert (a.length, a.is_nfc, a.is_nfd, a.nfc_repr, a.n_replacement, a.n_control) == (5, False, True, repr("\u00e9\ufffd\u200b\x07"), 1, 2)  # formats count as control
+    assert [p.is_control for p in a.codepoints] == [False, False, False, True, True] and a.codepoints[4].name == "<unnamed>" and a.codepoints[2].is_replacement
+    assert (b.length, b.repr, b.codepoints) == (0, "''", [])
+
+
+def test_document_pages_there_and_back(spark):
+    kind = "image_id string, width int, height int, regions array<struct<bbox:struct<x1:int,y1:int,x2:int,y2:int>,type:string,text:string,language:string,score:double>>"
+    rows = [("a.jpg", 10, 20, [((1, 2, 3, 4), "printed", "x", "uk", 0.5), ((1, 2, 3, 4), "printed", "x", None, None)]), ("b.jpg", 1, 1, []), ("c.jpg", 1, 1, None)]
+    pages = spark.createDataFrame(rows, kind)
+    docs = {r.page_id: r for r in document_pages(pages).collect()}
+    first = docs["a.jpg"].regions[0]
+    want = "region_" + hashlib.sha1(b"a.jpg|(1, 2, 3, 4)|printed|0").hexdigest()[:16]
+    assert first.region_id == want == first.lineage[0] and first.ocr_hypotheses[0].hypothesis_id == "ocr_" + hashlib.sha1(f"{want}|x".encode()).hexdigest()[:16]
+    assert len({r.region_id for r in docs["a.jpg"].regions}) == 2 and docs["b.jpg"].regions == [] and docs["c.jpg"].regions is None
+    back = {r.image_id: r for r in page_predictions(document_pages(pages)).collect()}
+    assert [(tuple(r.bbox), r.type, r.text, r.language, r.score) for r in back["a.jpg"].regions] == rows[0][3]
+
+
 def test_handwriting(spark):
     assert one(spark, X.handwriting_bucket(F.lit("Hand printed"), F.lit(None))) == "printed"
     assert one(spark, X.handwriting_bucket(F.lit("manuscript"))) == "handwritten" and one(spark, X.handwriting_bucket(F.lit(None))) == "unknown"

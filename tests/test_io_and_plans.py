@@ -2,13 +2,19 @@ import csv
 import hashlib
 import io
 import json
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.hashing import config_hash
 from pagemill.operators import errors as E
 from pagemill.plans import builders as B
+from pagemill.plans import inspection as I
+from pagemill.sources import images as P
+from pagemill.sources import provenance as V
 from pagemill.sources import readers as S
 from pagemill.sources import sinks as K
 from pagemill.streaming.ingest import run_available, scored_stream, stream_manifest
@@ -128,3 +134,79 @@ def test_available_files_are_taken_once(spark, tmp_path):
         run_available(scored_stream(stream_manifest(spark, f"{tmp_path}/in", predictions(spark).schema)), f"{tmp_path}/out", f"{tmp_path}/cp")
         assert spark.read.parquet(f"{tmp_path}/out").count() == k + 1
     assert {r.cer for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0.5}
+
+
+# Images, provenance, inspection -------------------------------------------------------------------------------------
+def filtered_png(pixels, kinds):
+    """A PNG whose line k is filtered by kinds[k], written from the format's definition."""
+    height, width, step = pixels.shape
+    flat, out = pixels.reshape(height, -1).astype(int), b""
+    for y in range(height):
+        left = lambda x, y=y: flat[y, x - step] if x >= step else 0
+        above = lambda x, y=y: flat[y - 1, x] if y else 0
+        corner = lambda x, y=y: flat[y - 1, x - step] if y and x >= step else 0
+
+        def paeth(x, a=left, b=above, c=corner):
+            far = [(abs(a(x) + b(x) - c(x) - v), k, v) for k, v in enumerate((a(x), b(x), c(x)))]
+            return min(far)[2]
+
+        guess = [lambda x: 0, left, above, lambda x, a=left, b=above: (a(x) + b(x)) // 2, paeth][kinds[y]]
+        out += bytes([kinds[y], *((flat[y, x] - guess(x)) % 256 for x in range(width * step))])
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 2: 4, 3: 2, 4: 6}[step], 0, 0, 0)
+    return P.MAGIC + part(b"IHDR", head) + part(b"IDAT", zlib.compress(out)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 4])
+def test_png_filters(step):
+    pixels = np.random.default_rng(step).integers(0, 256, (10, 7, step), dtype=np.uint8)
+    got = P.decode_png(filtered_png(pixels, [0, 1, 2, 3, 4, 4, 3, 2, 1, 0]))
+    assert (got == (pixels[:, :, :3] if step >= 3 else pixels[:, :, :1])).all() and got.shape == (10, 7, 3)
+
+
+def test_crops_are_cut_and_written(spark, tmp_path):
+    pixels = np.random.default_rng(0).integers(0, 256, (30, 40, 3), dtype=np.uint8)
+    (tmp_path / "page.png").write_bytes(P.encode_png(pixels))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    seen = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in P.read_images(spark, str(tmp_path)).collect()}
+    assert seen == {"page.png": (40, 30), "bad.png": (None, None)}
+    box = F.struct(*(F.lit(v).alias(k) for k, v in (("x1", 5), ("y1", 6), ("x2", 15), ("y2", 9))))
+    crops = P.read_images(spark, str(tmp_path)).select(P.crop_png("content", box).alias("png"), F.lit("crops/train/a__r0000.png").alias("crop_path"))
+    assert P.write_crops(crops, str(tmp_path / "out")) == 1
+    assert (P.decode_png((tmp_path / "out/crops/train/a__r0000.png").read_bytes()) == pixels[6:9, 5:15]).all()
+    assert P.head_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x20\x00\x10\x01\x00\x00\x00") == (16, 32) and P.head_size(None) is None
+
+
+def test_provenance(tmp_path):
+    trace = V.ExperimentTrace("e1", {"b": 1, "a": "ї"}, (V.SplitArtifact("train", "x.jsonl", seed=42),), V.Preprocessing("1", ({"type": "crop"},)))
+    trace.write(f"{tmp_path}/t/trace.json")
+    got = json.loads((tmp_path / "t/trace.json").read_text())
+    assert got["config_hash"] == config_hash({"a": "ї", "b": 1}) and got["split_artifacts"][0]["seed"] == 42 and got["preprocessing"]["transforms"] == [{"type": "crop"}]
+    V.write_experiment_metadata(str(tmp_path), {"x": 1}, {"rows": 2})
+    got = json.loads((tmp_path / "metadata.json").read_text())
+    assert got["config"] == {"x": 1} and got["metrics"] == {} and got["runtime"]["packages"]["pyspark"] and V.git_commit(str(tmp_path)) is None
+    assert V.package_version("no-such-package") is None
+    assert V.version_within("4.10.1", least="4.9") and V.version_within("2", least="2.0.0") and not V.version_within("2.0", below="2") and V.version_within("1.9.9+cu1", below="2")
+    assert not V.version_within(None, below="9") and not V.version_within("dev", below="9") and V.version_within("0.0", below="1")
+
+
+def test_crop_analysis(spark):
+    kind = "crop_id string, image_id string, text string, source string, crop_width int, crop_height int"
+    train = spark.createDataFrame([("a", "1", "x", "s", 10, 20), ("b", "1", "x", None, 30, 40), ("c", "2", "zz", "s", 5, 5)], kind)
+    val = spark.createDataFrame([("d", "3", "x", "s", 1, 1), ("e", "3", "w", "s", 2, 2)], kind)
+    got = I.crop_analysis(train, val)
+    assert tuple(got["train_totals"].first()) == (3, 2, 0, 0) and got["val_rows_in_train"].first().n_rows == 1 and [r.text for r in got["top_overlaps"].collect()] == ["x"]
+    numbers = {r.measure: r for r in got["train_numbers"].collect()}
+    assert set(numbers) == {"text_length", "crop_width", "crop_height", "crop_area"} and (numbers["crop_area"].min, numbers["crop_area"].p50, numbers["crop_area"].max) == (25, 200, 1200)
+    assert {(r.key, r.value): r.n_rows for r in got["train_counts"].collect()} == {("source", "s"): 2, ("source", "None"): 1, ("text_length_bucket", "000_005"): 3}
+    lost = I.split_profile(train, tokens=F.length("text"), unknown=F.when(F.col("text") == "x", 2))["totals"].first()
+    assert (lost.rows_with_unknown, lost.unknown_tokens) == (2, 4)
+
+
+def test_unicode_inspection(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text('{"crop_id":"a","text":"\\u0007x\ufffd"}\n{"crop_id":"b","text":null}\n', encoding="utf-8")
+    got = I.unicode_inspection(spark, f"{tmp_path}/p.jsonl", ["text", "absent"], limit=1)
+    assert [tuple(r) for r in got["totals"].collect()] == [("text", 1, 1)] and got["rows"].count() == 1 and got["file"].first().n_replacement == 1
+    assert got["rows"].orderBy("crop_id").first().text.unicode.length in (3, 4)
+    bad = I.round_trip_failures(spark.createDataFrame([("a", "x"), ("b", "Y"), ("c", None)], "crop_id string, text string"), F.lower("text")).collect()
+    assert [r.crop_id for r in bad] == ["b"] and bad[0].decoded_unicode.repr == "'y'"
