@@ -116,6 +116,30 @@ def crop_png(content: pd.Series, box: pd.DataFrame) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def outlined(pixels: np.ndarray, boxes: list[tuple[int, int, int, int]], colours: list[tuple[int, int, int]], width: int = 2) -> np.ndarray:
+    """A copy with the frame of each box drawn inside it; later boxes cover earlier ones, parts off the image are cut."""
+    out = pixels.copy()
+    for (x1, y1, x2, y2), colour in zip(boxes, colours, strict=True):
+        x1, y1 = max(0, x1), max(0, y1)
+        for part in (out[y1 : min(y1 + width, y2), x1:x2], out[max(y1, y2 - width) : y2, x1:x2], out[y1:y2, x1 : min(x1 + width, x2)], out[y1:y2, max(x1, x2 - width) : x2]):
+            part[:] = colour
+    return out
+
+
+@F.pandas_udf(T.BinaryType())
+def overlay_png(content: pd.Series, boxes: pd.Series, colours: pd.Series) -> pd.Series:
+    """PNG of an image with boxes (array of x1, y1, x2, y2) in colours (array of RGB hex) drawn on it; null where it can't be read."""
+    out = []
+    for data, own, named in zip(content, boxes, colours, strict=True):
+        pixels = decode_png(None if data is None else bytes(data))
+        if pixels is None:
+            out.append(None)
+            continue
+        some = [] if own is None else [tuple(int(b[c]) for c in ("x1", "y1", "x2", "y2")) for b in own]
+        out.append(encode_png(outlined(pixels, some, [tuple(bytes.fromhex(c)) for c in (named if some else [])])))
+    return pd.Series(out, dtype=object)
+
+
 def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """path, content, width, height of all images under a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.hashing import config_hash
+from pagemill.operators import detection as Dt
 from pagemill.operators import errors as E
 from pagemill.plans import builders as B
 from pagemill.plans import inspection as I
@@ -210,3 +211,54 @@ def test_unicode_inspection(spark, tmp_path):
     assert got["rows"].orderBy("crop_id").first().text.unicode.length in (3, 4)
     bad = I.round_trip_failures(spark.createDataFrame([("a", "x"), ("b", "Y"), ("c", None)], "crop_id string, text string"), F.lower("text")).collect()
     assert [r.crop_id for r in bad] == ["b"] and bad[0].decoded_unicode.repr == "'y'"
+
+
+def test_text_is_detected(spark):
+    page = np.full((300, 400, 3), 250, np.uint8)
+    for y, x1, x2 in ((40, 50, 200), (120, 60, 180), (200, 50, 350)):
+        for x in range(x1, x2, 9):  # strokes of a line
+            page[y : y + 14, x : x + 4] = 20
+    page[0:2, 0:400] = 0  # a scan's dark rim
+    page[250:253, 200:203] = 0  # a speck
+    got = spark.createDataFrame([(P.encode_png(page),), (None,), (b"x",)], "png binary").select(Dt.detect_text("png").alias("d")).collect()
+    boxes = [tuple(d.bbox) for d in got[0].d]
+    assert len(boxes) == 3 and got[1].d == [] and got[2].d == [] and {d.type for d in got[0].d} == {"text"}
+    for (x1, y1, x2, y2), (y, a, b) in zip(boxes, ((40, 50, 200), (120, 60, 180), (200, 50, 350))):
+        assert abs(x1 - a) < 12 and abs(x2 - b) < 12 and abs(y1 - y) < 8 and abs(y2 - y - 14) < 8
+
+
+def test_outer_boxes_match_a_flood_fill():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.4, 0.6):
+        mask = rng.random((14, 17)) < share
+        field = np.pad(mask, 1)
+
+        def flood(start, same, steps, field=field):
+            seen, todo = {start}, [start]
+            while todo:
+                y, x = todo.pop()
+                for dy, dx in steps:
+                    p = (y + dy, x + dx)
+                    if 0 <= p[0] < field.shape[0] and 0 <= p[1] < field.shape[1] and p not in seen and field[p] == same:
+                        seen.add(p)
+                        todo.append(p)
+            return seen
+
+        four = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+        outside, left, want = flood((0, 0), False, four), {tuple(p) for p in np.argwhere(field)}, set()
+        while left:
+            part = flood(next(iter(left)), True, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+            left -= part
+            if any((y + a, x + b) in outside for y, x in part for a, b in four):
+                ys, xs = [p[0] for p in part], [p[1] for p in part]
+                want.add((min(xs) - 1, min(ys) - 1, max(xs), max(ys)))
+        assert set(Dt.outer_boxes(mask)) == want
+
+
+def test_boxes_are_drawn(spark):
+    page = np.zeros((20, 30, 3), np.uint8)
+    kind = "png binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>, colours array<string>"
+    rows = [(P.encode_png(page), [(2, 3, 12, 13), (25, 15, 99, 99)], ["ff0000", "00ff00"]), (P.encode_png(page), None, None), (None, [(1, 1, 2, 2)], ["ffffff"])]
+    a, b, c = (P.decode_png(r.v) for r in spark.createDataFrame(rows, kind).coalesce(1).select(P.overlay_png("png", "boxes", "colours").alias("v")).collect())
+    assert (a[3, 2:12, 0] == 255).all() and (a[12, 2:12, 0] == 255).all() and a[8, 7].sum() == 0 and a[2].sum() == 0 and a[15, 29, 1] == 255
+    assert b.sum() == 0 and c is None
