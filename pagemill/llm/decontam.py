@@ -3,10 +3,10 @@
 A text is its words: runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased. Each seed is a
 mask over `span` words of which only the marked positions are hashed, so a substituted word under an unmarked position
 does not hurt. Seeds of all test items are held in one table; every document is hashed at every word under every mask. A
-hit names an item and a diagonal (document word minus item word); along it the stretch with the best sum of +1 for an equal
-and -1 for a different word is taken, and it counts as an overlap if it has `least` equal words (an item with fewer words:
-all its length) of which at least `identity` of the stretch agree. Items shorter than a mask are hashed whole; items of
-fewer than `shortest` words are no evidence and give nothing.
+hit names an item and a diagonal (document word minus item word). It is an overlap if any stretch along it has `least` equal
+words (an item with fewer words: all its length) and at least `identity` of the stretch's words agree; of such stretches the
+one with most equal words is given, so a passage counts whatever was rewritten beside it. Items shorter than a mask are
+hashed whole; items of fewer than `shortest` words are no evidence and give nothing.
 
 The item table is broadcast in blocks of at most `block_words` words, each of which makes its own pass over the documents;
 so its size is bounded while every item counts. Documents are never shuffled.
@@ -18,6 +18,7 @@ rows are each reported. Of several overlaps of one row and item the one with mos
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(s + np.uint64(len(mask)))
 
 
+def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """Start, end and equal words of the stretch with most equal words among those of which at least `identity` agree."""
+    share = Fraction(identity).limit_denominator(10**6)
+    run = np.r_[0, np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))]
+    equal = np.r_[0, np.cumsum(same)]
+    first = np.searchsorted(-np.minimum.accumulate(run), -run)  # per end the earliest start from which the sum is not negative
+    end = int((equal - equal[first]).argmax())
+    start = int(first[end])
+    inside = np.flatnonzero(same[start:end])
+    return (start + int(inside[0]), start + int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+
+
 class SeedTable:
     """All seeds of a block of items: sorted hashes with item and position, and a bit filter before the search."""
 
@@ -89,11 +102,8 @@ class SeedTable:
             a, b = int(self.at[item]), int(self.at[item + 1])
             lo, hi = max(shift, int(at[doc])), min(shift + b - a, int(at[doc + 1]))
             same = h[lo:hi] == self.words[a + lo - shift : a + hi - shift]
-            run = np.r_[0, np.cumsum(np.where(same, 1, -1))]
-            end = int((run - np.minimum.accumulate(run)).argmax())
-            start = int(run[: end + 1].argmin())
-            equal = int(same[start:end].sum())
-            if equal >= min(least, b - a) and equal >= identity * (end - start) and equal > best.get((doc, item), (0, 0, 0, 0))[3]:
+            start, end, equal = best_stretch(same, identity)
+            if equal >= min(least, b - a) and equal > best.get((doc, item), (0, 0, 0, 0))[3]:
                 best[doc, item] = (lo - int(at[doc]) + start, lo - shift + start, end - start, equal)
         return best
 

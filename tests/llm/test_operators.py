@@ -121,6 +121,30 @@ def test_overlaps_are_found(spark, edge, nothing):
     assert decontam.without_overlaps(edge, bench).count() == edge.count()
 
 
+def test_a_passage_counts_whatever_is_rewritten_beside_it(spark):
+    rng = random.Random(9)
+    item = sentence(rng, 55).split()
+    halves = item[:20] + [f"other{k}" for k in range(15)] + item[35:]
+    head = item[:15] + [w if k % 2 else f"new{k}" for k, w in enumerate(item[15:])]
+    docs = [" ".join(d) for d in (halves, head, item[:9] + [f"x{k}" for k in range(46)])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.benchmark_overlaps(df, bench).collect()}
+    assert set(got) == {0, 1} and all(r["n_equal"] >= 0.75 * r["n_words"] for r in got.values()) and got[0]["n_equal"] >= 20 and got[1]["n_equal"] >= 15
+    assert [r["doc_id"] for r in decontam.without_overlaps(df, bench).collect()] == [2]
+
+
+def test_best_stretch_is_the_best_of_all():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 30):
+        for share in (0.3, 0.6, 0.9):
+            same = rng.random(n) < share
+            stretches = [same[a:b] for a in range(n) for b in range(a + 1, n + 1)]
+            for identity in (0.75, 0.9, 1.0):
+                a, b, equal = decontam.best_stretch(same, identity)
+                assert equal == max((int(x.sum()) for x in stretches if 10 * x.sum() >= round(10 * identity, 1) * len(x)), default=0) == same[a:b].sum()
+
+
 # 6 WARC -------------------------------------------------------------------------------------------------------------
 def test_derivatives_round_trip(spark):
     body = "<html lang=de><head><title> A &amp; B </title><script>no()</script></head><body><p>One <b>two</b></p><a href='/x?a=1&amp;b'>three</a></body></html>"
