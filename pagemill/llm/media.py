@@ -1,12 +1,13 @@
 """Media columns: texts as 8-bit WAV, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 encode() writes bytes, padded by 255 to a positive multiple of 576, as 8-bit mono samples with the wave module; decode()
-reads them back without loss. Frames of 576 samples, one after another, are windowed and transformed; in each frame the
-strongest local maximum of each of `bands` frequency bands is a peak if it stands out from the frame's mean. A peak is paired with
+reads them back without loss. Frames of 576 samples, centred on every HOP-th sample from the first to the end (silence is
+added beyond both), are windowed and transformed, so one block of 576 bytes gives five frames; in each frame the
+strongest local maximum of each of `bands` frequency bands is a peak if it stands out from the band's mean, so loud padding does not hide a short text. A peak is paired with
 the peaks of the next `reach` frames; each pair gives a time-coded entry: frame << 32 | (band peak, later peak, gap). All
 frames of all samples are used.
 
-A null text is an empty one: one frame of 255. Equal texts give equal values; repeated rows are each encoded.
+A null text is an empty one: one block of 255. Equal texts give equal values; repeated rows are each encoded.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import keyed, slices
 
-FRAME, RATE = 576, 8000
+FRAME, HOP, RATE = 576, 144, 8000
 CHUNK = 2048
 
 
@@ -51,7 +52,7 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 def peaks(samples: np.ndarray, bands: int = 4) -> np.ndarray:
     """Per frame and band the strongest bin, or -1 where none stands out; frames are transformed in chunks."""
-    frames = samples.reshape(-1, FRAME)
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(samples, FRAME // 2, constant_values=128), FRAME)[::HOP]
     out = np.empty((len(frames), bands), np.int64)
     width = (FRAME // 2) // bands
     for k in range(0, len(frames), CHUNK):
@@ -60,20 +61,22 @@ def peaks(samples: np.ndarray, bands: int = 4) -> np.ndarray:
         cut = power.reshape(len(x), bands, width)
         at = cut.argmax(2)
         high = np.take_along_axis(cut, at[:, :, None], 2)[:, :, 0]
-        out[k : k + CHUNK] = np.where(high > 1.5 * power.mean(1, keepdims=True) + 1e-6, at + np.arange(bands) * width, -1)
+        out[k : k + CHUNK] = np.where(high > 1.5 * cut.mean(2) + 1e-6, at + np.arange(bands) * width, -1)
     return out
 
 
 def fingerprints(samples: np.ndarray, bands: int = 4, reach: int = 3) -> np.ndarray:
     """Time-coded pairs of peaks, in order of time."""
-    p, found = peaks(samples, bands), []
+    p = peaks(samples, bands)
+    n = len(p)
+    late = np.full((n, bands, reach), -1, np.int64)  # per frame and band the peaks of the next frames
     for gap in range(1, reach + 1):
-        a, b = p[:-gap], p[gap:]
-        for i in range(bands):
-            for j in range(bands):
-                t = np.flatnonzero((a[:, i] >= 0) & (b[:, j] >= 0))
-                found.append((t << 32) | (a[t, i] << 20) | (b[t, j] << 8) | gap)
-    return np.sort(np.concatenate(found)).astype(np.int64)
+        q = p[gap:]
+        late[: n - gap, :, gap - 1] = np.where(q >= 0, (q << 8) | gap, -1)
+    late.sort(axis=2)  # bands do not overlap: frame, earlier band, later band and these are in order of the codes
+    early, late = p[:, :, None, None], late[:, None]
+    code = (np.arange(n)[:, None, None, None] << 32) | (early << 20) | late
+    return code[(early >= 0) & (late >= 0)]
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:

@@ -240,6 +240,22 @@ def test_peaks_find_a_tone():
     assert (p[:, 0] == 39).all()  # bin 0 is left out
 
 
+def test_short_texts_have_their_own_fingerprints(spark):
+    rng = random.Random(7)
+    texts = ["one short text", "another short text", *(sentence(rng, n) for n in (1, 3, 10, 10, 40, 60, 60)), "", None]
+    assert all(len((t or "").encode()) <= 576 for t in texts)
+    rows = media.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["payload_bytes"] == 576 and r["fingerprints"] for r in rows)
+    assert len({r["feature"] for r in rows}) == len(texts) - 1  # a null text is an empty one
+
+
+def test_pairs_are_all_pairs_in_order():
+    samples = np.random.default_rng(2).integers(0, 256, 576 * 5).astype(np.uint8)
+    p = media.peaks(samples)
+    want = [t << 32 | int(a) << 20 | int(b) << 8 | gap for t in range(len(p)) for gap in (1, 2, 3) if t + gap < len(p) for a in p[t] for b in p[t + gap] if a >= 0 and b >= 0]
+    assert len(p) == 21 and media.fingerprints(samples).tolist() == sorted(want)
+
+
 # 10 toxicity --------------------------------------------------------------------------------------------------------
 def test_toxicity(spark, edge, nothing):
     rng = random.Random(5)
