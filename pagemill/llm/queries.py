@@ -41,7 +41,7 @@ def op5_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(responses(table(spark, sf_dir, "pages")), keep_record=False)
+    return derivatives(responses(table(spark, sf_dir, "pages")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

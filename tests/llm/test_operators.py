@@ -164,6 +164,17 @@ def test_derivatives_round_trip(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_the_query_gives_whole_records(spark, tmp_path):
+    from pagemill.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "http://a.example/", "<title>T</title><p>One")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["op6_warc_derivatives"](spark, str(tmp_path)).collect()
+    assert {r["record_type"] for r in rows} == {"metadata", "conversion"}
+    for r in rows:
+        record = next(warc.parse(bytes(r["record"])))
+        assert record.block.decode() == r["block"] and record.fields["WARC-Record-ID"] == r["record_id"]
+
+
 # 7 language ID ------------------------------------------------------------------------------------------------------
 def test_languages(spark, edge, nothing):
     rng = random.Random(4)
