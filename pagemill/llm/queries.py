@@ -33,7 +33,7 @@ def op3_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+    return suffix_tree_scores(table(spark, sf_dir, "documents"), depth=6)
 
 
 def op5_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-States are word contexts of length 0, 1 and 2, read backwards. A one-word context seen in training is a state; a two-word
-context is kept as a state only if it passes the divergence test: its count times the Kullback-Leibler divergence of its
-next-word distribution from that of its one-word suffix reaches `divergence` (natural log), and its count reaches
-`min_count`. A text is scored by the longest suffix of the words read so far that is a state.
+States are word contexts of length 0 to `depth`, read backwards. A one-word context seen in training is a state, without a
+test; a longer one is a candidate if its count reaches `min_count`, and a state if it passes the divergence test as well: its count
+times the Kullback-Leibler divergence of its next-word distribution from that of its longest suffix that is a state reaches
+`divergence` (natural log). Levels grow from candidates, so a context counts even if the words between made no difference.
+A text is scored by the longest suffix of the words read so far that is a state.
 
-Smoothing runs down the suffix chain. With counts c and pseudo-counts m, r: p2(x) = (c2(x) + m * p1(x)) / (c2 + m). A state
-of depth one gives seen words c1(x) / (c1 + r) and leaves r / (c1 + r) times the root's p0(x) = (c(x) + 1) / (N + V + 1) to the
+Smoothing runs down the states of the suffix chain. With counts c of a state, p' of the next shorter one and pseudo-counts
+m, r: p(x) = (c(x) + m * p'(x)) / (c + m). A state of depth one gives seen words c1(x) / (c1 + r) and leaves r / (c1 + r) times the root's p0(x) = (c(x) + 1) / (N + V + 1) to the
 rest; so the probabilities of all next words sum to at most 1.
 
-One shuffle does the counting and the scoring. Every position (two words back, word, next word) is sent to the partition of
-its middle word: there lie all next words of that context, all its longer contexts, and, as the word is also a predicted
+One shuffle does the counting and the scoring. Every position (`depth` - 1 words back, word, next word) is sent to the
+partition of its middle word, the last word of its contexts: there lie all next words of that context, all its longer contexts, and, as the word is also a predicted
 word with its left neighbour, its own counts c(x) and whether it was seen after that neighbour. So log p0 of words that
 fall through to the root is added where c(x) is known. No vocabulary or count table is broadcast or collected; partitions
 hold about `part_tokens` positions and grow in number with the corpus. A word that alone has a large share of all tokens is
@@ -45,6 +46,38 @@ def _unpack(parts: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, parts)), kind)
 
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Small numbers by planes of bytes: the upper ones are nearly empty."""
+    width = 2 if not codes.size or codes.max() < 1 << 16 else 4
+    return _pack(np.ascontiguousarray(codes.astype(f"<u{width}").reshape(-1, 1).view(np.uint8).T))
+
+
+def _unpack_words(parts: list[bytes], words: list[bytes], sizes: np.ndarray, kind: type, lines: int = 1) -> np.ndarray:
+    """The words of all coded columns, end on end."""
+    out, at = np.empty((lines, int(sizes.sum())), kind), 0
+    for x, w, n in zip(parts, words, sizes.tolist(), strict=True):
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+        width = len(planes) // (lines * n)
+        codes = np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").reshape(lines, n)
+        out[:, at : at + n] = _unpack([w], kind)[codes]
+        at += n
+    return out
+
+
+class _Coder:
+    """Numbers the words of one piece after another by those that occur in it."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.seen, self.place = words, np.zeros(len(words), bool), np.zeros(len(words), np.uint32)
+
+    def __call__(self, codes: np.ndarray, kind: type) -> tuple[bytes, np.ndarray]:
+        self.seen[codes] = True
+        used = np.flatnonzero(self.seen)
+        self.seen[used] = False
+        self.place[used] = np.arange(len(used))
+        return _pack(self.words[used].astype(kind)), self.place[codes]
+
+
 def _starts(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
 
@@ -68,7 +101,7 @@ def _whole(starts: np.ndarray, lo: int, hi: int, step: int) -> Iterator[tuple[in
         yield a, b, starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, part_tokens: int = 2_000_000, step: int = 500_000) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 2, part_tokens: int = 2_000_000, step: int = 500_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
     bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -79,34 +112,43 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in slices(numbered, most=4 << 20):
             h, at = word_hashes(b.column("text"))
             n = np.diff(at)
-            # each text: BEGIN and its words as middle words, the words and END as next words
+            # each text: BEGIN and its words as middle words, the words and END as next words; words are numbered by frequency
             total, doc = len(h) + len(n), np.repeat(np.arange(len(n)), n + 1)
             heads = at[:-1] + np.arange(len(n))
-            mid, inner = np.empty(total, np.uint64), np.ones(total, bool)
+            kinds, code, many = np.unique(h, return_inverse=True, return_counts=True)
+            often = np.argsort(-many, kind="stable")
+            place = np.empty(len(kinds), np.uint32)
+            place[often] = np.arange(3, len(kinds) + 3)
+            words = np.r_[NONE, END, BEGIN, kinds[often]]
+            mid, inner = np.full(total, 2, np.uint32), np.ones(total, bool)
             inner[heads] = False
-            mid[heads], mid[inner] = BEGIN, h
-            after = np.empty(total, np.uint64)
-            after[:-1] = mid[1:]
-            after[heads + n] = END
-            back = np.empty(total, np.uint64)
-            back[1:] = mid[:-1]
-            back[heads] = NONE
-            part = (mid % np.uint64(parts)).astype(np.int64)
+            mid[inner] = place[code]
+            part = (words % np.uint64(parts)).astype(np.int32)[mid]
             order = np.argsort(part, kind="stable")
-            part, doc, mid, after, back = part[order], doc[order], mid[order], after[order].astype(np.uint32), back[order].astype(np.uint32)
+            part, doc, within = part[order], doc[order], (np.arange(total) - np.repeat(heads, n + 1))[order]
+            about = np.zeros((depth, total), np.uint32)  # the next word, then the words before the middle word
+            about[0, :-1] = mid[1:]
+            about[0, heads + n] = 1
+            about[0] = about[0, order]
+            for k in range(1, depth):
+                about[k] = np.where(within >= k, mid[np.maximum(order - k, 0)], 0)
+            mid = mid[order]
             ids, held_ = b.column("row").to_numpy(), b.column("held").to_numpy(zero_copy_only=False)
             names, named = b.column("id").fill_null(0).to_numpy(), b.column("id").is_valid().to_numpy(zero_copy_only=False)
-            cuts, out = np.searchsorted(part, np.arange(parts + 1)), []
+            cuts, out, coded = np.searchsorted(part, np.arange(parts + 1)), [], _Coder(words)
             for p in range(parts):
                 lo, hi = cuts[p], cuts[p + 1]
                 if hi > lo:
                     d = doc[lo:hi]
                     first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                    out.append((p, _pack(ids[d[first]] * 2 + held_[d[first]]), _pack(np.diff(np.r_[first, hi - lo]).astype(np.uint32)), _pack(mid[lo:hi]), _pack(after[lo:hi]), _pack(back[lo:hi]), *((_pack(names[d[first]]), _pack(named[d[first]])) if p == home else (_pack(names[:0]), _pack(named[:0])))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], ["part", "ids", "runs", "mid", "after", "back", "names", "named"])
+                    (own, m), (others, x) = coded(mid[lo:hi], np.uint64), coded(about[:, lo:hi], np.uint32)
+                    out.append((p, _pack(ids[d[first]] * 2 + held_[d[first]]), _pack(np.diff(np.r_[first, hi - lo]).astype(np.uint32)), int(hi - lo), own, _pack_codes(m), others, _pack_codes(x[0]), _pack_codes(x[1]), _pack_codes(x[2:]), *((_pack(names[d[first]]), _pack(named[d[first]])) if p == home else (_pack(names[:0]), _pack(named[:0])))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 8), strict=True)], ["part", "ids", "runs", "size", "own", "mid", "others", "after", "back", "far", "names", "named"])
 
     def score(t: pa.Table) -> pa.RecordBatch | None:
-        ids, runs, mid, after, back = (_unpack(t.column(c).to_pylist(), k) for c, k in (("ids", np.int64), ("runs", np.uint32), ("mid", np.uint64), ("after", np.uint32), ("back", np.uint32)))
+        ids, runs = (_unpack(t.column(c).to_pylist(), k) for c, k in (("ids", np.int64), ("runs", np.uint32)))
+        read = lambda c, words, kind, lines=1: _unpack_words(t.column(c).to_pylist(), t.column(words).to_pylist(), t.column("size").to_numpy(), kind, lines)
+        mid, after, back = read("mid", "own", np.uint64)[0], read("after", "others", np.uint32)[0], read("back", "others", np.uint32)[0]
         run = np.repeat(np.arange(len(runs), dtype=np.int32), runs)
         trains = (ids & 1) == 0
         n, kinds_ = len(runs), 0
@@ -125,7 +167,8 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         del back
         order = np.argsort(rank)
         line, after, run = rank[order], after[order], run[order]
-        del rank, order
+        del rank
+        far, order = (read("far", "others", np.uint32, depth - 2), order.astype(np.uint32)) if depth > 2 else (None, None)
         contexts = _starts(line)
         for lo, hi, own1 in _whole(starts, 0, len(line), step):
             train, x = trains[run[lo:hi]], after[lo:hi]
@@ -147,11 +190,12 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 gain = c2x[each] * (np.log(c2x[each] / c2[each]) - np.log(d1x[each] / d1[each]))
                 state = (sums2 >= min_count) & (np.bincount(at2[each], gain, len(own2)) >= divergence) & (line[a + own2].astype(np.uint32) != np.uint32(NONE))
                 del each, gain
+                chance = np.empty(b - a)
                 for k in range(0, b - a, step):
                     e = slice(k, k + step)
                     f1, f1x, f2, f2x, r = d1[e], d1x[e], c2[e], c2x[e], run[a:b][e]
                     p = np.where(f1x > 0, f1x, np.where(f1 > 0, root_pseudo, 1.0)) / np.where(f1 > 0, f1 + root_pseudo, 1.0)
-                    p = np.where(state[at2[e]], (f2x + pseudo * p) / (f2 + pseudo), p)
+                    p = chance[e] = np.where(state[at2[e]], (f2x + pseudo * p) / (f2 + pseudo), p)
                     # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
                     word = line[a:b][e] >> np.uint64(32) != begin
                     own_log = np.where(word, np.log10(f1 + 1.0), 0)
@@ -160,6 +204,32 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     sums_[1] += np.bincount(r, own_log, n)
                     for j, flag in enumerate((root, (f1x == 0) & (x2[e] == END.astype(np.uint32)), word & (f1 > 0), word)):
                         counts_[j] += np.bincount(r[flag], minlength=n).astype(np.int32)
+                # longer contexts, level by level, among the positions whose context is frequent enough; chance lacks the root's
+                # share where a word falls through to it, which is a factor that no level changes
+                e = np.flatnonzero(c2 >= min_count) if depth > 2 else np.zeros(0, np.int64)
+                at_, p, share = at2[e], chance[e], np.where(state[at2[e]], c2x[e] / c2[e], d1x[e] / d1[e])
+                for level in range(depth - 2):
+                    word = far[level][order[a:b][e]]
+                    longer = np.flatnonzero(word)
+                    if not len(longer):
+                        break
+                    e, p, share = e[longer], p[longer], share[longer]
+                    key = (at_[longer].astype(np.uint64) << np.uint64(32)) | word[longer]
+                    by = np.argsort(key)
+                    own = _starts(key[by])
+                    at_ = np.empty(len(e), np.uint32)
+                    at_[by] = np.repeat(np.arange(len(own), dtype=np.uint32), np.diff(np.r_[own, len(e)]))
+                    c = np.bincount(at_, t2[e], len(own))
+                    each, cx = _count((at_.astype(np.uint64) << np.uint64(32)) | x2[e], t2[e])
+                    each = each[cx[each] > 0]
+                    gain = cx[each] * (np.log(cx[each] / c[at_[each]]) - np.log(share[each]))
+                    grown = (c >= min_count) & (np.bincount(at_[each], gain, len(own)) >= divergence)
+                    on = np.flatnonzero(grown[at_])
+                    now = (cx[on] + pseudo * p[on]) / (c[at_[on]] + pseudo)
+                    sums_[0] += np.bincount(run[a:b][e[on]], np.log10(now / p[on]), n)
+                    p[on], share[on] = now, cx[on] / c[at_[on]]
+                    on = np.flatnonzero(c[at_] >= min_count)
+                    e, at_, p, share = e[on], at_[on], p[on], share[on]
         names, named = (_unpack(t.column(c).to_pylist(), k) for c, k in (("names", np.int64), ("named", bool)))
         home_ = len(names) > 0
         to = (ids >> 1) % parts
@@ -187,7 +257,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(name, mask=~known), *map(pa.array, sums), *map(pa.array, counts), pa.array(types)], ["row", "id", "s", "base", "falls", "ends", "known", "words", "types"])
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    blobs = numbered.mapInArrow(deal, "part int, ids binary, runs binary, mid binary, after binary, back binary, names binary, named binary")
+    blobs = numbered.mapInArrow(deal, "part int, ids binary, runs binary, size long, own binary, mid binary, others binary, after binary, back binary, far binary, names binary, named binary")
     parted = streamed(blobs, ["part"], score, "to int, types long, ids binary, sums binary, counts binary, names binary, named binary", parts)
     sums = stored(streamed(parted, ["to"], total, "row long, id long, s double, base double, falls int, ends int, known int, words int, types long", parts), "sums")
     kept = sums.where("row % 2 = 0")
