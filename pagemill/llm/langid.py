@@ -2,8 +2,9 @@
 
 Document frequencies come from all labelled rows that are not held out. The weights are fitted by follow-the-regularised-
 leader with L1 and L2 penalties, one row at a time, on a bounded sample of these rows (`sample` rows in expectation, chosen
-by a hash of the id, each of at most `longest` bytes); a fifth of the sample is set aside to fit the temperature by which
-all logits are divided. Prediction runs over whole texts in Arrow batches with the weights broadcast (buckets * languages
+by a hash of id and text, each of at most `longest` bytes). Every labelled language has an equal share of the sample, or all
+its rows if they are fewer, LEAST_ROWS in expectation in any case; one that has longer texts only gives up to LONG_ROWS of
+these. Every fifth row drawn of a language is set aside to fit the temperature by which all logits are divided. Prediction runs over whole texts in Arrow batches with the weights broadcast (buckets * languages
 floats, a fixed bound).
 
 Only text and label are used; the label only of rows that are not held out. `und` with score 0.0 is given where a text is
@@ -24,6 +25,7 @@ from pagemill.llm.common import remainder, slices
 from pagemill.llm.letters import letter_stream
 
 BITS = 15
+LEAST_ROWS, LONG_ROWS = 20, 64
 _K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -102,12 +104,25 @@ def fit_temperature(rows: list[tuple[int, np.ndarray]]) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=loss))
 
 
+def fair_share(counts: list[int], sample: int) -> float:
+    """The number of rows to draw of each language (all, where it has fewer), so that `sample` are drawn; at least LEAST_ROWS."""
+    left = float(sample)
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(LEAST_ROWS, left / (len(counts) - k))
+        left -= n
+    return float(max(counts, default=0))
+
+
 def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, sample: int = 3000, longest: int = 20_000, epochs: int = 4, alpha: float = 0.5, l1: float = 1e-4, l2: float = 1e-3) -> LanguageModel | None:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((remainder("id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    if not total:
+    short = F.octet_length("text") <= longest
+    found = {r["lang"]: (r["short"], r["long"]) for r in rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count_if(~short).alias("long")).collect()}
+    if not found:
         return None
+    level = fair_share([x or y for x, y in found.values()], sample)
+    share = {lang: min(1.0, level / x if x else min(level, LONG_ROWS) / y) for lang, (x, y) in found.items()}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << BITS, np.int64), 0
@@ -133,10 +148,10 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = [(i, lang, *x) for i, lang, x in zip(b.column("id").to_pylist(), b.column("lang").to_pylist(), gram_counts(b.column("text")), strict=True) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2].astype(np.uint16).tobytes() for g in got], pa.binary()), pa.array([g[3].astype(np.uint16).tobytes() for g in got], pa.binary())], ["id", "lang", "at", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2].astype(np.uint16).tobytes() for g in got], pa.binary()), pa.array([np.minimum(g[3], 65_535).astype(np.uint16).tobytes() for g in got], pa.binary())], ["id", "lang", "at", "c"])
 
-    chance = min(1.0, sample / total)
-    chosen = rows.where((F.octet_length("text") <= longest) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(chance * (1 << 30))))
+    shares = df.sparkSession.createDataFrame([(lang, x == 0, int(share[lang] * (1 << 30))) for lang, (x, _) in found.items()], "lang string, only_long boolean, below long")
+    chosen = rows.join(F.broadcast(shares), "lang").where((short | F.col("only_long")) & (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("below"))).select("id", "text", "lang")
     got = sorted(map(tuple, chosen.mapInArrow(features, "id long, lang string, at binary, c binary").collect()), key=lambda r: (r[0] is None, r))
     langs = sorted({r[1] for r in got})
     if not langs:
@@ -146,8 +161,11 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for _, lang, at, c in got:
         at, c = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.float64)
         rows_.append((langs.index(lang), at, model.vector(at, c)))
-    aside = rows_[::5] if len(rows_) >= 50 else []
-    fit_ftrl([r for k, r in enumerate(rows_) if not aside or k % 5], model, epochs, alpha, l1, l2)
+    aside, learned, seen_ = [], [], [0] * len(langs)
+    for r in rows_:  # every fifth row of a language
+        seen_[r[0]] += 1
+        (aside if len(rows_) >= 50 and seen_[r[0]] % 5 == 0 else learned).append(r)
+    fit_ftrl(learned, model, epochs, alpha, l1, l2)
     model.temperature = fit_temperature([(y, x @ model.weights[at]) for y, at, x in aside])
     return model
 

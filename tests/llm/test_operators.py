@@ -234,6 +234,20 @@ def test_languages(spark, edge, nothing):
     assert langid.identified(edge, model).columns == edge.columns
 
 
+def test_rare_and_long_languages_are_learned(spark):
+    rng = random.Random(11)
+    make = {"aa": "babobu", "bb": "zizezo", "rare": "kyxywy", "long": "mepefe"}
+    text = lambda lang, n: " ".join("".join(rng.choice(make[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(k, text("aa" if k % 2 else "bb", 12), "aa" if k % 2 else "bb") for k in range(8000)]
+    rows += [(9000 + k, text("rare", 12), "rare") for k in range(12)] + [(9100 + k, text("long", 4000), "long") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df, sample=200)
+    assert model.langs == ["aa", "bb", "long", "rare"]
+    got = langid.predict_languages(df, model).join(df, "doc_id").where("doc_id >= 9000").collect()
+    assert len(got) == 20 and all(r["lang"] == r["lang_pred"] for r in got)
+    assert langid.fair_share([10, 1000, 3000], 610) == 300 and langid.fair_share([5, 7], 100) == 7
+
+
 def test_temperature_lowers_loss():
     rng = np.random.default_rng(1)
     rows = [(int(y), np.array([3.0, -3.0]) * (1 if rng.random() < 0.8 else -1) * (1 if y == 0 else -1)) for y in rng.integers(0, 2, 400)]
