@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions.hashing import config_hash
 from pagemill.operators import detection as Dt
 from pagemill.operators import errors as E
 from pagemill.plans import builders as B
@@ -179,14 +178,23 @@ def test_crops_are_cut_and_written(spark, tmp_path):
 
 
 def test_provenance(tmp_path):
-    trace = V.ExperimentTrace("e1", {"b": 1, "a": "ї"}, (V.SplitArtifact("train", "x.jsonl", seed=42),), V.Preprocessing("1", ({"type": "crop"},)))
-    trace.write(f"{tmp_path}/t/trace.json")
+    made = V.trace("e1", {"b": 1, "a": "ї"}, split_artifacts=[{"name": "train", "path": "x.jsonl", "seed": 42}], preprocessing={"version": "1", "transforms": [{"type": "crop"}]})
+    K.write_json(made, f"{tmp_path}/t/trace.json")
     got = json.loads((tmp_path / "t/trace.json").read_text())
-    assert got["config_hash"] == config_hash({"a": "ї", "b": 1}) and got["split_artifacts"][0]["seed"] == 42 and got["preprocessing"]["transforms"] == [{"type": "crop"}]
+    assert got["config_hash"] == hashlib.sha256('{"a":"ї","b":1}'.encode()).hexdigest() and got["split_artifacts"][0]["seed"] == 42 and got["preprocessing"]["notes"] is None
+    assert got["metadata"] == {} and got["split_artifacts"][0]["sha256"] is None
+    for bad in ({"confg": {}}, {"split_artifacts": [{"name": "train"}]}):
+        with pytest.raises(ValueError):
+            V.trace("e1", {}, **bad)
     V.write_experiment_metadata(str(tmp_path), {"x": 1}, {"rows": 2})
     got = json.loads((tmp_path / "metadata.json").read_text())
-    assert got["config"] == {"x": 1} and got["metrics"] == {} and got["runtime"]["packages"]["pyspark"] and V.git_commit(str(tmp_path)) is None
-    assert V.package_version("no-such-package") is None
+    assert got["config"] == {"x": 1} and got["metrics"] == {} and got["runtime"]["packages"]["pyspark"] and V.checked_out("/") is None
+    (tmp_path / ".git/refs/heads").mkdir(parents=True)
+    (tmp_path / ".git/HEAD").write_text("ref: refs/heads/main\n")
+    (tmp_path / ".git/packed-refs").write_text("# pack\n" + "a" * 40 + " refs/heads/main\n")
+    assert V.checked_out(str(tmp_path)) == "a" * 40
+    (tmp_path / ".git/refs/heads/main").write_text("b" * 40 + "\n")
+    assert V.checked_out(str(tmp_path / "t")) == "b" * 40
     assert V.version_within("4.10.1", least="4.9") and V.version_within("2", least="2.0.0") and not V.version_within("2.0", below="2") and V.version_within("1.9.9+cu1", below="2")
     assert not V.version_within(None, below="9") and not V.version_within("dev", below="9") and V.version_within("0.0", below="1")
 
