@@ -1,19 +1,24 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Law `bytes`: shard sizes (UTF-8 bytes of the text plus 16 a row) come out near equal. Groups are equal texts and stay
-together, unless a group is larger than a parcel: then its rows are dealt to several parcels by id.
+Law `bytes`: shard sizes (UTF-8 bytes of the text plus 16 a row) come out near equal; tokens and rows do as well, as far as
+groups allow. A group is all rows of one text. It is placed whole, unless it is larger than a shard in bytes, tokens or rows:
+then it is cut into pieces that are placed like groups.
 
-Greedy packing is sequential, so it runs over parcels, whose number has a bound that does not grow with the data: small
-groups are hashed into `shards * grain` parcels; a group with more than 1 / (shards * grain / 4) of all bytes is a parcel
-of its own, in as many parts as it holds such shares. So the driver sees at most about 1.75 * shards * grain vectors.
-Each parcel, largest first, goes to the shard where the dot product of its vector with the shard's residual capacity is
-highest, among the shards that it fits into; where it fits into none, to the shard with most bytes left.
+Packing is sequential, so it runs over parcels whose number has a bound that does not grow with the data. The unit is
+1 / (shards * grain) of all bytes, tokens or rows, whichever is the largest share. A group of a unit or more is a parcel of
+its own (at most 3 * shards * grain). Smaller groups are hashed into parcels of about a unit, each class of texts, by bytes
+and by tokens a byte, into its own, so that a parcel's vector is as narrow or wide as its groups. Each parcel, largest
+first, goes to the shard where the dot product of its vector with the shard's residual capacity is highest, among the shards
+that it fits into; where it fits into none, to the one that it overloads least. Then parcels of unlike shards are exchanged
+while that evens out the loads.
 
-Slots number the rows of a shard from 0 without gaps: offsets of its parcels from the driver's table plus the row's
-place in its parcel, so no task ever sorts a whole shard.
+Slots number the rows of a shard from 0 without gaps. Parcels over a unit are numbered in parts of about a unit, whose
+offsets the driver's table holds, so no task ever sorts a whole shard or a whole group.
 
 Nulls: a null text has no bytes and no tokens, its size is 16, its crc32 is 0; all null texts are one group, apart from
-the empty text. Null ids are allowed. Repeated rows each take a slot; which of two equal rows comes first is immaterial.
+the empty text. Null ids are allowed; rows without an id are spread like others where their group is cut. Repeated rows each
+take a slot; which of two equal rows comes first is immaterial. Ties of vectors are placed by the parcel's name. A very long
+text is a group like any other. Columns beside id and text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,19 +31,53 @@ from pyspark.sql import types as T
 from pagemill.llm.common import keyed, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Weights of bytes, tokens and rows while parcels are exchanged.
+EVEN = np.array([2.0, 1.0, 1.0])
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each vector (bytes, tokens, rows): largest first, highest dot product with the residual capacity."""
+def pack(vectors: np.ndarray, shards: int, rounds: int = 4000) -> np.ndarray:
+    """Shard of each vector (bytes, tokens, rows): largest first, highest dot product with the residual capacity; then exchanges."""
     scale = vectors.sum(0) / shards
     v = vectors / np.where(scale > 0, scale, 1)
     left = np.ones((shards, v.shape[1])) * (scale > 0)
     out = np.zeros(len(v), np.int64)
     for k in np.lexsort((np.arange(len(v)), -v[:, 0], -v.max(1))):
         fits = (left >= v[k] - 1e-12).all(1)
-        score = np.where(fits, left @ v[k], -np.inf) if fits.any() else left[:, 0]
+        score = np.where(fits, left @ v[k], -np.inf) if fits.any() else -(v[k] - left).max(1)
         out[k] = s = int(score.argmax())
         left[s] -= v[k]
+    return exchanged(v * EVEN, out, shards, rounds)
+
+
+def exchanged(v: np.ndarray, out: np.ndarray, shards: int, rounds: int) -> np.ndarray:
+    """Moves and swaps between the shard that is furthest off the mean and the one that is off most the other way."""
+    load = np.stack([np.bincount(out, v[:, c], shards) for c in range(v.shape[1])], 1)
+    off = load - load.mean(0)
+    tired = np.zeros(shards, bool)
+    for _ in range(rounds):
+        far = (off**2).sum(1)
+        s = int(np.where(tired, -1, far).argmax())
+        if tired[s] or far[s] < 1e-9:
+            break
+        for t in np.argsort(off @ off[s], kind="stable")[:4].tolist():
+            mine, theirs = np.flatnonzero(out == s), np.flatnonzero(out == t)
+            a = v[mine[np.argsort(v[mine].max(1), kind="stable")[:400]]] if len(mine) > 400 else v[mine]
+            own = mine[np.argsort(v[mine].max(1), kind="stable")[:400]] if len(mine) > 400 else mine
+            its = theirs[np.argsort(v[theirs].max(1), kind="stable")[:400]] if len(theirs) > 400 else theirs
+            b = np.vstack([np.zeros(v.shape[1]), v[its]])  # the first stands for nothing: a move
+            d = a[:, None] - b[None]
+            gain = 2 * (d * (off[s] - off[t] - d)).sum(2) if len(a) else np.zeros((0, len(b)))
+            if gain.size and gain.max() > 1e-9:
+                i, j = divmod(int(gain.argmax()), len(b))
+                out[own[i]] = t
+                if j:
+                    out[its[j - 1]] = s
+                off[s] -= d[i, j]
+                off[t] += d[i, j]
+                tired[:] = False
+                break
+        else:
+            tired[s] = True
     return out
 
 
@@ -53,30 +92,41 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
             F.coalesce(F.crc32(raw), F.lit(0)).alias("crc"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
             F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("g"),
+            F.xxhash64(F.coalesce("id", -F.monotonically_increasing_id() - 1)).alias("spread"),
         ),
         "rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    share = max(1, total // (shards * grain // 4))
-    hot = rows.groupBy("g").agg(F.sum("size").alias("all")).where(F.col("all") > share)
-    hot = hot.select(F.col("g").alias("hot_g"), F.ceil(F.col("all") / share).cast("int").alias("cuts"))  # at most shards * grain / 4 rows
-    dealt = rows.join(F.broadcast(hot), rows.g == hot.hot_g, "left").withColumn(
-        "parcel",
-        F.when(F.col("hot_g").isNull(), F.pmod("g", F.lit(shards * grain)).cast("string")).otherwise(F.concat_ws("/", "g", F.pmod(F.xxhash64("id"), "cuts"))),
-    )
-    dealt = stored(dealt.drop("hot_g", "cuts"), "parcels")
-    parcels = sorted(map(tuple, dealt.groupBy("parcel").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect()))
-    vectors = np.array([p[1:] for p in parcels], np.float64).reshape(-1, 3)
-    placed = pack(vectors, shards) if len(parcels) else []
+    all_bytes, all_tokens, all_rows = (x or 0 for x in rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first())
+    share = F.greatest(*(F.col(c) / float(max(1, n)) for c, n in (("size", all_bytes), ("tokens", all_tokens), ("n", all_rows))))
+    # classes are of a text, not of a group, so a row knows its own: powers of two of bytes, steps of tokens a byte
+    kind = F.concat_ws(".", F.floor(F.log2("size")).cast("string"), F.floor(F.least(F.col("tokens") / F.col("size"), F.lit(1.0)) * 8).cast("string"))
+    groups = rows.groupBy("g", "size", "tokens").agg(F.count("*").alias("n")).select("g", kind.alias("kind"), "n", (F.col("size") * F.col("n")).alias("size"), (F.col("tokens") * F.col("n")).alias("tokens"))
+    groups = stored(groups.withColumn("units", share * (shards * grain)), "groups")
+    large = groups.where("units >= 1").select(F.col("g").alias("g_"), F.ceil("units").cast("int").alias("parts"), (F.col("units") > grain).alias("cut"))
+    small = groups.where("units < 1").groupBy("kind").agg(F.greatest(F.lit(1), F.ceil(F.sum("units"))).cast("int").alias("parcels")).withColumnRenamed("kind", "kind_")
+    # rows of `large` are at most 3 * shards * grain, of `small` one for each class
+    dealt = rows.withColumn("kind", kind).join(F.broadcast(large), F.col("g") == F.col("g_"), "left").join(F.broadcast(small), F.col("kind") == F.col("kind_"), "left")
+    part = F.pmod("spread", "parts").cast("string")
+    name = F.when(F.col("g_").isNull(), F.concat_ws("/", F.col("kind"), F.pmod("g", "parcels"))).when(F.col("cut"), F.concat_ws("/", F.col("g"), part)).otherwise(F.col("g").cast("string"))
+    dealt = dealt.select("id", "size", "crc", "tokens", "g", name.alias("parcel"), F.when(F.col("g_").isNotNull() & ~F.col("cut"), F.pmod("spread", "parts")).otherwise(0).cast("int").alias("part"))
+    dealt = stored(dealt, "parcels")
+    found = sorted(map(tuple, dealt.groupBy("parcel", "part").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect()))
+    names = sorted({p[0] for p in found})
+    number = {p: k for k, p in enumerate(names)}
+    vectors = np.zeros((len(names), 3))
+    for p in found:
+        vectors[number[p[0]]] += p[2:]
+    placed = pack(vectors, shards) if names else []
     offset, table = [0] * shards, []
-    for (name, _, _, n), s in zip(parcels, placed, strict=True):
-        table.append((name, int(s), offset[s]))
+    for p, part_, _, _, n in found:
+        s = int(placed[number[p]])
+        table.append((p, part_, s, offset[s]))
         offset[s] += n
-    where = spark.createDataFrame(table, T.StructType([T.StructField("parcel", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("start", T.LongType())]))
-    place = Window.partitionBy("parcel").orderBy("g", "id", "size")
+    where = spark.createDataFrame(table, T.StructType([T.StructField("parcel", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("start", T.LongType())]))
+    place = Window.partitionBy("parcel", "part").orderBy("g", "id", "size")
     return (
         dealt.withColumn("row", F.row_number().over(place) - 1)
-        .join(F.broadcast(where), "parcel")
+        .join(F.broadcast(where), ["parcel", "part"])
         .select(
             F.col("id").alias(id_col),
             "size",
