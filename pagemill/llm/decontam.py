@@ -1,18 +1,25 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A text is its words: runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased. Each seed is a
-mask over `span` words of which only the marked positions are hashed, so a substituted word under an unmarked position
-does not hurt. Seeds of all test items are held in one table; every document is hashed at every word under every mask. A
-hit names an item and a diagonal (document word minus item word). It is an overlap if any stretch along it has `least` equal
-words (an item with fewer words: all its length) and at least `identity` of the stretch's words agree; of such stretches the
-one with most equal words is given, so a passage counts whatever was rewritten beside it. Items shorter than a mask are
-hashed whole; items of fewer than `shortest` words are no evidence and give nothing.
+A text is its words: runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased; in scripts
+written without blanks (Han, kana, Thai) each character is a word. Each seed is a mask over some words of which only the
+marked positions are hashed, so a substituted word under an unmarked position does not hurt. Seeds of all test items are
+held in one table; every document is hashed at every word under every mask. A hit names an item and a diagonal (document
+word minus item word). It is an overlap if any stretch along it has `least` equal words and at least `identity` of the
+stretch's words agree; of such stretches the one with most equal words is given, so a passage counts whatever was rewritten
+beside it. MASKS hit every such stretch of 10 words at 75 %, whichever words are substituted (tests enumerate 10 of 13, 12
+of 16, 13 of 17 and 15 of 20).
+
+Items too short for that: of 8 words up to `least` / `identity` the whole item must be there with `identity` of its words
+(SHORT_MASKS hit all of these), of `shortest` to 7 words with all of them, and one of fewer words is found only where it is a
+document's whole text.
 
 The item table is broadcast in blocks of at most `block_words` words, each of which makes its own pass over the documents;
-so its size is bounded while every item counts. Documents are never shuffled.
+so its size is bounded while every item counts. Documents are never shuffled. Diagonals are judged some at a time, in columns.
 
 Nulls: a null or wordless text or item overlaps with nothing; a null item id or document id is carried through. Repeated
 rows are each reported. Of several overlaps of one row and item the one with most equal words is given, the first of equals.
+Very long texts are searched whole. Columns beside ids and texts are not read by benchmark_overlaps and are handed through by
+without_overlaps, whatever their names. Empty tables give no rows, and an empty benchmark lets all documents pass.
 """
 
 from __future__ import annotations
@@ -28,7 +35,10 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import keyed, mix, run_hashes, slices, spans, utf8
 
-MASKS = ("11101011", "110110011", "1100101011")
+MASKS = ("111011", "1100001011", "111100001", "11111")
+SHORT_MASKS = ("11101", "100111", "1101001")
+SHORT = 8
+DIAGONALS = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -41,6 +51,15 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order and each text's first word, n + 1."""
     data, offs = utf8(pc.utf8_lower(column))
     starts, ends = spans(data, offs, _WORD[data])
+    # characters of three bytes from U+3000 to U+9FFF and of Thai are words of their own
+    lone = (data >= 0xE3) & (data <= 0xE9)
+    lone[:-1] |= (data[:-1] == 0xE0) & (data[1:] >> 1 == 0xB8 >> 1)
+    if lone.any():
+        at = np.flatnonzero(lone)
+        starts = np.union1d(starts, np.r_[at, at + 3])
+        starts = starts[np.r_[_WORD[data], False][starts]]
+        stop = np.r_[np.flatnonzero(~_WORD[data]), len(data)]
+        ends = np.minimum(np.r_[starts[1:], len(data)], np.minimum(stop[np.searchsorted(stop, starts)], offs[np.searchsorted(offs, starts, "right")]))
     return run_hashes(data, starts, ends), np.searchsorted(starts, offs)
 
 
@@ -53,40 +72,70 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(s + np.uint64(len(mask)))
 
 
-def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
-    """Start, end and equal words of the stretch with most equal words among those of which at least `identity` agree."""
+def best_stretches(same: np.ndarray, n: np.ndarray, identity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line of equal and different words, n long and end on end: start, end and equal words of the stretch with most
+    equal words among those of which at least `identity` agree."""
     share = Fraction(identity).limit_denominator(10**6)
-    run = np.r_[0, np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))]
-    equal = np.r_[0, np.cumsum(same)]
+    up, down = share.denominator - share.numerator, share.numerator
+    line = np.repeat(np.arange(len(n)), n + 1)  # one prefix sum before each word and one after the last
+    head = np.r_[0, np.cumsum(n + 1)[:-1]].astype(np.int64)
+    inner = np.ones(len(line), bool)
+    inner[head] = False
+    gain, one = np.zeros(len(line), np.int64), np.zeros(len(line), np.int64)
+    gain[inner], one[inner] = np.where(same, up, -down), same
+    run, equal = np.cumsum(gain), np.cumsum(one)
+    run -= run[head][line]
+    # each line lies wholly below the one before, so the least sum so far is the line's own
+    run -= line * (share.denominator * (int(n.max(initial=0)) + 1) * 2)
     first = np.searchsorted(-np.minimum.accumulate(run), -run)  # per end the earliest start from which the sum is not negative
-    end = int((equal - equal[first]).argmax())
-    start = int(first[end])
-    inside = np.flatnonzero(same[start:end])
-    return (start + int(inside[0]), start + int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+    most = equal - equal[first]
+    top = np.maximum.reduceat(most, head) if len(head) else most
+    at = np.flatnonzero(most == top[line])
+    end = at[np.searchsorted(line[at], np.arange(len(n)))]
+    start = first[end]
+    # trimmed to equal words at both ends
+    hits = np.flatnonzero(one)
+    low, high = np.searchsorted(hits, start, "right"), np.searchsorted(hits, end, "right") - 1
+    some = top > 0
+    low, high = (hits[np.minimum(x, max(0, len(hits) - 1))] if len(hits) else np.zeros(len(n), np.int64) for x in (low, high))
+    return np.where(some, low - 1 - head, 0), np.where(some, high - head, 0), top
 
 
 class SeedTable:
     """All seeds of a block of items: sorted hashes with item and position, and a bit filter before the search."""
 
-    def __init__(self, ids: list, h: np.ndarray, at: np.ndarray, masks: tuple[str, ...], shortest: int):
+    def __init__(self, ids: list, h: np.ndarray, at: np.ndarray, masks: tuple[str, ...], shortest: int, least: int, identity: float):
         self.ids, self.words, self.at = ids, h, at
-        n, found, used = np.diff(at), [], set()
+        self.n = n = np.diff(at)
+        share = Fraction(identity).limit_denominator(10**6)
+        long = -(-least * share.denominator // share.numerator)
+        part = -(-n * share.numerator // share.denominator)  # of a short item so many words have to agree
+        self.need = np.where(n >= long, least, np.where(n >= SHORT, part, n))
+        self.whole = n < long
+        found = []
         for k, length in enumerate(n.tolist()):
-            fits = [m for m in masks if len(m) <= length] or (["1" * length] if length >= shortest else [])
-            for m in fits:
-                used.add(m)
-                s = seeds(h[at[k] : at[k + 1]], m)
-                found.append((s, np.full(len(s), k), np.arange(len(s))))
-        self.masks = sorted(used)
-        key, item, place = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.uint64, np.int64, np.int64)))
+            if length >= long:
+                fits = masks
+            elif length >= SHORT:
+                fits = SHORT_MASKS
+            else:
+                fits = ("1" * length,) if length >= shortest else ()
+            found += [(m, k) for m in fits]
+        self.masks = sorted({m for m, _ in found})
+        parts = [(s := seeds(h[at[k] : at[k + 1]], m), np.full(len(s), k), np.arange(len(s))) for m, k in found]
+        key, item, place = (np.concatenate([f[c] for f in parts]) if parts else np.zeros(0, t) for c, t in enumerate((np.uint64, np.int64, np.int64)))
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.place = key[order], item[order], place[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def overlaps(self, h: np.ndarray, at: np.ndarray, least: int, identity: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-        """(text, item): document word, item word, words and equal words of the best overlap."""
-        hits = set()
+        tiny = np.flatnonzero((n > 0) & (n < shortest))
+        self.tiny: dict[bytes, list[int]] = {}
+        for k in tiny.tolist():
+            self.tiny.setdefault(h[at[k] : at[k + 1]].tobytes(), []).append(k)
+        self.shortest = shortest
+
+    def _hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, shift) of seed hits, some at a time; shift: the text's word under the item's first word."""
         for m in self.masks:
             s = seeds(h, m)
             i = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -95,33 +144,60 @@ class SeedTable:
             doc = np.searchsorted(at, i, "right") - 1
             inside = i + len(m) <= at[doc + 1]
             i, lo, n, doc = i[inside], lo[inside], n[inside], doc[inside]
-            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hits.update(zip(np.repeat(doc, n).tolist(), self.item[which].tolist(), (np.repeat(i, n) - self.place[which]).tolist(), strict=True))
+            upto = np.cumsum(n)
+            for k in np.unique(np.searchsorted(upto, np.arange(0, upto[-1] if len(n) else 0, DIAGONALS), "right")).tolist():
+                to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + DIAGONALS, "right")))
+                c = slice(k, to)
+                which = np.repeat(lo[c], n[c]) + np.arange(n[c].sum()) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
+                yield np.repeat(doc[c], n[c]), self.item[which], np.repeat(i[c], n[c]) - self.place[which]
+
+    def overlaps(self, h: np.ndarray, at: np.ndarray, least: int, identity: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+        """(text, item): document word, item word, words and equal words of the best overlap."""
+        seen = np.zeros((0, 3), np.int64)
+        for hit in self._hits(h, at):
+            seen = np.unique(np.vstack([seen, np.stack(hit, 1)]), axis=0)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for doc, item, shift in sorted(hits):  # shift: document word under the item's first word
-            a, b = int(self.at[item]), int(self.at[item + 1])
-            lo, hi = max(shift, int(at[doc])), min(shift + b - a, int(at[doc + 1]))
-            same = h[lo:hi] == self.words[a + lo - shift : a + hi - shift]
-            start, end, equal = best_stretch(same, identity)
-            if equal >= min(least, b - a) and equal > best.get((doc, item), (0, 0, 0, 0))[3]:
-                best[doc, item] = (lo - int(at[doc]) + start, lo - shift + start, end - start, equal)
+        doc, item, shift = seen.T
+        a, n = self.at[item], self.n[item]
+        lo, hi = np.maximum(shift, at[doc]), np.minimum(shift + n, at[doc + 1])
+        size, k = np.cumsum(hi - lo), 0
+        while k < len(doc):
+            to = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + DIAGONALS, "right")))
+            c = slice(k, to)
+            m = hi[c] - lo[c]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            same = h[np.repeat(lo[c], m) + step] == self.words[np.repeat(a[c] + lo[c] - shift[c], m) + step]
+            start, end, equal = best_stretches(same, m, identity)
+            all_ = np.add.reduceat(same, np.cumsum(m) - m, dtype=np.int64)
+            whole = self.whole[item[c]]  # a short item counts by all its words
+            start, end, equal = np.where(whole, 0, start), np.where(whole, m, end), np.where(whole, all_, equal)
+            for j in np.flatnonzero((equal >= self.need[item[c]]) & (~whole | (m == n[c]))).tolist():
+                key = int(doc[k + j]), int(item[k + j])
+                if equal[j] > best.get(key, (0, 0, 0, 0))[3]:
+                    best[key] = (int(lo[k + j] - at[key[0]] + start[j]), int(lo[k + j] - shift[k + j] + start[j]), int(end[j] - start[j]), int(equal[j]))
+            k = to
+        if self.tiny:
+            length = np.diff(at)
+            for d in np.flatnonzero((length > 0) & (length < self.shortest)).tolist():
+                for k in self.tiny.get(h[at[d] : at[d + 1]].tobytes(), ()):
+                    best[d, k] = (0, 0, int(length[d]), int(length[d]))
         return best
 
 
-def _tables(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], shortest: int, block_words: int) -> list[SeedTable]:
+def _tables(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], shortest: int, block_words: int, least: int, identity: float) -> Iterator[SeedTable]:
     items = keyed(benchmark, item_id, item_text).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
     for k in range(blocks):
         t = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").toArrow().combine_chunks()
         h, at = words_of(pa.chunked_array(t.column("text"), pa.string()).combine_chunks() if t.num_rows else pa.array([], pa.string()))
-        yield SeedTable(t.column("id").to_pylist(), h, at, masks, shortest)
+        yield SeedTable(t.column("id").to_pylist(), h, at, masks, shortest, least, identity)
 
 
 def benchmark_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = 10, identity: float = 0.75, shortest: int = 5, block_words: int = 500_000) -> DataFrame:
     """One row per row of df and item that overlap: ids, doc_word, item_word (0-based starts), n_words, n_equal."""
     docs, out = keyed(df, id_col, text_col), None
-    for table in _tables(benchmark, item_id, item_text, masks, shortest, block_words):
+    for table in _tables(benchmark, item_id, item_text, masks, shortest, block_words, least, identity):
         shared = df.sparkSession.sparkContext.broadcast(table)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -140,7 +216,7 @@ def benchmark_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
 def without_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = 10, identity: float = 0.75, shortest: int = 5, block_words: int = 500_000) -> DataFrame:
     """The rows of df, all columns as they are, that overlap with no item; neither a join nor a shuffle."""
-    for table in _tables(benchmark, item_id, item_text, masks, shortest, block_words):
+    for table in _tables(benchmark, item_id, item_text, masks, shortest, block_words, least, identity):
         shared = df.sparkSession.sparkContext.broadcast(table)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
