@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+#: A list of ids, some tens of bytes each, is broadcast up to so many rows and joined by sort and merge beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local default only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder all executors share. Only a session of one machine may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.conf.get("spark.master", None) or ""):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -27,6 +33,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A stored, narrow table as the build side of a join: broadcast if its rows are few, else left to sort and merge."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (id, text) as long and string: any other column, clashing names included, is left behind."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -126,8 +137,11 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
-def streamed(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str, parts: int | None = None) -> DataFrame:
-    """fn over each group of equal keys, as a stream over sorted partitions: one Python start a task, one group in memory."""
+def streamed(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str, parts: int | None = None, once: bool = False) -> DataFrame:
+    """fn over each group of equal keys, as a stream over sorted partitions: one Python start a task, one group in memory.
+
+    once: rows that several groups of a task give are given once (as far as a million rows go back).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -151,8 +165,21 @@ def streamed(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordB
                 kept.append(b.slice(lo, hi - lo))
         yield from flush()
 
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in run(batches):
+            held.append(b)
+            if sum(x.num_rows for x in held) > 1_000_000:
+                t = pa.Table.from_batches(held).group_by(b.schema.names).aggregate([])
+                held = t.combine_chunks().to_batches()
+                if t.num_rows > 500_000:
+                    yield from held
+                    held = []
+        if held:
+            yield from pa.Table.from_batches(held).group_by(held[0].schema.names).aggregate([]).to_batches()
+
     dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(distinct if once else run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,13 +188,16 @@ def components(edges: DataFrame) -> DataFrame:
     Every step is a join and an aggregate; nothing but two sums comes to the driver. Nodes without an edge are absent.
     """
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # the least neighbours are stored before they are joined, so that the edges of a hub need not meet in one task
+    least = lambda of, low: sized(stored(of.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", low), "least"))
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "w"))
-        large = both.join(low, both.u == low.w).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(low, large.u == low.w).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = least(both, F.least("m", "w"))
+        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "large")
+        low = least(large, F.col("m"))
+        small = large.join(low, F.col("u") == F.col("w")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(small.where("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if now == seen:

@@ -8,18 +8,23 @@ exact: every text gets the smallest id that it reaches by links. Nothing is samp
    single-owner shingles than that are done. Hash-partitioned blobs count owners; a shingle common to a slice of the
    input is counted there and sent once, so a passage in a third of all texts is no hot key.
 3. Signature trees, two rounds. Round one buckets the survivors by two min-hashes and takes links inside each bucket;
-   round two makes it exact: linked sets always share one of their |A| - ceil(threshold % of |A|) + 1 smallest hashes,
-   so buckets of these prefixes see every linked pair. Only buckets that still hold two components are looked at.
-   In each bucket a tree over the sets sorted by size holds the OR of token bitmaps, the size range and the largest
-   surplus of tokens over bits; a dual traversal drops node pairs whose maximum possible overlap is too small, whose
-   size ranges exclude each other or which lie in one component already. Surviving pairs are
-   bounded once more by 16 bits a token and then verified on the full sets.
-   Buckets over `block` members are cut into blocks and each pair of blocks is a task of its own.
+   round two makes it exact: under any one order of all shingles, linked sets share one of their first
+   |A| - ceil(threshold % of |A|) + 1, so buckets of these prefixes see every linked pair. The order is by frequency, the
+   rare ones first, so a passage that many texts share is in a prefix only if a text holds little else; frequencies come
+   from a table of CELLS counters (equal counts are ordered by hash), whose size is fixed.
+   Only prefix shingles that two components share are looked at. A tree over the sets sorted by size holds the OR of token
+   bitmaps, the size range, the largest surplus of tokens over bits and the most shingles left from the shared one on; a dual
+   traversal drops node pairs whose maximum possible overlap is too small, whose size ranges exclude each other or which
+   lie in one component already. Bitmaps have four bits a shingle, up to WIDEST; sets of neighbouring widths are compared
+   at the narrower one. Pairs that no bound excludes are verified on the full sets, each once.
+   Buckets are counted first, on narrow rows, and cut before any set is sent: in round one into cells of a quarter `block`,
+   in round two, where every pair counts, into pairs of blocks of `block` members.
 4. Components by alternating stars.
 
 Nulls: a null or wordless text has an empty set and links with nothing. A row with a null id keeps its row; it belongs to
-its class, whose id comes from the non-null ids; a class without any links with no other and has a null component.
-Repeated rows stay repeated, and an id on two texts stands for two documents.
+its class and links like any other, and the component's id comes from the non-null ids (null if there is none).
+Repeated rows stay repeated, and an id on two texts stands for two documents. Columns beside id and text are not read.
+Very long texts are read whole; one text's set is held in memory at a time, with others up to about a megabyte of text.
 """
 
 from __future__ import annotations
@@ -28,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, keyed, mix, slices, stored, streamed, word_hashes
+from pagemill.llm.common import components, keyed, mix, sized, slices, stored, streamed, word_hashes
 
-WIDTH = 1024
+NARROWEST, WIDEST = 64, 1 << 15
+CELLS = 1 << 18
 LEAF, FAN = 16, 8
 BUCKET_BYTES = 1 << 26
 NOBODY = np.int64(-(2**63))
 PART_TOKENS = 4_000_000
-#: 16 bytes each: a list of survivors beyond this goes through a sort-merge join.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -67,10 +72,15 @@ def digests(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
 
 
-def signature(s: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Token bitmap of a set, as 64-bit words."""
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of n: four each, rounded up to a power of two within the limits."""
+    return min(WIDEST, max(NARROWEST, 1 << (4 * n - 1).bit_length()))
+
+
+def signature(s: np.ndarray, width: int) -> np.ndarray:
+    """Token bitmap of a set, as 64-bit words; half the width is the OR of both halves."""
     bits = np.zeros(width, np.uint8)
-    bits[(s >> np.uint64(20)).astype(np.int64) % width] = 1
+    bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -80,17 +90,20 @@ def needed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Sets in order of size, in leaves of 16 under nodes of 8: OR of bitmaps, size range, surplus, component or -1."""
+    """Sets in order of size, in leaves of 16 under nodes of 8: OR of bitmaps, size range, surplus, component or -1, room.
+
+    room: what a set's overlap with another can be at most, by what is known beside its size.
+    """
 
-    def __init__(self, sigs: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
+    def __init__(self, sigs: np.ndarray, sizes: np.ndarray, comps: np.ndarray, room: np.ndarray | None = None):
         surplus = sizes - np.bitwise_count(sigs).sum(1, dtype=np.int64)
-        self.levels, step = [(sigs, sizes, sizes, surplus, comps)], LEAF
+        self.levels, step = [(sigs, sizes, sizes, surplus, comps, sizes if room is None else room)], LEAF
         while len(self.levels[-1][1]) > 1:
-            sig, low, high, more, comp = self.levels[-1]
+            sig, low, high, more, comp, room = self.levels[-1]
             at = np.arange(0, len(low), step)
             a, b = np.minimum.reduceat(comp, at), np.maximum.reduceat(comp, at)
             mixed = (a != b) | (a < 0)
-            self.levels.append((np.bitwise_or.reduceat(sig, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at), np.where(mixed, -1, a)))
+            self.levels.append((np.bitwise_or.reduceat(sig, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at), np.where(mixed, -1, a), np.maximum.reduceat(room, at)))
             step = FAN
 
     def pairs(self, threshold: int, most: int = 200_000, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,17 +114,18 @@ class SignatureTree:
             if len(i) > most:
                 stack += [(level, i[k : k + most], j[k : k + most]) for k in range(0, len(i), most)]
                 continue
-            sig, low, high, more, comp = self.levels[level]
+            sig, low, high, more, comp, room = self.levels[level]
+            most_ = np.minimum(room[i], room[j])
             if level == 0:
                 both = np.bitwise_count(sig[i] & sig[j]).sum(1, dtype=np.int64)
                 ones_i, ones_j = low[i] - more[i], low[j] - more[j]
-                bound = np.minimum(low[i] - (ones_i - both), low[j] - (ones_j - both))
+                bound = np.minimum(np.minimum(low[i] - (ones_i - both), low[j] - (ones_j - both)), most_)
                 keep = (i != j) & (bound >= needed(low[i], low[j], threshold)) & (comp[i] != comp[j])
                 if other is not None:
                     keep &= other[i] != other[j]
             else:
                 bound = np.bitwise_count(sig[i] & sig[j]).sum(1, dtype=np.int64) + np.minimum(more[i], more[j])
-                bound = np.minimum(bound, np.minimum(high[i], high[j]))
+                bound = np.minimum(np.minimum(bound, most_), np.minimum(high[i], high[j]))
                 keep = (bound >= needed(low[i], low[j], threshold)) & (100 * high[i] >= threshold * low[j]) & (100 * high[j] >= threshold * low[i]) & ((comp[i] != comp[j]) | (comp[i] < 0))
             i, j = i[keep], j[keep]
             if not len(i):
@@ -125,6 +139,28 @@ class SignatureTree:
             stack.append((level - 1, a[ok], b[ok]))
 
 
+def candidates(sigs: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, threshold: int, room: np.ndarray | None = None, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that no bound excludes, of sets in order of size with bitmaps of their own widths.
+
+    Linked sizes differ by less than a factor of two, so only equal and neighbouring widths can be linked. A tree is made of
+    each width, and of each two neighbouring ones, the wider folded, of which pairs across are taken.
+    """
+    wide = np.array([len(x) for x in sigs])
+    pick = lambda x, at: None if x is None else x[at]
+    for w in np.unique(wide):
+        one, two = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
+        own = np.stack([sigs[k] for k in one])
+        for i, j in SignatureTree(own, sizes[one], comps[one], pick(room, one)).pairs(threshold, other=pick(other, one)):
+            yield one[i], one[j]
+        if len(two):
+            folded = np.stack([sigs[k] for k in two])
+            both, side = np.r_[one, two], np.r_[np.zeros(len(one), np.int8), np.ones(len(two), np.int8)]
+            tree = SignatureTree(np.r_[own, folded[:, :w] | folded[:, w:]], sizes[both], comps[both], pick(room, both))
+            for i, j in tree.pairs(threshold, other=side):
+                ok = np.ones(len(i), bool) if other is None else other[both[i]] != other[both[j]]
+                yield both[i[ok]], both[j[ok]]
+
+
 def _root(up: list[int], x: int) -> int:
     while up[x] != x:
         up[x] = up[up[x]]
@@ -139,7 +175,6 @@ def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     sets, sizes = [sets[k] for k in order], sizes[order]
     up, links, n = list(range(len(sets))), [], len(sets)
     flat, at = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
-    sigs = np.stack([signature(s) for s in sets])
 
     def link(a: int, b: int) -> None:
         if (x := _root(up, a)) != (y := _root(up, b)):
@@ -154,7 +189,7 @@ def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
             link(int(x), k)
     comps = np.array([_root(up, x) for x in range(n)])
     if (comps != comps[0]).any():
-        for i, j in SignatureTree(sigs, sizes, comps).pairs(threshold):
+        for i, j in candidates([signature(x, width_of(len(x))) for x in sets], sizes, comps, threshold):
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
                 if _root(up, a) != _root(up, b) and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= needed(sizes[a], sizes[b], threshold):
                     link(a, b)
@@ -165,18 +200,52 @@ def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
-def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75, block: int = 2048) -> DataFrame:
+def prefix(s: np.ndarray, threshold: int, frequency: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by frequency, then hash: any linked set shares one of its own first ones with them."""
+    n = len(s) + (-threshold * len(s)) // 100 + 1
+    return s[np.lexsort((s, frequency[(s >> np.uint64(44)).astype(np.int64) % len(frequency)]))[:n]]
+
+
+def shingle_frequencies(sets: DataFrame) -> np.ndarray:
+    """CELLS counters over the shingles of all sets, added up in packed arrays; a few megabytes come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for s in _sets_of(b.column("toks")):
+                n += np.bincount((s >> np.uint64(44)).astype(np.int64) % CELLS, minlength=CELLS)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(n.tobytes())], pa.binary())], ["n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for x in b.column("n").to_pylist():
+                n += np.frombuffer(zstandard.decompress(x), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(n.tobytes())], pa.binary())], ["n"])
+
+    table = sets.select("toks").mapInArrow(count, "n binary").repartition(8).mapInArrow(add, "n binary").collect()
+    return sum((np.frombuffer(zstandard.decompress(r[0]), np.int64) for r in table), np.zeros(CELLS, np.int64))
+
+
+def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75, block: int = 512) -> DataFrame:
     """One row per input row: id, n_shingles, component_id. See the module's docstring for nulls, ties and repeats."""
-    docs = keyed(df, id_col, text_col)
+    found = ngram_jaccard_classes(df, id_col, text_col, words, threshold, block)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75, block: int = 512) -> DataFrame:
+    """As above under the names id, n_shingles, component_id, with text_key, xxhash64 of the text, and root, which names the component."""
+    docs = keyed(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     spark = df.sparkSession
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), words)
             sums = np.array([digests(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["id", "text_key", "n", "d1", "d2"])
 
-    rows = stored(docs.mapInArrow(digest, "id long, n long, d1 long, d2 long"), "digests")
+    rows = stored(docs.mapInArrow(digest, "id long, text_key long, n long, d1 long, d2 long"), "digests")
     classes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(12, -(-total // PART_TOKENS))
@@ -226,24 +295,34 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
     counts = streamed(blobs, ["part"], shared, "rep long, s int", parts).groupBy("rep").agg(F.sum("s").alias("s"))
     alive = counts.join(classes, counts.rep == classes.d1).where(f"100 * s >= {threshold} * n * copies").select("least_id", "rep")
     alive = stored(alive, "alive")
-    bounded = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), words)
-            mine = np.array([digests(s)[0] for s in sets], np.uint64).view(np.int64) == b.column("rep").to_numpy()
-            sets = [s for s, ok in zip(sets, mine, strict=True) if ok]  # an id may also stand on another text
+            names = np.array([digests(s)[0] for s in sets], np.uint64).view(np.int64)
+            asked = b.column("rep")
+            mine = (names == asked.fill_null(0).to_numpy()) | asked.is_null().to_numpy(zero_copy_only=False)  # an id may also stand on another text
+            mine &= np.array([len(s) > 0 for s in sets], bool)
+            sets = [s for s, ok in zip(sets, mine, strict=True) if ok]
             h1 = np.array([s[0] for s in sets], np.uint64).view(np.int64)
             h2 = np.array([mix(s * np.uint64(0xA24BAED4963EE407)).min() for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rep").filter(pa.array(mine)), pa.array(h1), pa.array(h2), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "h1", "h2", "toks"])
-
-    live = stored(docs.join(bounded, docs.id == bounded.least_id).select("rep", "text").mapInArrow(emit, "rep long, h1 long, h2 long, toks binary"), "sets")
-
-    keys = live.select("rep", F.explode(F.array("h1", "h2")).alias("key"), "toks")
-    # a bucket is cut by members and by bytes, so very long texts do not meet in one task either; round two joins the cuts
-    many = keys.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.length("toks")).alias("bytes")).where("c > 1")
-    cells = F.ceil(F.greatest(F.col("c") / block, F.col("bytes") / BUCKET_BYTES))
-    near = keys.join(many, "key").withColumn("cell", F.pmod(F.xxhash64("rep"), cells).cast("int")).select("key", "cell", "rep", "toks")
+            yield pa.RecordBatch.from_arrays([pa.array(names[mine]), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "h1", "h2", "n", "toks"])
+
+    kind = "rep long, h1 long, h2 long, n long, toks binary"
+    live = docs.join(sized(alive), docs.id == F.col("least_id")).select("rep", "text").mapInArrow(emit, kind)
+    unnamed = alive.where("least_id IS NULL").select(F.col("rep").alias("rep_"))
+    if unnamed.limit(1).count():  # classes of rows without an id: one row of each
+        found = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("rep"), "text").mapInArrow(emit, kind).join(sized(stored(unnamed, "unnamed")), F.col("rep") == F.col("rep_"), "left_semi")
+        live = live.union(found.dropDuplicates(["rep"]))
+    live = stored(live, "sets")
+
+    # round one. Buckets are counted and cut, by members and by bytes, on rows without sets; round two joins the cuts
+    narrow = live.select("rep", F.explode(F.array("h1", "h2")).alias("key"), "n")
+    many = narrow.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
+    cuts = F.ceil(F.greatest(F.col("c") / (block / 4), F.col("all") * 8 / BUCKET_BYTES))
+    many = stored(many.select(F.col("key").alias("key_"), cuts.cast("int").alias("cells")), "buckets")
+    near = narrow.join(sized(many), F.col("key") == F.col("key_")).select(F.col("rep").alias("rep_"), "key", F.pmod(F.xxhash64("rep", "key"), "cells").cast("int").alias("cell"))
+    near = live.join(sized(stored(near, "dealt")), F.col("rep") == F.col("rep_")).select("key", "cell", "rep", "toks")
 
     def bucket(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
@@ -255,69 +334,56 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
 
     edges = stored(streamed(near, ["key", "cell"], bucket, "u long, v long"), "links")
     roots = stored(components(edges), "roots")
-    known = live.select("rep", "toks").join(roots, live.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("comp"), "toks")
+    known = live.join(sized(roots), live.rep == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp"), "toks")
     known = stored(known, "known")
 
+    # round two
+    frequency = spark.sparkContext.broadcast(shingle_frequencies(known))
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets_of(b.column("toks"))
-            heads = [s[: len(s) + (-threshold * len(s)) // 100 + 1] for s in sets]
+            heads = [prefix(s, threshold, frequency.value) for s in sets]
             n = [len(x) for x in heads]
-            ids, comps = (np.repeat(b.column(c).to_numpy(), n) for c in ("rep", "comp"))
+            ids, comps, room = (np.repeat(x, n) for x in (b.column("rep").to_numpy(), b.column("comp").to_numpy(), np.array([len(s) for s in sets], np.int64)))
+            room = room - (np.arange(len(room)) - np.repeat(np.cumsum(n) - n, n))
             flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             for k in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (flat, ids, comps)], ["tok", "rep", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (flat, ids, comps, room)], ["tok", "rep", "comp", "room"])
 
-    posts = known.mapInArrow(prefixes, "tok long, rep long, comp long")
-    open_ = posts.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a < b").select("tok", "c")
-    left = stored(posts.join(open_, "tok").select("tok", "rep", "c"), "open")
+    posts = known.mapInArrow(prefixes, "tok long, rep long, comp long, room long")
+    open_ = posts.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a < b")
+    open_ = stored(open_.select(F.col("tok").alias("tok_"), "c"), "open")
+    left = stored(posts.join(sized(open_), F.col("tok") == F.col("tok_")).select("tok", "rep", "room", "c"), "postings")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets_of(b.column("toks"))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("comp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["rep", "comp", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("comp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], ["rep", "comp", "n", "sig"])
 
-    sigs = known.join(left.select("rep").distinct(), "rep", "left_semi").mapInArrow(signed, "rep long, comp long, n long, sig binary")
+    asked = sized(stored(left.select(F.col("rep").alias("rep_")).distinct(), "asked"))
+    sigs = known.join(asked, F.col("rep") == F.col("rep_"), "left_semi").mapInArrow(signed, "rep long, comp long, n long, sig binary")
+    sigs = stored(sigs.withColumnRenamed("rep", "rep_"), "bitmaps")
     cells = F.ceil(F.col("c") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "tok"), F.col("cells")).cast("int")
-    dealt = left.withColumn("cells", cells).withColumn("own", own).select("tok", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("with_"))
-    dealt = dealt.select("tok", "rep", "own", F.least("own", "with_").alias("x"), F.greatest("own", "with_").alias("y")).join(sigs, "rep")
+    dealt = left.withColumn("cells", cells).withColumn("own", own).select("tok", "rep", "room", "own", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("with_"))
+    dealt = dealt.select("tok", "rep", "room", "own", F.least("own", "with_").alias("x"), F.greatest("own", "with_").alias("y")).join(sigs, F.col("rep") == F.col("rep_")).drop("rep_")
 
     def traverse(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
             return None
-        ids, comps, sizes, own = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "own"))
-        order = np.argsort(sizes, kind="stable")
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)[order]
-        ids, comps, own = ids[order], comps[order], own[order]
+        order = np.argsort(t.column("n").to_numpy(), kind="stable")
+        ids, comps, sizes, room, own = (t.column(c).to_numpy()[order] for c in ("rep", "comp", "n", "room", "own"))
+        sigs_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sig")]
         _, comps_small = np.unique(comps, return_inverse=True)
         apart = own if t.column("x")[0].as_py() != t.column("y")[0].as_py() else None
-        found = [(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])) for i, j in SignatureTree(sig, sizes[order], comps_small).pairs(threshold, other=apart)]
+        found = [(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])) for i, j in candidates([sigs_[k] for k in order], sizes, comps_small, threshold, room, apart)]
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
 
-    pairs = stored(streamed(dealt, ["tok", "x", "y"], traverse, "u long, v long").distinct(), "pairs")
-    # before full sets travel for each pair: 16 bits a token bound the overlap from above, without dropping a linked pair
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = _sets_of(b.column("toks"))
-            low = [np.unique((s >> np.uint64(8)).astype(np.uint16)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "n", "low"])
-
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for n, m, x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both + min(n - len(x), m - len(y)) >= needed(n, m, threshold))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    low = stored(known.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "toks").mapInArrow(sketched, "rep long, n long, low binary"), "sketches")
-    brief = pairs.join(low.select(F.col("rep").alias("u"), F.col("n").alias("na"), F.col("low").alias("a")), "u").join(low.select(F.col("rep").alias("v"), F.col("n").alias("nb"), F.col("low").alias("b")), "v")
-    pairs = stored(brief.select("u", "v", "na", "nb", "a", "b").mapInArrow(plausible, "u long, v long"), "plausible")
-    two = pairs.join(known.select(F.col("rep").alias("u"), F.col("toks").alias("a"), F.col("comp").alias("cu")), "u").join(known.select(F.col("rep").alias("v"), F.col("toks").alias("b"), F.col("comp").alias("cv")), "v")
+    pairs = stored(streamed(dealt, ["tok", "x", "y"], traverse, "u long, v long", once=True).distinct(), "pairs")
+    two = pairs.join(known.select(F.col("rep").alias("u_"), F.col("toks").alias("a"), F.col("comp").alias("cu")), F.col("u") == F.col("u_")).join(known.select(F.col("rep").alias("v_"), F.col("toks").alias("b"), F.col("comp").alias("cv")), F.col("v") == F.col("v_"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,6 +395,28 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
     joined = components(late.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))) if late.limit(1).count() else roots
     flat = classes.join(joined, classes.d1 == joined.node, "left").select("n", "d1", "d2", "least_id", F.coalesce("root", "d1").alias("root"))
     least = flat.groupBy(F.col("root").alias("root_")).agg(F.min("least_id").alias("component_id"))
-    named = flat.join(least, flat.root == least.root_).select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "component_id")
+    named = flat.join(least, flat.root == least.root_).select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "component_id", "root")
     out = rows.join(named, (rows.n == F.col("n_")) & (rows.d1 == F.col("d1_")) & (rows.d2 == F.col("d2_")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "text_key", "root")
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, all columns as they are, but of each component only one: that of the least id, rows without an id last.
+
+    A document is an id and a text, so one id on two texts that do not link stays twice; ties of id within a component are
+    taken by a hash of the text, and of rows equal in both one stays. Texts without words always stay.
+    """
+    found = stored(ngram_jaccard_classes(df, id_col, text_col, **options).where("n_shingles > 0"), "components")
+    name = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key")
+    first = found.groupBy(F.col("root").alias("root_")).agg(F.min(name).alias("first"), F.count("*").alias("rows_"))
+    first = stored(first.where("rows_ > 1").drop("rows_"), "first")
+    judged = found.join(sized(first), F.col("root") == F.col("root_")).select(F.col("id").alias("id_"), F.col("text_key").alias("key_"), (name == F.col("first")).alias("stays"))
+    gone = sized(stored(judged.where("NOT stays").drop("stays").distinct(), "gone"))
+    several = stored(judged.where("stays").groupBy("id_", "key_").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
+    packed = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), df[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(df[f"`{text_col}`"].cast("string")).alias("text_key"))
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))
+    kept = packed.join(gone, same, "left_anti")
+    if several.limit(1).count():
+        several = sized(several)
+        kept = kept.join(several, same, "left_anti").unionByName(kept.join(several, same, "left_semi").dropDuplicates(["id", "text_key"]))
+    return kept.select("row.*")

@@ -18,7 +18,7 @@ def shingles(text, n=5):
 
 
 def jaccard_components(rows, threshold=75):
-    """rows: (id, text). A node is a text; its label the least id among texts that it reaches. None where no row has an id."""
+    """rows: (id, text). A node is a row; its label the least id among the rows that it reaches. None where none has an id."""
     sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def root(x):
