@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
 from pagemill.llm.decontam import without_overlaps
 from pagemill.llm.langid import fit_languages, identified
 from pagemill.llm.mixing import mixed_rows
-from pagemill.llm.ngram_join import BROADCAST_ROWS, ngram_jaccard_components
+from pagemill.llm.ngram_join import without_near_copies
 from pagemill.llm.sharding import shard_documents
 
 
@@ -22,35 +21,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays; rows of one id count as one document.
+    """Of each group of near duplicates one document, an id and its text, stays: that of the smallest id.
 
-    A row without an id is a document of its own: it takes part under a number above all ids and leaves without one. So of a
-    group the rows without an id go if another has one, else the first that was read stays. Texts without words always stay.
+    Of a group the rows without an id go if another has one, else one of them stays. One id on two texts is two documents;
+    of repeated rows one stays. Texts without words always stay.
     """
-    unnamed, kind = docs.where("doc_id IS NULL"), docs.schema["doc_id"].dataType
-    if not unnamed.limit(1).count():
-        return _first_of_each_group(docs)
-    above = (docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0) + 1
-    numbered = stored(unnamed.withColumn("doc_id", F.lit(above) + F.monotonically_increasing_id()), "numbered")
-    kept = _first_of_each_group(docs.withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").unionByName(numbered))
-    return kept.withColumn("doc_id", F.when(F.col("doc_id") < above, F.col("doc_id")).cast(kind))
-
-
-def _first_of_each_group(docs: DataFrame) -> DataFrame:
-    found = stored(ngram_jaccard_components(docs), "components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(_sized(gone), "doc_id", "left_anti")
-    if several.limit(1).count():
-        twice = kept.join(_sized(several), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(_sized(several), "doc_id", "left_anti").unionByName(twice)
-    return kept.select(*docs.columns)
-
-
-def _sized(ids: DataFrame) -> DataFrame:
-    """Broadcast ids if they are few (8 bytes each), else leave the join to sort and merge."""
-    ids = stored(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
