@@ -1,29 +1,37 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-States are word contexts of length 0 to `depth`, read backwards. A one-word context seen in training is a state, without a
-test; a longer one is a candidate if its count reaches `min_count`, and a state if it passes the divergence test as well: its count
-times the Kullback-Leibler divergence of its next-word distribution from that of its longest suffix that is a state reaches
-`divergence` (natural log). Levels grow from candidates, so a context counts even if the words between made no difference.
-A text is scored by the longest suffix of the words read so far that is a state.
-
-Smoothing runs down the states of the suffix chain. With counts c of a state, p' of the next shorter one and pseudo-counts
-m, r: p(x) = (c(x) + m * p'(x)) / (c + m). A state of depth one gives seen words c1(x) / (c1 + r) and leaves r / (c1 + r) times the root's p0(x) = (c(x) + 1) / (N + V + 1) to the
-rest; so the probabilities of all next words sum to at most 1.
-
-One shuffle does the counting and the scoring. Every position (`depth` - 1 words back, word, next word) is sent to the
-partition of its middle word, the last word of its contexts: there lie all next words of that context, all its longer contexts, and, as the word is also a predicted
-word with its left neighbour, its own counts c(x) and whether it was seen after that neighbour. So log p0 of words that
-fall through to the root is added where c(x) is known. No vocabulary or count table is broadcast or collected; partitions
-hold about `part_tokens` positions and grow in number with the corpus. A word that alone has a large share of all tokens is
-one such partition of packed columns.
+States are word contexts of length 0 to `depth`, read backwards; the start of a text is the word before its first. A context is
+a candidate if its training count reaches `min_count` and its next shorter one is a candidate; a candidate is a state if it
+passes the divergence test: its count times the Kullback-Leibler divergence of its next-word distribution from that of its
+longest suffix that is a state reaches `divergence` (natural log). Levels grow from candidates, so a context counts even if
+the words between made no difference. A text is scored by the longest suffix of the words read so far that is a state.
+
+Smoothing interpolates down the states of the suffix chain. With counts c of a state and the distribution p' of the next
+shorter one, p(x) = (c(x) + m * p'(x)) / (c + m), m being `root_pseudo` above the root and `pseudo` elsewhere; the root has
+p(x) = (c(x) + 1) / (N + V + 1), the one beyond the V known tokens for all others. So every distribution sums to 1.
+
+Words are compared by 64 bits. The at most `head_words` most frequent ones (all of one count or none of it) have short codes,
+whose table with counts is broadcast, a fixed size; all other words travel as 64 bits and are counted like any. Only the root's
+share in the divergence test takes the words beyond the head as equally frequent among themselves.
+
+Every position (`depth` - 1 words back, word, next word) is sent to the partition of its middle word, the last word of its
+contexts: there lie all next words of that context and all its longer contexts. A word that would fill more than half a
+partition is split by the word before it: its pairs with next words are counted beforehand and go to each of its partitions,
+longer contexts lie whole in one. (The start of a text has no longer contexts and is split by text.) A partition holds about
+`part_tokens` positions, their number grows with the corpus. What a position adds to its text's score goes back to the
+slice of the input that the text is in; where the next word is beyond the head, the two terms of its probability and, from
+the partition where that word stands in the middle, its count, meet there.
 
 Tokens: lower-cased (A-Z) words [^\\x20\\x09-\\x0D]+ and one end a text. A null text is empty: one token, the end. Rows
-are scored one by one, repeated rows alike; a null id counts as remainder 0 and trains.
+are scored one by one, repeated rows alike; a null id counts as remainder 0 and trains. Very long texts are read whole.
+Columns beside id and text are not read, whatever their names. An empty table gives no rows; if no row trains, the root is
+uniform. Logarithms are added per text and partition and sent as 32-bit floats, so scores are exact to some 1e-7 of their size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,245 +41,368 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, word_hashes
 
-BEGIN, END, NONE = np.uint64(0x1F3D5B79A2C4E681), np.uint64(0x7C6E21A94B5D3F08), np.uint64(0)
+NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
+FAR = np.uint32(1 << 16)
 BYTES_A_TOKEN = 6
+SLICE, ROW_BYTES, WIDEST = 4 << 20, 1 << 10, 32 << 20
+FINE = 1 << 16
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Lightly compressed: hashes of frequent words repeat."""
     return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
-def _unpack(parts: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, parts)), kind)
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _pack_codes(codes: np.ndarray) -> bytes:
+def _planes(x: np.ndarray) -> bytes:
     """Small numbers by planes of bytes: the upper ones are nearly empty."""
-    width = 2 if not codes.size or codes.max() < 1 << 16 else 4
-    return _pack(np.ascontiguousarray(codes.astype(f"<u{width}").reshape(-1, 1).view(np.uint8).T))
-
-
-def _unpack_words(parts: list[bytes], words: list[bytes], sizes: np.ndarray, kind: type, lines: int = 1) -> np.ndarray:
-    """The words of all coded columns, end on end."""
-    out, at = np.empty((lines, int(sizes.sum())), kind), 0
-    for x, w, n in zip(parts, words, sizes.tolist(), strict=True):
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
-        width = len(planes) // (lines * n)
-        codes = np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").reshape(lines, n)
-        out[:, at : at + n] = _unpack([w], kind)[codes]
-        at += n
-    return out
-
-
-class _Coder:
-    """Numbers the words of one piece after another by those that occur in it."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.seen, self.place = words, np.zeros(len(words), bool), np.zeros(len(words), np.uint32)
-
-    def __call__(self, codes: np.ndarray, kind: type) -> tuple[bytes, np.ndarray]:
-        self.seen[codes] = True
-        used = np.flatnonzero(self.seen)
-        self.seen[used] = False
-        self.place[used] = np.arange(len(used))
-        return _pack(self.words[used].astype(kind)), self.place[codes]
-
-
-def _starts(sorted_: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
-
-
-def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One position of each distinct key, and at each position its key's training count."""
-    order = np.argsort(keys)
-    starts = _starts(keys[order])
-    sums = np.add.reduceat(train[order], starts, dtype=np.int32)
-    count = np.empty(len(keys), np.int32)
-    count[order] = np.repeat(sums, np.diff(np.r_[starts, len(keys)]))
-    return order[starts], count
-
-
-def _whole(starts: np.ndarray, lo: int, hi: int, step: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Cut lo..hi at starts of runs into pieces of about `step`, never inside a run: bounds and the starts within, from 0."""
-    starts = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)]
-    at = np.searchsorted(starts, np.arange(lo + step, hi, step))
-    cuts = np.unique(np.r_[lo, starts[at[at < len(starts)]], hi])
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield a, b, starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
-
-
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 2, part_tokens: int = 2_000_000, step: int = 500_000) -> DataFrame:
+    width = 2 if not x.size or x.max() < 1 << 16 else 4
+    return bytes([width]) + _pack(np.ascontiguousarray(x.astype(f"<u{width}").reshape(-1, 1).view(np.uint8).T))
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    planes = _unpack(x[1:], np.uint8)
+    return np.ascontiguousarray(planes.reshape(x[0], -1).T).view(f"<u{x[0]}").ravel().astype(np.uint32)
+
+
+def _starts(line: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One position of each distinct key, and at each position the number of its key."""
+    order = np.argsort(key)
+    starts = _starts(key[order])
+    number = np.empty(len(key), np.uint32)
+    number[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), np.diff(np.r_[starts, len(key)]))
+    return order[starts], number
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) | b
+
+
+@dataclass
+class Head:
+    """Frequent words in order of hash, their codes in order of frequency, and the counts of all codes; sums over all words."""
+
+    hashes: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+    tokens: int
+    types: int
+    base_parts: int
+    first: np.ndarray  # of a split code its first partition, else -1
+    subs: np.ndarray
+
+    def code(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), TAIL, np.uint32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.codes[at], TAIL).astype(np.uint32)
+
+    @property
+    def floor(self) -> float:
+        return float(self.tokens + self.types + 1)
+
+    def share(self) -> np.ndarray:
+        """Of each code its share of all training tokens; under TAIL that of one word beyond the head."""
+        known = self.counts.astype(np.float64)
+        rest, kinds = self.tokens - known.sum(), self.types - np.count_nonzero(known)
+        known[TAIL] = rest / kinds if kinds > 0 else 0
+        return np.maximum(known, 1e-9) / max(1, self.tokens)
+
+    @property
+    def parts(self) -> int:
+        return self.base_parts + int(self.subs.sum())
+
+
+class Slice:
+    """Positions of the texts of a slice: the middle word's code, hash and text of each, in order."""
+
+    def __init__(self, column: pa.Array, head: Head):
+        h, at = word_hashes(column)
+        self.n = np.diff(at)
+        kinds, inverse = np.unique(h, return_inverse=True)
+        total = len(h) + len(self.n)
+        self.heads = at[:-1] + np.arange(len(self.n))
+        inner = np.ones(total, bool)
+        inner[self.heads] = False
+        self.code, self.hash = np.full(total, BEGIN, np.uint32), np.zeros(total, np.uint64)
+        self.code[inner], self.hash[inner] = head.code(kinds)[inverse], h
+        self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
+        last = self.heads + self.n
+        self.next, self.next_hash = np.r_[self.code[1:], np.uint32(END)], np.r_[self.hash[1:], np.uint64(0)]
+        self.next[last], self.next_hash[last] = END, 0
+
+    def back(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word k before the middle one, NONE beyond the start."""
+        at = np.arange(len(self.code)) - k
+        ok = at >= self.heads[self.doc]
+        at = np.maximum(at, 0)
+        return np.where(ok, self.code[at], np.uint32(NONE)), np.where(ok, self.hash[at], np.uint64(0))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, c): training count of each word, counts of some megabytes of text sent at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+                kinds, inverse = np.unique(h, return_inverse=True)
+                n = np.bincount(inverse, c, len(kinds)).astype(np.int64)
+                held.clear()
+                for k in range(0, len(kinds), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000])], ["h", "c"])
+
+        for b in slices(batches, most=SLICE):
+            h, at = word_hashes(b.column("text"))
+            train = np.repeat(~b.column("held").to_numpy(zero_copy_only=False), np.diff(at))
+            held.append(np.unique(h[train], return_counts=True))
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                yield from out()
+        yield from out()
+
+    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def head_of(words: DataFrame, texts: int, head_words: int, part_tokens: int, bulk: float) -> Head:
+    """The head of the vocabulary and the partitions; what comes to the driver has a fixed bound."""
+    step = F.when(F.col("c") < FINE, F.col("c")).otherwise(FINE + F.floor(F.log2(F.col("c") / FINE) * 128)).cast("long")
+    levels = sorted(words.groupBy(step.alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect(), reverse=True)
+    from_, n = None, 0
+    for level, kinds, _ in levels:
+        n += kinds
+        if n > head_words:
+            break
+        from_ = level
+    found = words.where(step >= from_).toArrow() if from_ is not None else None
+    h, c = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if found is None else (found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy())
+    order = np.lexsort((h, -c))
+    counts = np.r_[np.zeros(FIRST, np.int64), c[order]]
+    counts[END] = texts
+    codes = np.empty(len(h), np.uint32)
+    codes[order] = np.arange(FIRST, FIRST + len(h))
+    by_hash = np.argsort(h)
+    tokens = sum(r[2] for r in levels) + texts
+    # positions of each word, held-out ones by proportion
+    grown = max(1.0, bulk / max(1, tokens))
+    size = counts * grown
+    size[BEGIN], size[END] = texts * grown, 0
+    subs = np.where(size > part_tokens / 2, np.ceil(size / (part_tokens / 2)), 0).astype(np.int64)
+    rest = max(0.0, bulk - size[subs > 0].sum())
+    base = max(6, -(-int(rest) // part_tokens))
+    first = np.where(subs > 0, base + np.cumsum(subs) - subs, -1)
+    return Head(h[by_hash], codes[by_hash], counts, tokens, sum(r[1] for r in levels) + (1 if texts else 0), base, first, subs)
+
+
+def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
+    """(part, xs, ns): training counts of the next words of each split word, for each of its partitions."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value
+        for b in slices(batches, most=SLICE):
+            s = Slice(b.column("text"), head)
+            on = np.flatnonzero((head.subs[s.code] > 0) & ~b.column("held").to_numpy(zero_copy_only=False)[s.doc])
+            x = np.where(s.next[on] == TAIL, s.next_hash[on] | np.uint64(1 << 63), s.next[on].astype(np.uint64))
+            order = np.lexsort((x, s.code[on]))
+            w, x = s.code[on][order], x[order]
+            at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1])]) if len(w) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w[at].astype(np.int32)), pa.array(x[at].view(np.int64)), pa.array(np.diff(np.r_[at, len(w)]))], ["w", "x", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, x, n = (b.column(c).to_numpy() for c in ("w", "x", "n"))
+            rows = [(int(k), _pack(x[w == k]), _pack(n[w == k])) for k in np.unique(w)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["w", "xs", "ns"])
+
+    pairs = docs.mapInArrow(count, "w int, x long, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
+    head = shared.value
+    where = docs.sparkSession.createDataFrame([(k, int(head.first[k]), int(head.first[k] + head.subs[k] - 1)) for k in split], "w_ int, lo int, hi int")
+    return pairs.mapInArrow(packed, "w int, xs binary, ns binary").join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode(F.sequence("lo", "hi")).alias("part"), "xs", "ns")
+
+
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 6, part_tokens: int = 1_500_000, head_words: int = 60_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = df.sparkSession
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
-    bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(6, -(-bulk // (BYTES_A_TOKEN * part_tokens)))
-    home = int(BEGIN) % parts  # every text has one position there, which carries its id
+    size, rows, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if(~F.col("held"))).first()
+    words = stored(word_counts(docs), "words")
+    shared = spark.sparkContext.broadcast(head := head_of(words, texts, head_words, part_tokens, size / BYTES_A_TOKEN + rows))
+    parts, wide = head.parts, min(WIDEST, max(SLICE, ROW_BYTES * head.parts))
+    blob = "part int, slice long, mid binary, docs binary, words binary, tails binary, places binary, xs binary, ns binary, info binary"
 
     def deal(numbered: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(numbered, most=4 << 20):
-            h, at = word_hashes(b.column("text"))
-            n = np.diff(at)
-            # each text: BEGIN and its words as middle words, the words and END as next words; words are numbered by frequency
-            total, doc = len(h) + len(n), np.repeat(np.arange(len(n)), n + 1)
-            heads = at[:-1] + np.arange(len(n))
-            kinds, code, many = np.unique(h, return_inverse=True, return_counts=True)
-            often = np.argsort(-many, kind="stable")
-            place = np.empty(len(kinds), np.uint32)
-            place[often] = np.arange(3, len(kinds) + 3)
-            words = np.r_[NONE, END, BEGIN, kinds[often]]
-            mid, inner = np.full(total, 2, np.uint32), np.ones(total, bool)
-            inner[heads] = False
-            mid[inner] = place[code]
-            part = (words % np.uint64(parts)).astype(np.int32)[mid]
+        head = shared.value
+        log = np.log10((head.counts + 1) / head.floor)
+        for b in slices(numbered, most=wide):
+            s, name = Slice(b.column("text"), head), b.column("row")[0].as_py()
+            held_ = b.column("held").to_numpy(zero_copy_only=False)
+            # the words of the text as predicted words: base terms of the head's
+            at, known = s.next != TAIL, (s.next != TAIL) & (head.counts[s.next] > 0)
+            base = np.bincount(s.doc[at], log[s.next[at]], len(s.n))
+            ids = b.column("id")
+            info = pa.record_batch([ids, pa.array(held_), pa.array(s.n + 1), pa.array(np.bincount(s.doc[known], minlength=len(s.n))), pa.array(base)], ["id", "held", "n_tokens", "n_known", "base"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, info.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(info)
+            backs = [s.back(k) for k in range(1, depth)]
+            part = (np.where(s.code == TAIL, s.hash, mix(s.code.astype(np.uint64))) % np.uint64(head.base_parts)).astype(np.int64)
+            split = np.flatnonzero(head.subs[s.code] > 0)
+            if len(split):
+                before = backs[0] if backs else s.back(1)
+                by = np.where(before[0][split] == TAIL, before[1][split], mix(before[0][split].astype(np.uint64) + np.uint64(1)))
+                by = np.where(s.code[split] == BEGIN, mix(np.uint64(name) + s.doc[split].astype(np.uint64)), by)
+                part[split] = head.first[s.code[split]] + (by % head.subs[s.code[split]].astype(np.uint64)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            part, doc, within = part[order], doc[order], (np.arange(total) - np.repeat(heads, n + 1))[order]
-            about = np.zeros((depth, total), np.uint32)  # the next word, then the words before the middle word
-            about[0, :-1] = mid[1:]
-            about[0, heads + n] = 1
-            about[0] = about[0, order]
-            for k in range(1, depth):
-                about[k] = np.where(within >= k, mid[np.maximum(order - k, 0)], 0)
-            mid = mid[order]
-            ids, held_ = b.column("row").to_numpy(), b.column("held").to_numpy(zero_copy_only=False)
-            names, named = b.column("id").fill_null(0).to_numpy(), b.column("id").is_valid().to_numpy(zero_copy_only=False)
-            cuts, out, coded = np.searchsorted(part, np.arange(parts + 1)), [], _Coder(words)
-            for p in range(parts):
-                lo, hi = cuts[p], cuts[p + 1]
-                if hi > lo:
-                    d = doc[lo:hi]
-                    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                    (own, m), (others, x) = coded(mid[lo:hi], np.uint64), coded(about[:, lo:hi], np.uint32)
-                    out.append((p, _pack(ids[d[first]] * 2 + held_[d[first]]), _pack(np.diff(np.r_[first, hi - lo]).astype(np.uint32)), int(hi - lo), own, _pack_codes(m), others, _pack_codes(x[0]), _pack_codes(x[1]), _pack_codes(x[2:]), *((_pack(names[d[first]]), _pack(named[d[first]])) if p == home else (_pack(names[:0]), _pack(named[:0])))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 8), strict=True)], ["part", "ids", "runs", "size", "own", "mid", "others", "after", "back", "far", "names", "named"])
+            cuts, out = np.searchsorted(part[order], np.arange(parts + 1)), []
+            columns = [(s.code, s.hash), (s.next, s.next_hash), *backs]
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                e = order[cuts[p] : cuts[p + 1]]
+                tails = [h[e][c[e] == TAIL] for c, h in columns]
+                places = np.r_[e[s.next[e] == TAIL] + 1, e[s.code[e] == TAIL]]  # of the predicted word
+                moved = np.diff(np.r_[0, s.doc[e]]) * 2 + held_[s.doc[e]]
+                out.append((p, name, _planes(s.code[e]), _planes(moved), _pack(np.frombuffer(b"".join(len(x := _planes(c[e])).to_bytes(4, "little") + x for c, _ in columns[1:]), np.uint8)), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
+            out.append((name % parts, name, *[None] * 7, sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 8), strict=True)], [x.split()[0] for x in blob.split(", ")])
+
+    back_blob = "slice long, docs binary, sums binary, asked binary, terms binary, told binary, counts binary, info binary"
 
     def score(t: pa.Table) -> pa.RecordBatch | None:
-        ids, runs = (_unpack(t.column(c).to_pylist(), k) for c, k in (("ids", np.int64), ("runs", np.uint32)))
-        read = lambda c, words, kind, lines=1: _unpack_words(t.column(c).to_pylist(), t.column(words).to_pylist(), t.column("size").to_numpy(), kind, lines)
-        mid, after, back = read("mid", "own", np.uint64)[0], read("after", "others", np.uint32)[0], read("back", "others", np.uint32)[0]
-        run = np.repeat(np.arange(len(runs), dtype=np.int32), runs)
-        trains = (ids & 1) == 0
-        n, kinds_ = len(runs), 0
-        sums_, counts_ = np.zeros((2, n)), np.zeros((4, n), np.int32)
-        # in order of middle word, then of the word before it: contexts are runs, so only next words are left to sort
-        order = np.argsort(mid)
-        mid = mid[order]
-        starts = _starts(mid)
-        begin = np.uint64(next(iter(np.flatnonzero(mid[starts] == BEGIN)), len(starts)))
-        del mid
-        rank = np.empty(len(order), np.uint64)
-        rank[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), np.diff(np.r_[starts, len(order)]))
-        del order
-        rank <<= np.uint64(32)
-        rank |= back
-        del back
-        order = np.argsort(rank)
-        line, after, run = rank[order], after[order], run[order]
-        del rank
-        far, order = (read("far", "others", np.uint32, depth - 2), order.astype(np.uint32)) if depth > 2 else (None, None)
-        contexts = _starts(line)
-        for lo, hi, own1 in _whole(starts, 0, len(line), step):
-            train, x = trains[run[lo:hi]], after[lo:hi]
-            sums1 = np.add.reduceat(train, own1, dtype=np.int32)
-            kinds_ += int(((sums1 > 0) & (line[lo + own1] >> np.uint64(32) != begin)).sum())
-            c1 = np.repeat(sums1, np.diff(np.r_[own1, hi - lo]))
-            # a frequent word's next words are counted a share at a time
-            c1x, shares = np.empty(hi - lo, np.int32), -(-(hi - lo) // (2 * step))
-            for k in range(shares):
-                e = np.flatnonzero(x % np.uint32(shares) == k) if shares > 1 else slice(None)
-                c1x[e] = _count((line[lo:hi][e] >> np.uint64(32) << np.uint64(32)) | x[e], train[e])[1]
-            for a, b, own2 in _whole(contexts, lo, hi, step):
-                d1, d1x, t2, x2 = c1[a - lo : b - lo], c1x[a - lo : b - lo], train[a - lo : b - lo], x[a - lo : b - lo]
-                sums2, many = np.add.reduceat(t2, own2, dtype=np.int32), np.diff(np.r_[own2, b - a])
-                at2, c2 = np.repeat(np.arange(len(own2), dtype=np.uint32), many), np.repeat(sums2, many)
-                each, c2x = _count((at2.astype(np.uint64) << np.uint64(32)) | x2, t2)
-                # divergence of each two-word context from its suffix, summed over its next words seen in training
-                each = each[c2x[each] > 0]
-                gain = c2x[each] * (np.log(c2x[each] / c2[each]) - np.log(d1x[each] / d1[each]))
-                state = (sums2 >= min_count) & (np.bincount(at2[each], gain, len(own2)) >= divergence) & (line[a + own2].astype(np.uint32) != np.uint32(NONE))
-                del each, gain
-                chance = np.empty(b - a)
-                for k in range(0, b - a, step):
-                    e = slice(k, k + step)
-                    f1, f1x, f2, f2x, r = d1[e], d1x[e], c2[e], c2x[e], run[a:b][e]
-                    p = np.where(f1x > 0, f1x, np.where(f1 > 0, root_pseudo, 1.0)) / np.where(f1 > 0, f1 + root_pseudo, 1.0)
-                    p = chance[e] = np.where(state[at2[e]], (f2x + pseudo * p) / (f2 + pseudo), p)
-                    # the middle word as a predicted word: its base term, and its root term where its left neighbour never led to it
-                    word = line[a:b][e] >> np.uint64(32) != begin
-                    own_log = np.where(word, np.log10(f1 + 1.0), 0)
-                    root = word & (f2 == 0)
-                    sums_[0] += np.bincount(r, np.log10(p) + np.where(root, own_log, 0), n)
-                    sums_[1] += np.bincount(r, own_log, n)
-                    for j, flag in enumerate((root, (f1x == 0) & (x2[e] == END.astype(np.uint32)), word & (f1 > 0), word)):
-                        counts_[j] += np.bincount(r[flag], minlength=n).astype(np.int32)
-                # longer contexts, level by level, among the positions whose context is frequent enough; chance lacks the root's
-                # share where a word falls through to it, which is a factor that no level changes
-                e = np.flatnonzero(c2 >= min_count) if depth > 2 else np.zeros(0, np.int64)
-                at_, p, share = at2[e], chance[e], np.where(state[at2[e]], c2x[e] / c2[e], d1x[e] / d1[e])
-                for level in range(depth - 2):
-                    word = far[level][order[a:b][e]]
-                    longer = np.flatnonzero(word)
-                    if not len(longer):
-                        break
-                    e, p, share = e[longer], p[longer], share[longer]
-                    key = (at_[longer].astype(np.uint64) << np.uint64(32)) | word[longer]
-                    by = np.argsort(key)
-                    own = _starts(key[by])
-                    at_ = np.empty(len(e), np.uint32)
-                    at_[by] = np.repeat(np.arange(len(own), dtype=np.uint32), np.diff(np.r_[own, len(e)]))
-                    c = np.bincount(at_, t2[e], len(own))
-                    each, cx = _count((at_.astype(np.uint64) << np.uint64(32)) | x2[e], t2[e])
-                    each = each[cx[each] > 0]
-                    gain = cx[each] * (np.log(cx[each] / c[at_[each]]) - np.log(share[each]))
-                    grown = (c >= min_count) & (np.bincount(at_[each], gain, len(own)) >= divergence)
-                    on = np.flatnonzero(grown[at_])
-                    now = (cx[on] + pseudo * p[on]) / (c[at_[on]] + pseudo)
-                    sums_[0] += np.bincount(run[a:b][e[on]], np.log10(now / p[on]), n)
-                    p[on], share[on] = now, cx[on] / c[at_[on]]
-                    on = np.flatnonzero(c[at_] >= min_count)
-                    e, at_, p, share = e[on], at_[on], p[on], share[on]
-        names, named = (_unpack(t.column(c).to_pylist(), k) for c, k in (("names", np.int64), ("named", bool)))
-        home_ = len(names) > 0
-        to = (ids >> 1) % parts
-        order = np.argsort(to, kind="stable")
-        cuts, out = np.searchsorted(to[order], np.arange(parts + 1)), []
-        for q in range(parts):
-            if cuts[q + 1] > cuts[q]:
-                e = order[cuts[q] : cuts[q + 1]]
-                out.append((q, kinds_, *(_pack(c[..., e]) for c in (ids, sums_, counts_)), *(_pack(c[e] if home_ else c) for c in (names, named))))
-                kinds_ = 0
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["to", "types", "ids", "sums", "counts", "names", "named"])
+        head = shared.value
+        share, log_floor = head.share(), head.floor
+        pieces = [r for r in t.select(["slice", "mid", "docs", "words", "tails", "places"]).to_pylist() if r["mid"] is not None]
+        infos = [(r["slice"], *[None] * 6, r["info"]) for r in t.select(["slice", "info"]).to_pylist() if r["info"] is not None]
+        tables = [r for r in t.select(["xs", "ns"]).to_pylist() if r["xs"] is not None]
+        out = []
+        if pieces:
+            columns, tails = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)]
+            for r in pieces:
+                codes, line, at = [_numbers(r["mid"])], _unpack(r["words"], np.uint8).tobytes(), 0
+                while at < len(line):
+                    n = int.from_bytes(line[at : at + 4], "little")
+                    codes.append(_numbers(line[at + 4 : at + 4 + n]))
+                    at += 4 + n
+                own, k = _unpack(r["tails"], np.uint64), 0
+                for j, c in enumerate(codes):
+                    n = int(np.count_nonzero(c == TAIL))
+                    columns[j].append(c)
+                    tails[j].append(own[k : k + n])
+                    k += n
+            sizes = [len(x) for x in columns[0]]
+            columns = [np.concatenate(c) for c in columns]
+            flat = np.unique(np.concatenate([x for c in tails for x in c]))
+            far = [columns[j] == TAIL for j in (0, 1)]
+            for j, c in enumerate(columns):  # words beyond the head by their place among those of this partition
+                c[c == TAIL] = FAR + np.searchsorted(flat, np.concatenate(tails[j])).astype(np.uint32)
+            mid, x, *backs = columns
+            moved = [_numbers(r["docs"]).astype(np.int64) for r in pieces]
+            doc = np.concatenate([np.cumsum(m >> 1) for m in moved])
+            train = np.concatenate([(m & 1) == 0 for m in moved])
+            rs = share[np.where(x >= FAR, TAIL, x)]
+            count = lambda number, n: np.bincount(number[train], minlength=n)
+            # one word
+            each, own = _groups(mid)
+            c = count(own, len(each))
+            first, pair = _groups(_pair(own, x))
+            cx = count(pair, len(first))
+            word = int(mid[0])
+            if tables and word < FAR and head.subs[word] > 0:  # a split word is alone in its partition
+                xs, ns = (np.concatenate([_unpack(r[k], kind) for r in tables]) for k, kind in (("xs", np.uint64), ("ns", np.int64)))
+                order = np.argsort(xs)
+                xs, ns = xs[order], ns[order]
+                asked = x[first].astype(np.uint64)
+                if len(flat):
+                    asked = np.where(x[first] >= FAR, flat[np.where(x[first] >= FAR, x[first] - FAR, 0)] | np.uint64(1 << 63), asked)
+                at = np.minimum(np.searchsorted(xs, asked), len(xs) - 1)
+                cx = np.where(xs[at] == asked, ns[at], 0)
+                c = np.array([ns.sum()])
+                gain = np.array([(ns * (np.log(ns / c[0]) - np.log(share[np.where(xs >> np.uint64(63) == 1, TAIL, xs).astype(np.int64)]))).sum()])
+            else:
+                some = first[cx > 0]
+                gain = np.bincount(own[some], cx[cx > 0] * (np.log(cx[cx > 0] / c[own[some]]) - np.log(rs[some])), len(each))
+            state = (c >= min_count) & (gain >= divergence)
+            ci, cxi = c[own], cx[pair].astype(np.float64)
+            is_ = state[own]
+            a, b = np.where(is_, cxi / (ci + root_pseudo), 0.0), np.where(is_, root_pseudo / (ci + root_pseudo), 1.0)
+            seen = np.where(is_ & (cxi > 0), cxi / np.maximum(ci, 1), rs)
+            told = np.flatnonzero(mid >= FAR)
+            told_count = ci[told]
+            e = np.flatnonzero(ci >= min_count)
+            at_, deep = own[e], is_
+            del own, pair, cxi, is_, ci
+            # longer contexts, level by level, among the positions whose context is frequent enough
+            for back in backs:
+                on = back[e] != NONE
+                e, at_ = e[on], at_[on]
+                if not len(e):
+                    break
+                each, own = _groups(_pair(at_, back[e]))
+                c = np.bincount(own[train[e]], minlength=len(each))
+                first, pair = _groups(_pair(own, x[e]))
+                cx = np.bincount(pair[train[e]], minlength=len(first))
+                some = cx > 0
+                where = e[first[some]]
+                gain = np.bincount(own[first[some]], cx[some] * (np.log(cx[some] / c[own[first[some]]]) - np.log(seen[where])), len(each))
+                on = np.flatnonzero(((c >= min_count) & (gain >= divergence))[own])
+                i, n, k = e[on], c[own[on]], cx[pair[on]]
+                m = np.where(deep[i], pseudo, root_pseudo)
+                a[i], b[i] = (k + m * a[i]) / (n + m), m * b[i] / (n + m)
+                seen[i] = np.where(k > 0, k / n, seen[i])
+                deep[i] = True
+                on = np.flatnonzero(c[own] >= min_count)
+                e, at_ = e[on], own[on]
+            head_x = ~far[1]
+            value = np.zeros(len(x))
+            value[head_x] = np.log10(a[head_x] + b[head_x] * (head.counts[x[head_x]] + 1) / log_floor)
+            asked = np.flatnonzero(far[1])
+            cuts = np.r_[0, np.cumsum(sizes)]
+            for k, r in enumerate(pieces):
+                lo, hi = int(cuts[k]), int(cuts[k + 1])
+                d = doc[lo:hi]
+                heads = _starts(d)
+                sums = np.add.reduceat(value[lo:hi], heads).astype(np.float32)
+                q, w = slice(*np.searchsorted(asked, [lo, hi])), slice(*np.searchsorted(told, [lo, hi]))
+                places = _unpack(r["places"], np.uint32)
+                n = q.stop - q.start
+                out.append((r["slice"], _planes(np.diff(np.r_[0, d[heads]])), sums.tobytes(), _pack(places[:n]), _pack(np.stack([a[asked[q]], b[asked[q]]])), _pack(places[n:]), _pack(told_count[w].astype(np.int64)), None))
+        rows = out + infos
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 7), strict=True)], [x.split()[0] for x in back_blob.split(", ")]) if rows else None
 
     def total(t: pa.Table) -> pa.RecordBatch | None:
-        ids = [_unpack([x], np.int64) for x in t.column("ids").to_pylist()]
-        rows, at = np.unique(np.concatenate(ids), return_inverse=True)
-        add = lambda c, kind, lines: [np.bincount(at, x, len(rows)) for x in np.concatenate([_unpack([x], kind).reshape(lines, -1) for x in t.column(c).to_pylist()], axis=1)]
-        sums, counts = add("sums", np.float64, 2), [x.astype(np.int32) for x in add("counts", np.int32, 4)]
-        name, known = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-        for i, x, y in zip(ids, t.column("names").to_pylist(), t.column("named").to_pylist(), strict=True):
-            if len(x := _unpack([x], np.int64)):
-                place = np.searchsorted(rows, i)
-                name[place], known[place] = x, _unpack([y], bool)
-        types = np.zeros(len(rows), np.int64)
-        types[0] = sum(t.column("types").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(name, mask=~known), *map(pa.array, sums), *map(pa.array, counts), pa.array(types)], ["row", "id", "s", "base", "falls", "ends", "known", "words", "types"])
+        head = shared.value
+        rows = t.to_pylist()
+        info = pa.ipc.open_stream(next(r["info"] for r in rows if r["info"] is not None)).read_all().combine_chunks()
+        n = info.column("n_tokens").to_numpy()
+        base, known, score_ = info.column("base").to_numpy().copy(), info.column("n_known").to_numpy().copy(), np.zeros(len(n))
+        count = np.zeros(int(n.sum()) + 1, np.int64)
+        pieces = [r for r in rows if r["docs"] is not None]
+        for r in pieces:
+            score_ += np.bincount(np.cumsum(_numbers(r["docs"])), np.frombuffer(r["sums"], np.float32), len(n))
+            count[_unpack(r["told"], np.uint32)] = _unpack(r["counts"], np.int64)
+        ends = np.cumsum(n)
+        for r in pieces:
+            at = _unpack(r["asked"], np.uint32).astype(np.int64)
+            if len(at):
+                a, b = _unpack(r["terms"], np.float64).reshape(2, -1)
+                doc, p0 = np.searchsorted(ends, at, "right"), (count[at] + 1) / head.floor
+                score_ += np.bincount(doc, np.log10(a + b * p0), len(n))
+                base += np.bincount(doc, np.log10(p0), len(n))
+                known += np.bincount(doc, count[at] > 0, len(n)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([info.column("id").combine_chunks(), info.column("held").combine_chunks(), pa.array(n), pa.array(known), pa.array(base), pa.array(score_)], ["id", "held", "n_tokens", "n_known", "base", "score"])
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    blobs = numbered.mapInArrow(deal, "part int, ids binary, runs binary, size long, own binary, mid binary, others binary, after binary, back binary, far binary, names binary, named binary")
-    parted = streamed(blobs, ["part"], score, "to int, types long, ids binary, sums binary, counts binary, names binary, named binary", parts)
-    sums = stored(streamed(parted, ["to"], total, "row long, id long, s double, base double, falls int, ends int, known int, words int, types long", parts), "sums")
-    kept = sums.where("row % 2 = 0")
-    texts, words = kept.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    types = sums.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
-    n, v = words + texts, types + (1 if texts else 0)
-    floor, end = float(np.log10(n + v + 1)), float(np.log10(texts + 1))
-    out = sums.withColumn("held_out", F.col("row") % 2 == 1)
-    return out.select(
-        F.col("id").alias(id_col),
-        "held_out",
-        (F.col("words") + 1).cast("long").alias("n_tokens"),
-        (F.col("known") + (1 if texts else 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + end - (F.col("words") + 1) * floor).alias("base_score"),
-        (F.col("s") + F.col("ends") * end - (F.col("falls") + F.col("ends")) * floor).alias("score"),
-    )
+    blobs = numbered.mapInArrow(deal, blob)
+    if split := np.flatnonzero(head.subs).tolist():
+        pairs = split_pairs(docs, shared, split)
+        none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in blob.split(", ")]
+        blobs = blobs.unionByName(pairs.select("part", *[c for c, x in zip(none, blob.split(", "), strict=True) if x.split()[0] not in ("part", "xs", "ns")], "xs", "ns"))
+    parted = streamed(blobs, ["part"], score, back_blob, parts)
+    out = streamed(parted, ["slice"], total, "id long, held boolean, n_tokens long, n_known long, base double, score double", min(parts, 4096))
+    return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(head.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -37,31 +37,49 @@ def jaccard_components(rows, threshold=75):
     return [(i, len(s), (min(least[root(k)], default=None) if s else i)) for k, ((i, _), s) in enumerate(zip(rows, sets))]
 
 
-def suffix_scores(rows, divergence=2.0, min_count=2, r=50.0, m=3.0):
-    docs = [(i, words(t) + ["<END>"], i is not None and crc32(str(i).encode()) % 7 == 2) for i, t in rows]
-    c, c1, c1x, c2, c2x = (Counter() for _ in range(5))
+def suffix_scores(rows, depth=6, divergence=2.0, min_count=2, r=50.0, m=3.0, head_words=60_000):
+    """(id, held, tokens, known, N, base, score) of each row, and the distribution of a context by name."""
+    docs = [(i, ["<BEGIN>", *words(t), "<END>"], i is not None and crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    c, cx, after = Counter(), Counter(), defaultdict(list)
     for _, w, held in docs:
-        if not held:
-            c.update(w)
-            w = ["<BEGIN>", *w]
-            for k in range(1, len(w)):
-                c1[w[k - 1]] += 1
-                c1x[w[k - 1], w[k]] += 1
-                if k > 1:
-                    c2[w[k - 2], w[k - 1]] += 1
-                    c2x[w[k - 2], w[k - 1], w[k]] += 1
-    n, v, gain = sum(c.values()), len(c), Counter()
-    for (a, b, x), k in c2x.items():
-        gain[a, b] += k * (log(k / c2[a, b]) - log(c1x[b, x] / c1[b]))
+        for k in range(1, len(w) if not held else 0):
+            for n in range(min(k, depth) + 1):
+                s = tuple(w[k - n : k])
+                c[s] += 1
+                if not cx[s, w[k]]:
+                    after[s].append(w[k])
+                cx[s, w[k]] += 1
+    n, v = c[()], len(after[()])
+    by, head = Counter(cx[(), x] for x in after[()] if x != "<END>"), set()
+    for level in sorted(by, reverse=True):
+        if len(head) + by[level] > head_words:
+            break
+        head |= {x for x in after[()] if x != "<END>" and cx[(), x] == level}
+    tail = [x for x in after[()] if x not in head and x != "<END>"]
+    even = sum(cx[(), x] for x in tail) / len(tail) / n if tail else 0
+
+    def seen(s, x):
+        return cx[s, x] / c[s] if s else (even if x in tail else cx[(), x] / n)
+
+    tail, state, alive = set(tail), {(): ()}, {()}
+    for s in sorted((s for s in c if s), key=len):
+        of = state[s[1:]]
+        gain = sum(cx[s, x] * (log(cx[s, x] / c[s]) - log(seen(of, x))) for x in after[s]) if c[s] >= min_count else 0
+        ok = s[1:] in alive and c[s] >= min_count
+        if ok:
+            alive.add(s)
+        state[s] = s if ok and gain >= divergence else of
+
+    def chance(context, x):
+        p, above = (cx[(), x] + 1) / (n + v + 1), r
+        for k in range(1, min(len(context), depth) + 1):
+            s = context[len(context) - k :]
+            if s and state.get(s) == s:
+                p, above = (cx[s, x] + above * p) / (c[s] + above), m
+        return p
+
     out = []
     for i, w, held in docs:
-        score, line = 0.0, ["<BEGIN>", *w]
-        for k in range(1, len(line)):
-            b, x = line[k - 1], line[k]
-            p = c1x[b, x] / (c1[b] + r) if c1x[b, x] else (r / (c1[b] + r) if c1[b] else 1) * (c[x] + 1) / (n + v + 1)
-            s = (line[k - 2], b) if k > 1 else None
-            if s and c2[s] >= min_count and gain[s] >= divergence:
-                p = (c2x[(*s, x)] + m * p) / (c2[s] + m)
-            score += log10(p)
-        out.append((i, held, len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 1) / (n + v + 1)) for x in w), score))
-    return out
+        own = [chance(tuple(w[max(0, k - depth) : k]), w[k]) for k in range(1, len(w))]
+        out.append((i, held, len(w) - 1, sum(cx[(), x] > 0 for x in w[1:]), n, sum(log10((cx[(), x] + 1) / (n + v + 1)) for x in w[1:]), sum(map(log10, own))))
+    return out, chance, after[()], max((len(s) for s in state if state[s] == s), default=0)

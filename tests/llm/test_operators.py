@@ -166,55 +166,39 @@ def test_length_histogram(edge, nothing):
 
 
 # 4 language model ---------------------------------------------------------------------------------------------------
-def test_suffix_tree(some, edge, nothing):
-    for df in (some, edge):
-        got = none_first(tuple(r) for r in suffix_lm.suffix_tree_scores(df, step=50).collect())
-        want = none_first(suffix_scores(pairs(df)))
-        assert [g[:5] for g in got] == [w[:5] for w in want]
-        for k in (5, 6):
-            assert np.allclose(sorted(g[k] for g in got), sorted(w[k] for w in want), rtol=1e-9)
+def _held_against_the_model(df, **options):
+    got = none_first(tuple(r) for r in suffix_lm.suffix_tree_scores(df, **options).collect())
+    want, chance, known, longest = suffix_scores(pairs(df), **{k: v for k, v in options.items() if k != "part_tokens"})
+    want = none_first(want)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for k in (5, 6):
+        assert np.allclose(sorted(g[k] for g in got), sorted(w[k] for w in want), rtol=1e-6)
+    return chance, known, longest
+
+
+@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"depth": 3, "head_words": 12}, {"head_words": 0}, {"part_tokens": 400}, {"part_tokens": 400, "head_words": 30, "divergence": 0.5}])
+def test_suffix_tree(some, options):
+    """Against a plain model: all words in the head, some, none; and with frequent words split over partitions."""
+    chance, known, _ = _held_against_the_model(some, **options)
+    for context in ((), ("<BEGIN>",), ("alpha1",), ("lambda9", "mu3"), ("never", "seen")):
+        assert abs(sum(chance(context, x) for x in known) + chance(context, "<no such word>") - 1) < 1e-9
+
+
+def test_suffix_tree_edges(edge, nothing):
+    _held_against_the_model(edge)
     assert suffix_lm.suffix_tree_scores(nothing).count() == 0
 
 
-def deep_scores(rows, depth, divergence=2.0, min_count=2, r=50.0, m=3.0):
-    docs = [(i, ["<BEGIN>", *words(t), "<END>"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
-    c, cx = Counter(), Counter()
-    for _, w, held in docs:
-        for k in range(1, len(w) if not held else 0):
-            for n in range(min(k, depth) + 1):
-                c[tuple(w[k - n : k])] += 1
-                cx[tuple(w[k - n : k]), w[k]] += 1
-    after, state = {}, {s: s for s in c if len(s) < 2}  # each context's longest suffix that is a state
-    for s, x in cx:
-        after.setdefault(s, []).append(x)
-    for s in sorted((s for s in c if len(s) > 1), key=len):
-        of = state[s[1:]]
-        gain = sum(cx[s, x] * (np.log(cx[s, x] / c[s]) - np.log(cx[of, x] / c[of])) for x in after[s])
-        state[s] = s if c[s] >= min_count and gain >= divergence else of
-    floor, out = c[()] + len(after.get((), [])) + 1, []
-    for i, w, _ in docs:
-        total, longest = 0.0, 0
-        for k in range(1, len(w)):
-            one, x = tuple(w[k - 1 : k]), w[k]
-            p = cx[one, x] / (c[one] + r) if cx[one, x] else (r / (c[one] + r) if c[one] else 1) * (cx[(), x] + 1) / floor
-            for n in range(2, min(k, depth) + 1):
-                s = tuple(w[k - n : k])
-                if state.get(s) == s:
-                    p, longest = (cx[s, x] + m * p) / (c[s] + m), max(longest, n)
-            total += np.log10(p)
-        out.append((i, total, longest))
-    return out
-
-
-def test_contexts_grow_beyond_two_words(spark, some, edge):
+def test_contexts_grow_beyond_two_words(spark):
     # only the fourth word back tells the next word
     told = spark.createDataFrame([(k, f"{'left' if k % 2 else 'right'} one two three {'up' if k % 2 else 'down'}") for k in range(300)], "doc_id long, text string")
-    for df, depth, longest in ((told, 2, 0), (told, 6, 4), (some, 4, None), (some, 6, None), (edge, 6, None)):
-        want = deep_scores(pairs(df), depth)
-        for step in (50, 500_000):
-            got = [(r["doc_id"], r["score"]) for r in suffix_lm.suffix_tree_scores(df, depth=depth, step=step).collect()]
-            assert np.allclose(sorted(s for _, s in got), sorted(w[1] for w in want), rtol=1e-9)
-        assert longest is None or max(w[2] for w in want) == longest
+    assert _held_against_the_model(told, depth=2)[2] == 1 and _held_against_the_model(told, depth=6)[2] == 4
+
+
+def test_a_frequent_word_is_split(spark):
+    rng = random.Random(14)
+    df = spark.createDataFrame([(k, " ".join(w for _ in range(60) for w in ("the", rng.choice(WORDS)))) for k in range(100)], "doc_id long, text string")
+    _held_against_the_model(df, part_tokens=1000)
 
 
 # 5 decontamination --------------------------------------------------------------------------------------------------
