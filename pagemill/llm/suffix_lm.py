@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, word_hashes
 
 NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
-FAR = np.uint32(1 << 16)
+FAR = np.uint32(1 << 24)
 BYTES_A_TOKEN = 6
 SLICE, ROW_BYTES, WIDEST = 4 << 20, 1 << 10, 32 << 20
 FINE = 1 << 16
@@ -93,6 +93,7 @@ class Head:
     counts: np.ndarray
     tokens: int
     types: int
+    least: int  # every word of this count or more is in the head
     base_parts: int
     first: np.ndarray  # of a split code its first partition, else -1
     subs: np.ndarray
@@ -107,12 +108,11 @@ class Head:
     def floor(self) -> float:
         return float(self.tokens + self.types + 1)
 
-    def share(self) -> np.ndarray:
-        """Of each code its share of all training tokens; under TAIL that of one word beyond the head."""
-        known = self.counts.astype(np.float64)
-        rest, kinds = self.tokens - known.sum(), self.types - np.count_nonzero(known)
-        known[TAIL] = rest / kinds if kinds > 0 else 0
-        return np.maximum(known, 1e-9) / max(1, self.tokens)
+    def share(self, codes: np.ndarray) -> np.ndarray:
+        """The share of these words in all training tokens; of a word beyond the head that of one of them on the mean."""
+        kinds = self.types - np.count_nonzero(self.counts)
+        even = max(1e-9, (self.tokens - int(self.counts.sum())) / kinds) if kinds > 0 else 1e-9
+        return np.where(codes == TAIL, even, np.maximum(self.counts[codes], 1e-9)) / max(1, self.tokens)
 
     @property
     def parts(self) -> int:
@@ -198,7 +198,7 @@ def head_of(words: DataFrame, texts: int, head_words: int, part_tokens: int, bul
     rest = max(0.0, bulk - size[subs > 0].sum())
     base = max(6, -(-int(rest) // part_tokens))
     first = np.where(subs > 0, base + np.cumsum(subs) - subs, -1)
-    return Head(h[by_hash], codes[by_hash], counts, tokens, sum(r[1] for r in levels) + (1 if texts else 0), base, first, subs)
+    return Head(h[by_hash], codes[by_hash], counts, tokens, sum(r[1] for r in levels) + (1 if texts else 0), int(c.min()) if len(c) == sum(r[1] for r in levels if r[0] >= (from_ or 0)) and len(c) else 1 << 62, base, first, subs)
 
 
 def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
@@ -228,7 +228,7 @@ def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
     return pairs.mapInArrow(packed, "w int, xs binary, ns binary").join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode(F.sequence("lo", "hi")).alias("part"), "xs", "ns")
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 6, part_tokens: int = 1_500_000, head_words: int = 60_000) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 6, part_tokens: int = 1_000_000, head_words: int = 2_000_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
@@ -240,23 +240,24 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def deal(numbered: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
-        log = np.log10((head.counts + 1) / head.floor)
         for b in slices(numbered, most=wide):
             s, name = Slice(b.column("text"), head), b.column("row")[0].as_py()
             held_ = b.column("held").to_numpy(zero_copy_only=False)
             # the words of the text as predicted words: base terms of the head's
             at, known = s.next != TAIL, (s.next != TAIL) & (head.counts[s.next] > 0)
-            base = np.bincount(s.doc[at], log[s.next[at]], len(s.n))
+            base = np.bincount(s.doc[at], np.log10((head.counts[s.next[at]] + 1) / head.floor), len(s.n))
             ids = b.column("id")
             info = pa.record_batch([ids, pa.array(held_), pa.array(s.n + 1), pa.array(np.bincount(s.doc[known], minlength=len(s.n))), pa.array(base)], ["id", "held", "n_tokens", "n_known", "base"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, info.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(info)
             backs = [s.back(k) for k in range(1, depth)]
+            if head.least <= min_count:  # words beyond the head are in no context of two words or more that counts
+                backs = [(np.where(c == TAIL, np.uint32(NONE), c), h) for c, h in backs]
             part = (np.where(s.code == TAIL, s.hash, mix(s.code.astype(np.uint64))) % np.uint64(head.base_parts)).astype(np.int64)
             split = np.flatnonzero(head.subs[s.code] > 0)
             if len(split):
-                before = backs[0] if backs else s.back(1)
+                before = s.back(1)
                 by = np.where(before[0][split] == TAIL, before[1][split], mix(before[0][split].astype(np.uint64) + np.uint64(1)))
                 by = np.where(s.code[split] == BEGIN, mix(np.uint64(name) + s.doc[split].astype(np.uint64)), by)
                 part[split] = head.first[s.code[split]] + (by % head.subs[s.code[split]].astype(np.uint64)).astype(np.int64)
@@ -276,7 +277,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def score(t: pa.Table) -> pa.RecordBatch | None:
         head = shared.value
-        share, log_floor = head.share(), head.floor
+        log_floor = head.floor
         pieces = [r for r in t.select(["slice", "mid", "docs", "words", "tails", "places"]).to_pylist() if r["mid"] is not None]
         infos = [(r["slice"], *[None] * 6, r["info"]) for r in t.select(["slice", "info"]).to_pylist() if r["info"] is not None]
         tables = [r for r in t.select(["xs", "ns"]).to_pylist() if r["xs"] is not None]
@@ -305,7 +306,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             moved = [_numbers(r["docs"]).astype(np.int64) for r in pieces]
             doc = np.concatenate([np.cumsum(m >> 1) for m in moved])
             train = np.concatenate([(m & 1) == 0 for m in moved])
-            rs = share[np.where(x >= FAR, TAIL, x)]
+            rs = head.share(np.where(x >= FAR, np.uint32(TAIL), x))
             count = lambda number, n: np.bincount(number[train], minlength=n)
             # one word
             each, own = _groups(mid)
@@ -323,7 +324,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 at = np.minimum(np.searchsorted(xs, asked), len(xs) - 1)
                 cx = np.where(xs[at] == asked, ns[at], 0)
                 c = np.array([ns.sum()])
-                gain = np.array([(ns * (np.log(ns / c[0]) - np.log(share[np.where(xs >> np.uint64(63) == 1, TAIL, xs).astype(np.int64)]))).sum()])
+                gain = np.array([(ns * (np.log(ns / c[0]) - np.log(head.share(np.where(xs >> np.uint64(63) == 1, TAIL, xs).astype(np.int64))))).sum()])
             else:
                 some = first[cx > 0]
                 gain = np.bincount(own[some], cx[cx > 0] * (np.log(cx[cx > 0] / c[own[some]]) - np.log(rs[some])), len(each))
