@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.llm.decontam import benchmark_overlaps
 from pagemill.llm.langid import fit_languages, predict_languages
@@ -50,7 +51,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("copies", "key")
+    return mix_sources(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 9)).drop("copies", "key")
 
 
 def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,16 +93,35 @@ run AS (
 flagged AS (SELECT *, cap * (ws - w0) <= w * (t - c0) AS capped FROM run),
 levels AS (SELECT *, coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0) AS cc, coalesce(sum(CASE WHEN capped THEN w END) OVER (), 0) AS cw FROM flagged),
 targets AS (SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * (t - cc) AS DOUBLE) / CAST(ws - cw AS DOUBLE) END AS target FROM levels),
+factored AS (SELECT *, 1 + (length(bin(size)) - 1) / 8.0::DOUBLE AS factor FROM docs),
+amounts AS (
+  SELECT f.source, factor, target, CAST(sum(size) AS BIGINT) AS words FROM factored f JOIN targets t ON f.source IS NOT DISTINCT FROM t.source
+  GROUP BY f.source, factor, target HAVING sum(size) > 0),
+weighted AS (SELECT *, CAST(3 * words AS DOUBLE) AS cap, factor * words AS w FROM amounts),
+run2 AS (
+  SELECT *, sum(w) OVER (PARTITION BY source) AS ws, coalesce(sum(cap) OVER o, 0) AS c0, coalesce(sum(w) OVER o, 0) AS w0 FROM weighted
+  WINDOW o AS (PARTITION BY source ORDER BY cap / w ASC, factor DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+flagged2 AS (SELECT *, cap * (ws - w0) <= w * (target - c0) AS capped FROM run2),
+levels2 AS (SELECT *, coalesce(sum(CASE WHEN capped THEN cap END) OVER (PARTITION BY source), 0) AS cc, coalesce(sum(CASE WHEN capped THEN w END) OVER (PARTITION BY source), 0) AS cw FROM flagged2),
+copied AS (SELECT *, CASE WHEN capped THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, factor * ((target - cc) / (ws - cw))) END AS expected FROM levels2),
+split AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS p FROM copied),
+owed AS (SELECT source, factor, whole, p, target - CAST(sum(whole * words) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM split),
 parts AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
-    (CAST(CAST('0x' || substr(key, 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
-odds AS (
-  SELECT *, target - CAST(whole * source_size AS DOUBLE) AS rest FROM parts),
-ranked AS (
-  SELECT *, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0 END AS p FROM odds),
-ordered AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM ranked),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ordered)
-SELECT doc_id, source, size, source_size, target,
-  CAST((whole + CASE WHEN rank IS NOT NULL AND CAST(2 * upto - size AS DOUBLE) <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM summed""",
+  SELECT d.*, source_size, target, whole, p, rest, (CAST(CAST('0x' || substr(key, 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u, CAST(size * 64 AS DOUBLE) > rest AS big
+  FROM factored d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN owed o ON d.source IS NOT DISTINCT FROM o.source AND d.factor = o.factor),
+ordered AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM parts),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source, big, rank IS NULL ORDER BY rank, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ordered),
+hoped AS (SELECT source, sum(p * words) AS hoped FROM (SELECT source, p, sum(size) AS words FROM summed WHERE big AND rank IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+large AS (SELECT s.*, CASE WHEN CAST(2 * upto - size AS DOUBLE) <= 2 * hoped THEN 1 ELSE 0 END AS extra FROM summed s JOIN hoped h ON s.source IS NOT DISTINCT FROM h.source WHERE big AND rank IS NOT NULL),
+got AS (SELECT source, sum(extra * size) AS got FROM large GROUP BY 1),
+decided AS (
+  SELECT * FROM large
+  UNION ALL SELECT s.*, CASE WHEN CAST(2 * upto - size AS DOUBLE) <= 2 * (rest - CAST(coalesce(got, 0) AS DOUBLE)) THEN 1 ELSE 0 END AS extra
+    FROM summed s LEFT JOIN got g ON s.source IS NOT DISTINCT FROM g.source WHERE NOT big AND rank IS NOT NULL),
+gaps AS (SELECT source, any_value(rest) - CAST(sum(extra * size) AS DOUBLE) AS gap FROM decided GROUP BY 1),
+late AS (SELECT doc_id, gap, size, sum(size) OVER (PARTITION BY d.source ORDER BY rank, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after_
+  FROM decided d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source WHERE extra = 0 AND CAST(size AS DOUBLE) <= gap),
+last AS (SELECT doc_id FROM late WHERE CAST(2 * after_ - size AS DOUBLE) <= 2 * gap)
+SELECT doc_id, source, size, source_size, target, CAST((coalesce(whole, 0) + CASE WHEN doc_id IN (SELECT doc_id FROM last) THEN 1 ELSE extra END) * size AS BIGINT) AS taken, round(coalesce(p, 0), 9) AS p
+FROM (SELECT doc_id, source, size, source_size, target, whole, p, extra FROM decided UNION ALL SELECT doc_id, source, size, source_size, target, whole, p, 0 FROM summed WHERE rank IS NULL)""",
 }

@@ -409,9 +409,49 @@ def test_targets_stop_at_three_times(spark):
 
 def test_odds_shift_inclusion(spark):
     df = spark.createDataFrame([(k, "w " * 10, "a" if k % 4 else "b", 8.0 if k % 2 else 1.0) for k in range(4000)], "doc_id long, text string, source string, o double")
-    rows = mixing.mix_sources(df, odds="o").join(df.select("doc_id", "o"), "doc_id").where("source = 'a'").groupBy("o").agg(F.avg("copies").alias("c")).collect()
+    rows = mixing.mix_sources(df, odds="o").join(df.select("doc_id", "o"), "doc_id").where("source = 'b'").groupBy("o").agg(F.avg("copies").alias("c")).collect()
     c = {r["o"]: r["c"] for r in rows}
-    assert c[8.0] > c[1.0]
+    assert set(c) == {1.0}  # source b has even ids only
+    rows = mixing.mix_sources(df.withColumn("source", F.lit("a")), odds="o").join(df.select("doc_id", "o"), "doc_id").groupBy("o").agg(F.avg("copies").alias("c"), F.avg("p").alias("p")).collect()
+    c = {r["o"]: r["c"] for r in rows}
+    assert c[8.0] > 5 * c[1.0] and abs(c[8.0] + c[1.0] - 2) < 0.01
+
+
+def test_inclusion_probabilities_are_unequal_and_add_up(spark):
+    """Certain copies and inclusion probabilities add up to the target, and over many draws documents are taken as often as these say."""
+    rng = random.Random(15)
+    texts = [("w " * rng.choice([3, 10, 40, 90]), f"s{rng.randrange(3)}") for _ in range(240)]
+    total, seen = Counter(), Counter()
+    for draw in range(6):  # other ids, other numbers
+        df = spark.createDataFrame([(1000 * draw + k, t, s) for k, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+        rows = mixing.mix_sources(df).collect()
+        for s in ("s0", "s1", "s2"):
+            own = [r for r in rows if r["source"] == s]
+            whole = {n: min(r["copies"] for r in own if r["size"] == n) for n in {r["size"] for r in own}}
+            assert abs(sum((whole[r["size"]] + r["p"]) * r["size"] for r in own) - own[0]["target"]) < 1e-6 * own[0]["target"]
+            assert len({r["p"] for r in own}) > 2
+        for r in rows:
+            total[r["source"], r["size"]] += r["p"]
+            low = min(x["copies"] for x in rows if x["source"] == r["source"] and x["size"] == r["size"])
+            seen[r["source"], r["size"]] += r["copies"] - low
+    off = [abs(total[k] - seen[k]) / 6 for k in total]
+    assert max(off) < 4  # of about 20 documents of a source and size
+
+
+def test_one_giant_text_does_not_end_the_filling(spark):
+    rows = [(k, "w " * 100, "a") for k in range(1000)] + [(1000, "w " * 100_000, "a")] + [(2000 + k, "w " * 100, "b") for k in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 9)).collect()
+    for s in ("a", "b"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 100 and max(r["copies"] for r in own) <= 3
+
+
+def test_mixed_rows_with_clashing_names_and_repeats(spark):
+    names = "key, key_, source_, s, row, copies, low, high, all, n, place, col, rid, size, p"
+    rows = [(7, "same words here", "a", *range(15))] * 40 + [(k, "other words " * 5, "b", *range(15)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{x}` long" for x in names.split(", ")))
+    out = mixing.mixed_rows(df)
+    assert out.columns == df.columns and out.count() == sum(r["copies"] for r in mixing.mix_sources(df).collect())
 
 
 # 9 media ------------------------------------------------------------------------------------------------------------
