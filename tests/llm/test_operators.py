@@ -321,9 +321,9 @@ def test_derivatives_round_trip(spark):
     assert len(rows) == 10
     for r in rows:
         record, source = next(warc.parse(bytes(r["record"]))), sources[r["page_id"]]
-        assert record.block.decode() == r["block"] and record.fields["WARC-Block-Digest"] == warc.digest(record.block) == r["block_digest"]
-        assert r["refers_to"] == source.fields["WARC-Record-ID"] and r["source_payload_digest"] == warc.digest(warc.http(source.block)[2]) and len(record.block) == r["n_bytes"]
-        assert r["target_uri"] == source.fields.get("WARC-Target-URI") and (r["target_uri"] is None) == (r["page_id"] == 2)
+        assert record.block.decode() == r["block"] and record.get("WARC-Block-Digest") == warc.digest(record.block) == r["block_digest"]
+        assert r["refers_to"] == source.get("WARC-Record-ID") and r["source_payload_digest"] == warc.digest(warc.http(source.block)[2]) and len(record.block) == r["n_bytes"]
+        assert r["target_uri"] == source.get("WARC-Target-URI") and (r["target_uri"] is None) == (r["page_id"] == 2)
     one = {r["record_type"]: r["block"] for r in rows if r["page_id"] == 1}
     assert one["conversion"] == "One two\nthree" and "title: A & B\r\n" in one["metadata"] and "outlink: /x?a=1&b\r\n" in one["metadata"] and "language: de\r\n" in one["metadata"]
     whole = b"".join(bytes(r["record"]) for r in rows)
@@ -339,7 +339,92 @@ def test_the_query_gives_whole_records(spark, tmp_path):
     assert {r["record_type"] for r in rows} == {"metadata", "conversion"}
     for r in rows:
         record = next(warc.parse(bytes(r["record"])))
-        assert record.block.decode() == r["block"] and record.fields["WARC-Record-ID"] == r["record_id"]
+        assert record.block.decode() == r["block"] and record.get("WARC-Record-ID") == r["record_id"]
+
+
+def _http(kind, body, *more):
+    return ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in (("Content-Type", kind), *more) if v) + "\r\n").encode() + body
+
+
+def _record(block, **fields):
+    return warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", warc.DATE), *fields.items(), ("Content-Length", str(len(block)))], block)
+
+
+def _plain(record):
+    return {r.get("WARC-Type"): r.block.decode() for r in warc.derive(record)}
+
+
+def test_content_types_and_encodings():
+    import gzip
+
+    assert _plain(_record(_http("text/plain", b"a   <b>x</b> &amp; y")))["conversion"] == "a   <b>x</b> &amp; y"
+    assert _plain(_record(_http("", b"<p>One</p>  two")))["conversion"] == "One\ntwo" and _plain(_record(_http("", b"1 < 2")))["conversion"] == "1 < 2"
+    assert set(_plain(_record(_http("image/png", b"\x89PNG")))) == {"metadata"}
+    packed = gzip.compress(b"<p>packed</p>")
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(packed[k : k + 7]), packed[k : k + 7]) for k in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    made = warc.derive(_record(_http("text/html", chunks, ("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip"))))
+    assert made[1].block == b"packed" and made[1].get("Source-Payload-Digest") == warc.digest(chunks)
+    assert _plain(_record(_http("text/html; charset=latin-1", "<p>é".encode("latin-1"))))["conversion"] == "é"
+    twice = warc.parse(warc.Record([("WARC-Type", "x"), ("WARC-Concurrent-To", "<a>"), ("warc-concurrent-to", "<b>"), ("Content-Length", "0")]).dump())
+    assert [v for k, v in next(twice).fields if k.lower() == "warc-concurrent-to"] == ["<a>", "<b>"]
+
+
+def test_bad_records_do_not_end_a_job(spark):
+    import gzip
+
+    good = _record(_http("text/html", b"<p>good")).dump()
+    bad = [b"WARC/1.1\r\nContent-Length:3\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n", b"junk\r\n\r\n", b"WARC/1.1\r\nX: \xff\xfe\r\nContent-Length: 9999\r\n\r\nshort\r\n\r\n"]
+    rows = [(k, x + good) for k, x in enumerate(bad)] + [(4, gzip.compress(good)[:-12]), (5, b"\x1f\x8b\x08broken" + gzip.compress(good)), (6, None), (7, b""), (None, good)]
+    got = warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect()
+    kinds = {k: sorted(r["record_type"] for r in got if r["page_id"] == k) for k in (*range(8), None)}
+    both = ["conversion", "metadata"]
+    assert kinds == {0: both, 1: [*both, "unreadable"], 2: [*both, "unreadable"], 3: [*both, "unreadable"], 4: ["unreadable"], 5: [*both, "unreadable"], 6: [], 7: [], None: both}
+    clash = spark.createDataFrame([(1, "u", "<p>x", "b", 3, b"r", "i")], "page_id long, url string, html string, block string, n_bytes int, record binary, id string")
+    assert warc.derivatives(warc.responses(clash)).count() == 2
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    for unit in ("<!--", "<a ", "<title", "<script ", "<html ", "<!doctype ", "<p", "&#", "< ", "<a href="):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.process_time()
+            warc.derive(_record(_http("text/html", (unit * n).encode())))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 0.5, unit
+
+
+def test_visible_text_against_a_parser(spark):
+    """Against the library's HTML parser, on all pages of the small table."""
+    from html.parser import HTMLParser
+
+    breaks = set("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "template", "noscript", "title")
+            self.out.append("\n" if tag in breaks else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "template", "noscript", "title")
+            self.out.append("\n" if tag in breaks else "")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    squeezed = lambda x: "".join(x.split())
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in pages:
+        reader = Reader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        assert squeezed(warc.visible(r["html"] or "")) == squeezed("".join(reader.out)), r["page_id"]
 
 
 # 7 language ID ------------------------------------------------------------------------------------------------------
