@@ -44,7 +44,7 @@ from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed,
 NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
 FAR = np.uint32(1 << 24)
 BYTES_A_TOKEN = 6
-SLICE, ROW_BYTES, WIDEST = 4 << 20, 1 << 10, 32 << 20
+SLICE, ROW_BYTES, WIDEST = 8 << 20, 1 << 12, 32 << 20
 FINE = 1 << 16
 
 
@@ -120,7 +120,7 @@ class Head:
 
 
 class Slice:
-    """Positions of the texts of a slice: the middle word's code, hash and text of each, in order."""
+    """Positions of the texts of a slice: code, hash and text of each middle word, in order; its neighbours are looked up."""
 
     def __init__(self, column: pa.Array, head: Head):
         h, at = word_hashes(column)
@@ -132,15 +132,19 @@ class Slice:
         inner[self.heads] = False
         self.code, self.hash = np.full(total, BEGIN, np.uint32), np.zeros(total, np.uint64)
         self.code[inner], self.hash[inner] = head.code(kinds)[inverse], h
-        self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
-        last = self.heads + self.n
-        self.next, self.next_hash = np.r_[self.code[1:], np.uint32(END)], np.r_[self.hash[1:], np.uint64(0)]
-        self.next[last], self.next_hash[last] = END, 0
-
-    def back(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The word k before the middle one, NONE beyond the start."""
-        at = np.arange(len(self.code)) - k
-        ok = at >= self.heads[self.doc]
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n + 1)
+
+    def next(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code and hash of the next word of these positions; the end after a text's last."""
+        at = e + 1
+        last = at == (self.heads + self.n + 1)[self.doc[e]]
+        at = np.where(last, 0, at)
+        return np.where(last, np.uint32(END), self.code[at]), np.where(last, np.uint64(0), self.hash[at])
+
+    def back(self, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Code and hash of the word k before the middle one, NONE beyond the start."""
+        at = e - k
+        ok = at >= self.heads[self.doc[e]]
         at = np.maximum(at, 0)
         return np.where(ok, self.code[at], np.uint32(NONE)), np.where(ok, self.hash[at], np.uint64(0))
 
@@ -209,7 +213,8 @@ def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
         for b in slices(batches, most=SLICE):
             s = Slice(b.column("text"), head)
             on = np.flatnonzero((head.subs[s.code] > 0) & ~b.column("held").to_numpy(zero_copy_only=False)[s.doc])
-            x = np.where(s.next[on] == TAIL, s.next_hash[on] | np.uint64(1 << 63), s.next[on].astype(np.uint64))
+            code, h = s.next(on)
+            x = np.where(code == TAIL, h | np.uint64(1 << 63), code.astype(np.uint64))
             order = np.lexsort((x, s.code[on]))
             w, x = s.code[on][order], x[order]
             at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1])]) if len(w) else np.zeros(0, np.int64)
@@ -244,32 +249,40 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             s, name = Slice(b.column("text"), head), b.column("row")[0].as_py()
             held_ = b.column("held").to_numpy(zero_copy_only=False)
             # the words of the text as predicted words: base terms of the head's
-            at, known = s.next != TAIL, (s.next != TAIL) & (head.counts[s.next] > 0)
-            base = np.bincount(s.doc[at], np.log10((head.counts[s.next[at]] + 1) / head.floor), len(s.n))
+            x = s.next(np.arange(len(s.code)))[0]
+            at = x != TAIL
+            seen = head.counts[x[at]]
+            base = np.bincount(s.doc[at], np.log10((seen + 1) / head.floor), len(s.n))
+            known = np.bincount(s.doc[at], seen > 0, len(s.n)).astype(np.int64)
             ids = b.column("id")
-            info = pa.record_batch([ids, pa.array(held_), pa.array(s.n + 1), pa.array(np.bincount(s.doc[known], minlength=len(s.n))), pa.array(base)], ["id", "held", "n_tokens", "n_known", "base"])
+            info = pa.record_batch([ids, pa.array(held_), pa.array(s.n + 1), pa.array(known), pa.array(base)], ["id", "held", "n_tokens", "n_known", "base"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, info.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(info)
-            backs = [s.back(k) for k in range(1, depth)]
-            if head.least <= min_count:  # words beyond the head are in no context of two words or more that counts
-                backs = [(np.where(c == TAIL, np.uint32(NONE), c), h) for c, h in backs]
             part = (np.where(s.code == TAIL, s.hash, mix(s.code.astype(np.uint64))) % np.uint64(head.base_parts)).astype(np.int64)
             split = np.flatnonzero(head.subs[s.code] > 0)
             if len(split):
-                before = s.back(1)
-                by = np.where(before[0][split] == TAIL, before[1][split], mix(before[0][split].astype(np.uint64) + np.uint64(1)))
+                code, h = s.back(split, 1)
+                by = np.where(code == TAIL, h, mix(code.astype(np.uint64) + np.uint64(1)))
                 by = np.where(s.code[split] == BEGIN, mix(np.uint64(name) + s.doc[split].astype(np.uint64)), by)
                 part[split] = head.first[s.code[split]] + (by % head.subs[s.code[split]].astype(np.uint64)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
             cuts, out = np.searchsorted(part[order], np.arange(parts + 1)), []
-            columns = [(s.code, s.hash), (s.next, s.next_hash), *backs]
+            del part, x, at, seen
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 e = order[cuts[p] : cuts[p + 1]]
-                tails = [h[e][c[e] == TAIL] for c, h in columns]
-                places = np.r_[e[s.next[e] == TAIL] + 1, e[s.code[e] == TAIL]]  # of the predicted word
-                moved = np.diff(np.r_[0, s.doc[e]]) * 2 + held_[s.doc[e]]
-                out.append((p, name, _planes(s.code[e]), _planes(moved), _pack(np.frombuffer(b"".join(len(x := _planes(c[e])).to_bytes(4, "little") + x for c, _ in columns[1:]), np.uint8)), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
+                columns, on = [(s.code[e], s.hash[e]), s.next(e)], None
+                for k in range(depth):  # a word too rare for a context that counts ends it
+                    code, h = columns[0] if not k else s.back(e, k)
+                    rare = head.counts[code] < min_count
+                    rare = rare & ((code >= FIRST) | (head.least <= min_count) & (code == TAIL))
+                    on = ~rare if on is None else on & ~rare
+                    if k:
+                        columns.append((np.where(on, code, np.uint32(NONE)), h))
+                tails = [h[c == TAIL] for c, h in columns]
+                places = np.r_[e[columns[1][0] == TAIL] + 1, e[columns[0][0] == TAIL]]  # of the predicted word
+                d = s.doc[e]
+                out.append((p, name, _planes(columns[0][0]), _planes(np.diff(np.r_[0, d]) * 2 + held_[d]), _planes(np.concatenate([c for c, _ in columns[1:]])), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
             out.append((name % parts, name, *[None] * 7, sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 8), strict=True)], [x.split()[0] for x in blob.split(", ")])
 
@@ -285,11 +298,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if pieces:
             columns, tails = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)]
             for r in pieces:
-                codes, line, at = [_numbers(r["mid"])], _unpack(r["words"], np.uint8).tobytes(), 0
-                while at < len(line):
-                    n = int.from_bytes(line[at : at + 4], "little")
-                    codes.append(_numbers(line[at + 4 : at + 4 + n]))
-                    at += 4 + n
+                codes = [_numbers(r["mid"]), *_numbers(r["words"]).reshape(depth, -1)]
                 own, k = _unpack(r["tails"], np.uint64), 0
                 for j, c in enumerate(codes):
                     n = int(np.count_nonzero(c == TAIL))
