@@ -1,14 +1,19 @@
-"""Language ID: multinomial logistic regression on TF-IDF of character 1-, 2- and 3-grams, hashed.
+"""Language ID: sparse multinomial logistic regression on TF-IDF of character 1-, 2- and 3-grams, hashed.
 
 Document frequencies come from all labelled rows that are not held out. The weights are fitted by follow-the-regularised-
-leader with L1 and L2 penalties, one row at a time, on a bounded sample of these rows (`sample` rows in expectation, chosen
-by a hash of id and text, each of at most `longest` bytes). Every labelled language has an equal share of the sample, or all
-its rows if they are fewer, LEAST_ROWS in expectation in any case; one that has longer texts only gives up to LONG_ROWS of
-these. Every fifth row drawn of a language is set aside to fit the temperature by which all logits are divided. Prediction runs over whole texts in Arrow batches with the weights broadcast (buckets * languages
-floats, a fixed bound).
+leader with elastic-net penalties (L1 leaves most weights at zero), one row at a time, on a bounded sample of the distinct
+labelled texts (`sample` of them in expectation, chosen by a hash of the text, each of at most `longest` bytes). Every
+labelled language has an equal share of the sample, or all its texts if they are fewer, LEAST_ROWS in expectation in any
+case; one that has longer texts only gives up to LONG_ROWS of these. A text that repeats counts once. Every fifth text of a
+language is set aside to fit the temperature by which all logits are divided: the least log loss against targets that are
+smoothed by one pseudo-row a language, so that it has a minimum even where every text is told rightly. Prediction runs over
+whole texts in Arrow batches with the weights broadcast (buckets * languages floats, a fixed bound).
 
 Only text and label are used; the label only of rows that are not held out. `und` with score 0.0 is given where a text is
-null or has no letter, and to all rows if no row is labelled. Null ids count as remainder 0. Repeated rows are predicted alike.
+null or has no letter, and to all rows if no row is labelled. Null ids count as remainder 0, rows with a null text or label are
+not learned from. Of languages with equal probability the first by name is given. Repeated rows are predicted alike. Very long
+texts are counted whole. Columns beside id, text and label are not read by predict_languages and are handed through by
+identified, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pagemill.llm.letters import letter_stream
 
 BITS = 15
 LEAST_ROWS, LONG_ROWS = 20, 64
+TEMPERATURES = np.geomspace(0.002, 100, 241)
 _K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -91,17 +97,20 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], model: LanguageMode
 
 
 def fit_temperature(rows: list[tuple[int, np.ndarray]]) -> float:
-    """The divisor of logits with least log loss over (label, logits), on a grid."""
+    """The divisor of logits with least log loss over (label, logits), on a grid; targets smoothed by one row a class."""
     if not rows:
         return 1.0
     y, z = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    n, k = z.shape
+    target = np.full((n, k), 1.0 / (n + k))
+    target[np.arange(n), y] = (n + 1.0) / (n + k)
 
     def loss(t: float) -> float:
         s = z / t
         s = s - s.max(1, keepdims=True)
-        return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(s).sum(1)) - (s * target).sum(1)).mean())
 
-    return float(min(np.geomspace(0.05, 20, 121), key=loss))
+    return float(min(TEMPERATURES, key=loss))
 
 
 def fair_share(counts: list[int], sample: int) -> float:
@@ -114,7 +123,7 @@ def fair_share(counts: list[int], sample: int) -> float:
     return float(max(counts, default=0))
 
 
-def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, sample: int = 3000, longest: int = 20_000, epochs: int = 4, alpha: float = 0.5, l1: float = 1e-4, l2: float = 1e-3) -> LanguageModel | None:
+def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, sample: int = 3000, longest: int = 20_000, epochs: int = 4, alpha: float = 0.5, l1: float = 0.1, l2: float = 1e-3) -> LanguageModel | None:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((remainder("id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.octet_length("text") <= longest
@@ -147,12 +156,14 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = [(i, lang, *x) for i, lang, x in zip(b.column("id").to_pylist(), b.column("lang").to_pylist(), gram_counts(b.column("text")), strict=True) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2].astype(np.uint16).tobytes() for g in got], pa.binary()), pa.array([np.minimum(g[3], 65_535).astype(np.uint16).tobytes() for g in got], pa.binary())], ["id", "lang", "at", "c"])
+            got = [(h, lang, *x) for h, lang, x in zip(b.column("h").to_pylist(), b.column("lang").to_pylist(), gram_counts(b.column("text")), strict=True) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2].astype(np.uint16).tobytes() for g in got], pa.binary()), pa.array([np.minimum(g[3], 65_535).astype(np.uint16).tobytes() for g in got], pa.binary())], ["h", "lang", "at", "c"])
 
     shares = df.sparkSession.createDataFrame([(lang, x == 0, int(share[lang] * (1 << 30))) for lang, (x, _) in found.items()], "lang string, only_long boolean, below long")
-    chosen = rows.join(F.broadcast(shares), "lang").where((short | F.col("only_long")) & (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("below"))).select("id", "text", "lang")
-    got = sorted(map(tuple, chosen.mapInArrow(features, "id long, lang string, at binary, c binary").collect()), key=lambda r: (r[0] is None, r))
+    drawn = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(shares), "lang").where((short | F.col("only_long")) & (F.pmod("h", F.lit(1 << 30)) < F.col("below")))
+    # however often a text repeats, it is one row of the sample; the limit is never reached but by chance of the hash
+    chosen = drawn.groupBy("h", "lang").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * sample + (LEAST_ROWS + LONG_ROWS) * len(found))
+    got = sorted(map(tuple, chosen.mapInArrow(features, "h long, lang string, at binary, c binary").collect()))
     langs = sorted({r[1] for r in got})
     if not langs:
         return None
