@@ -3,11 +3,14 @@
 encode() writes bytes, padded by 255 to a positive multiple of 576, as 8-bit mono samples with the wave module; decode()
 reads them back without loss. Frames of 576 samples, centred on every HOP-th sample from the first to the end (silence is
 added beyond both), are windowed and transformed, so one block of 576 bytes gives five frames; in each frame the
-strongest local maximum of each of `bands` frequency bands is a peak if it stands out from the band's mean, so loud padding does not hide a short text. A peak is paired with
-the peaks of the next `reach` frames; each pair gives a time-coded entry: frame << 32 | (band peak, later peak, gap). All
-frames of all samples are used.
-
-A null text is an empty one: one block of 255. Equal texts give equal values; repeated rows are each encoded.
+strongest local maximum of each of `bands` frequency bands (a bin above its left and not below its right neighbour, also
+across the border of a band; the lowest of equals) is a peak if it lies above the band's mean. A frame's own mean is taken off
+before, so loud padding does not hide a short text. A peak is paired with the peaks of the next `reach` frames; each pair gives a time-coded entry:
+frame << 32 | (band peak, later peak, gap). All frames of all samples are used.
+
+A null text is an empty one: one block of 255. Equal texts give equal values; repeated rows are each encoded, null ids are
+carried through. Very long texts are encoded whole; their frames are transformed some at a time. Columns beside id and text
+are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,17 +54,23 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def peaks(samples: np.ndarray, bands: int = 4) -> np.ndarray:
-    """Per frame and band the strongest bin, or -1 where none stands out; frames are transformed in chunks."""
+    """Per frame and band the strongest local maximum, or -1 where none stands out; frames are transformed in chunks."""
     frames = np.lib.stride_tricks.sliding_window_view(np.pad(samples, FRAME // 2, constant_values=128), FRAME)[::HOP]
     out = np.empty((len(frames), bands), np.int64)
     width = (FRAME // 2) // bands
     for k in range(0, len(frames), CHUNK):
-        x = (frames[k : k + CHUNK].astype(np.float32) - 128) * _WINDOW
-        power = np.abs(np.fft.rfft(x, axis=1)[:, 1 : 1 + width * bands])
+        x = frames[k : k + CHUNK].astype(np.float32)
+        x = (x - x.mean(1, keepdims=True)) * _WINDOW
+        full = np.abs(np.fft.rfft(x, axis=1))
+        power = full[:, 1 : 1 + width * bands]
+        top = power > full[:, : width * bands]
+        right = full[:, 2 : 2 + width * bands]  # nothing lies beyond the last bin
+        top[:, : right.shape[1]] &= power[:, : right.shape[1]] >= right
         cut = power.reshape(len(x), bands, width)
-        at = cut.argmax(2)
-        high = np.take_along_axis(cut, at[:, :, None], 2)[:, :, 0]
-        out[k : k + CHUNK] = np.where(high > 1.5 * cut.mean(2) + 1e-6, at + np.arange(bands) * width, -1)
+        tops = np.where(top, power, -1).reshape(len(x), bands, width)
+        at = tops.argmax(2)
+        high = np.take_along_axis(tops, at[:, :, None], 2)[:, :, 0]
+        out[k : k + CHUNK] = np.where(high > cut.mean(2) + 1e-3, at + np.arange(bands) * width, -1)
     return out
 
 

@@ -55,7 +55,7 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
+    return media_columns(table(spark, sf_dir, "documents"))
 
 
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
