@@ -9,9 +9,12 @@ strongest margin and the log number of windows are calibrated to a probability o
 After training, embedding times softmax collapses to one number a bucket (their margin is linear in the average), which is
 what is broadcast: 2 ** BITS floats. Misspellings share most character n-grams with the words they come from.
 
-The sample: rows with a 0/1 label, not held out, of at most `longest` bytes; up to `toxic_rows` and `other_rows` rows of the
-two labels in expectation, chosen by a hash of the id. Only text and label are used. A null or letterless text scores the
-prior of the calibration with no window: 0.0. Without labelled rows every score is 0.0. Repeated rows score alike.
+The sample: ids with a 0/1 label, not held out; up to `toxic_rows` and `other_rows` ids of the two labels in expectation,
+chosen by a hash of the id, and of each one text of at most `longest` bytes (an id on several texts gives the one whose hash
+is least), so repeated rows add nothing to it. An id with both labels counts as toxic. Only text and label are used. A null
+or letterless text has no window and scores 0.0. Without labelled rows of both kinds every score is 0.0. Null ids count as
+remainder 0 and are never learned from. Repeated rows score alike; very long texts are scored whole. Columns beside id, text
+and label are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +100,8 @@ def train(texts: list[str], labels: list[int], window: int, dim: int, epochs: in
         stream, start, _ = letter_stream(pa.array([text]))
         ids, where, first = subwords(stream, start, window)
         order = np.argsort(where, kind="stable")
-        docs.append((y, ids[order], np.searchsorted(where[order], np.arange(first[-1] + 1))))
+        docs.append((y, ids[order].astype(np.uint32), np.searchsorted(where[order], np.arange(first[-1] + 1)).astype(np.uint32)))
+        del ids, where, order
     share = np.bincount(labels, minlength=2) / len(labels)
     weight = [0.5 / max(s, 1e-9) for s in share]
 
@@ -157,7 +161,8 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     picked = marks.where(drawn < F.when(F.col("y") == 1, int(chance[1] * (1 << 30))).otherwise(int(chance[0] * (1 << 30))))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= longest)
-    rows = sorted(tuple(r) for r in docs.join(F.broadcast(picked), "id").select("id", "text", "y").collect())
+    one = docs.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
+    rows = sorted(tuple(r) for r in one.select("id", "r.text", "r.y").collect())
     if len({r[2] for r in rows}) < 2:
         return None
     return train([r[1] for r in rows], [r[2] for r in rows], window, dim, epochs, rate)
