@@ -7,12 +7,14 @@ quantile is read. So totals, quantiles and truncated totals for any limit come f
 
 Suffix sums run over blocks of 1,024 lengths first and then inside each block, so no task sees all lengths.
 
-A null or empty text has length 0 and counts. Repeated rows count each. An empty table gives no rows.
+A null or empty text has length 0 and counts. Repeated rows count each, texts of equal length share a row. Very long texts are
+encoded whole. Columns beside the text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,16 +26,17 @@ from pagemill.llm.common import slices, stored
 
 TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ready: dict[int, object] = {}
+_ready: dict[bytes, object] = {}
 
 
 def _encoding(vocabulary: bytes):
-    if len(vocabulary) not in _ready:
+    name = hashlib.sha256(vocabulary).digest()
+    if name not in _ready:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        _ready[len(vocabulary)] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ready[len(vocabulary)]
+        _ready[name] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ready[name]
 
 
 def encoded_lengths(df: DataFrame, text_col: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

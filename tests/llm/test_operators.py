@@ -165,6 +165,35 @@ def test_length_histogram(edge, nothing):
     assert token_counts.length_histogram(token_counts.encoded_lengths(nothing)).count() == 0
 
 
+def test_encoded_lengths_against_plain_merges(spark, tmp_path):
+    """Against pair merging written out, under two vocabularies of equal size."""
+    import base64
+
+    import regex
+
+    lines = Path(token_counts.TOKENIZERS, "byte_bpe_50k.tiktoken").read_bytes().splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    other = {**ranks, b" th": ranks[b"ing"], b"ing": ranks[b" th"]} if b" th" in ranks and b"ing" in ranks else ranks
+    (tmp_path / "other.tiktoken").write_bytes(b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in sorted(other.items(), key=lambda kv: kv[1])))
+
+    def plain(text, ranks):
+        n = 0
+        for piece in regex.findall(token_counts.PATTERN, text):
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda k: ranks.get(parts[k] + parts[k + 1], 1 << 40))
+                if parts[best] + parts[best + 1] not in ranks:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            n += len(parts)
+        return n
+
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60] + ["ünïcödé ☃ 𝔘", "  \n\n x", "thing ing th"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for folder, name, table in ((token_counts.TOKENIZERS, "byte_bpe_50k.tiktoken", ranks), (str(tmp_path), "other.tiktoken", other)):
+        assert Counter(r[0] for r in token_counts.encoded_lengths(df, tokenizers=folder, vocabulary=name).collect()) == Counter(plain(t, table) for t in texts)
+
+
 # 4 language model ---------------------------------------------------------------------------------------------------
 def _held_against_the_model(df, **options):
     got = none_first(tuple(r) for r in suffix_lm.suffix_tree_scores(df, **options).collect())
@@ -573,6 +602,29 @@ def test_pairs_are_all_pairs_in_order():
     assert len(p) == 21 and media.fingerprints(samples).tolist() == sorted(want)
 
 
+def test_fingerprints_against_plain_transforms():
+    """Against a transform written out, a maximum looked for bin by bin, and pairs formed one by one."""
+    rng = np.random.default_rng(6)
+    text = ("alpha beta " * 70 + "ünïcödé ").encode() + bytes(rng.integers(0, 256, 200).tolist())
+    samples = np.frombuffer(media.decode(media.encode(text)), np.uint8)
+    line = np.r_[np.full(288, 128), samples, np.full(288, 128)].astype(float) - 128
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(576) / 575)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(289), np.arange(576)) / 576)
+    peaks = []
+    for a in range(0, len(samples) + 1, 144):
+        power = abs(turn @ ((line[a : a + 576] - line[a : a + 576].mean()) * window))
+        own = []
+        for band in range(4):
+            bins = range(1 + 72 * band, 73 + 72 * band)
+            tops = [k for k in bins if power[k] > power[k - 1] and (k == 288 or power[k] >= power[k + 1])]
+            best = max(tops, key=lambda k: (power[k], -k), default=None)
+            own.append(best - 1 if best and power[best] > np.mean([power[k] for k in bins]) + 1e-3 else None)
+        peaks.append(own)
+    want = sorted(t << 32 | x << 20 | y << 8 | gap for t, own in enumerate(peaks) for gap in (1, 2, 3) if t + gap < len(peaks) for x in own for y in peaks[t + gap] if x is not None and y is not None)
+    got = media.fingerprints(samples).tolist()
+    assert len(want) > 100 and len(set(got) & set(want)) >= 0.98 * len(want) and abs(len(got) - len(want)) <= 0.02 * len(want)  # equal but for rounding of near ties
+
+
 # 10 toxicity --------------------------------------------------------------------------------------------------------
 def test_toxicity(spark, edge, nothing):
     rng = random.Random(5)
@@ -596,6 +648,15 @@ def test_toxicity(spark, edge, nothing):
     assert toxicity.fit_toxicity(df, labels.limit(0)) is None and toxicity.score_toxicity(edge, None).count() == edge.count()
 
 
+def test_the_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Ids that repeat a thousand times, and on other texts, give one row each."""
+    rows = [(k % 10, f"text {'vilescum' if k % 2 else 'friendly'} {k % 10} {k % 3}", k % 2) for k in range(20_000)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, *a: seen.extend(texts))
+    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, x int"), spark.createDataFrame([(k, k % 2) for k in range(10)] * 50, "doc_id long, toxic int"))
+    assert 5 < len(seen) <= 10
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, some, tmp_path):
     import corpus_pipeline as P
