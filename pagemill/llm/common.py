@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -137,6 +139,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
+def trimmed() -> None:
+    """Freed memory goes back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def streamed(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str, parts: int | None = None, once: bool = False) -> DataFrame:
     """fn over each group of equal keys, as a stream over sorted partitions: one Python start a task, one group in memory.
 

@@ -39,17 +39,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, word_hashes
+from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, trimmed, word_hashes
 
 NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
 FAR = np.uint32(1 << 24)
+FAR_WORD = np.uint64(1 << 63)
 BYTES_A_TOKEN = 6
-SLICE, ROW_BYTES, WIDEST = 8 << 20, 1 << 12, 32 << 20
+SLICE, ROW_BYTES, WIDEST = 6 << 20, 1 << 12, 32 << 20
 FINE = 1 << 16
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x))
 
 
 def _unpack(x: bytes, kind: type) -> np.ndarray:
@@ -149,20 +150,36 @@ class Slice:
         return np.where(ok, self.code[at], np.uint32(NONE)), np.where(ok, self.hash[at], np.uint64(0))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): training count of each word, counts of some megabytes of text sent at a time."""
+def _wide_planes(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers: their differences by planes of bytes."""
+    return _pack(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).reshape(-1, 1).view(np.uint8).T))
+
+
+def _wide_numbers(x: bytes) -> np.ndarray:
+    planes = _unpack(x, np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def word_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """(h, c): training count of each word. Counts of some megabytes of text are packed and sent at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-                kinds, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, c, len(kinds)).astype(np.int64)
+                h, c = _summed(*map(list, zip(*held, strict=True)))
                 held.clear()
-                for k in range(0, len(kinds), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000])], ["h", "c"])
+                part = (h % np.uint64(parts)).astype(np.int64)
+                rows = [(p, _wide_planes(h[e]), _pack(c[e].astype(np.uint32))) for p in range(parts) if len(e := np.flatnonzero(part == p))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "hs", "cs"])
 
         for b in slices(batches, most=SLICE):
             h, at = word_hashes(b.column("text"))
@@ -172,7 +189,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def add(t: pa.Table) -> pa.RecordBatch:
+        h, c = _summed([_wide_numbers(x) for x in t.column("hs").to_pylist()], [_unpack(x, np.uint32) for x in t.column("cs").to_pylist()])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    return streamed(docs.mapInArrow(run, "part int, hs binary, cs binary"), ["part"], add, "h long, c long", parts)
 
 
 def head_of(words: DataFrame, texts: int, head_words: int, part_tokens: int, bulk: float) -> Head:
@@ -206,7 +227,10 @@ def head_of(words: DataFrame, texts: int, head_words: int, part_tokens: int, bul
 
 
 def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
-    """(part, xs, ns): training counts of the next words of each split word, for each of its partitions."""
+    """(part, xs, ns): training counts of the next words of each split word, for each of its partitions.
+
+    Pairs are counted by slice, packed, and added up in as many shares of the next words as the word has partitions.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
@@ -214,31 +238,35 @@ def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
             s = Slice(b.column("text"), head)
             on = np.flatnonzero((head.subs[s.code] > 0) & ~b.column("held").to_numpy(zero_copy_only=False)[s.doc])
             code, h = s.next(on)
-            x = np.where(code == TAIL, h | np.uint64(1 << 63), code.astype(np.uint64))
-            order = np.lexsort((x, s.code[on]))
-            w, x = s.code[on][order], x[order]
+            x, w = np.where(code == TAIL, h | FAR_WORD, code.astype(np.uint64)), s.code[on]
+            order = np.lexsort((x, w))
+            w, x = w[order], x[order]
             at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1])]) if len(w) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w[at].astype(np.int32)), pa.array(x[at].view(np.int64)), pa.array(np.diff(np.r_[at, len(w)]))], ["w", "x", "n"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, x, n = (b.column(c).to_numpy() for c in ("w", "x", "n"))
-            rows = [(int(k), _pack(x[w == k]), _pack(n[w == k])) for k in np.unique(w)]
+            w, x, n = w[at], x[at], np.diff(np.r_[at, len(w)])
+            place = head.first[w] + (mix(x) % np.maximum(head.subs[w], 1).astype(np.uint64)).astype(np.int64)
+            rows = []
+            for p in np.unique(place).tolist():
+                e = place == p
+                rows.append((int(w[e][0]), p, _wide_planes(x[e]), _pack(n[e].astype(np.uint32))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["w", "xs", "ns"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["w", "place", "xs", "ns"])
+
+    def add(t: pa.Table) -> pa.RecordBatch:
+        x, n = _summed([_wide_numbers(v) for v in t.column("xs").to_pylist()], [_unpack(v, np.uint32) for v in t.column("ns").to_pylist()])
+        return pa.RecordBatch.from_arrays([t.column("w")[:1].combine_chunks(), pa.array([_wide_planes(x)], pa.binary()), pa.array([_pack(n)], pa.binary())], ["w", "xs", "ns"])
 
-    pairs = docs.mapInArrow(count, "w int, x long, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
     head = shared.value
     where = docs.sparkSession.createDataFrame([(k, int(head.first[k]), int(head.first[k] + head.subs[k] - 1)) for k in split], "w_ int, lo int, hi int")
-    return pairs.mapInArrow(packed, "w int, xs binary, ns binary").join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode(F.sequence("lo", "hi")).alias("part"), "xs", "ns")
+    pairs = streamed(docs.mapInArrow(count, "w int, place int, xs binary, ns binary"), ["place"], add, "w int, xs binary, ns binary", int(head.subs.sum()))
+    return pairs.join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode(F.sequence("lo", "hi")).alias("part"), "xs", "ns")
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 6, part_tokens: int = 1_000_000, head_words: int = 2_000_000) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 5, part_tokens: int = 1_000_000, head_words: int = 2_000_000, step: int = 250_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
     size, rows, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if(~F.col("held"))).first()
-    words = stored(word_counts(docs), "words")
+    words = stored(word_counts(docs, max(12, int(size) >> 25)), "words")
     shared = spark.sparkContext.broadcast(head := head_of(words, texts, head_words, part_tokens, size / BYTES_A_TOKEN + rows))
     parts, wide = head.parts, min(WIDEST, max(SLICE, ROW_BYTES * head.parts))
     blob = "part int, slice long, mid binary, docs binary, words binary, tails binary, places binary, xs binary, ns binary, info binary"
@@ -282,107 +310,126 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 tails = [h[c == TAIL] for c, h in columns]
                 places = np.r_[e[columns[1][0] == TAIL] + 1, e[columns[0][0] == TAIL]]  # of the predicted word
                 d = s.doc[e]
-                out.append((p, name, _planes(columns[0][0]), _planes(np.diff(np.r_[0, d]) * 2 + held_[d]), _planes(np.concatenate([c for c, _ in columns[1:]])), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
+                own, local, many = np.unique(columns[0][0], return_inverse=True, return_counts=True)
+                often = np.argsort(-many, kind="stable")
+                own, place = own[often], np.argsort(often)
+                out.append((p, name, len(packed := _planes(own)).to_bytes(4, "little") + packed + _planes(place[local]), _planes(np.diff(np.r_[0, d]) * 2 + held_[d]), _planes(np.concatenate([c for c, _ in columns[1:]])), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
             out.append((name % parts, name, *[None] * 7, sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 8), strict=True)], [x.split()[0] for x in blob.split(", ")])
+            del s, out, order, cuts, columns, tails, places, d, own, local
+            trimmed()
 
     back_blob = "slice long, docs binary, sums binary, asked binary, terms binary, told binary, counts binary, info binary"
 
+    def judged(mid: np.ndarray, x: np.ndarray, backs: list[np.ndarray], train: np.ndarray, flat: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, ...]:
+        """Of positions of whole middle words: the terms a and b of each, p = a + b * p0, and the middle word's count."""
+        head = shared.value
+        rs = head.share(np.where(x >= FAR, np.uint32(TAIL), x))
+        count = lambda number, n: np.bincount(number[train], minlength=n)
+        # one word
+        each, own = _groups(mid)
+        c = count(own, len(each))
+        first, pair = _groups(_pair(own, x))
+        cx = count(pair, len(first))
+        if table:  # a split word, which is alone in its partition
+            xs, ns = table
+            asked = x[first].astype(np.uint64)
+            if len(flat):
+                asked = np.where(x[first] >= FAR, flat[np.where(x[first] >= FAR, x[first] - FAR, 0)] | FAR_WORD, asked)
+            at = np.minimum(np.searchsorted(xs, asked), len(xs) - 1)
+            cx, c = np.where(xs[at] == asked, ns[at], 0), np.array([ns.sum()])
+            gain = np.array([(ns * (np.log(ns / c[0]) - np.log(head.share(np.where(xs >= FAR_WORD, TAIL, xs).astype(np.int64))))).sum()])
+        else:
+            some = first[cx > 0]
+            gain = np.bincount(own[some], cx[cx > 0] * (np.log(cx[cx > 0] / c[own[some]]) - np.log(rs[some])), len(each))
+        ci, cxi, deep = c[own], cx[pair].astype(np.float64), ((c >= min_count) & (gain >= divergence))[own]
+        a, b = np.where(deep, cxi / (ci + root_pseudo), 0.0), np.where(deep, root_pseudo / (ci + root_pseudo), 1.0)
+        seen = np.where(deep & (cxi > 0), cxi / np.maximum(ci, 1), rs)
+        e = np.flatnonzero(ci >= min_count)
+        at_ = own[e]
+        # longer contexts, level by level, among the positions whose context is frequent enough
+        for back in backs:
+            on = back[e] != NONE
+            e, at_ = e[on], at_[on]
+            if not len(e):
+                break
+            each, own = _groups(_pair(at_, back[e]))
+            c = np.bincount(own[train[e]], minlength=len(each))
+            first, pair = _groups(_pair(own, x[e]))
+            cx = np.bincount(pair[train[e]], minlength=len(first))
+            some = cx > 0
+            gain = np.bincount(own[first[some]], cx[some] * (np.log(cx[some] / c[own[first[some]]]) - np.log(seen[e[first[some]]])), len(each))
+            on = np.flatnonzero(((c >= min_count) & (gain >= divergence))[own])
+            i, n, k = e[on], c[own[on]], cx[pair[on]]
+            m = np.where(deep[i], pseudo, root_pseudo)
+            a[i], b[i] = (k + m * a[i]) / (n + m), m * b[i] / (n + m)
+            seen[i] = np.where(k > 0, k / n, seen[i])
+            deep[i] = True
+            on = np.flatnonzero(c[own] >= min_count)
+            e, at_ = e[on], own[on]
+        return a, b, ci
+
     def score(t: pa.Table) -> pa.RecordBatch | None:
         head = shared.value
-        log_floor = head.floor
-        pieces = [r for r in t.select(["slice", "mid", "docs", "words", "tails", "places"]).to_pylist() if r["mid"] is not None]
-        infos = [(r["slice"], *[None] * 6, r["info"]) for r in t.select(["slice", "info"]).to_pylist() if r["info"] is not None]
-        tables = [r for r in t.select(["xs", "ns"]).to_pylist() if r["xs"] is not None]
-        out = []
+        kept = lambda names, one: [r for r in t.select(names).to_pylist() if r[one] is not None]
+        rows = [(r["slice"], *[None] * 6, r["info"]) for r in kept(["slice", "info"], "info")]
+        tables = kept(["xs", "ns"], "xs")
+        pieces = kept(["slice", "docs", "places"], "docs")
         if pieces:
-            columns, tails = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)]
-            for r in pieces:
-                codes = [_numbers(r["mid"]), *_numbers(r["words"]).reshape(depth, -1)]
+            moved = [_numbers(r["docs"]) for r in pieces]
+            cuts = np.r_[0, np.cumsum([len(m) for m in moved])]
+            doc, train = np.concatenate([np.cumsum(m >> 1, dtype=np.uint32) for m in moved]), np.concatenate([(m & 1) == 0 for m in moved])
+            columns, tails = np.empty((depth + 1, cuts[-1]), np.uint32), [[] for _ in range(depth + 1)]
+            codes = (x for b in t.select(["mid", "words", "tails"]).to_batches(max_chunksize=64) for x in b.to_pylist() if x["mid"] is not None)
+            for r, lo, hi in zip(codes, cuts[:-1], cuts[1:], strict=True):
+                end = 4 + int.from_bytes(r["mid"][:4], "little")
+                columns[0, lo:hi] = _numbers(r["mid"][4:end])[_numbers(r["mid"][end:])]
+                columns[1:, lo:hi] = _numbers(r["words"]).reshape(depth, -1)
                 own, k = _unpack(r["tails"], np.uint64), 0
-                for j, c in enumerate(codes):
-                    n = int(np.count_nonzero(c == TAIL))
-                    columns[j].append(c)
+                for j in range(depth + 1):
+                    n = int(np.count_nonzero(columns[j, lo:hi] == TAIL))
                     tails[j].append(own[k : k + n])
                     k += n
-            sizes = [len(x) for x in columns[0]]
-            columns = [np.concatenate(c) for c in columns]
             flat = np.unique(np.concatenate([x for c in tails for x in c]))
-            far = [columns[j] == TAIL for j in (0, 1)]
+            told, asked = (np.flatnonzero(columns[j] == TAIL) for j in (0, 1))
             for j, c in enumerate(columns):  # words beyond the head by their place among those of this partition
                 c[c == TAIL] = FAR + np.searchsorted(flat, np.concatenate(tails[j])).astype(np.uint32)
-            mid, x, *backs = columns
-            moved = [_numbers(r["docs"]).astype(np.int64) for r in pieces]
-            doc = np.concatenate([np.cumsum(m >> 1) for m in moved])
-            train = np.concatenate([(m & 1) == 0 for m in moved])
-            rs = head.share(np.where(x >= FAR, np.uint32(TAIL), x))
-            count = lambda number, n: np.bincount(number[train], minlength=n)
-            # one word
-            each, own = _groups(mid)
-            c = count(own, len(each))
-            first, pair = _groups(_pair(own, x))
-            cx = count(pair, len(first))
-            word = int(mid[0])
-            if tables and word < FAR and head.subs[word] > 0:  # a split word is alone in its partition
-                xs, ns = (np.concatenate([_unpack(r[k], kind) for r in tables]) for k, kind in (("xs", np.uint64), ("ns", np.int64)))
+            table, word = None, int(columns[0, 0])
+            if tables and word < FAR and head.subs[word] > 0:
+                xs, ns = (np.concatenate([read(r[k]) for r in tables]) for k, read in (("xs", _wide_numbers), ("ns", lambda v: _unpack(v, np.int64))))
                 order = np.argsort(xs)
-                xs, ns = xs[order], ns[order]
-                asked = x[first].astype(np.uint64)
-                if len(flat):
-                    asked = np.where(x[first] >= FAR, flat[np.where(x[first] >= FAR, x[first] - FAR, 0)] | np.uint64(1 << 63), asked)
-                at = np.minimum(np.searchsorted(xs, asked), len(xs) - 1)
-                cx = np.where(xs[at] == asked, ns[at], 0)
-                c = np.array([ns.sum()])
-                gain = np.array([(ns * (np.log(ns / c[0]) - np.log(head.share(np.where(xs >> np.uint64(63) == 1, TAIL, xs).astype(np.int64))))).sum()])
-            else:
-                some = first[cx > 0]
-                gain = np.bincount(own[some], cx[cx > 0] * (np.log(cx[cx > 0] / c[own[some]]) - np.log(rs[some])), len(each))
-            state = (c >= min_count) & (gain >= divergence)
-            ci, cxi = c[own], cx[pair].astype(np.float64)
-            is_ = state[own]
-            a, b = np.where(is_, cxi / (ci + root_pseudo), 0.0), np.where(is_, root_pseudo / (ci + root_pseudo), 1.0)
-            seen = np.where(is_ & (cxi > 0), cxi / np.maximum(ci, 1), rs)
-            told = np.flatnonzero(mid >= FAR)
-            told_count = ci[told]
-            e = np.flatnonzero(ci >= min_count)
-            at_, deep = own[e], is_
-            del own, pair, cxi, is_, ci
-            # longer contexts, level by level, among the positions whose context is frequent enough
-            for back in backs:
-                on = back[e] != NONE
-                e, at_ = e[on], at_[on]
-                if not len(e):
-                    break
-                each, own = _groups(_pair(at_, back[e]))
-                c = np.bincount(own[train[e]], minlength=len(each))
-                first, pair = _groups(_pair(own, x[e]))
-                cx = np.bincount(pair[train[e]], minlength=len(first))
-                some = cx > 0
-                where = e[first[some]]
-                gain = np.bincount(own[first[some]], cx[some] * (np.log(cx[some] / c[own[first[some]]]) - np.log(seen[where])), len(each))
-                on = np.flatnonzero(((c >= min_count) & (gain >= divergence))[own])
-                i, n, k = e[on], c[own[on]], cx[pair[on]]
-                m = np.where(deep[i], pseudo, root_pseudo)
-                a[i], b[i] = (k + m * a[i]) / (n + m), m * b[i] / (n + m)
-                seen[i] = np.where(k > 0, k / n, seen[i])
-                deep[i] = True
-                on = np.flatnonzero(c[own] >= min_count)
-                e, at_ = e[on], own[on]
-            head_x = ~far[1]
-            value = np.zeros(len(x))
-            value[head_x] = np.log10(a[head_x] + b[head_x] * (head.counts[x[head_x]] + 1) / log_floor)
-            asked = np.flatnonzero(far[1])
-            cuts = np.r_[0, np.cumsum(sizes)]
+                table = xs[order], ns[order]
+            # whole middle words, about `step` positions at a time
+            order = np.argsort(columns[0], kind="stable").astype(np.uint32)
+            starts = _starts(columns[0][order])
+            ends = np.unique(np.r_[starts[np.unique(np.searchsorted(starts, np.arange(0, len(order), step)).clip(max=len(starts) - 1))], len(order)])
+            value, terms, counts = np.empty(len(order), np.float32), np.empty((2, len(asked))), np.empty(len(told), np.int64)
+            for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if hi == lo:
+                    continue
+                e = order[lo:hi]
+                e.sort()
+                x = columns[1, e]
+                a, b, c = judged(columns[0, e], x, [columns[j, e] for j in range(2, depth + 1)], train[e], flat, table)
+                near = x < FAR
+                value[e] = np.where(near, np.log10(a + b * (head.counts[np.where(near, x, 0)] + 1) / head.floor), 0)
+                for kept_, put, those in ((asked, terms, np.stack([a, b])), (told, counts, c)):
+                    at = np.searchsorted(e, kept_)
+                    ok = np.flatnonzero(e[np.minimum(at, len(e) - 1)] == kept_)
+                    put[..., ok] = those[..., at[ok]]
+                del a, b, c, x, e, near, those
+                trimmed()
             for k, r in enumerate(pieces):
                 lo, hi = int(cuts[k]), int(cuts[k + 1])
                 d = doc[lo:hi]
                 heads = _starts(d)
-                sums = np.add.reduceat(value[lo:hi], heads).astype(np.float32)
+                sums = np.add.reduceat(value[lo:hi], heads, dtype=np.float64).astype(np.float32)
                 q, w = slice(*np.searchsorted(asked, [lo, hi])), slice(*np.searchsorted(told, [lo, hi]))
                 places = _unpack(r["places"], np.uint32)
                 n = q.stop - q.start
-                out.append((r["slice"], _planes(np.diff(np.r_[0, d[heads]])), sums.tobytes(), _pack(places[:n]), _pack(np.stack([a[asked[q]], b[asked[q]]])), _pack(places[n:]), _pack(told_count[w].astype(np.int64)), None))
-        rows = out + infos
+                rows.append((r["slice"], _planes(np.diff(d[heads], prepend=np.uint32(0))), sums.tobytes(), _pack(places[:n]), _pack(terms[:, q]), _pack(places[n:]), _pack(counts[w]), None))
+            del columns, order, value, terms, counts, doc, train, moved, pieces
+            trimmed()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 7), strict=True)], [x.split()[0] for x in back_blob.split(", ")]) if rows else None
 
     def total(t: pa.Table) -> pa.RecordBatch | None:

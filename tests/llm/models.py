@@ -37,7 +37,7 @@ def jaccard_components(rows, threshold=75):
     return [(i, len(s), (min(least[root(k)], default=None) if s else i)) for k, ((i, _), s) in enumerate(zip(rows, sets))]
 
 
-def suffix_scores(rows, depth=6, divergence=2.0, min_count=2, r=50.0, m=3.0, head_words=60_000):
+def suffix_scores(rows, depth=5, divergence=2.0, min_count=2, r=50.0, m=3.0, head_words=60_000):
     """(id, held, tokens, known, N, base, score) of each row, and the distribution of a context by name."""
     docs = [(i, ["<BEGIN>", *words(t), "<END>"], i is not None and crc32(str(i).encode()) % 7 == 2) for i, t in rows]
     c, cx, after = Counter(), Counter(), defaultdict(list)

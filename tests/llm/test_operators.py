@@ -197,7 +197,7 @@ def test_encoded_lengths_against_plain_merges(spark, tmp_path):
 # 4 language model ---------------------------------------------------------------------------------------------------
 def _held_against_the_model(df, **options):
     got = none_first(tuple(r) for r in suffix_lm.suffix_tree_scores(df, **options).collect())
-    want, chance, known, longest = suffix_scores(pairs(df), **{k: v for k, v in options.items() if k != "part_tokens"})
+    want, chance, known, longest = suffix_scores(pairs(df), **{k: v for k, v in options.items() if k not in ("part_tokens", "step")})
     want = none_first(want)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for k in (5, 6):
@@ -205,7 +205,7 @@ def _held_against_the_model(df, **options):
     return chance, known, longest
 
 
-@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"depth": 3, "head_words": 12}, {"head_words": 0}, {"part_tokens": 400}, {"part_tokens": 400, "head_words": 30, "divergence": 0.5}])
+@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"depth": 3, "head_words": 12}, {"head_words": 0}, {"part_tokens": 400, "step": 50}, {"part_tokens": 400, "head_words": 30, "divergence": 0.5, "step": 7}])
 def test_suffix_tree(some, options):
     """Against a plain model: all words in the head, some, none; and with frequent words split over partitions."""
     chance, known, _ = _held_against_the_model(some, **options)
