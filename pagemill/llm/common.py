@@ -139,6 +139,15 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
+def task_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of `parts` partitions a key that repartition(parts, key) deals to it: keys by number would collide in some tasks."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = spark.range(24 * parts + 200).groupBy(place.alias("p")).agg(F.min("id").alias("k")).toArrow()
+    keys = np.arange(1 << 30, (1 << 30) + parts, dtype=np.int32)  # any distinct key will do where none was found
+    keys[found.column("p").to_numpy()] = found.column("k").to_numpy()
+    return keys
+
+
 def trimmed() -> None:
     """Freed memory goes back to the system: a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()

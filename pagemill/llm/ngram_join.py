@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, keyed, mix, sized, slices, stored, streamed, word_hashes
+from pagemill.llm.common import components, keyed, mix, sized, slices, stored, streamed, task_keys, word_hashes
 
 NARROWEST, WIDEST = 64, 1 << 15
 CELLS = 1 << 18
@@ -45,6 +45,7 @@ LEAF, FAN = 16, 8
 BUCKET_BYTES = 1 << 26
 NOBODY = np.int64(-(2**63))
 PART_TOKENS = 4_000_000
+SLICE_ROW, WIDEST_SLICE = 1 << 10, 16 << 20
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -249,9 +250,11 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(12, -(-total // PART_TOKENS))
+    keys = task_keys(spark, parts).tolist()
+    wide = min(WIDEST_SLICE, max(2 << 20, SLICE_ROW * parts))  # of a slice's row for a partition some hundred bytes at least
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=2 << 20):
+        for b in slices(batches, most=wide):
             sets = shingle_sets(b.column("text"), words)
             ids = np.array([digests(s)[0] for s in sets], np.uint64).view(np.int64)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
@@ -274,7 +277,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 if hi > lo or len(mine):
                     d = doc[lo:hi]
                     at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if hi > lo else d
-                    out.append((p, owners[d[at]].tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), ids[mine].tobytes(), here[mine].astype(np.int32).tobytes()))
+                    out.append((keys[p], owners[d[at]].tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), low[lo:hi].tobytes(), ids[mine].tobytes(), here[mine].astype(np.int32).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "ids", "runs", "toks", "own", "here"])
 

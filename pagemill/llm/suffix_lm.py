@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, trimmed, word_hashes
+from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, task_keys, trimmed, word_hashes
 
 NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
 FAR = np.uint32(1 << 24)
@@ -226,7 +226,7 @@ def head_of(words: DataFrame, texts: int, head_words: int, part_tokens: int, bul
     return Head(h[by_hash], codes[by_hash], counts, tokens, sum(r[1] for r in levels) + (1 if texts else 0), int(c.min()) if len(c) == sum(r[1] for r in levels if r[0] >= (from_ or 0)) and len(c) else 1 << 62, base, first, subs)
 
 
-def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
+def split_pairs(docs: DataFrame, shared, split: list[int], keys: list[int]) -> DataFrame:
     """(part, xs, ns): training counts of the next words of each split word, for each of its partitions.
 
     Pairs are counted by slice, packed, and added up in as many shares of the next words as the word has partitions.
@@ -256,9 +256,9 @@ def split_pairs(docs: DataFrame, shared, split: list[int]) -> DataFrame:
         return pa.RecordBatch.from_arrays([t.column("w")[:1].combine_chunks(), pa.array([_wide_planes(x)], pa.binary()), pa.array([_pack(n)], pa.binary())], ["w", "xs", "ns"])
 
     head = shared.value
-    where = docs.sparkSession.createDataFrame([(k, int(head.first[k]), int(head.first[k] + head.subs[k] - 1)) for k in split], "w_ int, lo int, hi int")
+    where = docs.sparkSession.createDataFrame([(k, keys[head.first[k] : head.first[k] + head.subs[k]]) for k in split], "w_ int, parts array<int>")
     pairs = streamed(docs.mapInArrow(count, "w int, place int, xs binary, ns binary"), ["place"], add, "w int, xs binary, ns binary", int(head.subs.sum()))
-    return pairs.join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode(F.sequence("lo", "hi")).alias("part"), "xs", "ns")
+    return pairs.join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode("parts").alias("part"), "xs", "ns")
 
 
 def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, divergence: float = 2.0, min_count: int = 2, root_pseudo: float = 50.0, pseudo: float = 3.0, depth: int = 5, part_tokens: int = 1_000_000, head_words: int = 2_000_000, step: int = 250_000) -> DataFrame:
@@ -268,6 +268,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size, rows, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if(~F.col("held"))).first()
     words = stored(word_counts(docs, max(12, int(size) >> 25)), "words")
     shared = spark.sparkContext.broadcast(head := head_of(words, texts, head_words, part_tokens, size / BYTES_A_TOKEN + rows))
+    keys = task_keys(spark, head.parts).tolist()
     parts, wide = head.parts, min(WIDEST, max(SLICE, ROW_BYTES * head.parts))
     blob = "part int, slice long, mid binary, docs binary, words binary, tails binary, places binary, xs binary, ns binary, info binary"
 
@@ -313,8 +314,8 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 own, local, many = np.unique(columns[0][0], return_inverse=True, return_counts=True)
                 often = np.argsort(-many, kind="stable")
                 own, place = own[often], np.argsort(often)
-                out.append((p, name, len(packed := _planes(own)).to_bytes(4, "little") + packed + _planes(place[local]), _planes(np.diff(np.r_[0, d]) * 2 + held_[d]), _planes(np.concatenate([c for c, _ in columns[1:]])), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
-            out.append((name % parts, name, *[None] * 7, sink.getvalue().to_pybytes()))
+                out.append((keys[p], name, len(packed := _planes(own)).to_bytes(4, "little") + packed + _planes(place[local]), _planes(np.diff(np.r_[0, d]) * 2 + held_[d]), _planes(np.concatenate([c for c, _ in columns[1:]])), _pack(np.concatenate(tails)), _pack(places.astype(np.uint32)), None, None, None))
+            out.append((keys[name % parts], name, *[None] * 7, sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 8), strict=True)], [x.split()[0] for x in blob.split(", ")])
             del s, out, order, cuts, columns, tails, places, d, own, local
             trimmed()
@@ -457,7 +458,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     blobs = numbered.mapInArrow(deal, blob)
     if split := np.flatnonzero(head.subs).tolist():
-        pairs = split_pairs(docs, shared, split)
+        pairs = split_pairs(docs, shared, split, keys)
         none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in blob.split(", ")]
         blobs = blobs.unionByName(pairs.select("part", *[c for c, x in zip(none, blob.split(", "), strict=True) if x.split()[0] not in ("part", "xs", "ns")], "xs", "ns"))
     parted = streamed(blobs, ["part"], score, back_blob, parts)
