@@ -9,7 +9,7 @@ strongest margin and the log number of windows are calibrated to a probability o
 After training, embedding times softmax collapses to one number a bucket (their margin is linear in the average), which is
 what is broadcast: 2 ** BITS floats. Misspellings share most character n-grams with the words they come from.
 
-The sample: ids with a 0/1 label, not held out; up to `toxic_rows` and `other_rows` ids of the two labels in expectation,
+Training is one task of an executor, so it is done again where that is lost. Its sample: ids with a 0/1 label, not held out; up to `toxic_rows` and `other_rows` ids of the two labels in expectation,
 chosen by a hash of the id, and of each one text of at most `longest` bytes (an id on several texts gives the one whose hash
 is least), so repeated rows add nothing to it. An id with both labels counts as toxic. Only text and label are used. A null
 or letterless text has no window and scores 0.0. Without labelled rows of both kinds every score is 0.0. Null ids count as
@@ -151,7 +151,8 @@ def train(texts: list[str], labels: list[int], window: int, dim: int, epochs: in
     return model
 
 
-def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", modulus: int = 4, held: int = 2, toxic_rows: int = 3000, other_rows: int = 5000, longest: int = 20_000, window: int = 12, dim: int = 16, epochs: int = 8, rate: float = 0.3) -> ToxicModel | None:
+def sample_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", modulus: int = 4, held: int = 2, toxic_rows: int = 3000, other_rows: int = 5000, longest: int = 20_000) -> DataFrame | None:
+    """(id, text, y) of the sample; None where one of the labels has no row to learn from."""
     marks = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     marks = marks.where((remainder("id", modulus) != held) & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     count = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -162,10 +163,24 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     picked = marks.where(drawn < F.when(F.col("y") == 1, int(chance[1] * (1 << 30))).otherwise(int(chance[0] * (1 << 30))))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= longest)
     one = docs.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
-    rows = sorted(tuple(r) for r in one.select("id", "r.text", "r.y").collect())
-    if len({r[2] for r in rows}) < 2:
+    return one.select("id", "r.text", "r.y")
+
+
+def fit_toxicity(df: DataFrame, labels: DataFrame, window: int = 12, dim: int = 16, epochs: int = 8, rate: float = 0.3, **options) -> ToxicModel | None:
+    """The model, trained in one task on the sample that sample_rows draws (with its options); one row of it comes to the driver."""
+    rows = sample_rows(df, labels, **options)
+    if rows is None:
         return None
-    return train([r[1] for r in rows], [r[2] for r in rows], window, dim, epochs, rate)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("text", pa.string()), ("y", pa.int32())]))])
+        texts, y = t.column("text").to_pylist(), t.column("y").to_pylist()
+        if len(set(y)) == 2:
+            m = train(texts, y, window, dim, epochs, rate)
+            yield pa.RecordBatch.from_arrays([pa.array([m.margin.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.scale, m.length, m.shift))], ["margin", "bias", "scale", "length", "shift"])
+
+    made = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fit, "margin binary, bias double, scale double, length double, shift double").collect()
+    return ToxicModel(np.frombuffer(made[0]["margin"], np.float32), *made[0][1:], window) if made else None
 
 
 def score_toxicity(df: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:

@@ -648,13 +648,11 @@ def test_toxicity(spark, edge, nothing):
     assert toxicity.fit_toxicity(df, labels.limit(0)) is None and toxicity.score_toxicity(edge, None).count() == edge.count()
 
 
-def test_the_toxicity_sample_is_bounded(spark, monkeypatch):
+def test_the_toxicity_sample_is_bounded(spark):
     """Ids that repeat a thousand times, and on other texts, give one row each."""
     rows = [(k % 10, f"text {'vilescum' if k % 2 else 'friendly'} {k % 10} {k % 3}", k % 2) for k in range(20_000)]
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, *a: seen.extend(texts))
-    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, x int"), spark.createDataFrame([(k, k % 2) for k in range(10)] * 50, "doc_id long, toxic int"))
-    assert 5 < len(seen) <= 10
+    sample = toxicity.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, x int"), spark.createDataFrame([(k, k % 2) for k in range(10)] * 50, "doc_id long, toxic int"))
+    assert 5 < sample.count() <= 10
 
 
 # pipeline -----------------------------------------------------------------------------------------------------------
