@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import edit_profile, error_rate, length_bucket, punctuation_only, repeats_itself, stripped
-from pagemill.operators.metrics import DIGITS, worst
+from pagemill.operators.metrics import worst
 
 
-def error_labels(max_tokens: int | None = None, tokens: str | None = None, profiled: bool = True) -> F.Column:
+def reference(columns: list[str]) -> F.Column:
+    """reference_text, or text in rows that have no such column; a null is empty."""
+    return F.coalesce(F.col("text" if "reference_text" not in columns and "text" in columns else "reference_text"), F.lit(""))
+
+
+def error_labels(max_tokens: int | None = None, tokens: str | None = None, profiled: bool = True, ref: F.Column | None = None) -> F.Column:
     """Labels of a row in order; other_ocr_error or exact_match where none applies. profiled: the edit counts are there."""
-    ref, pred = F.coalesce(F.col("reference_text"), F.lit("")), F.coalesce(F.col("predicted_text"), F.lit(""))
+    ref = F.coalesce(F.col("reference_text"), F.lit("")) if ref is None else ref
+    pred = F.coalesce(F.col("predicted_text"), F.lit(""))
     n, m = F.length(ref), F.length(pred)
     label = lambda test, name: F.when(test, F.lit(name))
     found = []
@@ -36,34 +42,47 @@ def error_labels(max_tokens: int | None = None, tokens: str | None = None, profi
 
 
 def enrich(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """Rate, distance, lengths and bucket where the columns are missing or null; edit counts and labels always anew."""
-    ref, pred = F.coalesce(F.col("reference_text"), F.lit("")), F.coalesce(F.col("predicted_text"), F.lit(""))
+    """Rate, distance, lengths and bucket where the columns are missing; edit counts and labels always anew."""
+    ref, pred = reference(df.columns), F.coalesce(F.col("predicted_text"), F.lit(""))
     made = {"cer": error_rate(ref, pred), "edit_distance": F.levenshtein(ref, pred), "reference_length": F.length(ref), "prediction_length": F.length(pred), "text_length_bucket": length_bucket(ref)}
-    df = df.withColumns({k: F.coalesce(F.col(k), v) if k in df.columns else v for k, v in made.items()})
+    df = df.withColumns({k: v for k, v in made.items() if k not in df.columns})
     tokens = next((c for c in ("reference_token_length", "token_length") if c in df.columns), None)
-    df = df.withColumn("edits", edit_profile("reference_text", "predicted_text"))
-    return df.withColumn("error_buckets", error_labels(max_tokens, tokens))
+    df = df.withColumn("edits", edit_profile(ref, pred))
+    return df.withColumn("error_buckets", error_labels(max_tokens, tokens, ref=ref))
+
+
+def last_of_each(df: DataFrame, key: str, position: str | None) -> DataFrame:
+    """Of rows with one key the last; rows without a key go. Aggregated before the shuffle, so a frequent key is no hot one."""
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), position)
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key_")).agg(last.alias("row_")).select("row_.*")
+
 
+def compare_runs(base: DataFrame, candidate: DataFrame, key: str = "crop_id", position: str | None = None) -> DataFrame:
+    """Every key of either run with both rates, texts and buckets and delta = candidate - base (null unless in both).
 
-def last_of_each(df: DataFrame, key: str, position: str) -> DataFrame:
-    """Of rows with one key the last; rows without a key go."""
-    w = Window.partitionBy(key).orderBy(F.desc(position))
-    return df.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    Rows without a key go. Where a run has a key several times its last row counts, by `position`, a column of both runs;
+    without one the keys have to be unique.
+    """
+    carried = ("reference_text", "predicted_text", "text_length_bucket", "error_buckets", "reference_length", "source")
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        df = last_of_each(df, key, position) if position else df.where(F.col(key).isNotNull())
+        return df.select(F.col(key).alias(f"{name}_key"), F.col("cer").alias(f"{name}_cer"), *(F.col(c).alias(f"{name}_{c}") for c in carried if c in df.columns))
 
-def compare_runs(base: DataFrame, candidate: DataFrame, key: str = "crop_id") -> DataFrame:
-    """Every key of either run with both rates and delta = candidate - base (null unless in both). One full outer join."""
-    a = base.select(key, F.col("cer").alias("base_cer"), F.col("reference_length").alias("reference_length"))
-    b = candidate.select(key, F.col("cer").alias("candidate_cer"))
-    return a.join(b, key, "full_outer").withColumn("delta", F.col("candidate_cer") - F.col("base_cer"))
+    both = side(base, "base").join(side(candidate, "candidate"), F.col("base_key") == F.col("candidate_key"), "full_outer")
+    given = [c for c in ("reference_text", "text_length_bucket", "reference_length", "source") if f"base_{c}" in both.columns or f"candidate_{c}" in both.columns]
+    one = {c: F.coalesce(*(F.col(f"{s}_{c}") for s in ("base", "candidate") if f"{s}_{c}" in both.columns)) for c in given}
+    out = both.withColumns({key: F.coalesce("base_key", "candidate_key"), "delta": F.col("candidate_cer") - F.col("base_cer"), **one})
+    return out.select(key, *one, *(c for c in both.columns if not c.endswith("_key") and c.split("_", 1)[1] not in one), "delta")
 
 
 def comparison_summary(compared: DataFrame) -> DataFrame:
+    in_base, in_candidate = F.col("base_cer").isNotNull(), F.col("candidate_cer").isNotNull()
     return compared.agg(
         F.count("delta").alias("shared"),
-        F.count_if(F.col("base_cer").isNotNull() & F.col("candidate_cer").isNull()).alias("base_only"),
-        F.count_if(F.col("base_cer").isNull() & F.col("candidate_cer").isNotNull()).alias("candidate_only"),
-        F.round(F.avg("delta"), DIGITS).alias("mean_delta"),
+        F.count_if(in_base & ~in_candidate).alias("base_only"),
+        F.count_if(~in_base & in_candidate).alias("candidate_only"),
+        F.avg("delta").alias("mean_delta"),
         F.count_if(F.col("delta") > 0).alias("regressions"),
         F.count_if(F.col("delta") < 0).alias("improvements"),
     )
@@ -75,5 +94,6 @@ def largest_changes(compared: DataFrame, k: int, worse: bool, key: str = "crop_i
 
 
 def hardest_overlap(base: DataFrame, candidate: DataFrame, k: int, key: str = "crop_id") -> DataFrame:
-    """How many of the k hardest rows of both runs are the same."""
-    return worst(base, k, tie=key).select(key).intersect(worst(candidate, k, tie=key).select(key)).agg(F.count("*").alias("overlap"))
+    """How many of the k rows of highest rate of both runs are the same; equal rates are taken by key."""
+    top = lambda df: worst(df, k, ("cer",), key).select(key)
+    return top(base).intersect(top(candidate)).agg(F.count("*").alias("overlap"))

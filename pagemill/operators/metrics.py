@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: lower ends of error-rate bins and their names
 RATE_BINS = ((0.0, "0.00_0.05"), (0.05, "0.05_0.10"), (0.10, "0.10_0.25"), (0.25, "0.25_0.50"), (0.50, "0.50_1.00"), (1.0, "1.00_inf"))
-DIGITS = 6
+
+#: Values of one range per task where ranks are summed up.
+RANGES = 64
 
 
 def micro_rate(edits: Column, lengths: Column) -> Column:
-    """All edits by all reference characters, 0.0 where there are none: not the mean of rates."""
+    """All edits by all reference characters, not the mean of rates: 0.0 where rows have no characters, null where there are no rows."""
     total = F.sum(lengths)
-    return F.round(F.when(total > 0, F.sum(edits).cast("double") / total).otherwise(0.0), DIGITS)
+    return F.when(total > 0, F.sum(edits).cast("double") / total).when(F.count("*") > 0, 0.0)
 
 
 def summary() -> list[Column]:
-    return [F.count("*").alias("n_rows"), micro_rate(F.col("edit_distance"), F.col("reference_length")).alias("micro_cer"), F.round(F.avg("cer"), DIGITS).alias("mean_cer")]
+    return [F.count("*").alias("n_rows"), micro_rate(F.col("edit_distance"), F.col("reference_length")).alias("micro_cer"), F.avg("cer").alias("mean_cer")]
 
 
 def grouped_summary(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,19 +44,29 @@ def grouped_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 def nearest_ranks(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at rint((n - 1) * share) in order.
 
-    Equal values are counted first and their ranks found by running sums of counts, so a group is never gathered in one row.
+    Equal values are counted first. Their ranks are running sums of counts, over ranges of values and then inside a range, so
+    a group is never gathered in one row and its values never pass through one task.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("__to", F.sum("__c").over(upto)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
+    ends = df.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count(value).alias("__n"))
+    part = lambda b: b.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in b.columns if c not in by))
+    match = lambda extra=F.lit(True): reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), extra)
+    at_ = F.least(F.floor((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0)) * RANGES), F.lit(RANGES - 1))
+    placed = counts.join(F.broadcast(part(ends)), match()).withColumn("__range", F.coalesce(at_, F.lit(0))).drop("__low", "__high", *(f"__{c}" for c in by))
+    ranges = placed.groupBy(*by, "__range").agg(F.sum("__c").alias("__in"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0))).drop("__in").withColumnRenamed("__range", "__r")
+    upto = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(F.broadcast(part(ranges)), match(F.col("__range") == F.col("__r"))).drop(*(f"__{c}" for c in by))
+    ranked = ranked.withColumn("__to", F.col("__before") + F.sum("__c").over(upto))
     at = {name: F.rint((F.col("__n") - 1) * q) for name, q in shares.items()}
     inside = lambda r: (r < F.col("__to")) & (r >= F.col("__to") - F.col("__c"))
     return ranked.groupBy(*by).agg(F.max("__n").alias("n_rows"), *(F.max(F.when(inside(r), F.col(value))).alias(name) for name, r in at.items()))
 
 
 def linear_percentiles(value: Column, shares: dict[str, float]) -> list[Column]:
-    return [F.round(F.percentile(value, q), DIGITS).alias(name) for name, q in shares.items()]
+    return [F.percentile(value, q).alias(name) for name, q in shares.items()]
 
 
 def rate_histogram(df: DataFrame, value: str = "cer") -> DataFrame:
@@ -71,3 +86,15 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 def worst(df: DataFrame, k: int = 25, by: tuple[str, ...] = ("cer", "reference_length"), tie: str = "crop_id") -> DataFrame:
     """The k highest rows; ties by id, in a top-k without a full sort."""
     return df.orderBy(*(F.desc(c) for c in by), tie).limit(k)
+
+
+def rate_map(df: DataFrame, key: str = "image_id", value: str = "page_cer") -> dict[str, float]:
+    """Rates by key of a result of stated size (one page a row); of equal keys the last by position, if the rows have one."""
+    rows = df.select(key, value).where(F.col(key).isNotNull())
+    return {r[0]: r[1] for r in rows.collect()}
+
+
+def token_percentiles(value: Column) -> list[Column]:
+    """Minimum, the percentiles that sample reports give, maximum and mean of a count; null where there are no rows."""
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return [F.min(value).alias("min"), *linear_percentiles(value, shares), F.max(value).alias("max"), F.avg(value).alias("mean")]

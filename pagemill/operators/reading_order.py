@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.pages import boxes, dealt, ious, per_page
+from pagemill.operators.pages import BOX, boxes, dealt, ious, per_page
 
 #: Regions whose text is no part of a page's text.
 NON_TEXT_TYPES = ("image", "graph")
@@ -55,20 +55,9 @@ def order_regions(df: DataFrame, page: str = "page_id", region: str = "region_id
     """The rows of df with line_index, within_line_index and reading_index, all from 0; every column is carried through."""
 
     def fold(t: pa.Table) -> dict:
-        b, ids = boxes(t), t.column(region).to_pylist()
-        centre, high = (b[:, 1] + b[:, 3]) / 2, np.maximum(b[:, 3] - b[:, 1], 1)
-        order = sorted(range(len(ids)), key=lambda k: (b[k, 1], b[k, 0], b[k, 2], ids[k]))
-        anchors, line = np.zeros((len(ids), 2)), np.zeros(len(ids), np.int64)
-        n = 0
-        for k in order:
-            near = np.abs(anchors[:n, 0] - centre[k]) <= tolerance * np.maximum(anchors[:n, 1], high[k])
-            at = int(near.argmax()) if n and near.any() else n
-            if at == n:
-                anchors[n] = centre[k], high[k]
-                n += 1
-            line[k] = at
-        place, within, last = np.empty(len(ids), np.int32), np.empty(len(ids), np.int32), (-1, -1)
-        for r, k in enumerate(sorted(range(len(ids)), key=lambda k: (line[k], b[k, 0], b[k, 1], b[k, 2], ids[k]))):
+        line, read = _lines(boxes(t), t.column(region).to_pylist(), tolerance)
+        place, within, last = np.empty(len(line), np.int32), np.empty(len(line), np.int32), (-1, -1)
+        for r, k in enumerate(read):
             last = (line[k], last[1] + 1 if last[0] == line[k] else 0)
             place[k], within[k] = r, last[1]
         return {"line_index": pa.array(line.astype(np.int32)), "within_line_index": pa.array(within), "reading_index": pa.array(place)}
@@ -79,6 +68,56 @@ def order_regions(df: DataFrame, page: str = "page_id", region: str = "region_id
     return per_page(rows, page, fold, schema, [*rows.columns, *made])
 
 
+def assembled_texts(df: DataFrame, texts: dict[str, str], evaluable: Column, carried: tuple[str, ...] = (), page: str = "page_id", region: str = "region_id", tolerance: float = 0.5) -> DataFrame:
+    """One row a page: for each (name, column) of `texts` the page's text in reading order, and the first value of carried columns.
+
+    Order and texts come from one fold, so the rows are shuffled once, whatever the number of texts. Regions that do not count
+    and empty texts are left out after ordering.
+    """
+    names, ok = list(texts), "__counts"
+    rows = df.select(page, region, *BOX, *carried, *(F.col(c).alias(f"__{n}") for n, c in texts.items()), F.coalesce(evaluable, F.lit(False)).alias(ok))
+
+    def fold(t: pa.Table) -> pa.Table:
+        counts = t.column(ok).to_pylist()
+        read = [k for k in _lines(boxes(t), t.column(region).to_pylist(), tolerance)[1] if counts[k]]
+        made = {n: ["\n".join(v for k in read if (v := column[k]))] for n in names for column in [t.column(f"__{n}").to_pylist()]}
+        first = {c: t.column(c).slice(0, 1) for c in (page, *carried)}
+        return pa.table({**first, **{n: pa.array(v, pa.string()) for n, v in made.items()}})
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (page, *carried)), *(f"`{n}` string" for n in names)])
+    return dealt(rows, page).groupBy(page).applyInArrow(fold, schema)
+
+
+def _lines(b: np.ndarray, ids: list, tolerance: float) -> tuple[np.ndarray, list[int]]:
+    """Line of each region of a page, and all regions in reading order."""
+    centre, high = (b[:, 1] + b[:, 3]) / 2, np.maximum(b[:, 3] - b[:, 1], 1)
+    order = sorted(range(len(ids)), key=lambda k: (b[k, 1], b[k, 0], b[k, 2], ids[k]))
+    anchors, line = np.zeros((len(ids), 2)), np.zeros(len(ids), np.int64)
+    n = 0
+    for k in order:
+        near = np.abs(anchors[:n, 0] - centre[k]) <= tolerance * np.maximum(anchors[:n, 1], high[k])
+        at = int(near.argmax()) if n and near.any() else n
+        if at == n:
+            anchors[n] = centre[k], high[k]
+            n += 1
+        line[k] = at
+    return line, sorted(range(len(ids)), key=lambda k: (line[k], b[k, 0], b[k, 1], b[k, 2], ids[k]))
+
+
+def ordered_pages(df: DataFrame, page: str = "page_id", region: str = "region_id", text: str = "text", threshold: float = 0.95, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Duplicates suppressed, then lines and numbers: (kept regions in order with line_id, one row of diagnostics a page)."""
+    judged = suppress_duplicates(df, page, region, text, threshold)
+    same = [F.col(c) == F.col(f"{c}_") for c in (page, region)]
+    gone = judged.select(F.col(page).alias(f"{page}_"), F.col(region).alias(f"{region}_"), "duplicate_of")
+    marked = df.join(gone, same[0] & same[1]).drop(f"{page}_", f"{region}_")
+    kept = order_regions(marked.where("duplicate_of IS NULL").drop("duplicate_of"), page, region, tolerance)
+    kept = kept.withColumn("line_id", F.format_string("%s_line_%04d", F.col(page).cast("string"), "line_index"))
+    counts = judged.groupBy(page).agg(F.count("*").alias("input_regions"), F.count("duplicate_of").alias("suppressed_duplicates"))
+    n_lines = kept.groupBy(F.col(page).alias(f"{page}_")).agg(F.count_distinct("line_index").alias("line_count"))
+    return kept, counts.join(n_lines, F.col(page) == F.col(f"{page}_"), "left").drop(f"{page}_").withColumn("line_count", F.coalesce("line_count", F.lit(0)))
+
+
 def lines(ordered: DataFrame, page: str = "page_id", region: str = "region_id", text: str = "text") -> DataFrame:
     """One row for each line of regions that carry line_index: box, region ids and text in order, empty texts left out."""
     inside = F.array_sort(F.collect_list(F.struct("within_line_index", F.col(region).alias("region"), F.coalesce(F.col(text), F.lit("")).alias("text"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import error_rate
+from pagemill.operators.errors import last_of_each
 from pagemill.operators.metrics import micro_rate
 from pagemill.operators.reading_order import order_regions, page_texts
 
@@ -14,12 +15,13 @@ def ordered_page_texts(regions: DataFrame, evaluable: Column, text: str, page: s
     return page_texts(order_regions(regions, page, region), evaluable, page, text)
 
 
-def evaluate_pages(reference: DataFrame, prediction: DataFrame, page: str = "page_id", strict: bool = True) -> DataFrame:
+def evaluate_pages(reference: DataFrame, prediction: DataFrame, page: str = "page_id", strict: bool = True, position: str | None = None) -> DataFrame:
     """One row for each reference page: texts, edit_distance, reference_length, page_cer. Extra predictions are ignored.
 
-    A page without a prediction raises, or with strict=False is scored as empty.
+    Of several predictions of a page the last counts, by `position`; without one pages have to be unique. A page without a
+    prediction raises, or with strict=False is scored as empty.
     """
-    p = prediction.select(page, F.col("page_text").alias("predicted_text"), F.lit(True).alias("__there"))
+    p = (last_of_each(prediction, page, position) if position else prediction).select(page, F.col("page_text").alias("predicted_text"), F.lit(True).alias("__there"))
     both = reference.select(page, F.col("page_text").alias("reference_text")).join(p, page, "left")
     if strict:
         missing = F.raise_error(F.concat(F.lit("missing prediction for page "), F.col(page).cast("string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.hashing import shuffle_key
@@ -49,10 +49,10 @@ def in_shuffled_order(df: DataFrame, key: str, seed: int, n: int | None = None)
 
 def first_of_each(df: DataFrame, by: str, key: str, seed: int, n: int | None = None) -> DataFrame:
     """One row for each value of `by`, the first in shuffled order, then the first n of these."""
-    order = Window.partitionBy(by).orderBy("__shuffle", key)
-    first = df.withColumn("__shuffle", shuffle_key(F.col(key), seed)).withColumn("__rn", F.row_number().over(order)).where("__rn = 1")
-    first = first.orderBy("__shuffle", key).limit(n) if n is not None else first
-    return first.drop("__shuffle", "__rn")
+    place = F.struct(shuffle_key(F.col(key), seed).alias("shuffled"), F.col(key).alias("key"))
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), place)  # combined before the shuffle, however frequent a value
+    first = df.groupBy(F.col(by).alias("by_")).agg(row.alias("row_"), F.min(place).alias("place_"))
+    return (first.orderBy("place_").limit(n) if n is not None else first).select("row_.*")
 
 
 def leak_free(train: DataFrame, val: DataFrame, by: str) -> DataFrame:

@@ -82,7 +82,10 @@ def overfit_sample(rows: DataFrame, n_train: int, n_val: int, max_tokens: int =
 
 
 def summarize_experiment(predictions: DataFrame, k: int = 25) -> dict[str, DataFrame]:
-    """overall, percentiles, histogram, error buckets, groups and the k worst rows, of enriched predictions."""
+    """overall, percentiles, histogram, error buckets, groups and the k worst rows, of enriched predictions.
+
+    Six frames over one input: persist it before, or take datasets.experiment_summaries, which does and frees it.
+    """
     keys = [c for c in ("source", "annotation_source", "region_type", "language", "legibility", "text_length_bucket", "error_buckets") if c in predictions.columns]
     return {
         "overall": predictions.agg(*A.summary()),

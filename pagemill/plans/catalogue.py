@@ -15,7 +15,9 @@ from pagemill.operators import metrics as A
 from pagemill.operators import reading_order as R
 from pagemill.operators import scoring as S
 from pagemill.operators import selection as L
-from pagemill.operators.pages import BOX, dealt
+from pagemill.operators.pages import BOX
+from pagemill.plans import builders as B
+from pagemill.plans import datasets as P
 from pagemill.plans import inspection as I
 from pagemill.plans import views as V
 from pagemill.plans.views import IOU, V1, table
@@ -35,6 +37,16 @@ def query(sql: str | None = None):
     return add
 
 
+def six(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six digits, so that engines which sum in another order agree."""
+    return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def even(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as the session asks for: the work on them is heavy for their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _split_docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").withColumns({"split": H.split_name(F.col("doc_id"), FRACTION, SEED), "exact_text": X.stripped(F.col("text"))})
 
@@ -57,17 +69,15 @@ SELECT source, count(*) AS n_pages, CAST(sum(levenshtein(r, p)) AS BIGINT) AS ed
   round(CASE WHEN sum(length(r)) > 0 THEN CAST(sum(levenshtein(r, p)) AS DOUBLE) / sum(length(r)) ELSE 0.0 END, 6) AS page_cer FROM texts GROUP BY source""")
 def page_cer_by_source(spark, sf):
     v = V.regions(spark, sf)
-    ordered = R.order_regions(v.select("page_id", "region_id", "source", "region_type", "language", "legibility", "ref_text", "pred_text", *BOX))
     ok = R.text_evaluable(F.col("region_type"), F.col("language"), F.col("legibility"))
-    kept = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok & (F.col(c) != ""), F.struct("reading_index", F.col(c).alias("t"))))), lambda r: r.t), "\n")
-    pages = dealt(ordered, "page_id").groupBy("page_id").agg(F.first("source").alias("source"), kept("ref_text").alias("r"), kept("pred_text").alias("p"))
-    return S.mean_page_rate(pages.withColumns({"edit_distance": F.levenshtein("r", "p").cast("long"), "reference_length": F.length("r").cast("long")}), "source")
+    pages = R.assembled_texts(v, {"r": "ref_text", "p": "pred_text"}, ok, ("source",))
+    return six(S.mean_page_rate(pages.withColumns({"edit_distance": F.levenshtein("r", "p").cast("long"), "reference_length": F.length("r").cast("long")}), "source"))
 
 
 @query(WITH + V.SCORED + """
 SELECT source, count(*) AS n_rows, round(CAST(sum(edit_distance) AS DOUBLE) / sum(reference_length), 6) AS micro_cer, round(avg(cer), 6) AS mean_cer FROM sc GROUP BY source""")
 def region_cer_summary(spark, sf):
-    return V.scored(spark, sf).groupBy("source").agg(*A.summary())
+    return six(V.scored(spark, sf).groupBy("source").agg(*A.summary()))
 
 
 @query(WITH + V.SCORED + """,
@@ -91,7 +101,7 @@ _BUCKET = "CASE WHEN n <= 5 THEN '000_005' WHEN n <= 15 THEN '006_015' WHEN n <=
 
 @query(WITH + V.SCORED + f", b AS (SELECT *, {_BUCKET} AS text_length_bucket FROM sc)\n" + " UNION ALL ".join(f"SELECT '{k}' AS key, coalesce({k}, 'None') AS bucket, count(*) AS n_rows, round(CASE WHEN sum(reference_length) > 0 THEN CAST(sum(edit_distance) AS DOUBLE) / sum(reference_length) ELSE 0.0 END, 6) AS micro_cer, round(avg(cer), 6) AS mean_cer FROM b GROUP BY 2" for k in _KEYS))
 def cer_grouping_sets(spark, sf):
-    return A.grouped_summary(V.scored(spark, sf).withColumn("text_length_bucket", X.length_bucket(F.col("ref_text"))), list(_KEYS))
+    return six(A.grouped_summary(V.scored(spark, sf).withColumn("text_length_bucket", X.length_bucket(F.col("ref_text"))), list(_KEYS)))
 
 
 @query(f"SELECT {_BUCKET} AS bucket, count(*) AS n_rows, min(n) AS shortest, max(n) AS longest FROM (SELECT length(text) AS n FROM documents) WHERE n IS NOT NULL GROUP BY 1")
@@ -106,7 +116,7 @@ _SHARES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95"
 @query("SELECT lang, min(length(text)) AS shortest, " + ", ".join(f"round(quantile_cont(length(text), {q}), 6) AS {k}" for k, q in _SHARES.items()) + ", max(length(text)) AS longest, round(avg(length(text)), 6) AS mean_length FROM documents GROUP BY lang")
 def text_length_percentiles(spark, sf):
     n = F.length("text").cast("long")
-    return table(spark, sf, "documents").groupBy("lang").agg(F.min(n).alias("shortest"), *A.linear_percentiles(n, _SHARES), F.max(n).alias("longest"), F.round(F.avg(n), 6).alias("mean_length"))
+    return table(spark, sf, "documents").groupBy("lang").agg(F.min(n).alias("shortest"), *A.linear_percentiles(n, _SHARES), F.max(n).alias("longest"), F.avg(n).alias("mean_length")).select("lang", "shortest", "longest", *(F.round(c, 6).alias(c) for c in (*_SHARES, "mean_length")))
 
 
 @query(WITH + V.SCORED + " SELECT region_id, cer, reference_length FROM sc ORDER BY cer DESC, reference_length DESC, region_id LIMIT 25")
@@ -252,7 +262,7 @@ _NUMBERS = ", ".join(f"round(quantile_cont(value, {q}), 6) AS {k}" for k, q in I
 @query(WITH + DOCS + f""", m AS (SELECT split, unnest(['text_length', 'n_chars']) AS measure, unnest([length(text), n_chars]) AS value FROM split_docs JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id))
 SELECT split, measure, count(value) AS n_rows, {_NUMBERS}, round(avg(value), 6) AS mean FROM m GROUP BY split, measure""")
 def split_profile_numbers(spark, sf):
-    return I.split_numbers(_split_docs(spark, sf), {"text_length": F.length("text"), "n_chars": F.col("n_chars")}, "split").withColumn("mean", F.round("mean", 6))
+    return I.split_numbers(_split_docs(spark, sf), {"text_length": F.length("text"), "n_chars": F.col("n_chars")}, "split").transform(six)
 
 
 @query("SELECT 'source' AS key, coalesce(source, 'None') AS value, count(*) AS n_rows FROM documents GROUP BY 2 UNION ALL SELECT 'lang', coalesce(lang, 'None'), count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'text_length_bucket', CASE WHEN n <= 5 THEN '000_005' WHEN n <= 15 THEN '006_015' WHEN n <= 30 THEN '016_030' WHEN n <= 60 THEN '031_060' WHEN n <= 120 THEN '061_120' ELSE '121_plus' END, count(*) FROM (SELECT length(coalesce(text, '')) AS n FROM documents) GROUP BY 2")
@@ -291,7 +301,7 @@ _BOTH = WITH + V.SECOND + ", c AS (SELECT coalesce(a.region_id, b.region_id) AS
 
 @query(_BOTH + " SELECT count(delta) AS shared, count(*) FILTER (WHERE candidate_cer IS NULL) AS base_only, count(*) FILTER (WHERE base_cer IS NULL) AS candidate_only, round(avg(delta), 6) AS mean_delta, count(*) FILTER (WHERE delta > 0) AS regressions, count(*) FILTER (WHERE delta < 0) AS improvements FROM c")
 def compare_runs_summary(spark, sf):
-    return E.comparison_summary(_compared(spark, sf))
+    return six(E.comparison_summary(_compared(spark, sf)))
 
 
 @query(_BOTH + " SELECT region_id, base_cer, candidate_cer, delta FROM c WHERE delta > 0 ORDER BY delta DESC, region_id LIMIT 25")
@@ -304,7 +314,7 @@ def largest_improvements(spark, sf):
     return E.largest_changes(_compared(spark, sf), 25, False, "region_id").select("region_id", "base_cer", "candidate_cer", "delta")
 
 
-@query(WITH + V.SECOND + """ SELECT count(*) AS overlap FROM ((SELECT region_id FROM sc ORDER BY cer DESC, reference_length DESC, region_id LIMIT 500) INTERSECT (SELECT region_id FROM sc2 ORDER BY cer DESC, reference_length DESC, region_id LIMIT 500))""")
+@query(WITH + V.SECOND + """ SELECT count(*) AS overlap FROM ((SELECT region_id FROM sc ORDER BY cer DESC, region_id LIMIT 500) INTERSECT (SELECT region_id FROM sc2 ORDER BY cer DESC, region_id LIMIT 500))""")
 def hardest_overlap_at_k(spark, sf):
     return E.hardest_overlap(V.scored(spark, sf), V.second_run(spark, sf), 500, "region_id")
 
@@ -350,13 +360,15 @@ def document_regions(spark, sf):
 
 @query()
 def edit_profiles(spark, sf):
-    return V.regions(spark, sf).withColumn("e", X.edit_profile("ref_text", "pred_text")).groupBy("source").agg(*(F.sum(F.col(f"e.{c}").cast("long")).alias(c) for c in X.EDITS.names))
+    pairs = even(V.regions(spark, sf).groupBy("source", "ref_text", "pred_text").agg(F.count("*").alias("n")))
+    return pairs.withColumn("e", X.edit_profile("ref_text", "pred_text")).groupBy("source").agg(*(F.sum(F.col(f"e.{c}") * F.col("n")).alias(c) for c in X.EDITS.names))
 
 
 @query()
 def error_bucket_counts(spark, sf):
-    rows = E.enrich(V.regions(spark, sf).select("source", F.col("ref_text").alias("reference_text"), F.col("pred_text").alias("predicted_text")))
-    return rows.select("source", F.explode("error_buckets").alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
+    pairs = V.regions(spark, sf).groupBy("source", F.col("ref_text").alias("reference_text"), F.col("pred_text").alias("predicted_text")).agg(F.count("*").alias("n"))
+    rows = E.enrich(even(pairs))  # each pair of texts of a source once
+    return rows.select("source", "n", F.explode("error_buckets").alias("label")).groupBy("source", "label").agg(F.sum("n").alias("n_rows"))
 
 
 @query(WITH + V.SCORED + r""", l AS (SELECT *, list_filter([CASE WHEN trim(pred_text) = '' THEN 'empty_prediction' END, CASE WHEN n >= 80 AND length(pred_text) <= greatest(10, floor(n * 0.4)) THEN 'long_line_collapse' END], lambda x: x IS NOT NULL) AS labels FROM sc)
@@ -458,3 +470,171 @@ def submission_rows(spark, sf):
     rows = submission_frame(R.order_regions(v), F.concat(F.col("page_id").cast("string"), F.lit(".jpg")))
     parsed = F.from_json("regions", "array<struct<bbox:array<int>,type:string,text:string>>")
     return rows.select("image", F.size(parsed).cast("long").alias("n_regions"), F.md5(F.array_join(F.transform(parsed, lambda r: r.text), "\n").cast("binary")).alias("texts_md5"))
+
+
+# ---- whole plans over the derived pages ----------------------------------------------------------------------------
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived regions as annotated pages: one row a page with its regions in order."""
+    number = lambda c: F.col(c).cast("double")
+    region = F.struct("i", F.array(*map(number, BOX)).alias("bbox"), F.col("region_type").alias("type"), F.col("ref_text").alias("text"), "language", "legibility")
+    pages = V.regions(spark, sf).groupBy("page_id").agg(F.any_value("source").alias("source"), F.array_sort(F.collect_list(region)).alias("regions"))
+    named = F.format_string("%d.jpg", "page_id")
+    return pages.select("page_id", named.alias("file_name"), F.lit(None).cast("string").alias("image_id"), F.lit(None).cast("string").alias("id"), F.lit(400).alias("image_width"), F.lit(200).alias("image_height"), "source", "regions")
+
+
+_JPG_SPLIT = f"(SELECT page_id, CASE WHEN ({_TERMS}) % 10000 < 2000 THEN 'val' ELSE 'train' END AS split FROM (SELECT page_id, sha256('42:' || page_id || '.jpg') AS d FROM v1 GROUP BY page_id))"
+_DECIDED = f"""d AS (SELECT v1.*, split, CASE WHEN ({_REASON}) IS NOT NULL THEN ({_REASON}) WHEN NOT (least(400, x2 + 8) > greatest(0, x1 - 8) AND least(200, y2 + 8) > least(200, greatest(0, y1 - 8))) THEN 'invalid_bbox_after_padding' END AS reason
+  FROM v1 JOIN {_JPG_SPLIT} s ON v1.page_id = s.page_id)"""
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return B.export_decisions(_pages(spark, sf), _FILTER)
+
+
+@query(WITH + V1 + ",\n" + _DECIDED + " SELECT page_id || '.jpg' AS image_id, i AS region_index, split, coalesce(reason, 'keep') AS reason FROM d")
+def export_decisions(spark, sf):
+    return _decisions(spark, sf).select("image_id", F.col("region_index").cast("long").alias("region_index"), "split", F.coalesce("reason", F.lit("keep")).alias("reason"))
+
+
+@query(WITH + V1 + ",\n" + _DECIDED + """ SELECT kind, value, count(*) AS n FROM (
+  SELECT 'skipped' AS kind, reason AS value FROM d WHERE reason IS NOT NULL UNION ALL SELECT 'split', split FROM d WHERE reason IS NULL
+  UNION ALL SELECT 'region_type', region_type FROM d WHERE reason IS NULL UNION ALL SELECT 'source', coalesce(source, 'unknown') FROM d WHERE reason IS NULL) GROUP BY 1, 2""")
+def export_counts(spark, sf):
+    return B.export_counts(_decisions(spark, sf))
+
+
+@query(WITH + V1 + ",\n" + _DECIDED + """ SELECT printf('%d::r%04d', page_id, i) AS crop_id, printf('crops/%s/%d__r%04d.png', split, page_id, i) AS crop_path, ref_text AS text, region_type, x1, y1, x2, y2 FROM d WHERE reason IS NULL""")
+def crop_manifest_rows(spark, sf):
+    m = B.crop_manifest(_decisions(spark, sf))
+    return m.select("crop_id", "crop_path", "text", "region_type", *(F.get("bbox", F.lit(k)).cast("long").alias(c) for k, c in enumerate(BOX)))
+
+
+@query(WITH + V1 + """ SELECT page_id, count(*) AS n_regions, count(*) FILTER (WHERE ref_text = '') AS n_empty, max(length(ref_text)) AS longest FROM v1 GROUP BY 1""")
+def flat_region_counts(spark, sf):
+    from pagemill.sources.readers import flat_regions
+
+    r = flat_regions(_pages(spark, sf))
+    return r.groupBy("page_id").agg(F.count("*").alias("n_regions"), F.count_if(F.col("region.text") == "").alias("n_empty"), F.max(F.length("region.text")).cast("long").alias("longest"))
+
+
+@query(WITH + V1 + """ SELECT source AS split, count(DISTINCT page_id) AS images, count(DISTINCT page_id) AS annotated_images, count(*) AS regions, round(count(*) / count(DISTINCT page_id), 6) AS mean_regions, 400.0::DOUBLE AS mean_width, 200.0::DOUBLE AS mean_height,
+  round(sum(n) / count(*), 6) AS mean_text_length, count(*) FILTER (WHERE n = 0) AS empty_text_regions FROM (SELECT * REPLACE (source AS source) FROM v1) GROUP BY 1""")
+def page_profile(spark, sf):
+    return six(P.data_profile(_pages(spark, sf), "source"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS nfc_md5, text = nfc_normalize(text) AS is_nfc FROM documents")
+def nfc_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.nfc("text").cast("binary")).alias("nfc_md5"), X.normal_forms("text")["is_nfc"].alias("is_nfc"))
+
+
+@query("SELECT bucket, count(*) AS n_rows FROM (SELECT CASE WHEN s LIKE '%print%' THEN 'printed' WHEN s LIKE '%hand%' OR s LIKE '%written%' OR s LIKE '%manuscript%' THEN 'handwritten' ELSE 'unknown' END AS bucket FROM (SELECT lower(coalesce(source, 'None') || ' ' || coalesce(text, 'None')) AS s FROM documents)) GROUP BY 1")
+def handwriting_buckets(spark, sf):
+    return table(spark, sf, "documents").groupBy(X.handwriting_bucket(F.col("source"), F.col("text")).alias("bucket")).agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT coalesce(source, '') || '|' || coalesce(lang, '') AS key, count(*) AS n_rows FROM documents GROUP BY 1")
+def group_key_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy(H.group_key("source", "lang").alias("key")).agg(F.count("*").alias("n_rows"))
+
+
+def _crops(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("crop_id"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"), "source")
+
+
+_ROWS = r"""crops AS (SELECT CAST(doc_id AS VARCHAR) AS crop_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text, source FROM documents),
+rows_ AS (SELECT *, regexp_replace(coalesce(text, ''), '^[\s\x1c-\x1f\x0b]+|[\s\x1c-\x1f\x0b]+$', '', 'g') AS exact_text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS token_length, length(coalesce(text, '')) AS n FROM crops)"""
+
+
+@query(WITH + _ROWS + f" SELECT crop_id, md5(exact_text) AS text_md5, token_length, n AS raw_text_length, {_BUCKET} AS text_length_bucket FROM rows_")
+def annotated_rows(spark, sf):
+    return B.annotate(_crops(spark, sf)).select("crop_id", F.md5(F.col("exact_text").cast("binary")).alias("text_md5"), F.col("token_length").cast("long").alias("token_length"), F.col("raw_text_length").cast("long").alias("raw_text_length"), "text_length_bucket")
+
+
+_PICK = "(SELECT crop_id FROM rows_ WHERE token_length <= {most} {more} ORDER BY sha256('{seed}:' || crop_id), crop_id LIMIT {n})"
+
+
+@query(WITH + _ROWS + " SELECT 'train' AS split, crop_id FROM " + _PICK.format(most=96, more="", seed=42, n=128) + " UNION ALL SELECT 'val', crop_id FROM " + _PICK.format(most=96, more="", seed=43, n=32))
+def smoke_sample(spark, sf):
+    train, val = B.smoke_sample(_crops(spark, sf), _crops(spark, sf), 128, 32)
+    return train.select(F.lit("train").alias("split"), "crop_id").unionByName(val.select(F.lit("val").alias("split"), "crop_id"))
+
+
+_OVER = _PICK.format(most=128, more="AND exact_text <> ''", seed=42, n=32)
+
+
+@query(WITH + _ROWS + f" SELECT 'train' AS split, crop_id FROM {_OVER} UNION ALL SELECT 'val', crop_id FROM (SELECT crop_id FROM {_OVER} ORDER BY sha256('42:' || crop_id), crop_id LIMIT 8)")
+def overfit_sample(spark, sf):
+    train, val = B.overfit_sample(_crops(spark, sf), 32, 8)
+    return train.select(F.lit("train").alias("split"), "crop_id").unionByName(val.select(F.lit("val").alias("split"), "crop_id"))
+
+
+@query(WITH + _ROWS + " SELECT source, min(token_length) AS min, " + ", ".join(f"round(quantile_cont(token_length, {q}), 6) AS {k}" for k, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + ", max(token_length) AS max, round(avg(token_length), 6) AS mean FROM rows_ GROUP BY 1")
+def token_percentiles(spark, sf):
+    rows = B.annotate(_crops(spark, sf)).withColumn("token_length", F.col("token_length").cast("long"))
+    return six(rows.groupBy("source").agg(*A.token_percentiles(F.col("token_length"))))
+
+
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """The second run with some keys twice, the later row with another rate."""
+    rows = V.second_run(spark, sf).select("region_id", "cer", "reference_length", F.lit(0).alias("position"))
+    again = rows.where("region_id % 5 = 0").withColumns({"cer": F.col("cer") + 1, "position": F.lit(1)})
+    return rows.unionByName(again)
+
+
+@query(WITH + V.SECOND + """, twice AS (SELECT region_id, cer + CASE WHEN region_id % 5 = 0 THEN 1 ELSE 0 END AS cer FROM sc2)
+SELECT a.region_id, a.cer AS base_cer, b.cer AS candidate_cer, b.cer - a.cer AS delta FROM sc a JOIN twice b USING (region_id) WHERE b.cer - a.cer > 0 ORDER BY delta DESC, region_id LIMIT 100""")
+def last_row_of_each_key_wins(spark, sf):
+    base = V.scored(spark, sf).withColumn("position", F.lit(0))
+    compared = E.compare_runs(base, _repeated(spark, sf), "region_id", "position")
+    return E.largest_changes(compared, 100, True, "region_id").select("region_id", "base_cer", "candidate_cer", "delta")
+
+
+_FLAGS = _REPEATS.replace("\n", " ")
+
+
+@query(WITH + V.SCORED + rf""", t AS (SELECT source, cer, n, ref_text, pred_text, regexp_replace(pred_text, '[\s\x0b]+', '', 'g') AS s, list_filter(regexp_split_to_array(pred_text, '[\s\x0b]+'), lambda v: v <> '') AS w FROM sc),
+l AS (SELECT source, cer, list_filter([CASE WHEN trim(pred_text) = '' THEN 'empty_prediction' END, CASE WHEN {_FLAGS} THEN 'repeated_token_degeneration' END,
+  CASE WHEN regexp_matches(trim(pred_text, ' '), '^[^\p{{L}}\p{{N}}]+$') AND trim(pred_text, ' ') <> trim(ref_text, ' ') THEN 'punctuation_only_drift' END,
+  CASE WHEN n >= 80 AND length(pred_text) <= greatest(10, floor(n * 0.4)) THEN 'long_line_collapse' END], lambda x: x IS NOT NULL) AS labels FROM t)
+SELECT source, label, count(*) AS n_rows FROM (SELECT source, unnest(CASE WHEN len(labels) > 0 THEN labels WHEN cer > 0 THEN ['other_ocr_error'] ELSE ['exact_match'] END) AS label FROM l) GROUP BY 1, 2""")
+def plain_error_labels(spark, sf):
+    rows = V.scored(spark, sf).withColumnsRenamed({"ref_text": "reference_text", "pred_text": "predicted_text"})
+    return rows.select("source", F.explode(E.error_labels(profiled=False)).alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
+
+
+@query(REC + V.LINES + """, texts AS (SELECT page_id, coalesce(string_agg(ref_text, chr(10) ORDER BY reading_index) FILTER (WHERE ref_text <> '' AND region_type NOT IN ('image', 'graph') AND (language IS NULL OR language = 'uk') AND (legibility IS NULL OR legibility = 'legible')), '') AS t FROM ordered GROUP BY 1)
+SELECT page_id, CAST(length(t) AS BIGINT) AS reference_length, CAST(length(t) AS BIGINT) AS edit_distance, CASE WHEN length(t) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS page_cer FROM texts""")
+def page_baseline_empty(spark, sf):
+    v = V.regions(spark, sf).select("page_id", "region_id", "region_type", "language", "legibility", F.col("ref_text").alias("text"), *BOX)
+    return B.page_baseline(v, "empty").select("page_id", "reference_length", "edit_distance", "page_cer")
+
+
+@query(REC + V.BOXES + _MATCH + """, m AS (SELECT f.page_id, f.ref_id, f.pred_id, a.ref_text, b.pred_text FROM fold f JOIN v1 a ON a.region_id = f.ref_id JOIN v1 b ON b.region_id = f.pred_id WHERE f.pred_id IS NOT NULL)
+SELECT 'detection_failure' AS failure_type, count(*) AS n_rows FROM v1 WHERE region_id NOT IN (SELECT ref_id FROM m)
+UNION ALL SELECT 'overlap_duplicate_failure', count(*) FROM v3 WHERE region_id NOT IN (SELECT pred_id FROM m)
+UNION ALL SELECT 'ocr_failure', count(*) FROM m WHERE ref_text <> pred_text
+UNION ALL SELECT 'ordering_failure', count(*) FROM m WHERE ref_id % 100 <> pred_id % 100""")
+def failure_counts_by_match(spark, sf):
+    return failure_attribution(spark, sf).where("failure_type <> 'split_merge_failure'")
+
+
+@query(WITH + V.BOXES + """ SELECT a.page_id, count(*) AS n_regions, count(b.region_id) AS n_found, count(*) FILTER (WHERE b.ref_text = a.ref_text) AS n_agree FROM v1 a
+  LEFT JOIN (SELECT page_id, x1, y1, x2, y2, max(region_id) AS region_id, max_by(ref_text, region_id) AS ref_text FROM v3 GROUP BY 1, 2, 3, 4, 5) b ON a.page_id = b.page_id AND a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2 GROUP BY 1""")
+def exact_box_lookup(spark, sf):
+    text = lambda df: df.select("page_id", "region_id", F.col("ref_text").alias("text"), *BOX)
+    found = P.by_box(text(V.regions(spark, sf)), text(V.predicted_boxes(spark, sf)))
+    return found.groupBy("page_id").agg(F.count("*").alias("n_regions"), F.count_if("found").alias("n_found"), F.count_if("agrees").alias("n_agree"))
+
+
+@query(REC + V.LINES + " SELECT page_id, line_index, within_line_index, region_id, ref_text AS text FROM ordered")
+def regions_of_lines(spark, sf):
+    v = V.regions(spark, sf).select("page_id", "region_id", F.col("ref_text").alias("text"), *BOX)
+    made = R.lines(R.order_regions(v)).select("page_id", F.col("line_index").cast("long").alias("line_index"), "region_ids")
+    return P.regions_by_id(made, v.select("page_id", "region_id", "text")).withColumn("within_line_index", F.col("within_line_index").cast("long"))
+
+
+@query(WITH + V.SCORED + " SELECT region_id, cer, reference_length FROM sc ORDER BY cer DESC, reference_length DESC, region_id LIMIT 20")
+def rows_to_render(spark, sf):
+    rows = V.scored(spark, sf).withColumn("crop_id", F.col("region_id"))
+    return P.rows_to_render(rows, "hardest").select("region_id", "cer", "reference_length")

@@ -35,10 +35,28 @@ def read_pages(spark: SparkSession, path: str, split: str | None = None, revisio
     df = spark.read.option("mergeSchema", True).parquet("/".join(parts))
     if limit is not None:
         df = df.orderBy(order).limit(limit) if order else df.limit(limit)
-    if order:
-        place = F.row_number().over(Window.orderBy(order)) - 1
-        df = df.withColumn("_row_index", F.coalesce("_row_index", place.cast("long")) if "_row_index" in df.columns else place.cast("long"))
-    return df
+    return numbered(df, order) if order else df
+
+
+def numbered(df: DataFrame, order: str, name: str = "_row_index") -> DataFrame:
+    """Adds the place of each row by a key (rows of equal keys in any order, rows without one first), where it has none yet.
+
+    Keys alone are dealt by range, numbered inside each range from where the one before ends, and joined back; no task sees
+    all rows, and the other columns, images say, are not sorted.
+    """
+    keys = df.groupBy(F.col(order).alias("key_")).agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartitionByRange(parts, F.col("key_").asc_nulls_first()).withColumn("part", F.spark_partition_id()).persist()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = dealt.groupBy("part").agg(F.sum("n").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    inside = Window.partitionBy("part").orderBy(F.col("key_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(starts), "part").select("key_", "n", (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("at"))
+    both = df.join(placed, df[order].eqNullSafe(placed.key_))
+    within = F.row_number().over(Window.partitionBy("key_").orderBy("key_")) - 1  # only rows whose key others share
+    out = both.where("n = 1").withColumn("place_", F.col("at").cast("long")).unionByName(both.where("n > 1").withColumn("place_", (F.col("at") + within).cast("long")))
+    out = out.drop("key_", "n", "at")
+    out = out.withColumn(name, F.coalesce(name, "place_") if name in df.columns else F.col("place_"))
+    return out.drop("place_")
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -112,9 +130,10 @@ def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 
 def image_id(position: Column) -> Column:
-    """The first of file_name, image_id and id that is not empty, else a numbered name."""
+    """The first of file_name, image_id and id that is not empty, else a name by position; raises where that is null too."""
     named = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("file_name", "image_id", "id")]
-    return F.coalesce(*(F.when(n != "0", n) for n in named), F.format_string("stream_%06d.jpg", position))
+    numbered_name = F.when(position.isNotNull(), F.format_string("stream_%06d.jpg", position)).otherwise(F.raise_error(F.lit("a page without an id and without a position")))
+    return F.coalesce(*(F.when(n != "0", n) for n in named), numbered_name)
 
 
 def revision_of(path: Column) -> Column:
@@ -124,6 +143,30 @@ def revision_of(path: Column) -> Column:
     return F.when(at > 0, F.try_element_at(parts, (at + 1).cast("int")))
 
 
+def first_revision(pages: DataFrame, path: str = "path", position: str = "_row_index") -> DataFrame:
+    """The revision in the first path, by position, that names one; null where none does. One row, combined before the shuffle."""
+    found = revision_of(F.col(path))
+    return pages.agg(F.min_by(found, F.when(found.isNotNull(), F.col(position))).alias("dataset_revision"))
+
+
+def discover_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(config, split, n_files, n_bytes) of a data set's folders of Parquet: path/[config/]split/*.parquet; config is `default` where there is none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    parts = F.split(F.substring_index(F.col("path"), base + "/", -1), "/")
+    depth = F.size(parts)
+    split = F.when(depth >= 2, F.get(parts, depth - 2)).otherwise(F.regexp_extract(F.get(parts, F.lit(0)), r"^([A-Za-z]+)", 1))
+    config = F.when(depth >= 3, F.get(parts, depth - 3)).otherwise(F.lit("default"))
+    return files.groupBy(config.alias("config"), split.alias("split")).agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+def probed_columns(df: DataFrame, wanted: dict[str, tuple[str, ...]]) -> dict[str, str | None]:
+    """For each wanted role the first column that the frame has, names compared without case; nothing is read."""
+    have = {c.lower(): c for c in df.columns}
+    return {role: next((have[n.lower()] for n in names if n.lower() in have), None) for role, names in wanted.items()}
+
+
 def crop_path(manifest: str, column: Column) -> Column:
     """Manifests lie one folder below the root their paths start from."""
     return F.concat_ws("/", F.lit(str(PurePosixPath(manifest).parent.parent)), column)

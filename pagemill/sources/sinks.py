@@ -52,9 +52,19 @@ def write_submission(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_failures(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines, one failure each, for any number of them; write_failure_array makes one array."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_failure_array(df: DataFrame, path: str, most: int = 100_000) -> int:
+    """One JSON array of at most so many failures in a file of the driver; more raise. Gives their number."""
+    rows = [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).toPandas().iloc[:, 0]]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} failures; write them as lines")
+    write_json(rows, path)
+    return len(rows)
+
+
 def write_prediction_artifacts(df: DataFrame, path: str, sample: int = 20) -> None:
     """All rows, problem rows and a sample in order of id, from one read."""
     df = df.persist()
@@ -102,15 +112,15 @@ def hardest_pages_markdown(pages: DataFrame, k: int = 5) -> str:
     return "\n".join(out)
 
 
-def write_json(value: dict, path: str) -> None:
+def write_json(value: dict | list, path: str) -> None:
     """A small result on the driver: sorted names, indented."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n", encoding="utf-8")
 
 
 def zip_folder(folder: str, archive: str) -> None:
-    """Members in sorted order with a fixed date, so equal folders give equal archives."""
+    """Members in sorted order, under the folder's name, with a fixed date, so equal folders give equal archives."""
     root = Path(folder)
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
         for p in sorted(x for x in root.rglob("*") if x.is_file()):
-            z.writestr(zipfile.ZipInfo(p.relative_to(root).as_posix(), (1980, 1, 1, 0, 0, 0)), p.read_bytes(), zipfile.ZIP_DEFLATED, 6)
+            z.writestr(zipfile.ZipInfo(p.relative_to(root.parent).as_posix(), (1980, 1, 1, 0, 0, 0)), p.read_bytes(), zipfile.ZIP_DEFLATED, 6)
