@@ -285,10 +285,12 @@ def split_reconciliation(spark, sf):
     return expected.join(seen, "lang", "left").select("name", "expected_rows", n.alias("n_rows"), F.coalesce("n_val", F.lit(0)).cast("long").alias("n_val"), (n - F.col("expected_rows")).alias("difference"))
 
 
-@query("SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON trim(b.text) = trim(d.text) GROUP BY 1")
+@query("SELECT b.item_id, count(d.t) AS n_docs FROM benchmark b LEFT JOIN (SELECT trim(text) AS t FROM documents) d ON trim(b.text) = d.t GROUP BY 1")
 def benchmark_text_overlap(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    return b.select("item_id", F.trim("text").alias("t")).join(d.select(F.trim("text").alias("t")), "t").groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    texts = d.groupBy(F.trim("text").alias("t_")).agg(F.count("*").alias("n"))
+    both = b.select("item_id", F.trim("text").alias("t")).join(texts, F.col("t") == F.col("t_"), "left")
+    return both.groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_docs"))
 
 
 # ---- runs ----------------------------------------------------------------------------------------------------------
