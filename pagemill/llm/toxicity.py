@@ -68,7 +68,7 @@ class ToxicModel:
     scale: float = 1.0
     length: float = 0.0
     shift: float = 0.0
-    window: int = 12
+    window: int = 5
 
     def strongest(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Largest window margin of every text (0 where it has none) and its number of windows."""
@@ -166,7 +166,7 @@ def sample_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     return one.select("id", "r.text", "r.y")
 
 
-def fit_toxicity(df: DataFrame, labels: DataFrame, window: int = 12, dim: int = 16, epochs: int = 8, rate: float = 0.3, **options) -> ToxicModel | None:
+def fit_toxicity(df: DataFrame, labels: DataFrame, window: int = 5, dim: int = 16, epochs: int = 8, rate: float = 0.3, **options) -> ToxicModel | None:
     """The model, trained in one task on the sample that sample_rows draws (with its options); one row of it comes to the driver."""
     rows = sample_rows(df, labels, **options)
     if rows is None:
