@@ -48,8 +48,6 @@ _HTML, _ANCHOR = re.compile(r"<html\b[^>]*>", re.I), re.compile(r"<a\b[^>]*>", r
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BLANKS = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
 _LOOKS_LIKE_HTML = re.compile(r"\s*(?:<!doctype\s+html|<(?:html|head|body|title|p|div|a|h1|table|script|meta)\b)", re.I)
 _TEXTUAL = re.compile(r"text/|application/(?:[\w.+-]*(?:xml|json|javascript))", re.I)
 
@@ -163,12 +161,16 @@ def content(headers: list[tuple[str, str]], body: bytes) -> bytes:
     return body
 
 
+def _folded(line: str) -> str:
+    return " ".join(line.split())
+
+
 def visible(text: str) -> str:
     """Text of HTML: no scripts, styles, comments or title; block elements break lines; entities resolved; blanks folded."""
     text = _HIDDEN.sub(" ", text)
     last = text.rfind(">") + 1  # no tag ends behind it, so none is looked for
     text = _TAG.sub("", _BREAK.sub("\n", text[:last])) + text[last:]
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    return "\n".join(filter(None, map(_folded, html.unescape(text).split("\n"))))
 
 
 def derive(source: Record) -> list[Record]:
@@ -189,7 +191,7 @@ def derive(source: Record) -> list[Record]:
         if (top := _HTML.search(tags)) and (lang := _LANG.search(top[0])):
             lines.append(("language", lang[1]))
         if title := _TITLE.search(tags):
-            lines.append(("title", _LINES.sub(" ", _BLANKS.sub(" ", html.unescape(title[1]))).strip()))
+            lines.append(("title", _folded(html.unescape(title[1]))))
         found = (_HREF.search(m[0]) for m in _ANCHOR.finditer(tags))
         lines += [("outlink", html.unescape(next(filter(None, m.groups()), ""))) for m in found if m]
     meta = "".join(f"{k}: {v.replace(chr(13), ' ').replace(chr(10), ' ')}\r\n" for k, v in lines).encode("utf-8", "replace")
@@ -223,7 +225,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 FIELDS = ["record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "source_block_digest", "block_digest", "content_type"]
 
 
-def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "record", keep_record: bool = True) -> DataFrame:
+def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "record", keep_record: bool = True, level: int = 3) -> DataFrame:
     """The derived records of each response among the WARC bytes of a row: named fields, n_bytes, block and record (a gzip member).
 
     Records of other types give nothing; one that cannot be read gives a row of record_type `unreadable`, all else null.
@@ -239,7 +241,7 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "
                     if source.broken:
                         rows.append((i, "unreadable", *[None] * (len(kinds) - 2)))
                     elif source.get("WARC-Type") == "response":
-                        rows += [(i, *[r.get(names[c]) for c in FIELDS], len(r.block), r.block.decode() if keep_record else None, gzip.compress(r.dump(), 6, mtime=0) if keep_record else None) for r in derive(source)]
+                        rows += [(i, *[r.get(names[c]) for c in FIELDS], len(r.block), r.block.decode() if keep_record else None, gzip.compress(r.dump(), level, mtime=0) if keep_record else None) for r in derive(source)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", *FIELDS, "n_bytes", "block", "record"])
 
