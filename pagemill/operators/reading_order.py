@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.hashing import box_text, stable_id
 from pagemill.operators.pages import BOX, boxes, dealt, ious, per_page
 
 #: Regions whose text is no part of a page's text.
@@ -112,10 +113,18 @@ def ordered_pages(df: DataFrame, page: str = "page_id", region: str = "region_id
     gone = judged.select(F.col(page).alias(f"{page}_"), F.col(region).alias(f"{region}_"), "duplicate_of")
     marked = df.join(gone, same[0] & same[1]).drop(f"{page}_", f"{region}_")
     kept = order_regions(marked.where("duplicate_of IS NULL").drop("duplicate_of"), page, region, tolerance)
-    kept = kept.withColumn("line_id", F.format_string("%s_line_%04d", F.col(page).cast("string"), "line_index"))
-    counts = judged.groupBy(page).agg(F.count("*").alias("input_regions"), F.count("duplicate_of").alias("suppressed_duplicates"))
-    n_lines = kept.groupBy(F.col(page).alias(f"{page}_")).agg(F.count_distinct("line_index").alias("line_count"))
-    return kept, counts.join(n_lines, F.col(page) == F.col(f"{page}_"), "left").drop(f"{page}_").withColumn("line_count", F.coalesce("line_count", F.lit(0)))
+    own = Window.partitionBy(page, "line_index")
+    around = F.struct(*(f(c).over(own).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))))
+    kept = kept.withColumn("line_id", stable_id("line", F.col(page), F.col("line_index"), box_text(around)))
+    event = lambda kind, one, of: F.struct(F.lit(kind).alias("event"), one.cast("string").alias("region"), of.cast("string").alias("of"))
+    repeats = F.sort_array(F.collect_list(F.when(F.col("duplicate_of").isNotNull(), event("duplicate_suppressed", F.col(region), F.col("duplicate_of")))))
+    counts = judged.groupBy(page).agg(F.count("*").alias("input_regions"), F.count("duplicate_of").alias("suppressed_duplicates"), repeats.alias("repeats"))
+    per_line = kept.groupBy(page, "line_index", "line_id").agg(F.count("*").alias("n"))
+    grouped = F.sort_array(F.collect_list(F.when(F.col("n") > 1, event("regions_grouped", F.col("line_id"), F.col("n")))))
+    n_lines = per_line.groupBy(F.col(page).alias(f"{page}_")).agg(F.count("*").alias("line_count"), grouped.alias("grouped"))
+    told = counts.join(n_lines, F.col(page) == F.col(f"{page}_"), "left").drop(f"{page}_")
+    none = F.array().cast("array<struct<event:string,region:string,of:string>>")
+    return kept, told.select(page, "input_regions", "suppressed_duplicates", F.coalesce("line_count", F.lit(0)).alias("line_count"), F.concat(F.coalesce("repeats", none), F.coalesce("grouped", none)).alias("events"))
 
 
 def lines(ordered: DataFrame, page: str = "page_id", region: str = "region_id", text: str = "text") -> DataFrame:
@@ -126,7 +135,12 @@ def lines(ordered: DataFrame, page: str = "page_id", region: str = "region_id",
         F.transform(inside, lambda r: r.region).alias("region_ids"),
         F.array_join(F.filter(F.transform(inside, lambda r: r.text), lambda v: v != ""), "\n").alias("text"),
         F.count("*").alias("n_regions"),
-    )
+    ).withColumn("line_id", line_id(page))
+
+
+def line_id(page: str = "page_id") -> Column:
+    """A stable name from page, line_index and the line's box x1 .. y2."""
+    return stable_id("line", F.col(page), F.col("line_index"), box_text(F.struct(*BOX)))
 
 
 def page_texts(ordered: DataFrame, evaluable: Column, page: str = "page_id", text: str = "text") -> DataFrame:

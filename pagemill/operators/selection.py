@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.hashing import shuffle_key
+from pagemill.functions.hashing import group_key, shuffle_key, split_name
 from pagemill.functions.text import stripped
 
 
@@ -41,6 +41,12 @@ def drop_reason(text: Column, tokens: Column, most: int) -> Column:
     return F.when(stripped(F.coalesce(text, F.lit(""))) == "", "empty_text").when(tokens > most, "over_max_token_length")
 
 
+def validation_keys(df: DataFrame, fields: list[str], fraction: float, seed: int) -> DataFrame:
+    """(group_key): the distinct keys of these fields that a hash puts into the validation split; rows of one key never part."""
+    keys = df.select(group_key(*fields).alias("group_key")).distinct()
+    return keys.where(split_name(F.col("group_key"), fraction, seed) == "val")
+
+
 def in_shuffled_order(df: DataFrame, key: str, seed: int, n: int | None = None) -> DataFrame:
     """Rows in a reproducible random order; with n the first n (top-k, no full sort)."""
     out = df.orderBy(shuffle_key(F.col(key), seed), F.col(key))

@@ -425,7 +425,7 @@ def reading_order(spark, sf):
 @query(REC + V.LINES + """ SELECT page_id, line_index, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_regions, coalesce(string_agg(ref_text, chr(10) ORDER BY within_line_index) FILTER (WHERE ref_text <> ''), '') AS text FROM ordered GROUP BY 1, 2""")
 def line_clusters(spark, sf):
     v = V.regions(spark, sf).select("page_id", "region_id", F.col("ref_text").alias("text"), *BOX)
-    return R.lines(R.order_regions(v)).drop("region_ids").withColumn("line_index", F.col("line_index").cast("long"))
+    return R.lines(R.order_regions(v)).drop("region_ids", "line_id").withColumn("line_index", F.col("line_index").cast("long"))
 
 
 _MATCH = f""",
@@ -640,3 +640,24 @@ def regions_of_lines(spark, sf):
 def rows_to_render(spark, sf):
     rows = V.scored(spark, sf).withColumn("crop_id", F.col("region_id"))
     return P.rows_to_render(rows, "hardest").select("region_id", "cer", "reference_length")
+
+
+@query(REC + V.LINES + """ SELECT page_id, line_index, 'line_' || substr(sha1(page_id || '|' || line_index || '|(' || min(x1) || ', ' || min(y1) || ', ' || max(x2) || ', ' || max(y2) || ')'), 1, 16) AS line_id, count(*) AS n_regions FROM ordered GROUP BY 1, 2""")
+def line_ids(spark, sf):
+    v = V.regions(spark, sf).select("page_id", "region_id", F.col("ref_text").alias("text"), *BOX)
+    return R.lines(R.order_regions(v)).select("page_id", F.col("line_index").cast("long").alias("line_index"), "line_id", "n_regions")
+
+
+@query(f"SELECT group_key FROM (SELECT group_key, sha256('42:' || group_key) AS d FROM (SELECT DISTINCT coalesce(source, '') || '|' || coalesce(lang, '') AS group_key FROM documents)) WHERE ({_TERMS}) % 10000 < 2000")
+def validation_keys(spark, sf):
+    return L.validation_keys(table(spark, sf, "documents"), ["source", "lang"], FRACTION, SEED)
+
+
+@query("SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS name, count(*) AS n_rows FROM documents GROUP BY 1")
+def remapped_names(spark, sf):
+    return table(spark, sf, "documents").groupBy(X.remapped(F.col("lang"), {"en": "English", "fr": "French"}).alias("name")).agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(nfc_normalize(text), '^[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+|[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', '', 'g')) AS text_md5 FROM documents")
+def decoded_nfc_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.decoded_nfc("text").cast("binary")).alias("text_md5"))

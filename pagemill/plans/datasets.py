@@ -15,11 +15,11 @@ from pagemill.operators.detection import detect_text
 from pagemill.operators.errors import enrich
 from pagemill.operators.reading_order import assembled_texts, order_regions
 from pagemill.operators.recognizers import recognize
-from pagemill.plans.builders import overfit_sample, smoke_sample, stage1_sample, summarize_experiment
+from pagemill.plans.builders import crop_manifest, export_counts, export_decisions, overfit_sample, page_baseline, smoke_sample, stage1_sample, summarize_experiment
 from pagemill.sources.images import crop_png, image_size, overlay_png, write_crops
 from pagemill.sources.provenance import write_experiment_metadata
 from pagemill.sources.readers import file_checksums, image_id
-from pagemill.sources.sinks import rekeyed, write_json, write_jsonl, zip_folder
+from pagemill.sources.sinks import hardest_pages_markdown, rekeyed, submission_frame, write_error_analysis, write_json, write_jsonl, write_splits, write_submission, zip_folder
 
 GROUPS = ("source", "region_type", "language", "annotation_source", "text_length_bucket")
 
@@ -148,6 +148,58 @@ def evaluate_crops(crops: DataFrame, recognizer: str, folder: str, manifest: str
         scored.unpersist()
 
 
+# ---- export, experiments, the page baseline ------------------------------------------------------------------------
+def write_crop_export(pages: DataFrame, folder: str, rule: L.RegionFilter = L.RegionFilter(), fraction: float = 0.2, padding: int = 8, seed: int = 42) -> dict:
+    """The crop export to the end: manifests by split, crops where pages have images, split of every page, counts and checksums."""
+    decided = export_decisions(page_frame(pages), rule, fraction, padding, seed).persist()
+    try:
+        manifest = crop_manifest(decided)
+        write_splits(manifest, f"{folder}/manifests")
+        write_jsonl(decided.select("image_id", "split").distinct(), f"{folder}/stats/split_manifest")
+        written = 0
+        if "image" in decided.columns:
+            cut = decided.where("reason IS NULL").select("image_id", "region_index", crop_png("image", F.col("padded")).alias("png"))
+            paths = manifest.select(F.col("image_id").alias("i_"), F.col("region_index").alias("r_"), "crop_path")
+            written = write_crops(cut.join(paths, (F.col("image_id") == F.col("i_")) & (F.col("region_index") == F.col("r_"))).select("crop_path", "png"), folder)
+        counts: dict[str, dict[str, int]] = {}
+        for r in export_counts(decided).orderBy("kind", "value").collect():
+            counts.setdefault(r["kind"], {})[r["value"]] = r["n"]
+        stats = {"images": decided.select("image_id").distinct().count(), "crops": manifest.count(), "crops_written": written, "counts": counts, "seed": seed, "validation_fraction": fraction}
+        write_json(stats, f"{folder}/stats/export_stats.json")
+        write_experiment_metadata(folder, {"fraction": fraction, "padding": padding, "seed": seed}, {"pages": stats["images"]}, stats)
+        return stats
+    finally:
+        decided.unpersist()
+
+
+def write_experiment_analysis(predictions: DataFrame, folder: str, k: int = 25) -> dict:
+    """Summary, hardest, longest, repeated, truncated and representative rows of a run."""
+    kept = predictions.persist()
+    try:
+        found = experiment_summaries(kept.sparkSession, kept, k)
+        write_json(found, f"{folder}/summary.json")
+        write_error_analysis(kept, folder, k)
+        return found
+    finally:
+        kept.unpersist()
+
+
+def write_page_baseline(regions: DataFrame, recognizer: str, folder: str, page: str = "page_id") -> dict:
+    """Page rates of a recogniser: submission, page texts, metrics with the rate of each page, and the hardest pages."""
+    judged = page_baseline(regions, recognizer).persist()
+    try:
+        mean = judged.agg(F.count("*").alias("pages"), F.avg("page_cer").alias("mean_page_cer")).first()
+        metrics = mean.asDict() | {"page_cer_by_image": {str(k): v for k, v in A.rate_map(judged, page).items()}}
+        write_json(metrics, f"{folder}/metrics.json")
+        write_jsonl(judged, f"{folder}/page_texts")
+        read = recognize(regions, recognizer).withColumn("text", F.col("predicted_text"))
+        write_submission(submission_frame(order_regions(read), F.col(page).cast("string")), f"{folder}/submission")
+        _text(f"{folder}/hardest_pages.md", hardest_pages_markdown(judged.withColumn("image_id", F.col(page).cast("string"))))
+        return metrics
+    finally:
+        judged.unpersist()
+
+
 # ---- sample data sets ----------------------------------------------------------------------------------------------
 def _counts(rows: DataFrame, key: str) -> dict[str, int]:
     return {r["value"]: r["n_rows"] for r in A.distribution(rows, key).orderBy("value").collect()}

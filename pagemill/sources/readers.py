@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from inspect import Parameter, signature
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -67,11 +69,21 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = MANIFEST, limit: int | None = None) -> DataFrame:
-    """JSON lines; blank lines are skipped, a broken line raises when it is read."""
+def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = MANIFEST, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """JSON lines; blank lines are skipped, a broken line raises when it is read. With `order` a limit takes the first rows by it."""
     reader = spark.read.option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema else reader).json(path)
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else (df.orderBy(order) if order else df).limit(limit)
+
+
+def configured(spark: SparkSession, path: str, plan: Callable) -> dict:
+    """The parameters that a JSON file holds for a plan; a name that the plan does not take, or a kind that differs from its default's, raises."""
+    given, known = read_document(spark, path), signature(plan).parameters
+    for name, value in given.items():
+        default = known[name].default if name in known else None
+        if name not in known or default not in (None, Parameter.empty) and not isinstance(value, (type(default), int) if isinstance(default, float) else type(default)):
+            raise ValueError(f"{path}: {name}={value!r} is no parameter of {plan.__name__}")
+    return given
 
 
 def read_document(spark: SparkSession, path: str) -> dict:

@@ -99,7 +99,9 @@ def test_page_frames_lookups_and_profiles(spark):
     with pytest.raises(Exception, match="no region"):
         D.regions_by_id(spark.createDataFrame([(1, 0, [0, 7])], "page_id long, line_index int, region_ids array<long>"), regions.select("page_id", "region_id", "text")).collect()
     kept, told = R.ordered_pages(regions.unionByName(regions.where("region_id = 0").withColumn("region_id", F.lit(9).cast("long"))).select("page_id", "region_id", "x1", "y1", "x2", "y2", "text"))
-    assert tuple(told.select("input_regions", "suppressed_duplicates", "line_count").first()) == (3, 1, 2) and sorted(r.line_id for r in kept.collect()) == ["1_line_0000", "1_line_0001"]
+    one = told.first()
+    assert (one.input_regions, one.suppressed_duplicates, one.line_count) == (3, 1, 2) and [tuple(e) for e in one.events] == [("duplicate_suppressed", "9", "0")]
+    assert {r.line_id for r in kept.collect()} == {r.line_id for r in R.lines(kept).collect()} and kept.select("line_id").distinct().count() == 2
     assert D.rows_to_render(spark.createDataFrame([("b", ["truncation_failure"]), ("a", ["x"])], "crop_id string, error_buckets array<string>"), "truncation").count() == 1
 
 
@@ -152,3 +154,22 @@ def test_failures_as_one_array(spark, tmp_path):
     assert K.write_failure_array(df, f"{tmp_path}/f.json") == 2 and {r["page"]: r["n"] for r in json.loads((tmp_path / "f.json").read_text())} == {"p": None, "q": 1}
     with pytest.raises(ValueError):
         K.write_failure_array(df, f"{tmp_path}/g.json", 1)
+
+
+def test_export_analysis_and_baseline_are_written(spark, tmp_path):
+    region = lambda b, x: (b, "printed", x, "uk", "legible")
+    image = P.encode_png(np.full((50, 100, 3), 7, np.uint8))
+    pages = spark.createDataFrame([(f"p{k}.png", image, "s", [region([1.0, 2.0, 30.0, 20.0], "abc"), region([1.0, 2.0, 3.0], "bad")]) for k in range(6)], "file_name string, image binary, source string, regions array<struct<bbox:array<double>,type:string,text:string,language:string,legibility:string>>")
+    pages = pages.withColumns({"image_id": F.lit(None).cast("string"), "id": F.lit(None).cast("string"), "image_width": F.lit(0), "image_height": F.lit(0)})
+    stats = D.write_crop_export(pages, str(tmp_path / "x"), fraction=0.4)
+    assert stats["crops"] == stats["crops_written"] == 6 and stats["counts"]["skipped"] == {"invalid_bbox": 6} and len(lines(tmp_path / "x/stats/split_manifest")) == 6
+    assert P.head_size(next((tmp_path / "x/crops").rglob("*.png")).read_bytes()) == (38, 28)
+    found = D.write_experiment_analysis(D.evaluated_crops(crops(spark), "empty"), str(tmp_path / "a"))
+    assert found["overall"][0]["n_rows"] == 61 and json.loads((tmp_path / "a/summary.json").read_text())["overall"][0]["micro_cer"] == 1.0
+    rows = spark.createDataFrame([(1, 0, 0, 0, 5, 5, "x", "printed", "uk", None), (2, 0, 0, 0, 5, 5, "y", "printed", None, None)], "page_id long, region_id long, x1 long, y1 long, x2 long, y2 long, text string, region_type string, language string, legibility string")
+    assert D.write_page_baseline(rows, "oracle", str(tmp_path / "b"))["page_cer_by_image"] == {"1": 0.0, "2": 0.0} and (tmp_path / "b/hardest_pages.md").exists()
+    (tmp_path / "c.json").write_text(json.dumps({"fraction": 0.3, "seed": 7}))
+    assert S.configured(spark, f"{tmp_path}/c.json", D.write_crop_export) == {"fraction": 0.3, "seed": 7}
+    (tmp_path / "d.json").write_text(json.dumps({"seed": "seven"}))
+    with pytest.raises(ValueError, match="seed"):
+        S.configured(spark, f"{tmp_path}/d.json", D.write_crop_export)
