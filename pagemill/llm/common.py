@@ -28,13 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or "/tmp/checkpoints").rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    scratch: takes the path of a table that no result reads in the end, for cleared().
+    """
     path = f"{shared_dir(df.sparkSession)}/pagemill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete stored tables that are needed no more."""
+    for path in scratch:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    scratch.clear()
+
+
 def sized(table: DataFrame) -> DataFrame:
     """A stored, narrow table as the build side of a join: broadcast if its rows are few, else left to sort and merge."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -205,19 +218,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every step is a join and an aggregate; nothing but two sums comes to the driver. Nodes without an edge are absent.
     """
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark, old, now = edges.sparkSession, [], []
+    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", now)
     # the least neighbours are stored before they are joined, so that the edges of a hub need not meet in one task
-    least = lambda of, low: sized(stored(of.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", low), "least"))
+    least = lambda of, low: sized(stored(of.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", low), "least", old))
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
         low = least(both, F.least("m", "w"))
         large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
+        large = stored(large, "large", old)
         low = least(large, F.col("m"))
         small = large.join(low, F.col("u") == F.col("w")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = stored(small.where("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == seen:
+        old += now
+        now.clear()
+        e = stored(small.where("u <> v").distinct(), "edges", now)
+        cleared(spark, old)
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        if state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = now
+        seen = state

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, keyed, mix, sized, slices, stored, streamed, task_keys, word_hashes
+from pagemill.llm.common import cleared, components, keyed, mix, sized, slices, stored, streamed, task_keys, word_hashes
 
 NARROWEST, WIDEST = 64, 1 << 15
 CELLS = 1 << 18
@@ -238,6 +238,7 @@ def ngram_jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: st
 def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 75, block: int = 512) -> DataFrame:
     """As above under the names id, n_shingles, component_id, with text_key, xxhash64 of the text, and root, which names the component."""
     docs = keyed(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    scratch: list[str] = []
     spark = df.sparkSession
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +298,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     blobs = docs.mapInArrow(owned, "part int, ids binary, runs binary, toks binary, own binary, here binary")
     counts = streamed(blobs, ["part"], shared, "rep long, s int", parts).groupBy("rep").agg(F.sum("s").alias("s"))
     alive = counts.join(classes, counts.rep == classes.d1).where(f"100 * s >= {threshold} * n * copies").select("least_id", "rep")
-    alive = stored(alive, "alive")
+    alive = stored(alive, "alive", scratch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -315,17 +316,17 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     live = docs.join(sized(alive), docs.id == F.col("least_id")).select("rep", "text").mapInArrow(emit, kind)
     unnamed = alive.where("least_id IS NULL").select(F.col("rep").alias("rep_"))
     if unnamed.limit(1).count():  # classes of rows without an id: one row of each
-        found = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("rep"), "text").mapInArrow(emit, kind).join(sized(stored(unnamed, "unnamed")), F.col("rep") == F.col("rep_"), "left_semi")
+        found = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("rep"), "text").mapInArrow(emit, kind).join(sized(stored(unnamed, "unnamed", scratch)), F.col("rep") == F.col("rep_"), "left_semi")
         live = live.union(found.dropDuplicates(["rep"]))
-    live = stored(live, "sets")
+    live = stored(live, "sets", scratch)
 
     # round one. Buckets are counted and cut, by members and by bytes, on rows without sets; round two joins the cuts
     narrow = live.select("rep", F.explode(F.array("h1", "h2")).alias("key"), "n")
     many = narrow.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
     cuts = F.ceil(F.greatest(F.col("c") / (block / 4), F.col("all") * 8 / BUCKET_BYTES))
-    many = stored(many.select(F.col("key").alias("key_"), cuts.cast("int").alias("cells")), "buckets")
+    many = stored(many.select(F.col("key").alias("key_"), cuts.cast("int").alias("cells")), "buckets", scratch)
     near = narrow.join(sized(many), F.col("key") == F.col("key_")).select(F.col("rep").alias("rep_"), "key", F.pmod(F.xxhash64("rep", "key"), "cells").cast("int").alias("cell"))
-    near = live.join(sized(stored(near, "dealt")), F.col("rep") == F.col("rep_")).select("key", "cell", "rep", "toks")
+    near = live.join(sized(stored(near, "dealt", scratch)), F.col("rep") == F.col("rep_")).select("key", "cell", "rep", "toks")
 
     def bucket(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
@@ -335,10 +336,10 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
         pair = np.array(links, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ids[pair[:, 0]]), pa.array(ids[pair[:, 1]])], ["u", "v"])
 
-    edges = stored(streamed(near, ["key", "cell"], bucket, "u long, v long"), "links")
-    roots = stored(components(edges), "roots")
+    edges = stored(streamed(near, ["key", "cell"], bucket, "u long, v long"), "links", scratch)
+    roots = stored(components(edges), "roots", scratch)
     known = live.join(sized(roots), live.rep == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp"), "toks")
-    known = stored(known, "known")
+    known = stored(known, "known", scratch)
 
     # round two
     frequency = spark.sparkContext.broadcast(shingle_frequencies(known))
@@ -356,17 +357,17 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     posts = known.mapInArrow(prefixes, "tok long, rep long, comp long, room long")
     open_ = posts.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a < b")
-    open_ = stored(open_.select(F.col("tok").alias("tok_"), "c"), "open")
-    left = stored(posts.join(sized(open_), F.col("tok") == F.col("tok_")).select("tok", "rep", "room", "c"), "postings")
+    open_ = stored(open_.select(F.col("tok").alias("tok_"), "c"), "open", scratch)
+    left = stored(posts.join(sized(open_), F.col("tok") == F.col("tok_")).select("tok", "rep", "room", "c"), "postings", scratch)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets_of(b.column("toks"))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("comp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], ["rep", "comp", "n", "sig"])
 
-    asked = sized(stored(left.select(F.col("rep").alias("rep_")).distinct(), "asked"))
+    asked = sized(stored(left.select(F.col("rep").alias("rep_")).distinct(), "asked", scratch))
     sigs = known.join(asked, F.col("rep") == F.col("rep_"), "left_semi").mapInArrow(signed, "rep long, comp long, n long, sig binary")
-    sigs = stored(sigs.withColumnRenamed("rep", "rep_"), "bitmaps")
+    sigs = stored(sigs.withColumnRenamed("rep", "rep_"), "bitmaps", scratch)
     cells = F.ceil(F.col("c") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "tok"), F.col("cells")).cast("int")
     dealt = left.withColumn("cells", cells).withColumn("own", own).select("tok", "rep", "room", "own", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("with_"))
@@ -385,7 +386,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
 
-    pairs = stored(streamed(dealt, ["tok", "x", "y"], traverse, "u long, v long", once=True).distinct(), "pairs")
+    pairs = stored(streamed(dealt, ["tok", "x", "y"], traverse, "u long, v long", once=True).distinct(), "pairs", scratch)
     two = pairs.join(known.select(F.col("rep").alias("u_"), F.col("toks").alias("a"), F.col("comp").alias("cu")), F.col("u") == F.col("u_")).join(known.select(F.col("rep").alias("v_"), F.col("toks").alias("b"), F.col("comp").alias("cv")), F.col("v") == F.col("v_"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,8 +395,12 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             ok = pa.array([len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y), threshold) for x, y in zip(a, c, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("cu"), b.column("cv")], ["u", "v"]).filter(ok)
 
-    late = stored(two.select("a", "b", "cu", "cv").mapInArrow(verify, "u long, v long").distinct(), "late")
-    joined = components(late.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))) if late.limit(1).count() else roots
+    late = stored(two.select("a", "b", "cu", "cv").mapInArrow(verify, "u long, v long").distinct(), "late", scratch)
+    if late.limit(1).count():
+        joined = components(late.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    else:
+        joined = stored(roots, "joined")
+    cleared(spark, scratch)
     flat = classes.join(joined, classes.d1 == joined.node, "left").select("n", "d1", "d2", "least_id", F.coalesce("root", "d1").alias("root"))
     least = flat.groupBy(F.col("root").alias("root_")).agg(F.min("least_id").alias("component_id"))
     named = flat.join(least, flat.root == least.root_).select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "component_id", "root")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import keyed, stored
+from pagemill.llm.common import cleared, keyed, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of bytes, tokens and rows while parcels are exchanged.
@@ -84,7 +84,7 @@ def exchanged(v: np.ndarray, out: np.ndarray, shards: int, rounds: int) -> np.nd
 def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", grain: int = 256) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard (null under this law), tokens."""
     docs, spark = keyed(df, id_col, text_col), df.sparkSession
-    raw = F.col("text").cast("binary")
+    raw, scratch = F.col("text").cast("binary"), []
     rows = stored(
         docs.select(
             "id",
@@ -95,13 +95,14 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
             F.xxhash64(F.coalesce("id", -F.monotonically_increasing_id() - 1)).alias("spread"),
         ),
         "rows",
+        scratch,
     )
     all_bytes, all_tokens, all_rows = (x or 0 for x in rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first())
     share = F.greatest(*(F.col(c) / float(max(1, n)) for c, n in (("size", all_bytes), ("tokens", all_tokens), ("n", all_rows))))
     # classes are of a text, not of a group, so a row knows its own: powers of two of bytes, steps of tokens a byte
     kind = F.concat_ws(".", F.floor(F.log2("size")).cast("string"), F.floor(F.least(F.col("tokens") / F.col("size"), F.lit(1.0)) * 8).cast("string"))
     groups = rows.groupBy("g", "size", "tokens").agg(F.count("*").alias("n")).select("g", kind.alias("kind"), "n", (F.col("size") * F.col("n")).alias("size"), (F.col("tokens") * F.col("n")).alias("tokens"))
-    groups = stored(groups.withColumn("units", share * (shards * grain)), "groups")
+    groups = stored(groups.withColumn("units", share * (shards * grain)), "groups", scratch)
     large = groups.where("units >= 1").select(F.col("g").alias("g_"), F.ceil("units").cast("int").alias("parts"), (F.col("units") > grain).alias("cut"))
     small = groups.where("units < 1").groupBy("kind").agg(F.greatest(F.lit(1), F.ceil(F.sum("units"))).cast("int").alias("parcels")).withColumnRenamed("kind", "kind_")
     # rows of `large` are at most 3 * shards * grain, of `small` one for each class
@@ -110,6 +111,7 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     name = F.when(F.col("g_").isNull(), F.concat_ws("/", F.col("kind"), F.pmod("g", "parcels"))).when(F.col("cut"), F.concat_ws("/", F.col("g"), part)).otherwise(F.col("g").cast("string"))
     dealt = dealt.select("id", "size", "crc", "tokens", "g", name.alias("parcel"), F.when(F.col("g_").isNotNull() & ~F.col("cut"), F.pmod("spread", "parts")).otherwise(0).cast("int").alias("part"))
     dealt = stored(dealt, "parcels")
+    cleared(spark, scratch)
     found = sorted(map(tuple, dealt.groupBy("parcel", "part").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect()))
     names = sorted({p[0] for p in found})
     number = {p: k for k, p in enumerate(names)}

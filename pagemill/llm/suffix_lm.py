@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import keyed, mix, remainder, slices, stored, streamed, task_keys, trimmed, word_hashes
+from pagemill.llm.common import cleared, keyed, mix, remainder, slices, stored, streamed, task_keys, trimmed, word_hashes
 
 NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
 FAR = np.uint32(1 << 24)
@@ -266,8 +266,10 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col).select("id", (remainder("id", modulus) == held).alias("held"), "text")
     size, rows, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if(~F.col("held"))).first()
-    words = stored(word_counts(docs, max(12, int(size) >> 25)), "words")
+    scratch: list[str] = []
+    words = stored(word_counts(docs, max(12, int(size) >> 25)), "words", scratch)
     shared = spark.sparkContext.broadcast(head := head_of(words, texts, head_words, part_tokens, size / BYTES_A_TOKEN + rows))
+    cleared(spark, scratch)
     keys = task_keys(spark, head.parts).tolist()
     parts, wide = head.parts, min(WIDEST, max(SLICE, ROW_BYTES * head.parts))
     blob = "part int, slice long, mid binary, docs binary, words binary, tails binary, places binary, xs binary, ns binary, info binary"

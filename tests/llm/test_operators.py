@@ -73,10 +73,11 @@ def test_a_large_group_and_frequent_passages(spark):
     assert {i: c for i, c in got.items() if i >= 5000} == want
 
 
-def test_pairs_grow_with_the_rows(spark):
+def test_pairs_grow_with_the_rows(spark, monkeypatch):
     """Texts of passages that others hold too: five times the rows give about five times the pairs to verify."""
     from pagemill.llm.common import shared_dir
 
+    monkeypatch.setattr(ngram_join, "cleared", lambda *_: None)  # the tables stay
     def pairs_of(n):
         rng, before = random.Random(13), set(Path(shared_dir(spark).removeprefix("file:")).glob("pagemill-pairs-*"))
         passages = [_letters(rng, 30) for _ in range(12)]
@@ -88,6 +89,15 @@ def test_pairs_grow_with_the_rows(spark):
     assert pairs_of(1000) <= 10 * max(pairs_of(200), 20)
 
 
+def test_only_what_the_result_reads_is_left(spark, some):
+    from pagemill.llm.common import shared_dir
+
+    there = lambda: {p.name.split("-")[1] for p in Path(shared_dir(spark).removeprefix("file:")).glob("pagemill-*") if p not in before}
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("pagemill-*"))
+    out = ngram_join.ngram_jaccard_components(some)
+    assert there() <= {"digests", "classes", "edges", "joined"} and out.count() == 300
+
+
 # 2 sharding ---------------------------------------------------------------------------------------------------------
 def test_shards(some, edge, nothing):
     for df, n in ((some, 4), (edge, 3)):
