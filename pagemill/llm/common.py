@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 #: A list of ids, some tens of bytes each, is broadcast up to so many rows and joined by sort and merge beyond.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
