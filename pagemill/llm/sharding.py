@@ -49,26 +49,32 @@ def pack(vectors: np.ndarray, shards: int, rounds: int = 4000) -> np.ndarray:
     return exchanged(v * EVEN, out, shards, rounds)
 
 
-def exchanged(v: np.ndarray, out: np.ndarray, shards: int, rounds: int) -> np.ndarray:
-    """Moves and swaps between the shard that is furthest off the mean and the one that is off most the other way."""
+def exchanged(v: np.ndarray, out: np.ndarray, shards: int, rounds: int, most: int = 400) -> np.ndarray:
+    """Moves and swaps between the shard that is furthest off the mean and those that are off most the other way.
+
+    Of a shard with more than `most` vectors the smallest are tried.
+    """
     load = np.stack([np.bincount(out, v[:, c], shards) for c in range(v.shape[1])], 1)
-    off = load - load.mean(0)
-    tired = np.zeros(shards, bool)
+    off, largest = load - load.mean(0), v.max(1)
+    tired = np.zeros(shards, bool)  # shards that no exchange evens out as things are
+
+    def inside(s: int) -> np.ndarray:
+        at = np.flatnonzero(out == s)
+        return at if len(at) <= most else at[np.argsort(largest[at], kind="stable")[:most]]
+
     for _ in range(rounds):
-        far = (off**2).sum(1)
-        s = int(np.where(tired, -1, far).argmax())
-        if tired[s] or far[s] < 1e-9:
+        far = np.where(tired, -1, (off**2).sum(1))
+        s = int(far.argmax())
+        if far[s] < 1e-9:
             break
+        own = inside(s)
         for t in np.argsort(off @ off[s], kind="stable")[:4].tolist():
-            mine, theirs = np.flatnonzero(out == s), np.flatnonzero(out == t)
-            a = v[mine[np.argsort(v[mine].max(1), kind="stable")[:400]]] if len(mine) > 400 else v[mine]
-            own = mine[np.argsort(v[mine].max(1), kind="stable")[:400]] if len(mine) > 400 else mine
-            its = theirs[np.argsort(v[theirs].max(1), kind="stable")[:400]] if len(theirs) > 400 else theirs
-            b = np.vstack([np.zeros(v.shape[1]), v[its]])  # the first stands for nothing: a move
-            d = a[:, None] - b[None]
-            gain = 2 * (d * (off[s] - off[t] - d)).sum(2) if len(a) else np.zeros((0, len(b)))
+            its = inside(t)
+            given = np.vstack([np.zeros(v.shape[1]), v[its]])  # the first is nothing: a move
+            d = v[own][:, None] - given[None]
+            gain = 2 * (d * (off[s] - off[t] - d)).sum(2)
             if gain.size and gain.max() > 1e-9:
-                i, j = divmod(int(gain.argmax()), len(b))
+                i, j = divmod(int(gain.argmax()), len(given))
                 out[own[i]] = t
                 if j:
                     out[its[j - 1]] = s
