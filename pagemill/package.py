@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in paths or sc.applicationId in _sent:
         return
-    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="pagemill-"))) / "pagemill.zip"
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="pagemill-"))  # the driver's own; Spark serves the file to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "pagemill.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted((ROOT / "pagemill").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
