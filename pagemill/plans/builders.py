@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.functions.hashing import split_name
-from pagemill.functions.text import length_bucket, stripped
+from pagemill.functions.text import code_point_counts, length_bucket, stripped
+from pagemill.functions.tokens import tokenized
 from pagemill.operators import metrics as A
 from pagemill.operators import selection as L
 from pagemill.operators.reading_order import text_evaluable
@@ -56,6 +57,14 @@ def annotate(rows: DataFrame, tokens=None) -> DataFrame:
     return rows.withColumns({"exact_text": stripped(text), "token_length": tokens if tokens is not None else words, "raw_text_length": F.length(text), "text_length_bucket": length_bucket(text)})
 
 
+def tokenizer_columns(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """annotate() by a tokenizer's tokens, with token_ids, n_unknown, decoded, roundtrip_equal and the count of replacement characters."""
+    t = rows.withColumn("__t", tokenized("text", vocabulary))
+    out = annotate(t, F.col("__t.n_tokens")).withColumns({"token_ids": F.col("__t.ids"), "n_unknown": F.col("__t.n_unknown"), "decoded": F.col("__t.decoded")})
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.withColumns({"roundtrip_equal": same, "n_replacement": code_point_counts(F.coalesce("text", F.lit("")))["n_replacement"]}).drop("__t")
+
+
 def stage1_sample(train: DataFrame, val: DataFrame, n_train: int, n_val: int, max_tokens: int = 128, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, val, dropped): validation of distinct texts first, then training rows that share no text with it."""
     def parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -149,6 +149,16 @@ def test_tokenizer_columns(spark, name):
     assert name != "byte_bpe_50k.tiktoken" or (got["b"].decoded == "слон ☃" and got["b"].n_unknown == 0)
 
 
+def test_rows_are_annotated_by_a_tokenizer(spark):
+    from pagemill.plans.builders import tokenizer_columns
+
+    rows = spark.createDataFrame([("a", "Plain  words", "i"), ("b", "x\ufffd", "i"), ("c", None, "j")], "crop_id string, text string, image_id string")
+    got = {r.crop_id: r for r in tokenizer_columns(rows, "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
+    assert all(r.roundtrip_equal and r.token_length == len(r.token_ids) for r in got.values()) and got["b"].n_replacement == 1 and got["c"].token_length == 0
+    lower = tokenizer_columns(rows, "/opt/tokenizers/word_bpe_49k.json")
+    assert {r.crop_id for r in I.round_trip_failures(lower, F.col("decoded")).collect()} >= {"a"} and "totals" in I.split_profile(lower, F.col("token_length"), F.col("n_unknown"))
+
+
 def test_failures_as_one_array(spark, tmp_path):
     df = spark.createDataFrame([("p", None), ("q", 1)], "page string, n int")
     assert K.write_failure_array(df, f"{tmp_path}/f.json") == 2 and {r["page"]: r["n"] for r in json.loads((tmp_path / "f.json").read_text())} == {"p": None, "q": 1}
