@@ -4,7 +4,8 @@ Document frequencies come from all labelled rows that are not held out. The weig
 leader with elastic-net penalties (L1 leaves most weights at zero), one row at a time, on a bounded sample of the distinct
 labelled texts (`sample` of them in expectation, chosen by a hash of the text, each of at most `longest` bytes). Every
 labelled language has an equal share of the sample, or all its texts if they are fewer, LEAST_ROWS in expectation in any
-case; one that has longer texts only gives up to LONG_ROWS of these. A text that repeats counts once. Every fifth text of a
+case; one that has longer texts only gives up to LONG_ROWS of these. A text that repeats counts once, also in the (sketched)
+numbers of texts by which the shares are set. Every fifth text of a
 language is set aside to fit the temperature by which all logits are divided: the least log loss against targets that are
 smoothed by one pseudo-row a language, so that it has a minimum even where every text is told rightly. Prediction runs over
 whole texts in Arrow batches with the weights broadcast (buckets * languages floats, a fixed bound).
@@ -127,7 +128,7 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((remainder("id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.octet_length("text") <= longest
-    found = {r["lang"]: (r["short"], r["long"]) for r in rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count_if(~short).alias("long")).collect()}
+    found = {r["lang"]: (r["short"], r["long"]) for r in rows.groupBy("lang").agg(*(F.approx_count_distinct(F.when(c, F.xxhash64("text"))).alias(n) for c, n in ((short, "short"), (~short, "long")))).collect()}
     if not found:
         return None
     level = fair_share([x or y for x, y in found.values()], sample)

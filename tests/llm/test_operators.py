@@ -498,6 +498,23 @@ def test_rare_and_long_languages_are_learned(spark):
     assert langid.fair_share([10, 1000, 3000], 610) == 300 and langid.fair_share([5, 7], 100) == 7
 
 
+def test_weights_are_sparse_and_the_temperature_lies_inside_its_grid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(docs)
+    assert (model.weights == 0).mean() > 0.85
+    seen = np.abs(model.weights).sum(1) > 0
+    assert (model.weights[seen] == 0).mean() > 0.2  # the penalty, not only grams that never occurred
+    assert langid.TEMPERATURES[0] < model.temperature < langid.TEMPERATURES[-1]
+    got = langid.predict_languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
+    right, score = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg("score")).first()
+    assert right > 0.98 and abs(right - score) < 0.06  # calibrated: as sure as it is right, but for the smoothing
+
+
+def test_the_language_sample_is_bounded(spark):
+    rows = [(None, f"the same words {k % 3}", "en") for k in range(5000)] + [(k, f"andere worte {k}", "de") for k in range(5000)]
+    assert langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100).langs == ["de", "en"]
+
+
 def test_temperature_lowers_loss():
     rng = np.random.default_rng(1)
     rows = [(int(y), np.array([3.0, -3.0]) * (1 if rng.random() < 0.8 else -1) * (1 if y == 0 else -1)) for y in rng.integers(0, 2, 400)]
