@@ -31,9 +31,9 @@ MANIFEST = T.StructType(
 EXPECTED_SPLITS = ("train", "silver", "test", "private")
 
 
-def read_pages(spark: SparkSession, path: str, split: str | None = None, revision: str | None = None, limit: int | None = None, order: str | None = None) -> DataFrame:
-    """Pages of one split of a data set laid out as path/[snapshots/revision/]split; `_row_index` counts by `order`."""
-    parts = [path.rstrip("/"), *(["snapshots", revision] if revision else []), *([split] if split else [])]
+def read_pages(spark: SparkSession, path: str, split: str | None = None, revision: str | None = None, limit: int | None = None, order: str | None = None, config: str | None = None) -> DataFrame:
+    """Pages of one split of a data set laid out as path/[snapshots/revision/][config/]split; `_row_index` counts by `order`."""
+    parts = [path.rstrip("/"), *(["snapshots", revision] if revision else []), *(x for x in (config, split) if x)]
     df = spark.read.option("mergeSchema", True).parquet("/".join(parts))
     if limit is not None:
         df = df.orderBy(order).limit(limit) if order else df.limit(limit)

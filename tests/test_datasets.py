@@ -116,6 +116,7 @@ def test_numbers_discovery_and_probing(spark, tmp_path):
     rows.limit(5).write.parquet(f"{tmp_path}/set/main/train")
     rows.limit(5).write.parquet(f"{tmp_path}/set/main/test")
     assert {(r.config, r.split) for r in S.discover_splits(spark, f"{tmp_path}/set").collect()} == {("main", "train"), ("main", "test")}
+    assert S.read_pages(spark, f"{tmp_path}/set", "train", order="id", config="main").count() == 5
     assert S.probed_columns(rows, {"id": ("page_id", "ID"), "text": ("text",)}) == {"id": "id", "text": None}
     paths = spark.createDataFrame([("/a/b", 0), ("/a/snapshots/r2/x", 2), ("/a/snapshots/r1/x", 1)], "path string, _row_index long")
     assert S.first_revision(paths).first()[0] == "r1" and S.first_revision(paths.where("_row_index = 0")).first()[0] is None
