@@ -153,11 +153,16 @@ class SeedTable:
 
     def overlaps(self, h: np.ndarray, at: np.ndarray, least: int, identity: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(text, item): document word, item word, words and equal words of the best overlap."""
-        seen = np.zeros((0, 3), np.int64)
+        seen = [np.zeros(0, np.int64)] * 3
         for hit in self._hits(h, at):
-            seen = np.unique(np.vstack([seen, np.stack(hit, 1)]), axis=0)
+            seen = [np.r_[x, y] for x, y in zip(seen, hit, strict=True)]
+            order = np.lexsort(seen[::-1])
+            seen = [x[order] for x in seen]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in seen], axis=0)
+            seen = [x[new] for x in seen]
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        doc, item, shift = seen.T
+        doc, item, shift = seen
         a, n = self.at[item], self.n[item]
         lo, hi = np.maximum(shift, at[doc]), np.minimum(shift + n, at[doc + 1])
         size, k = np.cumsum(hi - lo), 0
