@@ -49,7 +49,7 @@ def nearest_ranks(df: DataFrame, value: str, shares: dict[str, float], by: list[
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    ends = df.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count(value).alias("__n"))
+    ends = counts.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__c").alias("__n"))  # the counts are shuffled once
     part = lambda b: b.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in b.columns if c not in by))
     match = lambda extra=F.lit(True): reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), extra)
     at_ = F.least(F.floor((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0)) * RANGES), F.lit(RANGES - 1))

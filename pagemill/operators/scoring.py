@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import error_rate
+from pagemill.functions.text import edit_distance
 from pagemill.operators.errors import last_of_each
 from pagemill.operators.metrics import micro_rate
 from pagemill.operators.reading_order import order_regions, page_texts
@@ -27,7 +27,9 @@ def evaluate_pages(reference: DataFrame, prediction: DataFrame, page: str = "pag
         missing = F.raise_error(F.concat(F.lit("missing prediction for page "), F.col(page).cast("string")))
         both = both.withColumn("predicted_text", F.when(F.col("__there"), F.col("predicted_text")).otherwise(missing))
     ref, pred = F.coalesce("reference_text", F.lit("")), F.coalesce("predicted_text", F.lit(""))
-    return both.drop("__there").withColumns({"edit_distance": F.levenshtein(ref, pred).cast("long"), "reference_length": F.length(ref).cast("long"), "page_cer": error_rate(ref, pred)})
+    scored = both.drop("__there").withColumns({"edit_distance": edit_distance(ref, pred), "reference_length": F.length(ref).cast("long")})
+    rate = F.when(F.col("reference_length") > 0, F.col("edit_distance").cast("double") / F.col("reference_length")).otherwise((F.length(pred) > 0).cast("double"))
+    return scored.withColumn("page_cer", rate)
 
 
 def mean_page_rate(pages: DataFrame, *by: str) -> DataFrame:

@@ -71,7 +71,7 @@ def page_cer_by_source(spark, sf):
     v = V.regions(spark, sf)
     ok = R.text_evaluable(F.col("region_type"), F.col("language"), F.col("legibility"))
     pages = R.assembled_texts(v, {"r": "ref_text", "p": "pred_text"}, ok, ("source",))
-    return six(S.mean_page_rate(pages.withColumns({"edit_distance": F.levenshtein("r", "p").cast("long"), "reference_length": F.length("r").cast("long")}), "source"))
+    return six(S.mean_page_rate(pages.withColumns({"edit_distance": X.edit_distance(F.col("r"), F.col("p")), "reference_length": F.length("r").cast("long")}), "source"))
 
 
 @query(WITH + V.SCORED + """

@@ -40,6 +40,24 @@ def test_strip_and_drift(spark):
     assert one(spark, X.punctuation_only(F.col("a"), F.col("b")), a="...", b=" ... ") is False
 
 
+def test_long_edit_distances(spark):
+    import random
+
+    rng, rows = random.Random(3), [("", "x"), ("same", "same"), (None, "ab"), ("слон", "слін"), ("ab", None)]
+    for n in (3, 30, 450, 900):
+        for _ in range(6):
+            a = "".join(rng.choice("abcдє ") for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randrange(n)):
+                k = rng.randrange(len(b) + 1)
+                b[k : k + rng.randrange(2)] = rng.choice(["", "x", "ab"])
+            rows.append((a, "".join(b)))
+    d = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
+    for long in (0, 400):
+        got = spark.createDataFrame(rows, "a string, b string").select(X.edit_distance(F.col("a"), F.col("b"), long).alias("x"), F.levenshtein(*d).alias("y")).collect()
+        assert all(r.x == r.y for r in got) and len(got) == len(rows)
+
+
 def test_edit_profile(spark):
     r = spark.createDataFrame([("ad", "dd"), ("слон", "слін"), ("same", "same"), (None, "x")], "a string, b string").select(X.edit_profile("a", "b").alias("e")).collect()
     assert tuple(r[0].e) == (1, 1, 0, 1, 0) and tuple(r[1].e) == (0, 0, 1, 3, 1) and tuple(r[2].e) == (0, 0, 0, 4, 0) and tuple(r[3].e) == (1, 0, 0, 0, 0)
