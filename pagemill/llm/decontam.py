@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import keyed, mix, run_hashes, slices, spans, utf8
+from pagemill.llm.common import keyed, lean, mix, run_hashes, slices, spans, utf8
 
 MASKS = ("111011", "1100001011", "111100001", "11111")
 SHORT_MASKS = ("11101", "100111", "1101001")
@@ -214,7 +214,7 @@ def benchmark_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
                     rows = [(ids[d].as_py(), shared.value.ids[k], *v) for (d, k), v in found.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["d", "i", "doc_word", "item_word", "n_words", "n_equal"])
 
-        part = docs.mapInArrow(search, "d long, i long, doc_word long, item_word long, n_words long, n_equal long")
+        part = docs.mapInArrow(lean(search), "d long, i long, doc_word long, item_word long, n_words long, n_equal long")
         out = part if out is None else out.union(part)
     return out.withColumnsRenamed({"d": id_col, "i": item_id})
 
@@ -230,5 +230,5 @@ def without_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 bad = {d for d, _ in shared.value.overlaps(h, at, least, identity)}
                 yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_())) if bad else b
 
-        df = df.mapInArrow(keep, df.schema)
+        df = df.mapInArrow(lean(keep), df.schema)
     return df

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import remainder, slices
+from pagemill.llm.common import lean, remainder, slices
 from pagemill.llm.letters import letter_stream
 
 BITS = 15
@@ -151,7 +151,7 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["seen", "n"])
 
     kind = "seen binary, n long"
-    table = rows.select("text").mapInArrow(frequencies, kind).repartition(32).mapInArrow(added, kind).collect()
+    table = rows.select("text").mapInArrow(lean(frequencies), kind).repartition(32).mapInArrow(lean(added), kind).collect()
     seen, n = sum(np.frombuffer(r["seen"], np.int64) for r in table), sum(r["n"] for r in table)
     idf = np.log((1 + n) / (1 + seen)) + 0.1
 
@@ -164,7 +164,7 @@ def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(shares), "lang").where((short | F.col("only_long")) & (F.pmod("h", F.lit(1 << 30)) < F.col("below")))
     # however often a text repeats, it is one row of the sample; the limit is never reached but by chance of the hash
     chosen = drawn.groupBy("h", "lang").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * sample + (LEAST_ROWS + LONG_ROWS) * len(found))
-    got = sorted(map(tuple, chosen.mapInArrow(features, "h long, lang string, at binary, c binary").collect()))
+    got = sorted(map(tuple, chosen.mapInArrow(lean(features), "h long, lang string, at binary, c binary").collect()))
     langs = sorted({r[1] for r in got})
     if not langs:
         return None
@@ -192,7 +192,7 @@ def predict_languages(df: DataFrame, model: LanguageModel | None, id_col: str =
             lang, score = predictions(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, f"`{id_col}` long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(lean(predict), f"`{id_col}` long, held_out boolean, lang_pred string, score double")
 
 
 def predictions(model: LanguageModel | None, column: pa.Array) -> tuple[list[str], list[float]]:
@@ -217,4 +217,4 @@ def identified(df: DataFrame, model: LanguageModel | None, text_col: str = "text
             lang, score = predictions(shared.value, b.column(text_col))
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)

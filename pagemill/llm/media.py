@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import keyed, slices
+from pagemill.llm.common import keyed, lean, slices
 
 FRAME, HOP, RATE = 576, 144, 8000
 CHUNK = 2048
@@ -105,5 +105,5 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, prints if keep_media else None, wav if keep_media else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    out = docs.mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprints array<long>, media binary")
+    out = docs.mapInArrow(lean(run), "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprints array<long>, media binary")
     return out.withColumnRenamed("id", id_col) if keep_media else out.drop("fingerprints", "media").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cleared, components, keyed, mix, sized, slices, stored, streamed, task_keys, word_hashes
+from pagemill.llm.common import cleared, components, keyed, lean, mix, sized, slices, stored, streamed, task_keys, word_hashes
 
 NARROWEST, WIDEST = 64, 1 << 15
 CELLS = 1 << 18
@@ -225,7 +225,7 @@ def shingle_frequencies(sets: DataFrame) -> np.ndarray:
                 n += np.frombuffer(zstandard.decompress(x), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(n.tobytes())], pa.binary())], ["n"])
 
-    table = sets.select("toks").mapInArrow(count, "n binary").repartition(8).mapInArrow(add, "n binary").collect()
+    table = sets.select("toks").mapInArrow(lean(count), "n binary").repartition(8).mapInArrow(lean(add), "n binary").collect()
     return sum((np.frombuffer(zstandard.decompress(r[0]), np.int64) for r in table), np.zeros(CELLS, np.int64))
 
 
@@ -247,7 +247,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             sums = np.array([digests(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["id", "text_key", "n", "d1", "d2"])
 
-    rows = stored(docs.mapInArrow(digest, "id long, text_key long, n long, d1 long, d2 long"), "digests")
+    rows = stored(docs.mapInArrow(lean(digest), "id long, text_key long, n long, d1 long, d2 long"), "digests")
     classes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(12, -(-total // PART_TOKENS))
@@ -295,7 +295,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             own, here = np.r_[own, ids[keep]], np.r_[here, n[keep].astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(here.astype(np.int32))], ["rep", "s"])
 
-    blobs = docs.mapInArrow(owned, "part int, ids binary, runs binary, toks binary, own binary, here binary")
+    blobs = docs.mapInArrow(lean(owned), "part int, ids binary, runs binary, toks binary, own binary, here binary")
     counts = streamed(blobs, ["part"], shared, "rep long, s int", parts).groupBy("rep").agg(F.sum("s").alias("s"))
     alive = counts.join(classes, counts.rep == classes.d1).where(f"100 * s >= {threshold} * n * copies").select("least_id", "rep")
     alive = stored(alive, "alive", scratch)
@@ -313,10 +313,10 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(names[mine]), pa.array(h1), pa.array(h2), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "h1", "h2", "n", "toks"])
 
     kind = "rep long, h1 long, h2 long, n long, toks binary"
-    live = docs.join(sized(alive), docs.id == F.col("least_id")).select("rep", "text").mapInArrow(emit, kind)
+    live = docs.join(sized(alive), docs.id == F.col("least_id")).select("rep", "text").mapInArrow(lean(emit), kind)
     unnamed = alive.where("least_id IS NULL").select(F.col("rep").alias("rep_"))
     if unnamed.limit(1).count():  # classes of rows without an id: one row of each
-        found = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("rep"), "text").mapInArrow(emit, kind).join(sized(stored(unnamed, "unnamed", scratch)), F.col("rep") == F.col("rep_"), "left_semi")
+        found = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("rep"), "text").mapInArrow(lean(emit), kind).join(sized(stored(unnamed, "unnamed", scratch)), F.col("rep") == F.col("rep_"), "left_semi")
         live = live.union(found.dropDuplicates(["rep"]))
     live = stored(live, "sets", scratch)
 
@@ -355,7 +355,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             for k in range(0, len(flat), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (flat, ids, comps, room)], ["tok", "rep", "comp", "room"])
 
-    posts = known.mapInArrow(prefixes, "tok long, rep long, comp long, room long")
+    posts = known.mapInArrow(lean(prefixes), "tok long, rep long, comp long, room long")
     open_ = posts.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a < b")
     open_ = stored(open_.select(F.col("tok").alias("tok_"), "c"), "open", scratch)
     left = stored(posts.join(sized(open_), F.col("tok") == F.col("tok_")).select("tok", "rep", "room", "c"), "postings", scratch)
@@ -366,7 +366,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("comp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], ["rep", "comp", "n", "sig"])
 
     asked = sized(stored(left.select(F.col("rep").alias("rep_")).distinct(), "asked", scratch))
-    sigs = known.join(asked, F.col("rep") == F.col("rep_"), "left_semi").mapInArrow(signed, "rep long, comp long, n long, sig binary")
+    sigs = known.join(asked, F.col("rep") == F.col("rep_"), "left_semi").mapInArrow(lean(signed), "rep long, comp long, n long, sig binary")
     sigs = stored(sigs.withColumnRenamed("rep", "rep_"), "bitmaps", scratch)
     cells = F.ceil(F.col("c") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "tok"), F.col("cells")).cast("int")
@@ -395,7 +395,7 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
             ok = pa.array([len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y), threshold) for x, y in zip(a, c, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("cu"), b.column("cv")], ["u", "v"]).filter(ok)
 
-    late = stored(two.select("a", "b", "cu", "cv").mapInArrow(verify, "u long, v long").distinct(), "late", scratch)
+    late = stored(two.select("a", "b", "cu", "cv").mapInArrow(lean(verify), "u long, v long").distinct(), "late", scratch)
     if late.limit(1).count():
         joined = components(late.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     else:

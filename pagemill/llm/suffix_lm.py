@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cleared, keyed, mix, remainder, slices, stored, streamed, task_keys, trimmed, word_hashes
+from pagemill.llm.common import cleared, keyed, lean, mix, remainder, slices, stored, streamed, task_keys, trimmed, word_hashes
 
 NONE, BEGIN, END, TAIL, FIRST = 0, 1, 2, 3, 4  # codes; head words follow
 FAR = np.uint32(1 << 24)
@@ -193,7 +193,7 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
         h, c = _summed([_wide_numbers(x) for x in t.column("hs").to_pylist()], [_unpack(x, np.uint32) for x in t.column("cs").to_pylist()])
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    return streamed(docs.mapInArrow(run, "part int, hs binary, cs binary"), ["part"], add, "h long, c long", parts)
+    return streamed(docs.mapInArrow(lean(run), "part int, hs binary, cs binary"), ["part"], add, "h long, c long", parts)
 
 
 def head_of(words: DataFrame, texts: int, head_words: int, part_tokens: int, bulk: float) -> Head:
@@ -257,7 +257,7 @@ def split_pairs(docs: DataFrame, shared, split: list[int], keys: list[int]) -> D
 
     head = shared.value
     where = docs.sparkSession.createDataFrame([(k, keys[head.first[k] : head.first[k] + head.subs[k]]) for k in split], "w_ int, parts array<int>")
-    pairs = streamed(docs.mapInArrow(count, "w int, place int, xs binary, ns binary"), ["place"], add, "w int, xs binary, ns binary", int(head.subs.sum()))
+    pairs = streamed(docs.mapInArrow(lean(count), "w int, place int, xs binary, ns binary"), ["place"], add, "w int, xs binary, ns binary", int(head.subs.sum()))
     return pairs.join(F.broadcast(where), F.col("w") == F.col("w_")).select(F.explode("parts").alias("part"), "xs", "ns")
 
 
@@ -458,7 +458,7 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.RecordBatch.from_arrays([info.column("id").combine_chunks(), info.column("held").combine_chunks(), pa.array(n), pa.array(known), pa.array(base), pa.array(score_)], ["id", "held", "n_tokens", "n_known", "base", "score"])
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    blobs = numbered.mapInArrow(deal, blob)
+    blobs = numbered.mapInArrow(lean(deal), blob)
     if split := np.flatnonzero(head.subs).tolist():
         pairs = split_pairs(docs, shared, split, keys)
         none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in blob.split(", ")]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices, stored
+from pagemill.llm.common import lean, slices, stored
 
 TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,7 +48,7 @@ def encoded_lengths(df: DataFrame, text_col: str = "text", tokenizers: str = TOK
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(x)) if x else 0 for x in b.column("text").to_pylist()], pa.int64())], ["n_tokens"])
 
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
+    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import remainder, slices
+from pagemill.llm.common import lean, remainder, slices
 from pagemill.llm.letters import letter_stream
 
 BITS, SIZES = 18, (3, 4, 5, 6)
@@ -179,7 +179,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, window: int = 5, dim: int = 1
             m = train(texts, y, window, dim, epochs, rate)
             yield pa.RecordBatch.from_arrays([pa.array([m.margin.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.scale, m.length, m.shift))], ["margin", "bias", "scale", "length", "shift"])
 
-    made = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fit, "margin binary, bias double, scale double, length double, shift double").collect()
+    made = rows.repartition(1).sortWithinPartitions("id").mapInArrow(lean(fit), "margin binary, bias double, scale double, length double, shift double").collect()
     return ToxicModel(np.frombuffer(made[0]["margin"], np.float32), *made[0][1:], window) if made else None
 
 
@@ -193,4 +193,4 @@ def score_toxicity(df: DataFrame, model: ToxicModel | None, id_col: str = "doc_i
             s = shared.value.scores(b.column("text")) if shared.value else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
-    return docs.mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(lean(run), f"`{id_col}` long, held_out boolean, score double, predicted int")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices
+from pagemill.llm.common import lean, slices
 
 DATE = "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|template|noscript)\b(?:.*?</\1\s*>|.*\Z)|<title\b(?:.*?</title\s*>|.*\Z)|<!doctype[^>]*(?:>|\Z)", re.I | re.S)
@@ -219,7 +219,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.binary())], ["id", "record"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, record binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, record binary").withColumnRenamed("id", id_col)
 
 
 FIELDS = ["record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "source_block_digest", "block_digest", "content_type"]
@@ -246,5 +246,5 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", *FIELDS, "n_bytes", "block", "record"])
 
     schema = "id long, " + ", ".join(f"{c} string" for c in FIELDS) + ", n_bytes long, block string, record binary"
-    out = records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).cast("binary").alias("record")).mapInArrow(run, schema)
+    out = records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).cast("binary").alias("record")).mapInArrow(lean(run), schema)
     return (out if keep_record else out.drop("block", "record")).withColumnRenamed("id", id_col)
