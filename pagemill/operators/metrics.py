@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # fixed values: lower ends of error-rate bins and their names
 RATE_BINS = ((0.0, "0.00_0.05"), (0.05, "0.05_0.10"), (0.10, "0.10_0.25"), (0.25, "0.25_0.50"), (0.50, "0.50_1.00"), (1.0, "1.00_inf"))
 
-#: Values of one range per task where ranks are summed up.
-RANGES = 64
+#: Ranges of values, over which ranks are summed up, to a doubling of the value plus one.
+RANGES = 32
 
 
 def micro_rate(edits: Column, lengths: Column) -> Column:
@@ -48,18 +48,18 @@ def nearest_ranks(df: DataFrame, value: str, shares: dict[str, float], by: list[
     a group is never gathered in one row and its values never pass through one task.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    ends = counts.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__c").alias("__n"))  # the counts are shuffled once
-    part = lambda b: b.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in b.columns if c not in by))
-    match = lambda extra=F.lit(True): reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), extra)
-    at_ = F.least(F.floor((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0)) * RANGES), F.lit(RANGES - 1))
-    placed = counts.join(F.broadcast(part(ends)), match()).withColumn("__range", F.coalesce(at_, F.lit(0))).drop("__low", "__high", *(f"__{c}" for c in by))
-    ranges = placed.groupBy(*by, "__range").agg(F.sum("__c").alias("__in"))
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0))).drop("__in").withColumnRenamed("__range", "__r")
+    # a range is a step of the logarithm of the value, so it needs no pass over the data and keeps the order
+    step = F.signum(value) * F.floor(F.log2(1 + F.abs(value)) * RANGES)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c")).withColumn("__range", step).persist()  # read twice; a row for each different value
+    ranges = counts.groupBy(*by, "__range").agg(F.sum("__c").alias("__in"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0))).withColumn("__n", F.sum("__in").over(group))
+    ranges = ranges.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__r"), "__before", "__n")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), F.col("__range") == F.col("__r"))
+    placed = counts.join(F.broadcast(ranges), same).drop("__r", *(f"__{c}" for c in by))
     upto = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(F.broadcast(part(ranges)), match(F.col("__range") == F.col("__r"))).drop(*(f"__{c}" for c in by))
-    ranked = ranked.withColumn("__to", F.col("__before") + F.sum("__c").over(upto))
+    ranked = placed.withColumn("__to", F.col("__before") + F.sum("__c").over(upto))
     at = {name: F.rint((F.col("__n") - 1) * q) for name, q in shares.items()}
     inside = lambda r: (r < F.col("__to")) & (r >= F.col("__to") - F.col("__c"))
     return ranked.groupBy(*by).agg(F.max("__n").alias("n_rows"), *(F.max(F.when(inside(r), F.col(value))).alias(name) for name, r in at.items()))
