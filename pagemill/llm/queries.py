@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.alignment import align_tokenizers
+from pagemill.llm.ann import nearest
 from pagemill.llm.decontam import benchmark_overlaps
+from pagemill.llm.importance import importance_resample
 from pagemill.llm.langid import fit_languages, predict_languages
 from pagemill.llm.media import media_columns
 from pagemill.llm.mixing import mix_sources
@@ -63,7 +66,19 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_vector_bin_packing, op3_token_length_histogram, op4_suffix_tree_scores, op5_spaced_seed_overlaps, op6_warc_derivatives, op7_language_id, op8_pareto_mix, op9_wav_fingerprints, op10_subword_toxicity)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), keep_groups=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_vector_bin_packing, op3_token_length_histogram, op4_suffix_tree_scores, op5_spaced_seed_overlaps, op6_warc_derivatives, op7_language_id, op8_pareto_mix, op9_wav_fingerprints, op10_subword_toxicity, op11_importance_resampling, op12_additive_quantisation, op13_tokenizer_alignment)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -124,4 +139,30 @@ late AS (SELECT doc_id, gap, size, sum(size) OVER (PARTITION BY d.source ORDER B
 last AS (SELECT doc_id FROM late WHERE CAST(2 * after_ - size AS DOUBLE) <= 2 * gap)
 SELECT doc_id, source, size, source_size, target, CAST((coalesce(whole, 0) + CASE WHEN doc_id IN (SELECT doc_id FROM last) THEN 1 ELSE extra END) * size AS BIGINT) AS taken, round(coalesce(p, 0), 9) AS p
 FROM (SELECT doc_id, source, size, source_size, target, whole, p, extra FROM decided UNION ALL SELECT doc_id, source, size, source_size, target, whole, p, 0 FROM summed WHERE rank IS NULL)""",
+    "op11_importance_resampling": r"""
+WITH steps AS (
+  SELECT list(c ORDER BY v) AS t FROM (
+    SELECT v, list_reduce(list_prepend(v, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(v))),
+words AS (
+  SELECT corpus, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 's' AS corpus, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+runs AS (
+  SELECT corpus, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS (SELECT corpus, id, f, count(*) AS n FROM runs GROUP BY ALL),
+names AS (SELECT DISTINCT f FROM counted),
+bucketed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM names, steps),
+totals AS (SELECT sum(n) FILTER (corpus = 's') AS big_s, coalesce(sum(n) FILTER (corpus = 't'), 0) AS big_t FROM counted),
+gains AS (
+  SELECT bucket, floor(1000 * ln(CAST((t + 1) * (big_s + 10000) AS DOUBLE) / CAST((s + 1) * (big_t + 10000) AS DOUBLE))) AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (corpus = 's'), 0) AS s, coalesce(sum(n) FILTER (corpus = 't'), 0) AS t FROM counted JOIN bucketed USING (f) GROUP BY bucket), totals),
+weights AS (
+  SELECT id, sum(n) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM counted JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE corpus = 's' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, len(w) AS n_words,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (id) WHERE corpus = 's'),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 25 // 100 AS draws FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN r <= draws THEN r END AS BIGINT) AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
