@@ -33,7 +33,7 @@ from pagemill.llm.postings import KIND, answered, gathered, pack, slice_rows, to
 
 TOKENIZERS = "/opt/tokenizers"
 RANGES = 32
-SLICE = 2 << 20
+SLICE = 4 << 20
 A_IDS = 1 << 16
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*(?: \Z)?")  # a lone space at the end stays with what is before
 _ready: dict[bytes, tuple] = {}
@@ -77,38 +77,39 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Segments:
-    """Distinct segments, encoded and aligned: token counts, links, pairs and the written groups of each."""
+    """Distinct segments, encoded and aligned together: whole (spelt out by both sides), counts, groups as written, pairs and where they start."""
 
     def __init__(self, texts: list[str], encode_a, encode_b, a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
-        a, b = encode_a(texts), encode_b([t[1:] for t in texts])  # B adds the space by itself
-        self.whole, self.counts = np.zeros(len(texts), bool), np.zeros((len(texts), 4), np.int64)
-        self.groups, self.links, self.pairs = [""] * len(texts), np.zeros(len(texts) + 1, np.int64), []
-        sizes_a, sizes_b = (np.array([len(x) for x in every], np.int64) for every in (a_bytes, b_bytes))
-        for k, (text, x, y) in enumerate(zip(texts, a, b, strict=True)):
-            raw = text.encode()
-            if b"".join([a_bytes[i] for i in x]) != raw or b"".join([b_bytes[i] for i in y]) != raw:
-                continue
-            self.whole[k] = True
-            if len(x) == 1 or len(y) == 1:  # one token spans the segment: it overlaps all of the other side
-                pairs = [i * len(b_bytes) + j for i in x for j in y]
-                self.pairs.append(np.array(pairs, np.int64))
-                self.counts[k] = len(x), len(y), 1, len(pairs)
-                self.groups[k] = f"{','.join(map(str, x))}|{','.join(map(str, y))}"
-            else:
-                ids_a, ids_b = np.array(x, np.int64), np.array(y, np.int64)
-                a_ends, b_ends = np.cumsum(sizes_a[ids_a]), np.cumsum(sizes_b[ids_b])
-                first, behind = overlaps(a_ends, b_ends)
-                n = behind - first
-                of = np.repeat(np.arange(len(n)), n)
-                with_ = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
-                self.pairs.append(ids_a[of] * len(b_bytes) + ids_b[with_])
-                gaps, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-                self.counts[k] = len(x), len(y), len(gaps), len(of)
-                cuts = zip([0, *(at_a + 1).tolist()], (at_a + 1).tolist(), [0, *(at_b + 1).tolist()], (at_b + 1).tolist())
-                self.groups[k] = ";".join([f"{','.join(map(str, x[p:q]))}|{','.join(map(str, y[r:s]))}" for p, q, r, s in cuts])
-            self.links[k + 1] = self.counts[k, 3]
-        self.links = np.cumsum(self.links)
-        self.pairs = np.concatenate([np.zeros(0, np.int64), *self.pairs])
+        sides = [(encode_a(texts), a_bytes), (encode_b([t[1:] for t in texts]), b_bytes)]  # B adds the space by itself
+        raw = [t.encode() for t in texts]
+        self.whole = np.ones(len(texts), bool)
+        for tokens, spelt in sides:
+            if b"".join([spelt[i] for x in tokens for i in x]) != b"".join(raw) or any(sum([len(spelt[i]) for i in x]) != len(r) for x, r in zip(tokens, raw, strict=True)):
+                self.whole &= np.array([b"".join([spelt[i] for i in x]) == r for x, r in zip(tokens, raw, strict=True)], bool)
+        good = np.flatnonzero(self.whole)
+        # side by side the segments cover the same bytes, and the end of each is a gap: all are aligned at once
+        flat, ends, of = [], [], []
+        for tokens, spelt in sides:
+            mine = [tokens[k] for k in good]
+            flat.append(np.fromiter((i for x in mine for i in x), np.int64))
+            ends.append(np.cumsum(np.array([len(x) for x in spelt], np.int64)[flat[-1]]))
+            of.append(np.repeat(good, [len(x) for x in mine]))
+        first, behind = overlaps(*ends)
+        n = behind - first
+        link = np.repeat(np.arange(len(n)), n)
+        with_ = np.arange(len(link)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        self.pairs = flat[0][link] * len(b_bytes) + flat[1][with_]
+        _, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        self.counts = np.stack([np.bincount(x, minlength=len(texts)) for x in (*of, of[0][at_a], of[0][link])], 1)
+        self.links = np.r_[0, np.cumsum(self.counts[:, 3])]
+        one, two = ([str(i) for i in x.tolist()] for x in flat)
+        p = q = 0
+        groups = []
+        for r, s in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
+            groups.append(f"{one[p] if r == p + 1 else ','.join(one[p:r])}|{two[q] if s == q + 1 else ','.join(two[q:s])}")
+            p, q = r, s
+        at = np.r_[0, np.cumsum(self.counts[:, 2])].tolist()
+        self.groups = [";".join(groups[lo:hi]) for lo, hi in zip(at, at[1:])]
 
 
 def _aligned(docs: DataFrame, a: bytes, b: bytes, keep: bool) -> DataFrame:
