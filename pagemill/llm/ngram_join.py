@@ -301,12 +301,16 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = stored(alive, "alive", scratch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # a task gives the set of a class once, however often its row is repeated
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), words)
             names = np.array([digests(s)[0] for s in sets], np.uint64).view(np.int64)
             asked = b.column("rep")
             mine = (names == asked.fill_null(0).to_numpy()) | asked.is_null().to_numpy(zero_copy_only=False)  # an id may also stand on another text
             mine &= np.array([len(s) > 0 for s in sets], bool)
+            for k in np.flatnonzero(mine):
+                mine[k] = int(names[k]) not in given
+                given.add(int(names[k]))
             sets = [s for s, ok in zip(sets, mine, strict=True) if ok]
             h1 = np.array([s[0] for s in sets], np.uint64).view(np.int64)
             h2 = np.array([mix(s * np.uint64(0xA24BAED4963EE407)).min() for s in sets], np.uint64).view(np.int64)
@@ -314,6 +318,11 @@ def ngram_jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind = "rep long, h1 long, h2 long, n long, toks binary"
     live = docs.join(sized(alive), docs.id == F.col("least_id")).select("rep", "text").mapInArrow(lean(emit), kind)
+    twice = rows.join(sized(alive), (rows.id == F.col("least_id")) & (rows.d1 == F.col("rep"))).groupBy(F.col("rep").alias("rep_")).agg(F.count("*").alias("c")).where("c > 1")
+    twice = stored(twice.select("rep_"), "twice", scratch)
+    if twice.limit(1).count():  # repeated rows in several tasks: found on narrow rows, so that only their sets are shuffled
+        again = sized(twice)
+        live = live.join(again, F.col("rep") == F.col("rep_"), "left_anti").union(live.join(again, F.col("rep") == F.col("rep_"), "left_semi").dropDuplicates(["rep"]))
     unnamed = alive.where("least_id IS NULL").select(F.col("rep").alias("rep_"))
     if unnamed.limit(1).count():  # classes of rows without an id: one row of each
         found = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("rep"), "text").mapInArrow(lean(emit), kind).join(sized(stored(unnamed, "unnamed", scratch)), F.col("rep") == F.col("rep_"), "left_semi")

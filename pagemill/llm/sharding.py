@@ -98,7 +98,7 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
             F.coalesce(F.crc32(raw), F.lit(0)).alias("crc"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
             F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("g"),
-            F.xxhash64(F.coalesce("id", -F.monotonically_increasing_id() - 1)).alias("spread"),
+            F.xxhash64("id", F.monotonically_increasing_id()).alias("spread"),  # ids may repeat
         ),
         "rows",
         scratch,

@@ -98,6 +98,19 @@ def test_only_what_the_result_reads_is_left(spark, some):
     assert there() <= {"digests", "classes", "edges", "joined"} and out.count() == 300
 
 
+def test_thousands_of_repeated_rows(spark):
+    """5,000 repeats of two near texts on two ids, over many tasks, and a null id among them: one component, work in proportion."""
+    rng = random.Random(14)
+    base = sentence(rng, 80).split()
+    near = [*base[:40], "changed", *base[41:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near))] * 5000 + [(None, " ".join(near))] * 50 + [(k, sentence(rng, 30)) for k in range(3, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = Counter(tuple(r) for r in ngram_join.ngram_jaccard_components(df).collect())
+    assert got[(1, 76, 1)] == got[(2, 76, 1)] == 5000 and got[(None, 76, 1)] == 50 and len(got) == 600
+    kept = ngram_join.without_near_copies(df).select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == [1, *range(3, 600)]
+
+
 # 2 sharding ---------------------------------------------------------------------------------------------------------
 def test_shards(some, edge, nothing):
     for df, n in ((some, 4), (edge, 3)):
@@ -115,6 +128,19 @@ def test_shards(some, edge, nothing):
     assert sharding.shard_documents(nothing).count() == 0
 
 
+def test_a_repeated_row_is_cut(spark):
+    """A group larger than many shards, all of one id."""
+    rng = random.Random(15)
+    rows = [(7, sentence(rng, 300))] * 3000 + [(k, sentence(rng, 20)) for k in range(100, 2100)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert len(got) == 5000 and len(loads) == 40 and max(loads.values()) < 1.02 * min(loads.values())
+    for s in range(40):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def _loads(rows, shards):
     by = [[r for r in rows if r["shard"] == s] for s in range(shards)]
     return np.array([[sum(r["size"] for r in x), sum(r["tokens"] for r in x), len(x)] for x in by])
