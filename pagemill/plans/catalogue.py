@@ -360,17 +360,49 @@ def document_regions(spark, sf):
     return made.select("page_id", "i", "r.region_id", F.col("r.ocr_hypotheses")[0]["hypothesis_id"].alias("hypothesis_id"), D.best_text(F.col("r.ocr_hypotheses"), F.col("r.text")).alias("best_text"), F.col("r.source_coordinate.frame").alias("frame"), "r.language", "r.legibility")
 
 
-@query()
+_EDIT_SUMS = ", ".join(f"CAST(sum(coalesce({c}, {'n' if c == 'equal' else 0})) AS BIGINT) AS {c}" for c in X.EDITS.names)
+
+
+def _edit_sums(df: DataFrame) -> DataFrame:
+    pairs = df.select("source", X.edit_profile("ref_text", "pred_text").alias("e"))
+    return pairs.groupBy("source").agg(*(F.sum(f"e.{c}").alias(c) for c in X.EDITS.names))
+
+
+@query(REC + V1 + "," + V.EDITS.format(view="v1") + f" SELECT source, {_EDIT_SUMS} FROM v1 LEFT JOIN edits ON ref_text = a AND pred_text = b GROUP BY 1")
 def edit_profiles(spark, sf):
-    pairs = even(V.regions(spark, sf).groupBy("source", "ref_text", "pred_text").agg(F.count("*").alias("n")))
-    return pairs.withColumn("e", X.edit_profile("ref_text", "pred_text")).groupBy("source").agg(*(F.sum(F.col(f"e.{c}") * F.col("n")).alias(c) for c in X.EDITS.names))
+    return _edit_sums(V.regions(spark, sf))
 
 
-@query()
+@query(REC + V.FAULTY + "," + V.EDITS.format(view="faulty") + f" SELECT source, {_EDIT_SUMS} FROM faulty LEFT JOIN edits ON ref_text = a AND pred_text = b GROUP BY 1")
+def faulty_edit_profiles(spark, sf):
+    return _edit_sums(V.faulty_run(spark, sf))
+
+
+def _buckets(view: str, limit: str) -> str:
+    """Rows of every label, in SQL: the texts' own faults, then those that follow from the edit counts."""
+    share = "CAST({0} AS DOUBLE) / greatest(1, n) >= 0.35 AND {0} > {1} + substitutions"
+    return rf""", t AS (SELECT *, regexp_replace(pred_text, '[\s\x0b]+', '', 'g') AS s, list_filter(regexp_split_to_array(pred_text, '[\s\x0b]+'), lambda v: v <> '') AS w FROM {view} LEFT JOIN edits ON ref_text = a AND pred_text = b),
+l AS (SELECT source, ref_text <> pred_text AS differs, list_filter([{limit} CASE WHEN trim(pred_text) = '' THEN 'empty_prediction' END, CASE WHEN {_REPEATS} THEN 'repeated_token_degeneration' END,
+  CASE WHEN regexp_matches(trim(pred_text, ' '), '^[^\p{{L}}\p{{N}}]+$') AND trim(pred_text, ' ') <> trim(ref_text, ' ') THEN 'punctuation_only_drift' END,
+  CASE WHEN contains(pred_text, chr(65533)) THEN 'invalid_unicode_output' END, CASE WHEN contains(ref_text, chr(65533)) THEN 'invalid_unicode_reference' END,
+  CASE WHEN cyrillic_substitutions > 0 THEN 'cyrillic_character_confusion' END, CASE WHEN n >= 80 AND length(pred_text) <= greatest(10, floor(n * 0.4)) THEN 'long_line_collapse' END,
+  CASE WHEN {share.format("insertions", "deletions")} THEN 'insertion_heavy_failure' END, CASE WHEN {share.format("deletions", "insertions")} THEN 'deletion_heavy_failure' END], lambda x: x IS NOT NULL) AS labels FROM t)
+SELECT source, label, count(*) AS n_rows FROM (SELECT source, unnest(CASE WHEN len(labels) > 0 THEN labels WHEN differs THEN ['other_ocr_error'] ELSE ['exact_match'] END) AS label FROM l) GROUP BY 1, 2"""
+
+
+def _bucket_counts(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    rows = E.enrich(df.withColumnsRenamed({"ref_text": "reference_text", "pred_text": "predicted_text"}), max_tokens)
+    return rows.select("source", F.explode("error_buckets").alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
+
+
+@query(REC + V1 + "," + V.EDITS.format(view="v1") + _buckets("v1", ""))
 def error_bucket_counts(spark, sf):
-    pairs = V.regions(spark, sf).groupBy("source", F.col("ref_text").alias("reference_text"), F.col("pred_text").alias("predicted_text")).agg(F.count("*").alias("n"))
-    rows = E.enrich(even(pairs))  # each pair of texts of a source once
-    return rows.select("source", "n", F.explode("error_buckets").alias("label")).groupBy("source", "label").agg(F.sum("n").alias("n_rows"))
+    return _bucket_counts(V.regions(spark, sf).select("source", "ref_text", "pred_text"))
+
+
+@query(REC + V.FAULTY + "," + V.EDITS.format(view="faulty") + _buckets("faulty", "CASE WHEN token_length > 14 THEN 'truncation_failure' END,"))
+def faulty_error_bucket_counts(spark, sf):
+    return _bucket_counts(V.faulty_run(spark, sf).select("source", "ref_text", "pred_text", "token_length"), 14)
 
 
 @query(WITH + V.SCORED + r""", l AS (SELECT *, list_filter([CASE WHEN trim(pred_text) = '' THEN 'empty_prediction' END, CASE WHEN n >= 80 AND length(pred_text) <= greatest(10, floor(n * 0.4)) THEN 'long_line_collapse' END], lambda x: x IS NOT NULL) AS labels FROM sc)

@@ -52,6 +52,15 @@ def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"edit_distance": F.levenshtein("ref_text", "pred_text").cast("long"), "reference_length": F.col("n"), "cer": error_rate(F.col("ref_text"), F.col("pred_text"))})
 
 
+def faulty_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third recogniser with every kind of fault: nothing, halves, doubles, replacement characters, dots, Cyrillic vowels mixed up."""
+    rows = regions(spark, sf_dir).withColumn("kind", F.expr("(doc_id + region_index) % 8"))
+    rows = rows.withColumn("ref_text", F.expr("CASE kind WHEN 1 THEN translate(ref_text, 'aeiou', 'аеіоу') WHEN 2 THEN concat(ref_text, '\ufffd') ELSE ref_text END"))
+    pred = """CASE kind WHEN 0 THEN '' WHEN 1 THEN translate(ref_text, 'аеіоу', 'еіоуа') WHEN 3 THEN substring(ref_text, 1, cast(n * 3 div 10 as int)) WHEN 4 THEN concat(ref_text, reverse(ref_text))
+      WHEN 5 THEN concat('\ufffd', ref_text) WHEN 6 THEN regexp_replace(ref_text, '[a-zA-Z0-9?]', '.') ELSE ref_text END"""
+    return rows.withColumn("pred_text", F.expr(pred)).withColumn("n", F.length("ref_text").cast("long")).withColumn("token_length", F.size(F.split("ref_text", " ", -1)).cast("long"))
+
+
 def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes shifted to the right and some grown downwards by position; blank regions are not found."""
     return regions(spark, sf_dir).where("ref_text <> ''").withColumns({"x1": F.expr("x1 + (i % 4) * 3"), "x2": F.expr("x2 + (i % 4) * 3"), "y2": F.expr("y2 + CASE WHEN i % 3 = 2 THEN (i % 4) * 8 ELSE 0 END")})
@@ -84,12 +93,40 @@ def _rates(source: str) -> str:
   CASE WHEN n > 0 THEN CAST(levenshtein(ref_text, pred_text) AS DOUBLE) / n WHEN length(pred_text) > 0 THEN 1.0 ELSE 0.0 END AS cer FROM {source}"""
 
 
+#: Edit counts of each unequal pair of texts (a, b) of a view: runs of equal characters on diagonals, cut level by level by the longest of each part.
+EDITS = r"""
+texts AS (SELECT row_number() OVER () AS p, * FROM (SELECT DISTINCT ref_text AS a, pred_text AS b FROM {view} WHERE ref_text <> pred_text)),
+ones AS (SELECT p, unnest(string_split(a, '')) AS c, generate_subscripts(string_split(a, ''), 1) - 1 AS i FROM texts WHERE a <> ''),
+twos AS (SELECT p, unnest(string_split(b, '')) AS c, generate_subscripts(string_split(b, ''), 1) - 1 AS j FROM texts WHERE b <> ''),
+cells AS (SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS run FROM ones JOIN twos USING (p, c)),
+parts AS (
+  SELECT p, 0 AS depth, 0::BIGINT AS alo, 0::BIGINT AS blo, min(i) AS i, min(j) AS j, count(*) AS size FROM cells GROUP BY p, i - j, run
+  UNION ALL
+  SELECT p, depth + 1, CASE WHEN side = 0 THEN alo ELSE bi + bs END, CASE WHEN side = 0 THEN blo ELSE bj + bs END,
+    CASE WHEN side = 0 THEN i ELSE i + skip END, CASE WHEN side = 0 THEN j ELSE j + skip END, CASE WHEN side = 0 THEN before ELSE size - skip END
+  FROM (SELECT *, least(size, bi - i, bj - j) AS before, greatest(bi + bs - i, bj + bs - j, 0) AS skip, unnest([0, 1]) AS side
+    FROM (SELECT *, (best // 1000000) AS bs, 999 - (best // 1000) % 1000 AS bi, 999 - best % 1000 AS bj
+      FROM (SELECT *, max(size * 1000000 + (999 - i) * 1000 + 999 - j) OVER (PARTITION BY p, alo, blo) AS best FROM parts)))
+  WHERE CASE WHEN side = 0 THEN before > 0 ELSE size > skip END),
+blocks AS (SELECT p, 999 - (best // 1000) % 1000 AS i, 999 - best % 1000 AS j, best // 1000000 AS size
+  FROM (SELECT p, max(size * 1000000 + (999 - i) * 1000 + 999 - j) AS best FROM parts GROUP BY p, depth, alo, blo)),
+gaps AS (SELECT p, a, b, size, i - coalesce(lag(i + size) OVER o, 0) AS lost, j - coalesce(lag(j + size) OVER o, 0) AS new, coalesce(lag(i + size) OVER o, 0) AS ai, coalesce(lag(j + size) OVER o, 0) AS bj
+  FROM (SELECT p, i, j, size FROM blocks UNION ALL SELECT p, length(a), length(b), 0 FROM texts) JOIN texts USING (p) WINDOW o AS (PARTITION BY p ORDER BY i, j, size DESC)),
+edits AS (SELECT a, b, sum(CASE WHEN lost = 0 THEN new ELSE 0 END) AS insertions, sum(CASE WHEN new = 0 THEN lost ELSE 0 END) AS deletions,
+  sum(CASE WHEN lost > 0 AND new > 0 THEN greatest(lost, new) ELSE 0 END) AS substitutions, sum(size) AS equal,
+  sum(CASE WHEN lost > 0 AND new > 0 THEN len(list_filter(range(1, least(lost, new) + 1), lambda k: substring(a, ai + k, 1) <> substring(b, bj + k, 1) AND regexp_matches(substring(a, ai + k, 1), '[\x{{0400}}-\x{{04FF}}]') AND regexp_matches(substring(b, bj + k, 1), '[\x{{0400}}-\x{{04FF}}]'))) ELSE 0 END) AS cyrillic_substitutions
+  FROM gaps GROUP BY p, a, b)"""
 SCORED = V1 + f",\nsc AS ({_rates('v1')})"
 SECOND = (
     SCORED
     + ",\nb1 AS (SELECT * REPLACE (CASE WHEN (doc_id + region_index) % 4 = 0 THEN translate(ref_text, 'tnsr', 'nsrt') ELSE ref_text END AS pred_text) FROM v1 WHERE ref_text <> ''),"
     + f"\nsc2 AS ({_rates('b1')})"
 )
+FAULTY = V1 + r""",
+kinds AS (SELECT * REPLACE (CASE kind WHEN 1 THEN translate(ref_text, 'aeiou', 'аеіоу') WHEN 2 THEN ref_text || chr(65533) ELSE ref_text END AS ref_text) FROM (SELECT *, (doc_id + region_index) % 8 AS kind FROM v1)),
+preds AS (SELECT * REPLACE (CASE kind WHEN 0 THEN '' WHEN 1 THEN translate(ref_text, 'аеіоу', 'еіоуа') WHEN 3 THEN substring(ref_text, 1, CAST(n * 3 // 10 AS INT)) WHEN 4 THEN ref_text || reverse(ref_text)
+  WHEN 5 THEN chr(65533) || ref_text WHEN 6 THEN regexp_replace(ref_text, '[a-zA-Z0-9?]', '.', 'g') ELSE ref_text END AS pred_text) FROM kinds),
+faulty AS (SELECT * REPLACE (CAST(length(ref_text) AS BIGINT) AS n), len(string_split(ref_text, ' ')) AS token_length FROM preds)"""
 BOXES = V1 + ",\nv3 AS (SELECT * REPLACE (x1 + (i % 4) * 3 AS x1, x2 + (i % 4) * 3 AS x2, y2 + CASE WHEN i % 3 = 2 THEN (i % 4) * 8 ELSE 0 END AS y2) FROM v1 WHERE ref_text <> '')"
 CHAINS = V1 + r""",
 v4 AS (SELECT page_id, region_id * 3 + c AS region_id, x1, y1, x2 + c * ((x2 - x1) // 25) AS x2, y2, ref_text AS text

@@ -1,10 +1,13 @@
+import difflib
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagemill.functions import blocks
 from pagemill.functions import geometry as G
 from pagemill.functions import hashing as H
 from pagemill.functions import text as X
@@ -160,3 +163,42 @@ def test_rates_are_symmetric_in_distance(pairs):
     pairs = [(a.encode("utf-8", "ignore").decode().replace("\x00", ""), b.encode("utf-8", "ignore").decode().replace("\x00", "")) for a, b in pairs]
     for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("x"), F.levenshtein("b", "a").alias("y"), X.error_rate(F.col("a"), F.col("a")).alias("z")).collect():
         assert r.x == r.y and r.z == 0.0 and (r.x == 0) == (r.a == r.b)
+
+
+def _plain_edits(a, b):
+    """Counts from difflib's blocks, gap by gap."""
+    i = j = 0
+    out = [0] * 5
+    for x, y, size in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+        lost, new = a[i:x], b[j:y]
+        kind = 2 if lost and new else 0 if new else 1
+        out[kind] += max(len(lost), len(new))
+        out[3] += size
+        out[4] += sum(p != q and "\u0400" <= p <= "\u04ff" and "\u0400" <= q <= "\u04ff" for p, q in zip(lost, new))
+        i, j = x + size, y + size
+    return out
+
+
+def _text_pairs():
+    rng = random.Random(1)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    noisy = lambda a, letters, p: "".join(rng.choice(letters) if rng.random() < p else c for c in a if rng.random() > p / 2)
+    pairs = [("a" * 50, "a" * 30), ("ab" * 30, "ba" * 30), ("", ""), ("x", ""), ("", "yy"), ("abcabcabc", "abc"), ("😀é", "é😀"), ("ab" * 200, "b" + "ab" * 150)]
+    for k in range(600):
+        letters = rng.choice(["ab", "abc ", "абвґд x", "etaoin shrdlu"])
+        a = text(rng.randrange(60), letters)
+        pairs.append((a, text(rng.randrange(60), letters) if k % 2 else noisy(a, letters, rng.choice([0.05, 0.3]))))
+    a = text(3000, "etaoin shrdlu")
+    return [*pairs, (a, noisy(a, "etaoin shrdlu", 0.1))]
+
+
+@pytest.mark.parametrize("cells", [blocks.CELLS, 300, 1])
+def test_matching_blocks(cells):
+    """As difflib has them, whether pairs are compared at once (many cells) or cut by the automaton down to single characters."""
+    pairs = _text_pairs() if cells > 1 else _text_pairs()[:200]
+    pair, i, j, size = blocks.matching_blocks([a for a, _ in pairs], [b for _, b in pairs], cells)
+    found = [[] for _ in pairs]
+    for k, *block in zip(*(x.tolist() for x in (pair, i, j, size))):
+        found[k].append(tuple(block))
+    assert found == [[tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]] for a, b in pairs]
+    assert blocks.edit_counts([a for a, _ in pairs], [b for _, b in pairs], cells).tolist() == [_plain_edits(a, b) for a, b in pairs]

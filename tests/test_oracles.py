@@ -33,7 +33,7 @@ def test_query(spark, duck, name):
     assert tidy(df.collect(), df.columns) == tidy(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["edit_profiles", "error_bucket_counts", "failure_attribution"])
+@pytest.mark.parametrize("name", ["failure_attribution"])
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
