@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Cells, a character of one text against one of the other, that are compared at once: a byte each, and some bytes a run.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 
 class Automaton:

@@ -28,15 +28,15 @@ def summary() -> list[Column]:
 def grouped_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """One independent grouping for each key; null reads None; a list puts its row into each of its buckets."""
     kinds = dict(df.dtypes)
-    pairs = [F.explode(F.col(k)) if kinds[k].startswith("array") else None for k in keys]
-    plain = [k for k, p in zip(keys, pairs, strict=True) if p is None]
+    plain = [k for k in keys if not kinds[k].startswith("array")]
     pick = ["cer", "edit_distance", "reference_length"]
     out = None
     if plain:  # one pass for all plain keys
         each = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(k).cast("string"), F.lit("None")).alias("bucket")) for k in plain)))
         out = df.select(*pick, each.alias("g")).select(*pick, "g.key", "g.bucket")
     for k in (k for k in keys if k not in plain):
-        rows = df.select(*pick, F.lit(k).alias("key"), F.explode(F.col(k)).alias("bucket"))
+        # explode() would filter for lists that are not empty below what makes them, and so make them twice
+        rows = df.select(*pick, F.lit(k).alias("key"), F.explode_outer(F.col(k)).alias("bucket")).where("bucket IS NOT NULL")
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("key", "bucket").agg(*summary())
 

@@ -391,8 +391,9 @@ SELECT source, label, count(*) AS n_rows FROM (SELECT source, unnest(CASE WHEN l
 
 
 def _bucket_counts(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    # every row has a label; explode() would filter for that first and so work all labels out twice
     rows = E.enrich(df.withColumnsRenamed({"ref_text": "reference_text", "pred_text": "predicted_text"}), max_tokens)
-    return rows.select("source", F.explode("error_buckets").alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
+    return rows.select("source", F.explode_outer("error_buckets").alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
 
 
 @query(REC + V1 + "," + V.EDITS.format(view="v1") + _buckets("v1", ""))
@@ -411,7 +412,7 @@ def simple_error_labels(spark, sf):
     rows = V.scored(spark, sf).withColumnsRenamed({"ref_text": "reference_text", "pred_text": "predicted_text"})
     keep = F.filter(E.error_labels(profiled=False), lambda x: ~x.isin("repeated_token_degeneration", "punctuation_only_drift"))
     rest = F.when(F.size(keep) > 0, keep).when(F.col("cer") > 0, F.array(F.lit("other_ocr_error"))).otherwise(F.array(F.lit("exact_match")))
-    return rows.select(F.explode(rest).alias("label")).groupBy("label").agg(F.count("*").alias("n_rows"))
+    return rows.select(F.explode_outer(rest).alias("label")).groupBy("label").agg(F.count("*").alias("n_rows"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS joined, count(*) AS n_turns FROM conversations GROUP BY 1")
@@ -634,7 +635,7 @@ l AS (SELECT source, cer, list_filter([CASE WHEN trim(pred_text) = '' THEN 'empt
 SELECT source, label, count(*) AS n_rows FROM (SELECT source, unnest(CASE WHEN len(labels) > 0 THEN labels WHEN cer > 0 THEN ['other_ocr_error'] ELSE ['exact_match'] END) AS label FROM l) GROUP BY 1, 2""")
 def plain_error_labels(spark, sf):
     rows = V.scored(spark, sf).withColumnsRenamed({"ref_text": "reference_text", "pred_text": "predicted_text"})
-    return rows.select("source", F.explode(E.error_labels(profiled=False)).alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
+    return rows.select("source", F.explode_outer(E.error_labels(profiled=False)).alias("label")).groupBy("source", "label").agg(F.count("*").alias("n_rows"))
 
 
 @query(REC + V.LINES + """, texts AS (SELECT page_id, coalesce(string_agg(ref_text, chr(10) ORDER BY reading_index) FILTER (WHERE ref_text <> '' AND region_type NOT IN ('image', 'graph') AND (language IS NULL OR language = 'uk') AND (legibility IS NULL OR legibility = 'legible')), '') AS t FROM ordered GROUP BY 1)
