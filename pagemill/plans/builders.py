@@ -19,7 +19,7 @@ from pagemill.sources.readers import flat_regions, image_id
 
 def export_decisions(pages: DataFrame, rule: L.RegionFilter = L.RegionFilter(), fraction: float = 0.2, padding: int = 8, seed: int = 42) -> DataFrame:
     """Every region of every page with image id, split, padded box and reason (null: exported)."""
-    index = F.coalesce("_row_index", F.lit(0)) if "_row_index" in pages.columns else F.lit(0)
+    index = F.col("_row_index") if "_row_index" in pages.columns else F.lit(None).cast("long")
     p = pages.withColumn("image_id", image_id(index))
     p = p.withColumn("split", split_name(F.col("image_id"), fraction, seed))
     r = flat_regions(p).withColumn("box", G.from_numbers(F.col("region.bbox")))
@@ -40,14 +40,14 @@ def crop_manifest(decided: DataFrame) -> DataFrame:
 
 
 def export_counts(decided: DataFrame) -> DataFrame:
-    """Counts by kind: skip reasons, splits, types, sources."""
+    """Counts of regions by kind: skip reasons, splits, types, sources. A page without regions counts nowhere."""
     none = lambda c, d="None": F.coalesce(c.cast("string"), F.lit(d))
     kept = F.col("reason").isNull()
     pairs = F.array(
         F.when(~kept, F.struct(F.lit("skipped").alias("kind"), none(F.col("reason")).alias("value"))),
         *(F.when(kept, F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, v in (("split", F.col("split")), ("region_type", none(F.col("region.type"))), ("source", none(F.col("source"), "unknown")))),
     )
-    return decided.select(F.explode(F.array_compact(pairs)).alias("p")).groupBy("p.kind", "p.value").agg(F.count("*").alias("n"))
+    return decided.where("region IS NOT NULL").select(F.explode(F.array_compact(pairs)).alias("p")).groupBy("p.kind", "p.value").agg(F.count("*").alias("n"))
 
 
 def annotate(rows: DataFrame, tokens=None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ from pagemill.plans import datasets as P
 from pagemill.plans import inspection as I
 from pagemill.plans import views as V
 from pagemill.plans.views import IOU, V1, table
+from pagemill.sources import kept as K
+from pagemill.sources import positions as O
+from pagemill.sources import readers as S_
+from pagemill.sources import records as RE
+from pagemill.sources import sinks as W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -421,6 +428,43 @@ def conversation_turn_order(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t.text), "\n").alias("joined"), F.count("*").alias("n_turns"))
 
 
+# ---- input order and open records ----------------------------------------------------------------------------------
+@query("SELECT doc_id, row_number() OVER () - 1 AS _row_index FROM documents")
+def input_order(spark, sf):
+    return O.parquet_in_order(table(spark, sf, "documents")).select("doc_id", "_row_index")
+
+
+@query(WITH + V1 + """ SELECT split, image_id, region_index, row_number() OVER (PARTITION BY split ORDER BY image_id, region_index) - 1 AS line, ref_text AS text
+FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, lpad(CAST(page_id AS VARCHAR), 15, '0') AS image_id, i AS region_index, ref_text FROM v1)""")
+def manifest_order(spark, sf):
+    """Manifests written in files by range and read again line by line."""
+    rows = V.regions(spark, sf).select(F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"), F.lpad(F.col("page_id").cast("string"), 15, "0").alias("image_id"), F.col("i").cast("int").alias("region_index"), F.col("ref_text").alias("text"))
+    folder = f"{K.shared_folder(spark)}/pagemill-manifest-{uuid.uuid4().hex}"
+    W.write_splits(rows, folder)
+    read = lambda split: S_.read_manifest(spark, f"{folder}/split={split}", rows.drop("split").schema, index="line").withColumn("split", F.lit(split))
+    back = read("train").unionByName(read("val")) if S_.exists(spark, f"{folder}/split=val") else read("train")
+    return back.select("split", "image_id", F.col("region_index").cast("long").alias("region_index"), "line", "text")
+
+
+@query(WITH + V1 + """ SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'regions' WHEN 1 THEN 'annotations' WHEN 2 THEN 'things' ELSE 'boxes' END AS key, i, CAST(x1 AS DOUBLE) AS x1, CAST(y2 AS DOUBLE) AS y2, region_type AS type, ref_text AS text
+FROM v1 WHERE page_id % 5 <> 4 UNION ALL SELECT DISTINCT page_id, NULL, NULL, NULL, NULL, NULL, NULL FROM v1 WHERE page_id % 5 = 4""")
+def open_record_regions(spark, sf):
+    """Pages as JSON records of five shapes, one of them without a usable box, and the regions found in them by aliases."""
+    r = F.struct(F.array("x1", "y1", "x2", "y2").alias("box"), F.col("region_type").alias("type"), F.col("ref_text").alias("text"))
+    pages = V.regions(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", r.alias("r")))).alias("rs"))  # 24 regions a page at most
+
+    def shape(key: str, *names: str, box=lambda b: b) -> F.Column:
+        return F.to_json(F.struct(F.transform("rs", lambda x: F.struct(box(x.r.box).alias(names[0]), x.r.type.alias(names[1]), x.r.text.alias(names[2]))).alias(key)))
+
+    lists = F.to_json(F.struct(*(F.col(f"rs.r.{c}").alias(n) for c, n in (("box", "boxes"), ("type", "types"), ("text", "texts")))))
+    kind = F.col("page_id") % 5
+    text = F.when(kind == 0, shape("regions", "bbox", "type", "text")).when(kind == 1, shape("annotations", "box", "label", "transcription")).when(kind == 2, shape("things", "bounds", "category", "value"))
+    text = text.when(kind == 3, lists).otherwise(shape("regions", "bbox", "type", "text", box=lambda b: b.cast("array<string>")))
+    records = pages.select("page_id", text.alias("value")).select("page_id", F.parse_json("value").alias("record"), F.json_object_keys("value").alias("names"))
+    found = records.select("page_id", RE.regions_in(F.col("record"), F.col("names")).alias("f")).select("page_id", "f.key", F.posexplode_outer("f.regions").alias("i", "r"))
+    return found.select("page_id", "key", F.col("i").cast("long").alias("i"), F.get("r.bbox", F.lit(0)).alias("x1"), F.get("r.bbox", F.lit(3)).alias("y2"), "r.type", "r.text")
+
+
 # ---- geometry ------------------------------------------------------------------------------------------------------
 @query(WITH + V1 + """ SELECT region_id, (x2 - x1) * (y2 - y1) AS area, (y1 + y2) / 2.0 AS y_center, y2 - y1 AS height, greatest(0, x1 - 8) AS px1, least(200, y2 + 8) AS py2, x2 <= 180 AS inside FROM v1""")
 def bbox_metrics(spark, sf):

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.sources.kept import kept
+from pagemill.sources.positions import lines_in_order, parquet_in_order
+
 REGION = T.StructType([T.StructField("bbox", T.ArrayType(T.DoubleType())), *(T.StructField(n, T.StringType()) for n in ("type", "text", "language", "legibility"))])
 PAGE = T.StructType(
     [*(T.StructField(n, T.StringType()) for n in ("file_name", "image_id", "id")), T.StructField("image", T.BinaryType()), T.StructField("image_width", T.IntegerType()), T.StructField("image_height", T.IntegerType())]
@@ -32,12 +35,16 @@ EXPECTED_SPLITS = ("train", "silver", "test", "private")
 
 
 def read_pages(spark: SparkSession, path: str, split: str | None = None, revision: str | None = None, limit: int | None = None, order: str | None = None, config: str | None = None) -> DataFrame:
-    """Pages of one split of a data set laid out as path/[snapshots/revision/][config/]split; `_row_index` counts by `order`."""
+    """Pages of one split of a data set laid out as path/[snapshots/revision/][config/]split.
+
+    `_row_index` counts the rows as they stand in the files, files by path, and a limit keeps the first ones; with `order`, a column,
+    both go by that instead. An index that a record brings along stays.
+    """
     parts = [path.rstrip("/"), *(["snapshots", revision] if revision else []), *(x for x in (config, split) if x)]
     df = spark.read.option("mergeSchema", True).parquet("/".join(parts))
-    if limit is not None:
-        df = df.orderBy(order).limit(limit) if order else df.limit(limit)
-    return numbered(df, order) if order else df
+    if not order:
+        return parquet_in_order(df, limit=limit)
+    return numbered(df if limit is None else df.orderBy(order).limit(limit), order)
 
 
 def numbered(df: DataFrame, order: str, name: str = "_row_index") -> DataFrame:
@@ -48,7 +55,8 @@ def numbered(df: DataFrame, order: str, name: str = "_row_index") -> DataFrame:
     """
     keys = df.groupBy(F.col(order).alias("key_")).agg(F.count("*").alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartitionByRange(parts, F.col("key_").asc_nulls_first()).withColumn("part", F.spark_partition_id()).persist()
+    dealt = keys.repartitionByRange(parts, F.col("key_").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    dealt = kept(dealt, "keys")  # ranges are drawn by sample: they are drawn once
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     starts = dealt.groupBy("part").agg(F.sum("n").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
     inside = Window.partitionBy("part").orderBy(F.col("key_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,11 +77,19 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = MANIFEST, limit: int | None = None, order: str | None = None) -> DataFrame:
-    """JSON lines; blank lines are skipped, a broken line raises when it is read. With `order` a limit takes the first rows by it."""
-    reader = spark.read.option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema else reader).json(path)
-    return df if limit is None else (df.orderBy(order) if order else df).limit(limit)
+def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = MANIFEST, limit: int | None = None, order: str | None = None, index: str | None = None) -> DataFrame:
+    """JSON lines; a blank or broken line raises when it is read. A limit takes the first lines of the files, or the first rows by `order`.
+
+    index: a column for the place of a row in its files.
+    """
+    place = index or "_line"
+    schema = schema or spark.read.json(path).schema
+    numbered_lines = index is not None or limit is not None and not order
+    lines = lines_in_order(spark, path, place, None if order else limit) if numbered_lines else spark.read.text(path)
+    blank = F.raise_error(F.concat(F.lit(f"a blank line in {path}"), *([F.lit(" after line "), F.col(place).cast("string")] if numbered_lines else [])))
+    record = F.when(F.trim("value") == "", blank.cast(schema)).otherwise(F.from_json("value", schema, {"mode": "FAILFAST"}))
+    rows = lines.select(record.alias("r"), *([place] if numbered_lines else [])).select("r.*", *([index] if index else []))
+    return rows.orderBy(order).limit(limit) if order and limit is not None else rows
 
 
 def configured(spark: SparkSession, path: str, plan: Callable) -> dict:
