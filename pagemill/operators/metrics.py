@@ -88,10 +88,10 @@ def worst(df: DataFrame, k: int = 25, by: tuple[str, ...] = ("cer", "reference_l
     return df.orderBy(*(F.desc(c) for c in by), tie).limit(k)
 
 
-def rate_map(df: DataFrame, key: str = "image_id", value: str = "page_cer") -> dict[str, float]:
-    """Rates by key of a result of stated size (one page a row); of equal keys the last by position, if the rows have one."""
-    rows = df.select(key, value).where(F.col(key).isNotNull())
-    return {r[0]: r[1] for r in rows.collect()}
+def rates_by_key(df: DataFrame, key: str = "image_id", value: str = "page_cer", position: str | None = None) -> DataFrame:
+    """(key, value), one row a key; of equal keys the last by `position`, or without one the highest. Rows without a key go."""
+    last = F.max_by(value, position) if position else F.max(value)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias(value))
 
 
 def token_percentiles(value: Column) -> list[Column]:

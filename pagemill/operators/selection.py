@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.hashing import group_key, shuffle_key, split_name
 from pagemill.functions.text import stripped
+from pagemill.sources.readers import numbered
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,23 @@ def in_shuffled_order(df: DataFrame, key: str, seed: int, n: int | None = None)
     return out if n is None else out.limit(n)
 
 
+def in_seeded_order(df: DataFrame, key: str, seed: int, n: int | None = None, most: int = 5_000_000) -> DataFrame:
+    """Rows sorted by key, then in the order that random.Random(seed).shuffle gives them, as `shuffled` from 0; with n the first n.
+
+    The permutation is one of the generator's own and has to be drawn as a whole, 8 bytes a row, so more rows than `most` raise. The rows
+    themselves are numbered by ranges of their keys and joined to it; in_shuffled_order() has no such bound.
+    """
+    spark, rows = df.sparkSession, numbered(df, key, "sorted_")
+    m = rows.count()
+    if m > most:
+        raise ValueError(f"{m} rows; a seeded permutation is drawn for {most} at most")
+    drawn = list(range(m))
+    random.Random(seed).shuffle(drawn)
+    table = pd.DataFrame({"at_": drawn[:n], "shuffled": range(len(drawn[:n]))}, dtype="int64")
+    order = spark.createDataFrame(table, "at_ long, shuffled long")
+    return rows.join(order, F.col("sorted_") == F.col("at_")).drop("sorted_", "at_")
+
+
 def first_of_each(df: DataFrame, by: str, key: str, seed: int, n: int | None = None) -> DataFrame:
     """One row for each value of `by`, the first in shuffled order, then the first n of these."""
     place = F.struct(shuffle_key(F.col(key), seed).alias("shuffled"), F.col(key).alias("key"))

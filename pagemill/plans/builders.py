@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
@@ -28,14 +28,14 @@ def export_decisions(pages: DataFrame, rule: L.RegionFilter = L.RegionFilter(),
     return r.withColumn("reason", F.when(F.col("region").isNull(), "no_regions").otherwise(F.coalesce("reason", F.when(F.col("padded").isNull(), "invalid_bbox_after_padding"))))
 
 
-def crop_manifest(decided: DataFrame) -> DataFrame:
+def crop_manifest(decided: DataFrame, *more: Column) -> DataFrame:
     stem = F.regexp_replace(F.substring_index("image_id", "/", -1), r"(?<=.)\.[^.]+$", "")
     name = F.format_string("%s__r%04d.png", F.regexp_replace(stem, r"[^\p{L}\p{N}_-]", "_"), "region_index")
     keep = [c for c in ("image_width", "image_height", "source", "annotation_source", "year", "grade", "subject", "group", "fund", "content_type") if c in decided.columns]
     return decided.where("reason IS NULL").select(
         F.format_string("%s::r%04d", stem, "region_index").alias("crop_id"), "split", F.concat_ws("/", F.lit("crops"), "split", name).alias("crop_path"), "image_id", "region_index",
         F.coalesce("region.text", F.lit("")).alias("text"), F.col("region.type").alias("region_type"), "region.language", "region.legibility",
-        F.array(*(F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2"))).alias("bbox"), *keep,
+        F.array(*(F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2"))).alias("bbox"), *keep, *more,
     )
 
 

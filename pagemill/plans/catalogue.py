@@ -582,6 +582,17 @@ def export_counts(spark, sf):
     return B.export_counts(_decisions(spark, sf))
 
 
+_EXPORT_COUNTS = SQL["export_counts"]
+
+
+@query(_EXPORT_COUNTS + """ UNION ALL SELECT 'figures', 'images', count(DISTINCT page_id) FROM d UNION ALL SELECT 'figures', 'regions', count(*) FROM d UNION ALL SELECT 'figures', 'crops', count(*) FROM d WHERE reason IS NULL""")
+def export_figures_of_one_pass(spark, sf):
+    """The decided regions are written once; totals are observed in that write, counts read what it wrote."""
+    rows, seen = P.export_table(_decisions(spark, sf))
+    figures = spark.createDataFrame([("figures", k, n) for k, n in seen.items()], "kind string, value string, n long")
+    return B.export_counts(rows).unionByName(figures)
+
+
 @query(WITH + V1 + ",\n" + _DECIDED + """ SELECT printf('%d::r%04d', page_id, i) AS crop_id, printf('crops/%s/%d__r%04d.png', split, page_id, i) AS crop_path, ref_text AS text, region_type, x1, y1, x2, y2 FROM d WHERE reason IS NULL""")
 def crop_manifest_rows(spark, sf):
     m = B.crop_manifest(_decisions(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
@@ -17,6 +17,7 @@ from pagemill.operators.reading_order import assembled_texts, order_regions
 from pagemill.operators.recognizers import recognize
 from pagemill.plans.builders import crop_manifest, export_counts, export_decisions, overfit_sample, page_baseline, smoke_sample, stage1_sample, summarize_experiment
 from pagemill.sources.images import crop_png, image_size, overlay_png, write_crops
+from pagemill.sources.kept import kept
 from pagemill.sources.provenance import write_experiment_metadata
 from pagemill.sources.readers import file_checksums, image_id
 from pagemill.sources.sinks import hardest_pages_markdown, rekeyed, submission_frame, write_error_analysis, write_json, write_jsonl, write_splits, write_submission, zip_folder
@@ -124,80 +125,87 @@ def evaluated_crops(crops: DataFrame, recognizer: str, image: str = "image") ->
     return enrich(recognize(crops.withColumn("reference_text", F.col("text")), recognizer, image))
 
 
-def crop_metrics(scored: DataFrame, model: str, manifest: str) -> dict:
-    """Overall and by each grouping key; a few values on the driver."""
+def crop_metrics(scored: DataFrame, model: str, manifest: str, whole: dict | None = None) -> dict:
+    """Overall and by each grouping key; a few values on the driver. whole: the overall figures where they are known already."""
     grouped: dict[str, dict] = {}
     for r in A.grouped_summary(scored, [k for k in GROUPS if k in scored.columns]).orderBy("key", "bucket").collect():
         grouped.setdefault(r["key"], {})[r["bucket"]] = {"rows": r["n_rows"], "micro_cer": r["micro_cer"], "mean_cer": r["mean_cer"]}
-    whole = _one(scored.agg(*A.summary()))
+    whole = whole or _one(scored.agg(*A.summary()))
     return {"rows": whole["n_rows"], "model_name": model, "manifest": manifest, "overall": {"rows": whole["n_rows"], "micro_cer": whole["micro_cer"], "mean_cer": whole["mean_cer"]}, "grouped": grouped}
 
 
 def evaluate_crops(crops: DataFrame, recognizer: str, folder: str, manifest: str = "", hardest: int = 50, image: str = "image") -> dict:
-    """predictions, metrics, the hardest rows as lines and as Markdown, and the run's metadata, all from one scoring."""
-    scored = evaluated_crops(crops, recognizer, image).drop(image, "edits").persist()
-    try:
-        metrics = crop_metrics(scored, recognizer, manifest)
-        write_json(metrics, f"{folder}/metrics.json")
-        write_jsonl(scored, f"{folder}/predictions")
-        write_jsonl(A.worst(scored, hardest, ("cer",)), f"{folder}/hardest_examples")
-        _text(f"{folder}/hardest_examples.md", hardest_crops_markdown(scored, min(hardest, 20)))
-        write_experiment_metadata(folder, {"recognizer": recognizer, "hardest": hardest}, {"manifest": manifest}, metrics)
-        return metrics
-    finally:
-        scored.unpersist()
+    """predictions, metrics, the hardest rows as lines and as Markdown, and the run's metadata.
+
+    Recogniser and scores run once, while their rows are written; the overall figures are observed in that write.
+    """
+    overall = Observation("overall")
+    scored = kept(evaluated_crops(crops, recognizer, image).drop(image, "edits").observe(overall, *A.summary()), "scored")
+    metrics = crop_metrics(scored, recognizer, manifest, overall.get)
+    write_json(metrics, f"{folder}/metrics.json")
+    write_jsonl(scored, f"{folder}/predictions")
+    write_jsonl(A.worst(scored, hardest, ("cer",)), f"{folder}/hardest_examples")
+    _text(f"{folder}/hardest_examples.md", hardest_crops_markdown(scored, min(hardest, 20)))
+    write_experiment_metadata(folder, {"recognizer": recognizer, "hardest": hardest}, {"manifest": manifest}, metrics)
+    return metrics
 
 
 # ---- export, experiments, the page baseline ------------------------------------------------------------------------
+def export_table(decided: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Decided regions, without pixels, as a stored table that every sink reads, and the figures observed while it was written.
+
+    images: pages, those without regions too; regions; crops: regions that are exported.
+    """
+    seen = Observation("export")
+    first = F.coalesce("region_index", F.lit(0)) == 0
+    rows = decided.drop("image").observe(seen, F.count_if(first).alias("images"), F.count_if(F.col("region").isNotNull()).alias("regions"), F.count_if(F.col("reason").isNull()).alias("crops"))
+    return kept(rows, "export"), seen.get
+
+
 def write_crop_export(pages: DataFrame, folder: str, rule: L.RegionFilter = L.RegionFilter(), fraction: float = 0.2, padding: int = 8, seed: int = 42) -> dict:
-    """The crop export to the end: manifests by split, crops where pages have images, split of every page, counts and checksums."""
-    decided = export_decisions(page_frame(pages), rule, fraction, padding, seed).persist()
-    try:
-        manifest = crop_manifest(decided)
-        write_splits(manifest, f"{folder}/manifests")
-        write_jsonl(decided.select("image_id", "split").distinct(), f"{folder}/stats/split_manifest")
-        written = 0
-        if "image" in decided.columns:
-            cut = decided.where("reason IS NULL").select("image_id", "region_index", crop_png("image", F.col("padded")).alias("png"))
-            paths = manifest.select(F.col("image_id").alias("i_"), F.col("region_index").alias("r_"), "crop_path")
-            written = write_crops(cut.join(paths, (F.col("image_id") == F.col("i_")) & (F.col("region_index") == F.col("r_"))).select("crop_path", "png"), folder)
-        counts: dict[str, dict[str, int]] = {}
-        for r in export_counts(decided).orderBy("kind", "value").collect():
-            counts.setdefault(r["kind"], {})[r["value"]] = r["n"]
-        stats = {"images": decided.select("image_id").distinct().count(), "crops": manifest.count(), "crops_written": written, "counts": counts, "seed": seed, "validation_fraction": fraction}
-        write_json(stats, f"{folder}/stats/export_stats.json")
-        write_experiment_metadata(folder, {"fraction": fraction, "padding": padding, "seed": seed}, {"pages": stats["images"]}, stats)
-        return stats
-    finally:
-        decided.unpersist()
+    """The crop export to the end: manifests by split, crops where pages have images, split of every page, counts and checksums.
+
+    The pages are read once for everything but pixels, and once for the pixels of crops if they have any.
+    """
+    decided = export_decisions(page_frame(pages), rule, fraction, padding, seed)
+    table, seen = export_table(decided)
+    manifest = crop_manifest(table)
+    write_splits(manifest, f"{folder}/manifests")
+    write_jsonl(table.select("image_id", "split").distinct(), f"{folder}/stats/split_manifest")
+    written = 0
+    if "image" in decided.columns:
+        pixels = crop_manifest(decided, crop_png("image", F.col("padded")).alias("png")).select("crop_path", "png")
+        written = write_crops(pixels, folder)
+    counts: dict[str, dict[str, int]] = {}
+    for r in export_counts(table).orderBy("kind", "value").collect():
+        counts.setdefault(r["kind"], {})[r["value"]] = r["n"]
+    stats = {"images": seen["images"], "crops": seen["crops"], "crops_written": written, "counts": counts, "seed": seed, "validation_fraction": fraction}
+    write_json(stats, f"{folder}/stats/export_stats.json")
+    write_experiment_metadata(folder, {"fraction": fraction, "padding": padding, "seed": seed}, {"pages": stats["images"]}, stats)
+    return stats
 
 
 def write_experiment_analysis(predictions: DataFrame, folder: str, k: int = 25) -> dict:
     """Summary, hardest, longest, repeated, truncated and representative rows of a run."""
-    kept = predictions.persist()
-    try:
-        found = experiment_summaries(kept.sparkSession, kept, k)
-        write_json(found, f"{folder}/summary.json")
-        write_error_analysis(kept, folder, k)
-        return found
-    finally:
-        kept.unpersist()
+    rows = kept(predictions, "predictions")
+    found = experiment_summaries(rows.sparkSession, rows, k)
+    write_json(found, f"{folder}/summary.json")
+    write_error_analysis(rows, folder, k)
+    return found
 
 
 def write_page_baseline(regions: DataFrame, recognizer: str, folder: str, page: str = "page_id") -> dict:
     """Page rates of a recogniser: submission, page texts, metrics with the rate of each page, and the hardest pages."""
-    judged = page_baseline(regions, recognizer).persist()
-    try:
-        mean = judged.agg(F.count("*").alias("pages"), F.avg("page_cer").alias("mean_page_cer")).first()
-        metrics = mean.asDict() | {"page_cer_by_image": {str(k): v for k, v in A.rate_map(judged, page).items()}}
-        write_json(metrics, f"{folder}/metrics.json")
-        write_jsonl(judged, f"{folder}/page_texts")
-        read = recognize(regions, recognizer).withColumn("text", F.col("predicted_text"))
-        write_submission(submission_frame(order_regions(read), F.col(page).cast("string")), f"{folder}/submission")
-        _text(f"{folder}/hardest_pages.md", hardest_pages_markdown(judged.withColumn("image_id", F.col(page).cast("string"))))
-        return metrics
-    finally:
-        judged.unpersist()
+    seen = Observation("pages")
+    judged = kept(page_baseline(regions, recognizer).observe(seen, F.count("*").alias("pages"), F.avg("page_cer").alias("mean_page_cer")), "judged")
+    metrics = seen.get
+    write_json(metrics, f"{folder}/metrics.json")
+    write_jsonl(A.rates_by_key(judged, page), f"{folder}/page_cer_by_image")  # a row a page: a table, not an object of the driver's
+    write_jsonl(judged, f"{folder}/page_texts")
+    read = recognize(regions, recognizer).withColumn("text", F.col("predicted_text"))
+    write_submission(submission_frame(order_regions(read), F.col(page).cast("string")), f"{folder}/submission")
+    _text(f"{folder}/hardest_pages.md", hardest_pages_markdown(judged.withColumn("image_id", F.col(page).cast("string"))))
+    return metrics
 
 
 # ---- sample data sets ----------------------------------------------------------------------------------------------
@@ -215,7 +223,11 @@ def _write(folder: str, name: str, description: str, splits: dict[str, DataFrame
             if images is not None:  # path, content of the crops that the manifests name
                 source = splits[s].select("crop_id", F.col("crop_path").alias("from_"))
                 to = df.select(F.col("crop_id").alias("id_"), "crop_path").join(source, F.col("id_") == F.col("crop_id")).drop("crop_id", "id_")
-                write_crops(images.join(to, F.col("path").endswith(F.col("from_"))).select("crop_path", F.col("content").alias("png")), folder)
+                # by the files' names, an equality, and then by the whole of the manifest's path
+                last = lambda c: F.substring_index(c, "/", -1)
+                found = images.withColumn("name_", last("path")).join(to.withColumn("name_", last("from_")), "name_")
+                found = found.where(F.concat(F.lit("/"), "path").endswith(F.concat(F.lit("/"), "from_")))
+                write_crops(found.select("crop_path", F.col("content").alias("png")), folder)
         write_jsonl(rows["train"].unionByName(rows["val"], allowMissingColumns=True).coalesce(1), f"{folder}/manifests/all")
         write_json(stats, f"{folder}/stats/{name}_dataset_stats.json")
         write_json({"name": Path(folder).name, "description": description, "train_manifest": "manifests/train", "val_manifest": "manifests/val", "stats": f"stats/{name}_dataset_stats.json"} | (more or {}), f"{folder}/dataset_info.json")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.sources.files import write_files
+
 MAGIC = b"\x89PNG\r\n\x1a\n"
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
@@ -147,17 +148,5 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataF
 
 
 def write_crops(crops: DataFrame, root: str, path: str = "crop_path", content: str = "png") -> int:
-    """Each crop as root/crop_path, written by the executors to a folder that all share; returns how many were written."""
-
-    def put(batches):
-        for t in batches:
-            n = 0
-            for name, data in zip(t[path], t[content], strict=True):
-                if data is not None:
-                    to = Path(root, name)
-                    to.parent.mkdir(parents=True, exist_ok=True)
-                    to.write_bytes(data)
-                    n += 1
-            yield pd.DataFrame({"n": [n]})
-
-    return crops.select(path, content).mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    """Each crop as root/crop_path, by a writer that commits; returns how many were written."""
+    return write_files(crops, root, path, content)["files"]

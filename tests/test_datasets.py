@@ -135,7 +135,8 @@ def test_last_rows_win_and_nulls(spark):
     assert E.enrich(rows).first().cer == pytest.approx(1 / 3)  # the text is the reference where no other is named
     kept = E.enrich(rows.withColumn("cer", F.lit(None).cast("double"))).first()
     assert kept.cer is None and kept.edit_distance == 1  # a column that is there stays as it is
-    assert A.rate_map(spark.createDataFrame([("p", 0.5)], "image_id string, page_cer double")) == {"p": 0.5}
+    twice = spark.createDataFrame([("p", 0.5, 1), ("p", 0.25, 2), (None, 1.0, 3)], "image_id string, page_cer double, at int")
+    assert [tuple(r) for r in A.rates_by_key(twice, position="at").collect()] == [("p", 0.25)]
     assert spark.createDataFrame([], "cer double, edit_distance long, reference_length long").agg(*A.summary()).first().micro_cer is None
     values = [float(x) for x in (3, 1, 1, 2, 9, 9, 9, 4)]
     got = A.nearest_ranks(spark.createDataFrame([(v,) for v in values], "cer double"), "cer", {"p50": 0.5, "p90": 0.9}).first()
@@ -178,7 +179,8 @@ def test_export_analysis_and_baseline_are_written(spark, tmp_path):
     found = D.write_experiment_analysis(D.evaluated_crops(crops(spark), "empty"), str(tmp_path / "a"))
     assert found["overall"][0]["n_rows"] == 61 and json.loads((tmp_path / "a/summary.json").read_text())["overall"][0]["micro_cer"] == 1.0
     rows = spark.createDataFrame([(1, 0, 0, 0, 5, 5, "x", "printed", "uk", None), (2, 0, 0, 0, 5, 5, "y", "printed", None, None)], "page_id long, region_id long, x1 long, y1 long, x2 long, y2 long, text string, region_type string, language string, legibility string")
-    assert D.write_page_baseline(rows, "oracle", str(tmp_path / "b"))["page_cer_by_image"] == {"1": 0.0, "2": 0.0} and (tmp_path / "b/hardest_pages.md").exists()
+    assert D.write_page_baseline(rows, "oracle", str(tmp_path / "b")) == {"pages": 2, "mean_page_cer": 0.0}
+    assert {r["page_id"]: r["page_cer"] for r in lines(tmp_path / "b/page_cer_by_image")} == {1: 0.0, 2: 0.0} and (tmp_path / "b/hardest_pages.md").exists()
     (tmp_path / "c.json").write_text(json.dumps({"fraction": 0.3, "seed": 7}))
     assert S.configured(spark, f"{tmp_path}/c.json", D.write_crop_export) == {"fraction": 0.3, "seed": 7}
     (tmp_path / "d.json").write_text(json.dumps({"seed": "seven"}))

@@ -1,13 +1,16 @@
 """Places of rows in their files, open records, sinks that are written in one pass and files with a commit."""
 
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.plans import builders as B
-from pagemill.sources import positions, readers as S, sinks
+from pagemill.operators import selection as L
+from pagemill.sources import files, positions, sinks
+from pagemill.sources import readers as S
 
 
 @pytest.fixture
@@ -97,3 +100,46 @@ def test_a_split_is_several_files_in_order(spark, tmp_path):
     files = sorted((tmp_path / "m" / "split=train").glob("part-*.json"))
     found = [(r["image_id"], r["region_index"]) for f in files for r in map(json.loads, f.read_text().splitlines())]
     assert len(files) > 1 and found == sorted(found) and len(found) == 4000
+
+
+# files with a commit -------------------------------------------------------------------------------------------------
+def _files(root):
+    return {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+
+
+def test_files_are_committed(spark, tmp_path):
+    rows = [(f"crops/{k % 3}/f{k}.bin", bytes([k]) * k) for k in range(40)] + [("crops/none", None), (None, b"x")]
+    df = spark.createDataFrame(rows, "name string, data binary").repartition(7)
+    assert files.write_files(df, str(tmp_path / "out"), "name", "data") == {"files": 40, "bytes": sum(range(40))}
+    found = _files(tmp_path / "out")
+    done = json.loads(found.pop(files.DONE))
+    assert found == {n: d for n, d in rows[:40]} and done["files"] == 40
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    """One task fails after others have ended: neither whole nor half files stay, and what was there before does."""
+    before = tmp_path / "out" / "old.bin"
+    before.parent.mkdir()
+    before.write_bytes(b"old")
+    slow = F.udf(lambda k: (__import__("time").sleep(3), 1 / 0)[1] if k == 39 else bytes([k]), "binary")
+    df = spark.range(0, 40, 1, 8).select(F.format_string("a/f%d", "id").alias("path"), slow("id").alias("content"))
+    with pytest.raises(Exception):  # noqa: B017
+        files.write_files(df, str(tmp_path / "out"))
+    assert _files(tmp_path / "out") == {"old.bin": b"old"}
+
+
+def test_a_path_outside_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="outside"):
+        files.write_files(spark.createDataFrame([("../x", b"1")], "path string, content binary"), str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("n", [None, 10])
+def test_seeded_order(spark, n):
+    ids = [f"c{k:03d}" for k in range(200)]
+    want = sorted(ids)
+    random.Random(42).shuffle(want)
+    df = spark.createDataFrame([(i, "x") for i in reversed(ids)], "crop_id string, text string").repartition(6)
+    got = L.in_seeded_order(df, "crop_id", 42, n).orderBy("shuffled").collect()
+    assert [r.crop_id for r in got] == want[:n] and got[0].text == "x"
+    with pytest.raises(ValueError, match="200 rows"):
+        L.in_seeded_order(df, "crop_id", 42, most=100)
