@@ -39,6 +39,8 @@ MASKS = ("111011", "1100001011", "111100001", "11111")
 SHORT_MASKS = ("11101", "100111", "1101001")
 SHORT = 8
 DIAGONALS = 1 << 20
+#: Of these so many are verified before texts that overlap are left out of the rest.
+STEP = 2_000
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -134,8 +136,8 @@ class SeedTable:
             self.tiny.setdefault(h[at[k] : at[k + 1]].tobytes(), []).append(k)
         self.shortest = shortest
 
-    def _hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, item, shift) of seed hits, some at a time; shift: the text's word under the item's first word."""
+    def _hits(self, h: np.ndarray, at: np.ndarray, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, shift) of seed hits, some at a time; shift: the text's word under the item's first word. Texts that are done give no more."""
         for m in self.masks:
             s = seeds(h, m)
             i = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -147,22 +149,12 @@ class SeedTable:
             upto = np.cumsum(n)
             for k in np.unique(np.searchsorted(upto, np.arange(0, upto[-1] if len(n) else 0, DIAGONALS), "right")).tolist():
                 to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + DIAGONALS, "right")))
-                c = slice(k, to)
+                c = slice(k, to) if done is None else np.arange(k, min(to, len(n)))[~done[doc[k:to]]]
                 which = np.repeat(lo[c], n[c]) + np.arange(n[c].sum()) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
                 yield np.repeat(doc[c], n[c]), self.item[which], np.repeat(i[c], n[c]) - self.place[which]
 
-    def overlaps(self, h: np.ndarray, at: np.ndarray, least: int, identity: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-        """(text, item): document word, item word, words and equal words of the best overlap."""
-        seen = [np.zeros(0, np.int64)] * 3
-        for hit in self._hits(h, at):
-            seen = [np.r_[x, y] for x, y in zip(seen, hit, strict=True)]
-            order = np.lexsort(seen[::-1])
-            seen = [x[order] for x in seen]
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in seen], axis=0)
-            seen = [x[new] for x in seen]
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        doc, item, shift = seen
+    def _verified(self, doc: np.ndarray, item: np.ndarray, shift: np.ndarray, h: np.ndarray, at: np.ndarray, identity: float) -> Iterator[tuple[int, ...]]:
+        """text, item, document word, item word, words and equal words of the diagonals that hold an overlap, some diagonals at a time."""
         a, n = self.at[item], self.n[item]
         lo, hi = np.maximum(shift, at[doc]), np.minimum(shift + n, at[doc + 1])
         size, k = np.cumsum(hi - lo), 0
@@ -177,10 +169,40 @@ class SeedTable:
             whole = self.whole[item[c]]  # a short item counts by all its words
             start, end, equal = np.where(whole, 0, start), np.where(whole, m, end), np.where(whole, all_, equal)
             for j in np.flatnonzero((equal >= self.need[item[c]]) & (~whole | (m == n[c]))).tolist():
-                key = int(doc[k + j]), int(item[k + j])
-                if equal[j] > best.get(key, (0, 0, 0, 0))[3]:
-                    best[key] = (int(lo[k + j] - at[key[0]] + start[j]), int(lo[k + j] - shift[k + j] + start[j]), int(end[j] - start[j]), int(equal[j]))
+                d = int(doc[k + j])
+                yield d, int(item[k + j]), int(lo[k + j] - at[d] + start[j]), int(lo[k + j] - shift[k + j] + start[j]), int(end[j] - start[j]), int(equal[j])
             k = to
+
+    def overlapping(self, h: np.ndarray, at: np.ndarray, identity: float) -> np.ndarray:
+        """Whether each text overlaps with any item. A text is done at its first overlap, and no hits are kept: a stem that many items share is no more work."""
+        done = np.zeros(len(at) - 1, bool)
+        for hit in self._hits(h, at, done):
+            doc, item, shift = np.unique(np.stack(hit, 1), axis=0).T if len(hit[0]) else hit
+            for lo in range(0, len(doc), STEP):
+                c = np.arange(lo, min(lo + STEP, len(doc)))
+                c = c[~done[doc[c]]]
+                if len(c):
+                    done[[v[0] for v in self._verified(doc[c], item[c], shift[c], h, at, identity)]] = True
+        if self.tiny:
+            length = np.diff(at)
+            for d in np.flatnonzero((length > 0) & (length < self.shortest) & ~done).tolist():
+                done[d] = h[at[d] : at[d + 1]].tobytes() in self.tiny
+        return done
+
+    def overlaps(self, h: np.ndarray, at: np.ndarray, least: int, identity: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+        """(text, item): document word, item word, words and equal words of the best overlap."""
+        seen = [np.zeros(0, np.int64)] * 3
+        for hit in self._hits(h, at):
+            seen = [np.r_[x, y] for x, y in zip(seen, hit, strict=True)]
+            order = np.lexsort(seen[::-1])
+            seen = [x[order] for x in seen]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in seen], axis=0)
+            seen = [x[new] for x in seen]
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for d, k, *found in self._verified(*seen, h, at, identity):
+            if found[3] > best.get((d, k), (0, 0, 0, 0))[3]:
+                best[d, k] = tuple(found)
         if self.tiny:
             length = np.diff(at)
             for d in np.flatnonzero((length > 0) & (length < self.shortest)).tolist():
@@ -227,8 +249,8 @@ def without_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text"
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, text_col):
                 h, at = words_of(b.column(text_col))
-                bad = {d for d, _ in shared.value.overlaps(h, at, least, identity)}
-                yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_())) if bad else b
+                bad = shared.value.overlapping(h, at, identity)
+                yield b.filter(pa.array(~bad)) if bad.any() else b
 
         df = df.mapInArrow(lean(keep), df.schema)
     return df

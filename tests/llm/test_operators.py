@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +378,21 @@ def test_unspaced_scripts_and_tiny_items(spark):
     assert at.tolist() == [0, 4, 5, 6] and h[1] == h[4]
 
 
+def test_a_stem_that_all_share(monkeypatch):
+    """1,000 texts and 1,000 items of one common stem: a text is done at its first overlap, so few diagonals are verified."""
+    rng = random.Random(16)
+    stem = sentence(rng, 12)
+    h, at = decontam.words_of(pa.array([f"{stem} {sentence(rng, 20)}" for _ in range(1000)]))
+    table = decontam.SeedTable(list(range(1000)), h, at, decontam.MASKS, 5, 10, 0.75)
+    texts = [f"{sentence(rng, 9)} {stem} {sentence(rng, 15)}" for _ in range(1000)] + [sentence(rng, 30), "", stem[:20]]
+    verified, real = [], decontam.SeedTable._verified
+    monkeypatch.setattr(decontam.SeedTable, "_verified", lambda self, doc, *rest: verified.append(len(doc)) or real(self, doc, *rest))
+    found = table.overlapping(*decontam.words_of(pa.array(texts)), 0.75)
+    assert found.tolist() == [True] * 1000 + [False] * 3 and sum(verified) < 60 * 1000 * 2
+    few = texts[:20] + texts[1000:]
+    assert {d for d, _ in table.overlaps(*decontam.words_of(pa.array(few)), 10, 0.75)} == set(range(20))
+
+
 # 6 WARC -------------------------------------------------------------------------------------------------------------
 def test_derivatives_round_trip(spark):
     body = "<html lang=de><head><title> A &amp; B </title><script>no()</script></head><body><p>One <b>two</b></p><a href='/x?a=1&amp;b'>three</a></body></html>"
