@@ -39,8 +39,6 @@ MASKS = ("111011", "1100001011", "111100001", "11111")
 SHORT_MASKS = ("11101", "100111", "1101001")
 SHORT = 8
 DIAGONALS = 1 << 20
-#: Of these so many are verified before texts that overlap are left out of the rest.
-STEP = 2_000
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -178,11 +176,10 @@ class SeedTable:
         done = np.zeros(len(at) - 1, bool)
         for hit in self._hits(h, at, done):
             doc, item, shift = np.unique(np.stack(hit, 1), axis=0).T if len(hit[0]) else hit
-            for lo in range(0, len(doc), STEP):
-                c = np.arange(lo, min(lo + STEP, len(doc)))
-                c = c[~done[doc[c]]]
-                if len(c):
-                    done[[v[0] for v in self._verified(doc[c], item[c], shift[c], h, at, identity)]] = True
+            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            for k in range(int(place.max(initial=-1) + 1).bit_length()):  # a text's first diagonal, then two, then four
+                c = np.flatnonzero((place + 1 >= 1 << k) & (place + 1 < 2 << k) & ~done[doc])
+                done[[v[0] for v in self._verified(doc[c], item[c], shift[c], h, at, identity)]] = True
         if self.tiny:
             length = np.diff(at)
             for d in np.flatnonzero((length > 0) & (length < self.shortest) & ~done).tolist():
