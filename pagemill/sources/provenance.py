@@ -18,15 +18,15 @@ from pagemill.functions.hashing import config_hash
 from pagemill.sources.sinks import write_json
 
 PACKAGES = ("pyspark", "pyarrow", "pandas", "numpy", "duckdb", "sentencepiece", "tiktoken", "tokenizers")
-# fixed values: names in trace files; those before the bar have to be given
-TRACE_NAMES = "experiment_id config | code_version metadata preprocessing split_artifacts"
-SPLIT_NAMES = "name path | dataset_revision seed sha256 split_policy"
-PREPROCESSING_NAMES = "version | notes transforms"
+# fixed values: names in trace files, first those that have to be given, then those that may be
+TRACE_NAMES = (("experiment_id", "config"), ("code_version", "split_artifacts", "preprocessing", "metadata"))
+SPLIT_NAMES = (("name", "path"), ("sha256", "seed", "dataset_revision", "split_policy"))
+PREPROCESSING_NAMES = (("version",), ("transforms", "notes"))
 
 
-def filled(given: dict, names: str, **defaults: object) -> dict:
+def filled(given: dict, names: tuple[tuple[str, ...], tuple[str, ...]], **defaults: object) -> dict:
     """The mapping with all its names; absent ones read their default or None."""
-    must, may = (part.split() for part in names.split("|"))
+    must, may = names
     if wrong := sorted(set(given) - {*must, *may} | {n for n in must if given.get(n) is None}):
         raise ValueError(f"unknown or missing fields: {', '.join(wrong)}")
     return {n: defaults.get(n) if given.get(n) is None else given[n] for n in must + may}
