@@ -724,6 +724,21 @@ def test_the_toxicity_sample_is_bounded(spark):
     assert 5 < sample.count() <= 10
 
 
+def test_toxicity_windows_are_compared_on_learned_rows(spark, nothing):
+    """Held-out rows take no part: their labels, turned round, change nothing. Each learned text is scored once a window."""
+    rng = random.Random(9)
+    rows = [(k, " ".join([rng.choice(WORDS) for _ in range(30)] + ["vilescum"] * (k % 3 == 0))) for k in range(240)]
+    held = [zlib.crc32(str(k).encode()) % 4 == 2 for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [spark.createDataFrame([(k, int((k % 3 == 0) != (turn and held[k]))) for k in range(240)], "doc_id long, toxic int") for turn in (False, True)]
+    got = [sorted(toxicity.cross_validated(df, m, windows=(2, 40), folds=3, epochs=3).collect()) for m in marks]
+    assert got[0] == got[1] and len(got[0]) == 6
+    for w in (2, 40):
+        assert sum(r.n for r in got[0] if r.window == w) == held.count(False)
+        assert sum(r.toxic for r in got[0] if r.window == w) == sum(k % 3 == 0 and not held[k] for k in range(240))
+    assert toxicity.cross_validated(df, marks[0].limit(0)) is None and toxicity.cross_validated(nothing, marks[0], folds=2).count() == 0
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, some, tmp_path):
     import corpus_pipeline as P
