@@ -15,6 +15,7 @@ from pagemill.operators import errors as E
 from pagemill.operators import matching as M
 from pagemill.operators import metrics as A
 from pagemill.operators import reading_order as R
+from pagemill.operators import recognizers as RG
 from pagemill.operators import scoring as S
 from pagemill.operators import selection as L
 from pagemill.operators.pages import BOX
@@ -23,11 +24,14 @@ from pagemill.plans import datasets as P
 from pagemill.plans import inspection as I
 from pagemill.plans import views as V
 from pagemill.plans.views import IOU, V1, table
+from pagemill.sources import data_sets as DS
 from pagemill.sources import kept as K
 from pagemill.sources import positions as O
 from pagemill.sources import readers as S_
 from pagemill.sources import records as RE
 from pagemill.sources import sinks as W
+from pagemill.streaming import ingest as SI
+from pagemill.streaming import last_rows as SL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -749,3 +753,45 @@ def remapped_names(spark, sf):
 @query("SELECT doc_id, md5(regexp_replace(nfc_normalize(text), '^[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+|[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', '', 'g')) AS text_md5 FROM documents")
 def decoded_nfc_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(X.decoded_nfc("text").cast("binary")).alias("text_md5"))
+
+
+# ---- recognition in batches, data sets, last rows of a stream -----------------------------------------------------------
+def _mirror():
+    """A reader of which SQL can say what it reads: the image's bytes as text, from the end."""
+    return lambda images, texts: [(i.decode()[::-1], float(len(i))) for i in images]
+
+
+@query(WITH + V1 + """ SELECT region_id, CASE WHEN region_type = 'image' THEN '' ELSE reverse(ref_text) END AS predicted_text, CASE WHEN region_type <> 'image' THEN CAST(n AS DOUBLE) END AS score FROM v1""")
+def batched_recognition(spark, sf):
+    RG.register("mirror", RG.in_batches(_mirror, budget=4096))
+    v = V.regions(spark, sf).select("region_id", "region_type", F.col("ref_text").alias("text"), F.encode("ref_text", "UTF-8").alias("image"))
+    return RG.recognize(v, "mirror").select("region_id", "predicted_text", "score")
+
+
+@query("""SELECT CASE WHEN lang = 'en' THEN 'main' ELSE 'other' END AS config, CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n_rows, round(sum(CASE WHEN lang = 'en' THEN n_chars ELSE n_chars / 2.0 END), 6) AS weight,
+  count(*) FILTER (WHERE lang IS DISTINCT FROM 'en' AND source IS NOT NULL) AS n_sources FROM documents GROUP BY 1, 2""")
+def data_set_splits(spark, sf):
+    """Splits written with columns of their own (a whole number here, a real one and a source there), read back as one frame."""
+    root = f"{K.shared_folder(spark)}/pagemill-data-set-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "source", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("en"))
+    for split, ours in (("val", F.col("doc_id") % 5 == 0), ("train", F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True)))):
+        docs.where(ours & F.col("en")).select("doc_id", F.col("n_chars").cast("long").alias("weight")).write.parquet(f"{root}/main/{split}")
+        docs.where(ours & ~F.col("en")).select("doc_id", (F.col("n_chars") / 2.0).alias("weight"), "source").write.parquet(f"{root}/other/{split}")
+    df = DS.read_data_set(spark, root)
+    return df.groupBy("config", "split").agg(F.count("*").alias("n_rows"), F.round(F.sum("weight"), 6).alias("weight"), F.count("source").alias("n_sources"))
+
+
+@query(WITH + V.SECOND + """, one AS (SELECT doc_id, any_value(source) AS source, sum(edit_distance) AS e, sum(reference_length) AS r FROM sc GROUP BY 1),
+two AS (SELECT doc_id, sum(edit_distance) AS e, sum(reference_length) AS r FROM sc2 GROUP BY 1),
+l AS (SELECT coalesce(source, '') AS source, coalesce(two.e, one.e) AS e, coalesce(two.r, one.r) AS r FROM one LEFT JOIN two USING (doc_id))
+SELECT source, count(*) AS n, CAST(sum(e) AS BIGINT) AS edit_distance, CAST(sum(r) AS BIGINT) AS reference_length, round(CASE WHEN sum(r) > 0 THEN CAST(sum(e) AS DOUBLE) / sum(r) END, 6) AS cer FROM l GROUP BY 1""")
+def last_rows_of_a_stream(spark, sf):
+    """Sums of each document's regions by two runs, the second over the first, taken in by micro-batches of up to 1,000 files."""
+    root = f"{K.shared_folder(spark)}/pagemill-stream-{uuid.uuid4().hex}"
+    for k, run in enumerate((V.scored(spark, sf), V.second_run(spark, sf))):
+        sums = run.groupBy(F.col("doc_id").cast("string").alias("crop_id")).agg(F.sum("edit_distance").alias("edit_distance"), F.sum("reference_length").alias("reference_length"), F.first("source").alias("text_length_bucket"))
+        sums.withColumn("run", F.lit(k).cast("long")).write.mode("append").parquet(f"{root}/in")
+    files = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in")
+    SI.run_available(SL.last_row_changes(files, "run"), f"{root}/out", f"{root}/checkpoint")
+    rates = SL.current_rates(spark.read.schema(SL.CHANGES).parquet(f"{root}/out"), "text_length_bucket")
+    return six(rates.withColumnRenamed("text_length_bucket", "source"))
