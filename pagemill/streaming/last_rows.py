@@ -6,9 +6,11 @@ the columns are those of the last rows, whatever batches the input came in, so a
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,9 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _LAST = "position long, edit_distance long, reference_length long, text_length_bucket string"
 CHANGES = "crop_id string, text_length_bucket string, n long, edit_distance long, reference_length long"
 
+# Spark plans stateful processors in a worker that does not see shipped packages: they travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class LastRow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:

@@ -1,9 +1,13 @@
 import json
+import os
 import random
+import subprocess
+import sys
 import uuid
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pagemill.operators import recognizers as R
@@ -154,3 +158,12 @@ def test_any_cutting_gives_the_batch_answer(spark, tmp_path, seed):
     got = {r.text_length_bucket: (r.n, r.edit_distance, r.reference_length) for r in L.current_rates(changes, "text_length_bucket").collect()}
     assert got == want
     assert L.current_rates(changes).select(F.round("cer", 9)).first()[0] == round(sum(x[1] for x in last.values()) / sum(x[2] for x in last.values()), 9)
+
+
+def test_the_processor_travels_by_value(tmp_path):
+    """A worker that cannot import the package loads it all the same."""
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(L.LastRow()))
+    code = "import sys; from pyspark import cloudpickle; p = cloudpickle.load(open(sys.argv[1], 'rb')); assert 'pagemill' not in sys.modules; print(type(p).__name__)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "p")], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "LastRow"
