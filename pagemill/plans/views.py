@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import error_rate
+from pagemill.functions.text import edit_distance, error_rate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = F.expr("flatten(transform(split(text, '\\n', -1), l -> transform(sequence(0, greatest(0, (length(l) - 1) div 80)), k -> substring(l, cast(k as int) * 80 + 1, 80))))")
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(pieces).alias("region_index", "raw"))
-    rows = rows.selectExpr("doc_id", "source", "lang", "cast(region_index as bigint) AS region_index", "doc_id * 100000 + region_index div 24 AS page_id", "cast(region_index % 24 as bigint) AS i", "regexp_replace(raw, '[^\\\\x00-\\\\x7F]', '?') AS ref_text")
+    # `?` for what is not ASCII before the cut: one expression a text, and a filter on the pieces repeats nothing
+    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    # by a pattern, which reads a line once; substring() would count from the line's start for every piece
+    cut = lambda line: F.when(line == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(line, F.lit("(?s).{1,80}"), F.lit(0)))
+    pieces = F.flatten(F.transform(F.split(ascii_, "\n", -1), cut))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(pieces).alias("region_index", "ref_text"))
+    rows = rows.selectExpr("doc_id", "source", "lang", "cast(region_index as bigint) AS region_index", "doc_id * 100000 + region_index div 24 AS page_id", "cast(region_index % 24 as bigint) AS i", "ref_text")
     rows = rows.withColumn("n", F.length("ref_text").cast("long"))
     return rows.selectExpr(
         "*",
@@ -42,14 +46,20 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rated(rows: DataFrame) -> DataFrame:
+    """The distance once a row; its rate follows from it."""
+    rows = rows.withColumns({"edit_distance": edit_distance(F.col("ref_text"), F.col("pred_text")), "reference_length": F.col("n")})
+    return rows.withColumn("cer", error_rate(F.col("ref_text"), F.col("pred_text"), F.col("edit_distance")))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions(spark, sf_dir).withColumns({"edit_distance": F.levenshtein("ref_text", "pred_text").cast("long"), "reference_length": F.col("n"), "cer": error_rate(F.col("ref_text"), F.col("pred_text"))})
+    return _rated(regions(spark, sf_dir))
 
 
 def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another recogniser, which gives no row for blank regions."""
     rows = regions(spark, sf_dir).where("ref_text <> ''").withColumn("pred_text", F.expr("CASE WHEN (doc_id + region_index) % 4 = 0 THEN translate(ref_text, 'tnsr', 'nsrt') ELSE ref_text END"))
-    return rows.withColumns({"edit_distance": F.levenshtein("ref_text", "pred_text").cast("long"), "reference_length": F.col("n"), "cer": error_rate(F.col("ref_text"), F.col("pred_text"))})
+    return _rated(rows)
 
 
 def faulty_run(spark: SparkSession, sf_dir: str) -> DataFrame:

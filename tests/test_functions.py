@@ -202,3 +202,25 @@ def test_matching_blocks(cells):
         found[k].append(tuple(block))
     assert found == [[tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]] for a, b in pairs]
     assert blocks.edit_counts([a for a, _ in pairs], [b for _, b in pairs], cells).tolist() == [_plain_edits(a, b) for a, b in pairs]
+
+
+def test_distances_of_many_pairs_at_once(spark):
+    rng, rows = random.Random(11), [("", ""), (None, "ab"), ("ab", None), ("", "ab"), ("ab", ""), ("ab", "ab"), ("a\x00", "\x00a")]
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh ", "aбв\U0001f600"])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 63, 64, 65, 80, 127, 128, 129, 256, 257])))
+        b = "".join(c for c in a if rng.random() < 0.9) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.choice([1, 64, 80, 130, 260])))
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("x", X.edit_distance(F.col("a"), F.col("b")))
+    want = F.levenshtein(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))).cast("long")
+    assert df.where(~F.col("x").eqNullSafe(want)).count() == 0
+    assert [X._steps(a or "", b or "") for a, b in rows] == X.distances([a or "" for a, _ in rows], [b or "" for _, b in rows]).tolist()
+
+
+def test_a_rate_is_worked_out_once(spark):
+    """A filter on what follows from a rate stays above it, and no query compares regions by the built-in cell by cell."""
+    df = spark.range(5).selectExpr("cast(id as string) AS a", "'2' AS b").withColumn("d", X.edit_distance(F.col("a"), F.col("b")))
+    rated = df.withColumn("cer", X.error_rate(F.col("a"), F.col("b"), F.col("d"))).where("cer > 0")
+    plan = rated._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unequal(") == 1 and "levenshtein" not in plan
+    assert rated.count() == 4
