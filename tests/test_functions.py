@@ -224,3 +224,29 @@ def test_a_rate_is_worked_out_once(spark):
     plan = rated._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("unequal(") == 1 and "levenshtein" not in plan
     assert rated.count() == 4
+
+
+def test_blocks_of_two_and_of_one():
+    """Single equal characters count only in the gaps that longer runs leave, whatever number of cells is compared at once."""
+    rng, pairs = random.Random(12), [("", "a"), ("a", "a"), ("ab", "ba"), ("xaby", "abxy"), ("\xfe\xff", "\xff\xfe")]
+    for _ in range(80):
+        letters = rng.choice(["ab", "abcdefgh ", "aбв\U0001f600", "a"])
+        pairs.append(tuple("".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 7, 40]))) for _ in range(2)))
+    ones, twos = [a for a, _ in pairs], [b for _, b in pairs]
+    want = [(k, m.a, m.b, 1) for k, (a, b) in enumerate(pairs) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1] for _ in range(1)]
+    for cells in (1 << 20, 500, 60):
+        pair, i, j, size = blocks.matching_blocks(ones, twos, cells)
+        whole = {(p, x + d, y + d) for p, x, y, n in zip(pair.tolist(), i.tolist(), j.tolist(), size.tolist()) for d in range(n)}
+        assert whole == {(k, m.a + d, m.b + d) for k, (a, b) in enumerate(pairs) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for d in range(m.size)}
+
+
+def test_runs_of_one_character_are_not_listed():
+    """They are most runs of two texts; listing and cutting them took most of the time of an edit profile."""
+    pair, i, j, size = blocks._runs(["abcabc"], ["cabxbca"])
+    assert size.min() >= 2 and sorted(zip(i.tolist(), j.tolist(), size.tolist())) == [(1, 4, 3), (2, 0, 3), (4, 4, 2)] or sorted(zip(i.tolist(), j.tolist(), size.tolist())) == sorted(
+        (x, y, n) for x in range(6) for y in range(7) for n in [next((d for d in range(8) if "abcabc"[x : x + d + 1] != "cabxbca"[y : y + d + 1] or x + d >= 6 or y + d >= 7), 0)] if n >= 2 and not (x and y and "abcabc"[x - 1] == "cabxbca"[y - 1]))
+
+
+@pytest.mark.parametrize("text", ["　 a b\x1c\x85", "\n\n", "", "a", "\x1fa  ", "​a᠎"])
+def test_stripped_equals_the_pattern(spark, text):
+    assert one(spark, X.stripped(F.col("a")), a=text) == one(spark, F.regexp_replace("a", rf"(?U)^{X.BLANK}+|{X.BLANK}+$", ""), a=text)
