@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import edit_profile, error_rate, length_bucket, punctuation_only, repeats_itself, stripped
+from pagemill.functions.text import edit_distance, edit_profile, error_rate, length_bucket, punctuation_only, repeats_itself, stripped
 from pagemill.operators.metrics import worst
 
 
@@ -44,8 +44,10 @@ def error_labels(max_tokens: int | None = None, tokens: str | None = None, profi
 def enrich(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """Rate, distance, lengths and bucket where the columns are missing; edit counts and labels always anew."""
     ref, pred = reference(df.columns), F.coalesce(F.col("predicted_text"), F.lit(""))
-    made = {"cer": error_rate(ref, pred), "edit_distance": F.levenshtein(ref, pred), "reference_length": F.length(ref), "prediction_length": F.length(pred), "text_length_bucket": length_bucket(ref)}
-    df = df.withColumns({k: v for k, v in made.items() if k not in df.columns})
+    if "cer" not in df.columns or "edit_distance" not in df.columns:
+        df = df.withColumn("distance_", edit_distance(ref, pred).cast("int"))  # once for both
+    made = {"cer": error_rate(ref, pred, F.col("distance_")), "edit_distance": F.col("distance_"), "reference_length": F.length(ref), "prediction_length": F.length(pred), "text_length_bucket": length_bucket(ref)}
+    df = df.withColumns({k: v for k, v in made.items() if k not in df.columns}).drop("distance_")
     tokens = next((c for c in ("reference_token_length", "token_length") if c in df.columns), None)
     df = df.withColumn("edits", edit_profile(ref, pred))
     return df.withColumn("error_buckets", error_labels(max_tokens, tokens, ref=ref))
@@ -66,7 +68,12 @@ def compare_runs(base: DataFrame, candidate: DataFrame, key: str = "crop_id", po
     carried = ("reference_text", "predicted_text", "text_length_bucket", "error_buckets", "reference_length", "source")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        df = last_of_each(df, key, position) if position else df.where(F.col(key).isNotNull())
+        pick = [key, "cer", *(c for c in carried if c in df.columns and c != key)]  # no other column goes through the shuffle of a run's keys
+        if position:
+            pick += [] if position in pick else [position]
+            df = last_of_each(df.select(*pick), key, position)
+        else:
+            df = df.where(F.col(key).isNotNull())
         return df.select(F.col(key).alias(f"{name}_key"), F.col("cer").alias(f"{name}_cer"), *(F.col(c).alias(f"{name}_{c}") for c in carried if c in df.columns))
 
     both = side(base, "base").join(side(candidate, "candidate"), F.col("base_key") == F.col("candidate_key"), "full_outer")
