@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.hashing import box_text, stable_id
-from pagemill.operators.pages import BOX, boxes, dealt, ious, per_page
+from pagemill.operators.pages import BOX, SMALL, boxes, by_pages, dealt, ious, per_page, ranks
 
 #: Regions whose text is no part of a page's text.
 NON_TEXT_TYPES = ("image", "graph")
@@ -55,18 +55,18 @@ def suppress_duplicates(df: DataFrame, page: str = "page_id", region: str = "reg
 def order_regions(df: DataFrame, page: str = "page_id", region: str = "region_id", tolerance: float = 0.5) -> DataFrame:
     """The rows of df with line_index, within_line_index and reading_index, all from 0; every column is carried through."""
 
-    def fold(t: pa.Table) -> dict:
-        line, read = _lines(boxes(t), t.column(region).to_pylist(), tolerance)
-        place, within, last = np.empty(len(line), np.int32), np.empty(len(line), np.int32), (-1, -1)
-        for r, k in enumerate(read):
-            last = (line[k], last[1] + 1 if last[0] == line[k] else 0)
-            place[k], within[k] = r, last[1]
+    def fold(t: pa.Table, starts: np.ndarray) -> dict:
+        line, read, of = _lines_of_pages(t, region, starts, tolerance)
+        fresh = np.flatnonzero(np.r_[True, (np.diff(of[read]) != 0) | (np.diff(line[read]) != 0)][: len(read)])
+        place, within, at = np.empty(len(line), np.int32), np.empty(len(line), np.int32), np.arange(len(line))
+        place[read] = at - starts[of[read]]
+        within[read] = at - np.repeat(fresh, np.diff(np.r_[fresh, len(read)]))
         return {"line_index": pa.array(line.astype(np.int32)), "within_line_index": pa.array(within), "reading_index": pa.array(place)}
 
     made = ["line_index", "within_line_index", "reading_index"]
     rows = df.drop(*made)
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + "".join(f", {c} int" for c in made)
-    return per_page(rows, page, fold, schema, [*rows.columns, *made])
+    return by_pages(rows, page, fold, schema, [*rows.columns, *made])
 
 
 def assembled_texts(df: DataFrame, texts: dict[str, str], evaluable: Column, carried: tuple[str, ...] = (), page: str = "page_id", region: str = "region_id", tolerance: float = 0.5) -> DataFrame:
@@ -78,16 +78,46 @@ def assembled_texts(df: DataFrame, texts: dict[str, str], evaluable: Column, car
     names, ok = list(texts), "__counts"
     rows = df.select(page, region, *BOX, *carried, *(F.col(c).alias(f"__{n}") for n, c in texts.items()), F.coalesce(evaluable, F.lit(False)).alias(ok))
 
-    def fold(t: pa.Table) -> pa.Table:
-        counts = t.column(ok).to_pylist()
-        read = [k for k in _lines(boxes(t), t.column(region).to_pylist(), tolerance)[1] if counts[k]]
-        made = {n: ["\n".join(v for k in read if (v := column[k]))] for n in names for column in [t.column(f"__{n}").to_pylist()]}
-        first = {c: t.column(c).slice(0, 1) for c in (page, *carried)}
-        return pa.table({**first, **{n: pa.array(v, pa.string()) for n, v in made.items()}})
+    def fold(t: pa.Table, starts: np.ndarray) -> dict:
+        _, read, of = _lines_of_pages(t, region, starts, tolerance)
+        read = read[np.asarray(t.column(ok))[read]]
+        cuts = np.searchsorted(of[read], np.arange(len(starts) + 1)).tolist()
+        first = {c: t.column(c).take(pa.array(starts)) for c in (page, *carried)}
+        for n in names:
+            texts = t.column(f"__{n}").take(pa.array(read)).to_pylist()
+            first[n] = pa.array(["\n".join(filter(None, texts[lo:hi])) for lo, hi in zip(cuts, cuts[1:])], pa.string())
+        return first
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (page, *carried)), *(f"`{n}` string" for n in names)])
-    return dealt(rows, page).groupBy(page).applyInArrow(fold, schema)
+    return by_pages(rows, page, fold, schema, [page, *carried, *names])
+
+
+def _lines_of_pages(t: pa.Table, region: str, starts: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line of each row, all rows in reading order page by page, and each row's page. Small pages go together, a region of each at a time."""
+    b, ids, sizes = boxes(t), ranks(t.column(region)), np.diff(np.r_[starts, t.num_rows])
+    of = np.repeat(np.arange(len(starts)), sizes)
+    line = np.zeros(len(b), np.int64)
+    for p in np.flatnonzero(sizes > SMALL):
+        here = slice(starts[p], starts[p] + sizes[p])
+        line[here] = _lines(b[here], ids[here].tolist(), tolerance)[0]
+    small = np.flatnonzero(sizes <= SMALL)
+    small = small[np.argsort(-sizes[small], kind="stable")]  # pages that still have regions are the first ones
+    if len(small):
+        order = np.lexsort((ids, b[:, 2], b[:, 0], b[:, 1], of))
+        centre, high = (b[:, 1] + b[:, 3]) / 2, np.maximum(b[:, 3] - b[:, 1], 1)
+        anchors, tall, n = np.full((SMALL, len(small)), np.nan), np.zeros((SMALL, len(small))), np.zeros(len(small), np.int64)
+        for r in range(sizes[small[0]]):
+            on = int(np.searchsorted(-sizes[small], -r, side="left"))
+            rows, some = order[starts[small[:on]] + r], np.arange(on)
+            c, h, most = centre[rows], high[rows], max(1, int(n.max()))
+            near = np.abs(anchors[:most, :on] - c) <= tolerance * np.maximum(tall[:most, :on], h)
+            at = np.where(near.any(0), near.argmax(0), n[:on])
+            new = at == n[:on]
+            anchors[at[new], some[new]], tall[at[new], some[new]] = c[new], h[new]
+            n[:on] += new
+            line[rows] = at
+    return line, np.lexsort((ids, b[:, 2], b[:, 1], b[:, 0], line, of)), of
 
 
 def _lines(b: np.ndarray, ids: list, tolerance: float) -> tuple[np.ndarray, list[int]]:

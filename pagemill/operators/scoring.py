@@ -26,8 +26,13 @@ def evaluate_pages(reference: DataFrame, prediction: DataFrame, page: str = "pag
     if strict:
         missing = F.raise_error(F.concat(F.lit("missing prediction for page "), F.col(page).cast("string")))
         both = both.withColumn("predicted_text", F.when(F.col("__there"), F.col("predicted_text")).otherwise(missing))
+    return scored_pages(both.drop("__there"))
+
+
+def scored_pages(texts: DataFrame) -> DataFrame:
+    """Pages with reference_text and predicted_text, and edit_distance, reference_length, page_cer; a null text is empty."""
     ref, pred = F.coalesce("reference_text", F.lit("")), F.coalesce("predicted_text", F.lit(""))
-    scored = both.drop("__there").withColumns({"edit_distance": edit_distance(ref, pred), "reference_length": F.length(ref).cast("long")})
+    scored = texts.withColumns({"edit_distance": edit_distance(ref, pred), "reference_length": F.length(ref).cast("long")})
     rate = F.when(F.col("reference_length") > 0, F.col("edit_distance").cast("double") / F.col("reference_length")).otherwise((F.length(pred) > 0).cast("double"))
     return scored.withColumn("page_cer", rate)
 

@@ -11,9 +11,9 @@ from pagemill.functions.text import code_point_counts, length_bucket, stripped
 from pagemill.functions.tokens import tokenized
 from pagemill.operators import metrics as A
 from pagemill.operators import selection as L
-from pagemill.operators.reading_order import text_evaluable
+from pagemill.operators.reading_order import assembled_texts, text_evaluable
 from pagemill.operators.recognizers import recognize
-from pagemill.operators.scoring import evaluate_pages, ordered_page_texts
+from pagemill.operators.scoring import scored_pages
 from pagemill.sources.readers import flat_regions, image_id
 
 
@@ -110,9 +110,8 @@ def page_baseline(regions: DataFrame, recognizer: str) -> DataFrame:
     """Page evaluations of a recogniser on annotated regions (page_id, region_id, box, region_type, language, legibility, text)."""
     read = recognize(regions, recognizer)
     ok = text_evaluable(F.col("region_type"), F.col("language"), F.col("legibility"))
-    ref = ordered_page_texts(read, ok, "text")
-    pred = ordered_page_texts(read, ok, "predicted_text")
-    return evaluate_pages(ref, pred)
+    texts = assembled_texts(read, {"reference_text": "text", "predicted_text": "predicted_text"}, ok)  # one order serves both
+    return scored_pages(texts)
 
 
 def detection_scores(matches: DataFrame, n_ref: int, n_pred: int) -> dict:
