@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import box, coverage
-from pagemill.operators.pages import BOX, boxes, ious, per_page
+from pagemill.operators.pages import BOX, SMALL, boxes, by_pages, ious, per_page, ranks
 
 
 def overlapping_pairs(ref: DataFrame, pred: DataFrame, page: str = "page_id", region: str = "region_id") -> DataFrame:
@@ -34,20 +34,46 @@ def match_regions(ref: DataFrame, pred: DataFrame, page: str = "page_id", region
     kind = dict(ref.dtypes)[region]
     both = ref.select(page, region, *BOX, F.lit(0).alias("side")).unionByName(pred.select(page, region, *BOX, F.lit(1).alias("side")))
 
-    def fold(t: pa.Table) -> dict:
-        b, ids, side = boxes(t), t.column(region).to_pylist(), t.column("side").to_pylist()
-        refs, preds = (sorted((k for k in range(len(ids)) if side[k] == s), key=lambda k: ids[k]) for s in (0, 1))
-        other, free, out = b[np.array(preds, int)], np.ones(len(preds), bool), []
-        for k in refs if preds else []:
-            v = np.where(free, ious(b[k], other), -1)
+    def fold(t: pa.Table, starts: np.ndarray) -> dict:
+        rows, other, share = greedy_pairs(boxes(t), ranks(t.column(region)), np.asarray(t.column("side")), starts, least)
+        own = t.column(region)
+        return {page: t.column(page).take(pa.array(rows)), "ref_id": own.take(pa.array(rows)), "pred_id": own.take(pa.array(other)), "iou": pa.array(share, pa.float64())}
+
+    return by_pages(both, page, fold, f"`{page}` {dict(ref.dtypes)[page]}, ref_id {kind}, pred_id {kind}, iou double", [page, "ref_id", "pred_id", "iou"])
+
+
+def greedy_pairs(b: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """(row of the reference, row of the prediction, IoU) of the matches of many pages. The n-th references of all small pages go together."""
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(b)]))
+    order = np.lexsort((ids, side, of))
+    n_ref, n_pred = (np.bincount(of[side == s], minlength=len(starts)) for s in (0, 1))
+    found = []
+    for p in np.flatnonzero((n_pred > SMALL) & (n_ref > 0)):
+        refs, preds = np.split(order[starts[p] : starts[p] + n_ref[p] + n_pred[p]], [n_ref[p]])
+        free = np.ones(len(preds), bool)
+        for k in refs:
+            v = np.where(free, ious(b[k], b[preds]), -1)
             best = int(v.argmax())
             if v[best] >= least:
                 free[best] = False
-                out.append((ids[k], ids[preds[best]], float(v[best])))
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return {page: pa.array([t.column(page)[0].as_py()] * len(out), t.schema.field(page).type), "ref_id": pa.array(cols[0], t.schema.field(region).type), "pred_id": pa.array(cols[1], t.schema.field(region).type), "iou": pa.array(cols[2], pa.float64())}
-
-    return per_page(both, page, fold, f"`{page}` {dict(ref.dtypes)[page]}, ref_id {kind}, pred_id {kind}, iou double", [page, "ref_id", "pred_id", "iou"])
+                found.append((np.array([k]), preds[[best]], v[[best]]))
+    small = np.flatnonzero((n_pred <= SMALL) & (n_pred > 0) & (n_ref > 0))
+    small = small[np.argsort(-n_ref[small], kind="stable")]  # pages that still have references are the first ones
+    if len(small):
+        slot = np.arange(n_pred[small].max())
+        free = slot < n_pred[small][:, None]
+        preds = order[np.where(free, (starts + n_ref)[small][:, None] + slot, 0)]
+        other = b[preds]
+        for r in range(n_ref[small[0]]):
+            on = int(np.searchsorted(-n_ref[small], -r, side="left"))
+            rows, some = order[starts[small[:on]] + r], np.arange(on)
+            v = np.where(free[:on], ious(b[rows].T[:, :, None], other[:on]), -1)
+            best = v.argmax(1)
+            hit = v[some, best] >= least
+            some, best = some[hit], best[hit]
+            free[some, best] = False
+            found.append((rows[hit], preds[some, best], v[some, best]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def split_merge(ref: DataFrame, pred: DataFrame, page: str = "page_id", region: str = "region_id", least: float = 0.35) -> DataFrame:

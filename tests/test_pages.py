@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,43 @@ def test_missing_prediction_raises(spark):
     with pytest.raises(Exception, match="missing prediction"):
         evaluate_pages(ref, ref.where("page_id = 1")).collect()
     assert evaluate_pages(ref, ref.where("page_id = 1"), strict=False).where("page_cer = 1").count() == 1
+
+
+def test_small_and_wide_pages_together(spark):
+    """Pages of 1 to 200 regions, a null page and string ids: many at a time gives what a page alone gives, over batches of any size."""
+    rng, rows = random.Random(9), []
+    for p in [*range(30), None]:
+        for k in rng.sample(range(1000), rng.choice([1, 3, 24, 64, 65, 200])):
+            x, y = rng.randrange(90), rng.randrange(90)
+            rows.append((p, f"r{k}", x, y, x + rng.randrange(1, 25), y + rng.randrange(1, 25), rng.choice(["a", "b", "", None])))
+    df = spark.createDataFrame(rows, "page_id long, region_id string, x1 long, y1 long, x2 long, y2 long, text string")
+    shifted = df.selectExpr("page_id", "region_id", "x1 + 1 AS x1", "y1", "x2 + 1 AS x2", "y2", "text")
+    want_lines, want_texts, want_pairs = {}, {}, {}
+    for p in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == p]
+        b = np.array([r[2:6] for r in own], float)
+        line, read = R._lines(b, [r[1] for r in own], 0.5)
+        want_lines |= {(p, own[k][1]): (int(line[k]), n) for n, k in enumerate(read)}
+        want_texts[p] = "\n".join(own[k][6] for k in read if own[k][6])
+        free = {r[1]: (0, 0, r[2] + 1, r[3], r[4] + 1, r[5]) for r in own}
+        for r in sorted(own, key=lambda r: r[1]):
+            best = max(sorted(free), key=lambda k: share((0, 0, *r[2:6]), free[k]), default=None)
+            if best is not None and share((0, 0, *r[2:6]), free[best]) >= 0.2:
+                want_pairs[p, r[1]] = best
+                del free[best]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("7", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert {(r.page_id, r.region_id): (r.line_index, r.reading_index) for r in R.order_regions(df).collect()} == want_lines
+            assert {r.page_id: r.t for r in R.assembled_texts(df, {"t": "text"}, F.lit(True)).collect()} == want_texts
+            assert {(r.page_id, r.ref_id): r.pred_id for r in M.match_regions(df, shifted, least=0.2).collect()} == want_pairs
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_pages_are_not_folded_one_by_one(spark):
+    _, df = pages(spark, 5)
+    for out in (R.order_regions(df), M.match_regions(df, df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "MapInArrow" in plan
