@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import box, coverage
-from pagemill.operators.pages import BOX, SMALL, boxes, by_pages, ious, per_page, ranks
+from pagemill.operators.pages import BOX, SMALL, boxes, by_pages, ious, ranks
 
 
 def overlapping_pairs(ref: DataFrame, pred: DataFrame, page: str = "page_id", region: str = "region_id") -> DataFrame:
@@ -85,7 +86,29 @@ def split_merge(ref: DataFrame, pred: DataFrame, page: str = "page_id", region:
     return what(split, "reference_region_split_across_predictions").unionByName(what(merge, "predicted_region_merges_references"))
 
 
-DETAILS = pa.map_(pa.string(), pa.string())
+#: Pairs of boxes that are held against each other at once, wider pages by themselves.
+PAIRS = 1 << 20
+
+
+def cover_counts(b: np.ndarray, sides: np.ndarray, of: np.ndarray, order: np.ndarray, n_pages: int, least: float) -> np.ndarray:
+    """For each row how many of its page's other side it covers or is covered by; coverage is of the reference. order: by page and side."""
+    n_ref, n_pred = (np.bincount(of[sides == s], minlength=n_pages) for s in (0, 1))
+    starts = np.r_[0, np.cumsum(n_ref + n_pred)[:-1]]
+    size = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
+    size, out = np.where(size > 0, size, np.inf), np.zeros(len(b), np.int64)
+    area, lo = np.cumsum(n_ref * n_pred), 0
+    while lo < n_pages:
+        hi = max(lo + 1, int(np.searchsorted(area, (area[lo - 1] if lo else 0) + PAIRS, side="right")))
+        here = (n_ref * n_pred)[lo:hi]
+        p = np.repeat(np.arange(lo, hi), here)
+        x, y = np.divmod(np.arange(len(p)) - np.repeat(np.cumsum(here) - here, here), n_pred[p])
+        r, q = order[starts[p] + x], order[(starts + n_ref)[p] + y]
+        w = np.minimum(b[r, 2], b[q, 2]) - np.maximum(b[r, 0], b[q, 0])
+        h = np.minimum(b[r, 3], b[q, 3]) - np.maximum(b[r, 1], b[q, 1])
+        on = np.maximum(w, 0) * np.maximum(h, 0) / size[r] >= least
+        out += np.bincount(r[on], minlength=len(b)) + np.bincount(q[on], minlength=len(b))
+        lo = hi
+    return out
 
 
 def attribute_failures(ref: DataFrame, pred: DataFrame, page: str = "page_id", region: str = "region_id", least_iou: float = 0.5, least_coverage: float = 0.35) -> DataFrame:
@@ -100,41 +123,45 @@ def attribute_failures(ref: DataFrame, pred: DataFrame, page: str = "page_id", r
         best = F.coalesce("best_text", "text") if "best_text" in df.columns else F.col("text")
         return df.select(page, region, *BOX, F.col("text").cast("string").alias("text"), best.cast("string").alias("best"), F.col("reading_index").cast("long").alias("place"), F.lit(n).alias("side"))
 
-    def fold(t: pa.Table) -> dict:
-        b, ids, sides = boxes(t), t.column(region).to_pylist(), t.column("side").to_pylist()
-        text, best, place = (t.column(c).to_pylist() for c in ("text", "best", "place"))
-        refs, preds = (sorted((k for k in range(len(ids)) if sides[k] == s), key=lambda k: ids[k]) for s in (0, 1))
-        a, c = b[np.array(refs, int)], b[np.array(preds, int)]
-        w = np.minimum(a[:, None, 2], c[None, :, 2]) - np.maximum(a[:, None, 0], c[None, :, 0])
-        h = np.minimum(a[:, None, 3], c[None, :, 3]) - np.maximum(a[:, None, 1], c[None, :, 1])
-        size = np.maximum(a[:, 2] - a[:, 0], 0) * np.maximum(a[:, 3] - a[:, 1], 0)
-        share = np.maximum(w, 0) * np.maximum(h, 0) / np.where(size > 0, size, np.inf)[:, None]
-        covered, rows = share >= least_coverage, []
-        for k, n in zip(refs, covered.sum(1).tolist(), strict=True):
-            if n > 1:
-                rows.append(("split_merge_failure", ids[k], None, None, [("reason", "reference_region_split_across_predictions"), ("overlap_count", str(n))]))
-        for k, n in zip(preds, covered.sum(0).tolist(), strict=True):
-            if n > 1:
-                rows.append(("split_merge_failure", None, ids[k], None, [("reason", "predicted_region_merges_references"), ("overlap_count", str(n))]))
-        free = np.ones(len(preds), bool)
-        for k in refs:
-            v = np.where(free, ious(b[k], c), -1) if preds else np.array([-1.0])
-            j = int(v.argmax())
-            if v[j] < least_iou:
-                rows.append(("detection_failure", ids[k], None, None, [("reason", "reference_region_unmatched")]))
-                continue
-            free[j] = False
-            p, pair = preds[j], (ids[k], ids[preds[j]], float(v[j]))
-            if place[k] != place[p]:
-                rows.append(("ordering_failure", *pair, [("reference_order", str(place[k])), ("predicted_order", str(place[p]))]))
-            if best[k] != best[p]:
-                rows.append(("ocr_failure", *pair, [("reason", "matched_region_text_mismatch"), ("reference_text", best[k]), ("predicted_text", best[p])]))
-            if text[p] and text[p] != best[p]:
-                rows.append(("postprocess_failure", *pair, [("reason", "stored_text_differs_from_selected_hypothesis"), ("stored_text", text[p]), ("selected_text", best[p])]))
-        rows += [("overlap_duplicate_failure", None, ids[k], None, [("reason", "predicted_region_unmatched")]) for k, ok in zip(preds, free.tolist(), strict=True) if ok]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        own, same = t.schema.field(region).type, pa.array([t.column(page)[0].as_py()] * len(rows), t.schema.field(page).type)
-        return {page: same, "failure_type": pa.array(cols[0], pa.string()), "region_id": pa.array(cols[1], own), "matched_region_id": pa.array(cols[2], own), "iou": pa.array(cols[3], pa.float64()), "details": pa.array(cols[4], DETAILS)}
+    def fold(t: pa.Table, starts: np.ndarray) -> dict:
+        b, ids, sides, own = boxes(t), ranks(t.column(region)), np.asarray(t.column("side")), t.column(region)
+        text, best, place = (t.column(c).combine_chunks() for c in ("text", "best", "place"))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(b)]))
+        covered = cover_counts(b, sides, of, np.lexsort((ids, sides, of)), len(starts), least_coverage)
+        ref, pred, share = greedy_pairs(b, ids, sides, starts, least_iou)
+        alone = np.ones(len(b), bool)
+        alone[ref], alone[pred] = False, False
+        none, found = np.zeros(0, np.int64), []
+
+        def add(section: int, kind: str, one: np.ndarray, two: np.ndarray, iou: np.ndarray | None, **details: pa.Array | str) -> None:
+            n = max(len(one), len(two))
+            values = pa.concat_arrays([pa.array([v] * n, pa.string()) if isinstance(v, str) else v for v in details.values()])
+            values = values.take(pa.array(np.arange(n * len(details)).reshape(len(details), n).T.reshape(-1)))
+            pairs = pa.MapArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(details)), pa.array(list(details) * n, pa.string()), values)
+            side = [own.take(pa.array(x)).combine_chunks() if len(x) else pa.nulls(n, own.type) for x in (one, two)]
+            found.append((one if len(one) else two, np.full(n, section), pa.array([kind] * n, pa.string()), *side, pa.nulls(n, pa.float64()) if iou is None else pa.array(iou, pa.float64()), pairs))
+
+        counted = lambda rows: pc.cast(pa.array(covered[rows]), pa.string())
+        differ = lambda x, y: np.asarray(pc.fill_null(pc.not_equal(x, y), False)) | (np.asarray(pc.is_null(x)) != np.asarray(pc.is_null(y)))
+        at = lambda column, rows: column.take(pa.array(rows))
+        number = lambda rows: pc.fill_null(pc.cast(at(place, rows), pa.string()), "None")
+        k = np.flatnonzero((covered > 1) & (sides == 0))
+        add(0, "split_merge_failure", k, none, None, reason="reference_region_split_across_predictions", overlap_count=counted(k))
+        k = np.flatnonzero((covered > 1) & (sides == 1))
+        add(1, "split_merge_failure", none, k, None, reason="predicted_region_merges_references", overlap_count=counted(k))
+        add(2, "detection_failure", np.flatnonzero(alone & (sides == 0)), none, None, reason="reference_region_unmatched")
+        on = differ(at(place, ref), at(place, pred))
+        add(2, "ordering_failure", ref[on], pred[on], share[on], reference_order=number(ref[on]), predicted_order=number(pred[on]))
+        on = differ(at(best, ref), at(best, pred))
+        add(2, "ocr_failure", ref[on], pred[on], share[on], reason="matched_region_text_mismatch", reference_text=at(best, ref[on]), predicted_text=at(best, pred[on]))
+        on = differ(at(text, pred), at(best, pred)) & np.asarray(pc.fill_null(pc.not_equal(at(text, pred), ""), False))
+        add(2, "postprocess_failure", ref[on], pred[on], share[on], reason="stored_text_differs_from_selected_hypothesis", stored_text=at(text, pred[on]), selected_text=at(best, pred[on]))
+        add(3, "overlap_duplicate_failure", none, np.flatnonzero(alone & (sides == 1)), None, reason="predicted_region_unmatched")
+        rows, section, *columns = zip(*found, strict=True)
+        rows, section = np.concatenate(rows), np.concatenate(section)
+        order = np.lexsort((np.arange(len(rows)), ids[rows], section, of[rows]))
+        made = dict(zip(names[1:], (pa.concat_arrays(c).take(pa.array(order)) for c in columns), strict=True))
+        return {page: t.column(page).take(pa.array(rows[order])), **made}
 
     names = [page, "failure_type", "region_id", "matched_region_id", "iou", "details"]
-    return per_page(side(ref, 0).unionByName(side(pred, 1)), page, fold, f"`{page}` {page_kind}, failure_type string, region_id {kind}, matched_region_id {kind}, iou double, details map<string,string>", names)
+    return by_pages(side(ref, 0).unionByName(side(pred, 1)), page, fold, f"`{page}` {page_kind}, failure_type string, region_id {kind}, matched_region_id {kind}, iou double, details map<string,string>", names)

@@ -147,3 +147,41 @@ def test_pages_are_not_folded_one_by_one(spark):
     for out in (R.order_regions(df), M.match_regions(df, df)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_failures_of_many_pages_at_once(spark):
+    """Texts and places that are null, chosen hypotheses, wide pages: counts and details as by plain loops, rows by page in order."""
+    rng, sides = random.Random(21), []
+    for _ in range(2):
+        rows = []
+        for p in [*range(12), None]:
+            for k in range(rng.choice([0, 1, 5, 24, 90])):
+                x, y = rng.randrange(60), rng.randrange(60)
+                rows.append((p, k, x, y, x + rng.randrange(1, 25), y + rng.randrange(1, 25), rng.choice(["a", "b", "", None]), rng.choice(["a", None]), rng.choice([k, k, None, 0])))
+        sides.append(rows)
+    schema = "page_id long, region_id long, x1 long, y1 long, x2 long, y2 long, text string, best_text string, reading_index long"
+    got = {}
+    for r in M.attribute_failures(*(spark.createDataFrame(x, schema) for x in sides), least_iou=0.2).collect():
+        got.setdefault(r.page_id, []).append((r.failure_type, r.region_id, r.matched_region_id, r.iou and round(r.iou, 9), r.details))
+    cover = lambda a, c: max(min(a[4], c[4]) - max(a[2], c[2]), 0) * max(min(a[5], c[5]) - max(a[3], c[3]), 0) / ((a[4] - a[2]) * (a[5] - a[3])) >= 0.35
+    best = lambda r: r[6] if r[7] is None else r[7]
+    want = {}
+    for p in {r[0] for rows in sides for r in rows}:
+        refs, preds = ([r for r in rows if r[0] == p] for rows in sides)
+        out = [("split_merge_failure", a[1], None, None, {"reason": "reference_region_split_across_predictions", "overlap_count": str(n)}) for a in refs if (n := sum(cover(a, c) for c in preds)) > 1]
+        out += [("split_merge_failure", None, c[1], None, {"reason": "predicted_region_merges_references", "overlap_count": str(n)}) for c in preds if (n := sum(cover(a, c) for a in refs)) > 1]
+        free = list(preds)
+        for a in refs:
+            c = max(free, key=lambda c: share(a, c), default=None)
+            if c is None or share(a, c) < 0.2:
+                out.append(("detection_failure", a[1], None, None, {"reason": "reference_region_unmatched"}))
+                continue
+            free.remove(c)
+            pair = (a[1], c[1], round(share(a, c), 9))
+            out += [("ordering_failure", *pair, {"reference_order": str(a[8]), "predicted_order": str(c[8])})] if a[8] != c[8] else []
+            out += [("ocr_failure", *pair, {"reason": "matched_region_text_mismatch", "reference_text": best(a), "predicted_text": best(c)})] if best(a) != best(c) else []
+            out += [("postprocess_failure", *pair, {"reason": "stored_text_differs_from_selected_hypothesis", "stored_text": c[6], "selected_text": best(c)})] if c[6] and c[6] != best(c) else []
+        out += [("overlap_duplicate_failure", None, c[1], None, {"reason": "predicted_region_unmatched"}) for c in free]
+        if out:
+            want[p] = out
+    assert got == want
